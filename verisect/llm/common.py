@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,11 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def words(text: bytes | None) -> list[bytes]:
+    """`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower case."""
+    return (text or b"").translate(WORD_BYTES).split()
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of `rows` at most."""
     for batch in batches:
@@ -51,6 +57,39 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], max_bytes: int, folds: int = 5, left_out: int = 0) -> list[tuple[bytes, int]]:
+    """Whole texts and labels of at most `per_class` rows of labels 0 and 1, the smallest by hash of the id.
+
+    Ids whose crc32 falls in the left-out fold, null labels, null texts and texts over `max_bytes` bytes never take
+    part.  Only the chosen ids (at most sum(per_class)) are broadcast, and only their rows come to the driver.
+    """
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & (fold("doc_id", folds) != left_out))
+    known = known.select("id", "y", F.xxhash64(F.col("id"), F.lit(label)).alias("h"))
+    chosen = None
+    for y in (0, 1):
+        part = known.where(F.col("y") == y).orderBy("h", "id").limit(per_class[y]).select("id", "y")
+        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = chosen.groupBy("id").agg(F.max("y").alias("y"))
+    rows = narrow(docs, id="doc_id", text="text").where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
+    table = rows.join(F.broadcast(chosen), "id").select("id", "text", "y").toArrow()
+    found = zip(table.column("id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), table.column("y").to_pylist(), strict=True)
+    return [(t, int(y)) for _, t, y in sorted(found)]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a small ridge logistic regression by Newton's method; the last column of x is the constant."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w -= np.linalg.solve(hessian, x.T @ (p - y) + ridge * w)
+    return w
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 def broadcast_value(spark: SparkSession, value):
     """A model of proven size, shipped to the executors once."""
     return spark.sparkContext.broadcast(value)
