@@ -19,18 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, broadcast_value, narrow, slices, utf8
+from .common import broadcast_value, narrow, slices, utf8, words
 
 #: Words that a suffix is sorted by; longer matches are extended word by word.
 DEPTH = 16
 SCHEMA = "id long, n_words long, hits array<int>, items array<string>, longest int, longest_at int, longest_item string"
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower case."""
-    return (text or b"").translate(WORD_BYTES).split()
-
-
 class Probe:
     """A block of the benchmark: its vocabulary, its suffixes and its windows."""
 
