@@ -19,9 +19,10 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_value, fold, narrow, slices, utf8
+from .common import broadcast_value, fold, materialize, narrow, slices, utf8
 
 ORDER = 3
+BROADCAST_IDS = 500_000
 LETTER = regex.compile(rb"[A-Za-z]")
 ANY_LETTER = regex.compile(r"\p{L}")
 
@@ -143,7 +144,10 @@ def fit(docs: DataFrame, text_col="text", lang_col="lang", id_col="doc_id", samp
     rows = narrow(docs, id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     chosen = rows.select("id", "lang", F.xxhash64(F.col("id"), F.lit(9)).alias("h")).withColumn("r", rank).where(F.col("r") <= sample_rows).select("id").distinct()
-    sample = rows.join(chosen, "id", "left_semi")
+    chosen = materialize(chosen, "language-sample")
+    # At most sample_rows ids a language: broadcast if that is little, as it is for hundreds of languages.
+    few = chosen.count() <= BROADCAST_IDS
+    sample = rows.join(F.broadcast(chosen) if few else chosen, "id", "left_semi")
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = counts.toArrow()
     return Trees(list(zip(*(table.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True)), nodes)
@@ -152,8 +156,7 @@ def fit(docs: DataFrame, text_col="text", lang_col="lang", id_col="doc_id", samp
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: Trees = shared.value
-        columns = [np.ascontiguousarray(trees.bits[:, k]) for k in range(trees.bits.shape[1])]
-        trees.bits = np.stack(columns, 1).copy(order="F")
+        trees.bits = np.asfortranarray(trees.bits)  # a language's column is contiguous
         for batch in slices(batches, 1_000):
             texts = utf8(batch, "text")
             lang, score, bits = [], [], []
