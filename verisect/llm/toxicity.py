@@ -46,16 +46,23 @@ def lower(word: bytes) -> str:
     return word.decode("utf-8", "replace").lower()
 
 
-def markers(texts: list[list[str]], toxic: list[int], least: int = 4, purity: float = 0.98, support: float = 0.025, depth: int = 5) -> set[str]:
-    """Greedy cover of the toxic texts by names that hardly occur in others, until each text has `depth` of its names."""
-    has = [{n for w in set(t) for n in _names(w)} for t in texts]
-    other = Counter(n for names, y in zip(has, toxic, strict=True) if not y for n in names)
-    own = Counter(n for names, y in zip(has, toxic, strict=True) if y for n in names)
-    pure = {n for n, c in own.items() if c >= max(least, support * sum(toxic)) and c >= purity * (c + other[n])}
-    left = [(depth, names & pure) for names, y in zip(has, toxic, strict=True) if y]
+def markers(vocab: list[str], texts: list[np.ndarray], toxic: np.ndarray, least: int = 4, purity: float = 0.98, support: float = 0.025, depth: int = 5) -> set[str]:
+    """Greedy cover of the toxic texts by names that hardly occur in others, until each text has `depth` of its names.
+
+    texts: the places in `vocab` of each text's words.
+    """
+    places: dict[str, int] = {}
+    of_word = np.array([([places.setdefault(n, len(places)) for n in _names(w)] * 3)[:3] for w in vocab], np.int32).reshape(-1, 3)
+    names = list(places)
+    counts = {y: np.zeros(len(names), np.int64) for y in (0, 1)}
+    for ids, y in zip(texts, toxic, strict=True):
+        counts[int(y)][np.unique(of_word[ids])] += 1
+    own, other = counts[1], counts[0]
+    pure = (own >= max(least, support * toxic.sum())) & (own >= purity * (own + other))
+    left = [(depth, {names[k] for k in np.unique(of_word[ids]) if pure[k]}) for ids, y in zip(texts, toxic, strict=True) if y]
     chosen: set[str] = set()
     while True:
-        gain = Counter(n for _, names in left for n in names)
+        gain = Counter(n for _, found in left for n in found)
         if not gain:
             return chosen
         # Of names that cover as many texts, the shortest generalises best.
@@ -65,8 +72,8 @@ def markers(texts: list[list[str]], toxic: list[int], least: int = 4, purity: fl
         chosen.add(best)
         # A longer or shorter name of the same words explains nothing more.
         stem = best.partition(":")[2][:4]
-        left = [(k - (best in names), {x for x in names if x.partition(":")[2][:4] != stem}) for k, names in left]
-        left = [(k, names) for k, names in left if k > 0 and names]
+        left = [(k - (best in found), {x for x in found if x.partition(":")[2][:4] != stem}) for k, found in left]
+        left = [(k, found) for k, found in left if k > 0 and found]
 
 
 def chain(odds: np.ndarray, real: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +82,7 @@ def chain(odds: np.ndarray, real: np.ndarray, a: np.ndarray) -> tuple[np.ndarray
     forward[0] = odds[0]
     for t in range(1, len(odds)):
         f = forward[t - 1]
-        forward[t] = np.clip(odds[t] * (f * a[1, 1] + a[0, 1]) / (f * a[1, 0] + a[0, 0]), 1e-12, 1e12)
+        forward[t] = np.clip(odds[t] * (f * a[1, 1] + a[0, 1]) / (f * a[1, 0] + a[0, 0]), 1e-9, 1e9)
     for t in range(len(odds) - 2, -1, -1):
         x = odds[t + 1] * backward[t + 1]
         backward[t] = np.where(real[t + 1], (a[1, 1] * x + a[1, 0]) / (a[0, 1] * x + a[0, 0]), 1.0)
@@ -91,7 +98,7 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     end = np.cumsum(counts)[text]
     at = start[None, :] + np.arange(WINDOW)[:, None]
     real = at < end[None, :]
-    return np.where(real, at, 0), real
+    return np.where(real, at, 0).astype(np.int32), real
 
 
 class Field:
@@ -169,17 +176,18 @@ def fit_texts(sample: list[tuple[bytes, int]], steps: int = 20, rate: float = 0.
     y = np.array([label for _, label in sample])
     if len(y) == 0 or y.min() == y.max():
         return None
-    tokens = [[lower(w) for w in words(t)] for t, _ in sample]
-    marked = markers(tokens, y.tolist())
-    vocab = {w: k for k, w in enumerate(sorted({w for t in tokens for w in t}))}
-    names = list(vocab)
+    places_of: dict[bytes, int] = {}
+    texts = [np.array([places_of.setdefault(w, len(places_of)) for w in words(t)], np.int32) for t, _ in sample]
+    names = [lower(w) for w in places_of]
+    marked = markers(names, texts, y)
     is_toxic = np.array([not marked.isdisjoint(_names(w)) for w in names] or [False])
     places = [_places(w) for w in names]
     own = np.array([(p[0] + [0, 0])[:4] for p in places]).reshape(-1, 4)
     own_n = np.array([len(p[0]) for p in places])
     before, after = (np.array([p[k][0] for p in places]) for k in (1, 2))
-    ids = np.concatenate([np.array([vocab[w] for w in t], np.int64) for t in tokens])
-    counts = np.array([len(t) for t in tokens], np.int64)
+    del places
+    ids = np.concatenate(texts)
+    counts = np.array([len(t) for t in texts], np.int64)
     truth = is_toxic[ids] & np.repeat(y == 1, counts)
     at, real = windows(counts)
     inside = _inside(counts)
@@ -191,8 +199,8 @@ def fit_texts(sample: list[tuple[bytes, int]], steps: int = 20, rate: float = 0.
         e = np.where(mask, weight[own], 0).sum(1)[ids]
         e[1:] += weight[before][ids[:-1]] * inside
         e[:-1] += weight[after][ids[1:]] * inside
-        odds = np.exp(np.clip(e, -25, 25))[at]
-        a = np.exp(moves)
+        odds = np.exp(np.clip(e, -25, 25)).astype(np.float32)[at]
+        a = np.exp(moves).astype(np.float32)
         f, b = chain(odds, real, a)
         marginal = f * b / (1 + f * b)
         error = np.zeros(total)
@@ -216,8 +224,8 @@ def fit_texts(sample: list[tuple[bytes, int]], steps: int = 20, rate: float = 0.
         seen_moves += g**2
         moves = moves - rate * g / np.sqrt(seen_moves)
     field = Field(weight, moves, np.zeros(3))
-    tag = Tagger(field)
-    _, m = tag([words(t) for t, _ in sample])
+    m = np.empty(total)
+    m[at[real]] = marginal[real]
     x = _summary(_pooled(m, counts, np.maximum), _pooled(m, counts, np.add))
     field.final = logistic(x, y.astype(float), ridge=0.5)
     if prior is not None and 0 < prior < 1:  # the sample holds the classes in another proportion than the table
@@ -225,7 +233,7 @@ def fit_texts(sample: list[tuple[bytes, int]], steps: int = 20, rate: float = 0.
     return field
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = (3_000, 1_500), max_bytes: int = 100_000) -> Field | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = (2_400, 1_200), max_bytes: int = 50_000) -> Field | None:
     known = labels.where(F.col(label).isin(0, 1) & (fold("doc_id", 5) != 0)).agg(F.avg(label)).first()[0]
     return fit_texts(labelled_sample(docs, labels, label, per_class, max_bytes), prior=known)
 
