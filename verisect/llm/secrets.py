@@ -106,7 +106,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("row_key")
         .agg(F.array_sort(F.collect_set("w")).alias("linked"))
     )
-    return found.select("id", "row_key", "base").join(linked, "row_key", "left").select("id", "row_key", "base", F.coalesce("linked", F.expr(f"cast(array() as {SPAN})")).alias("linked"))
+    none = F.expr(f"cast(array() as {SPAN})")
+    # Rows without any weak part left have nothing to link and stay out of the join.
+    alone = found.where(F.size("weak") == 0).select("id", "row_key", "base", none.alias("linked"))
+    rest = found.where(F.size("weak") > 0).select("id", "row_key", "base")
+    return alone.unionByName(rest.join(linked, "row_key", "left").select("id", "row_key", "base", F.coalesce("linked", none).alias("linked")))
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
