@@ -35,7 +35,7 @@ def pin_references(unresolved: DataFrame, anchors: DataFrame, keys: Sequence[str
     before and the index places the page in no other case that begins in between.  A claimed name of other parties rules it out.
     """
     a = _keyed(anchors).select(*keys, "volume", "_rep", F.col("_page").alias("_first"), "cluster_id", "case_name")
-    met = _keyed(unresolved).join(a, [*keys, "volume", "_rep"]).where("_first < _page").withColumn("delta", (F.col("_page") - F.col("_first")).cast("long"))
+    met = _keyed(unresolved.select(*keys, cite, "volume", "reporter", "page", "lhs", "rhs", "did_you_mean")).join(a, [*keys, "volume", "_rep"]).where("_first < _page").withColumn("delta", (F.col("_page") - F.col("_first")).cast("long"))
     met = met.withColumn("_other", C.claim_conflicts(F.col("lhs"), F.col("rhs"), F.col("case_name")))
     named = F.exists("did_you_mean", lambda d: d["cluster_id"] == F.col("cluster_id")) & ~F.col("_other") & (F.col("delta") <= PIN_PAGES_NAMED)
     elsewhere = F.exists("did_you_mean", lambda d: F.coalesce((d["cluster_id"] != F.col("cluster_id")) & (C.page_number(d["page"]) > F.col("_first")) & (C.page_number(d["page"]) <= F.col("_page")), F.lit(False)))

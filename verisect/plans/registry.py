@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-PLANS = ("relational", "ranking", "citations", "textual", "quotations", "spans")
+PLANS = ("relational", "ranking", "citations", "textual", "quotations", "spans", "rules", "reports")
 
 
 def query(sql: str | None = None) -> Callable:
