@@ -182,6 +182,6 @@ def test_encoder_agrees_with_the_tokenizer_on_noise():
     rng = random.Random(5)
     alphabet = "abcXYZ  \n\t\x1c\x85 ́é'sΣςİß1234.,|%"
     for _ in range(300):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) + rng.choice(["", "word<|endoftext|>", "<|ENDOFTEXT|>", "Straße!!", "É.", "don't"])
         want = [*tok.encode(text, add_special_tokens=False).ids, 2]
         assert encode(text.encode()) == b"".join(x.to_bytes(4, "little") for x in want), repr(text)

@@ -13,6 +13,7 @@ documents of their own.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -79,27 +80,52 @@ def plan(histogram: dict[int, int], window: int) -> tuple[list[tuple[int, int, i
     return rows, sequence
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for a byte: itself if printable, else the next one from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in set(printable))}
+
+
 class Encoder:
     """Text -> little-endian 32-bit ids; each chunk between spaces and line feeds is encoded once.
 
-    The tokenizer drops white space and never joins what it separates, so encoding chunk by chunk gives the ids of the whole.
+    The tokenizer drops white space and never joins what it separates, so encoding chunk by chunk gives the ids of the
+    whole.  It also never joins letters and marks: a chunk of Latin letters and trailing marks is put together from both,
+    and the lower-case letters go straight to its merges.  All other chunks go through the whole tokenizer.
     """
 
+    PLAIN = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = False
+        self.merges = self.tokenizer.model
+        self.letters = byte_letters()
         self.end = np.array([end], "<u4").tobytes()
-        self.memo = Memo(self._encode, 300_000)
+        self.memo, self.cores, self.marks = Memo(self._chunk, 500_000), Memo(self._core, 500_000), Memo(self._whole, 50_000)
 
-    def _encode(self, chunk: bytes) -> bytes:
+    def _whole(self, chunk: bytes) -> bytes:
         return np.array(self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _core(self, word: str) -> bytes:
+        text = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(text)])
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        parts = self.PLAIN.fullmatch(chunk)
+        if parts:
+            word = parts[1].decode("utf-8")
+            # Below U+0250 lower case goes letter by letter and composed letters stay, but for the dotted I.
+            if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+                return self.cores[word.lower()] + (self.marks[parts[2]] if parts[2] else b"")
+        return self._whole(chunk)
+
     def __call__(self, text: bytes | None) -> bytes:
         chunks = (text or b"").replace(b"\n", b" ").split(b" ")
         out = b"".join(map(self.memo.__getitem__, chunks)) + self.end
-        self.memo.trim()
+        for memo in (self.memo, self.cores, self.marks):
+            memo.trim()
         return out
 
 
