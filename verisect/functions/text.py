@@ -124,7 +124,7 @@ def grams(words: Column, k: int) -> Column:
 
 def answer_line(answer: Column) -> Column:
     """line and found: the last line that opens with ANSWER:, without that, else the last line that isn't empty."""
-    lines = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), r"\r\n|\r|\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
     marked = F.filter(lines, lambda x: x.rlike(r"(?i)^\W*answer\s*:"))
     last = F.try_element_at(marked, F.lit(-1))
     body = F.trim(F.regexp_replace(last, r"(?i)^\W*answer\s*:\s*", ""))
@@ -139,7 +139,7 @@ def vendor_cite(line: Column) -> Column:
 
 def fragments_in_order(needle: Column, hay: Column, ellipsis: str) -> Column:
     """Whether the needle's parts around an ellipsis follow each other in the text."""
-    parts = F.filter(F.transform(F.split(needle, F.lit("\\Q" + ellipsis + "\\E")), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(needle, F.lit("\\Q" + ellipsis + "\\E")), lambda x: F.trim(x)), lambda x: x != "")
     return F.contains(needle, F.lit(ellipsis)) & (_follow(parts, hay) > 0)
 
 

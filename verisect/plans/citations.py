@@ -8,13 +8,7 @@ from verisect.functions import cites as C
 from verisect.functions import text as T
 from verisect.operators import citations as G
 from verisect.operators import joins as J
-from verisect.plans.registry import Fixture, query
-
-
-def expect(schema: str, *rows: tuple) -> str:
-    """An oracle that states the expected rows."""
-    f = Fixture("expected", schema, rows)
-    return f"WITH {f.cte()} SELECT * FROM expected"
+from verisect.plans.base import Fixture, expect, query
 
 
 TEXTS = Fixture("texts", "id long, t string", [(1, "Smith v. Jones, 12 So. 2d 345 (Fla. 1950); see 12 So.2d 345 and 410 U.S. 113."), (2, "no cite"), (3, "5 F. Supp. 3d 77, 80"), (4, None)])

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from verisect.functions import text as T
 from verisect.functions import udfs as U
 from verisect.operators import quotations as Q
-from verisect.plans.citations import expect
-from verisect.plans.registry import query
+from verisect.plans.base import expect, query
 
 ANSWER = (
     'The court held "the moving party must show that no fact is in dispute" in Smith v. Jones, 12 So. 2d 345 (Fla. 1950).\n\n'

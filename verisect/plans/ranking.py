@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verisect.operators import joins as J
 from verisect.operators import sampling as S
-from verisect.plans.registry import Fixture, query
+from verisect.plans.base import Fixture, query
 
 DRAW = "(({key} + {seed}) % 1073741824) * 2654435761 % 4294967296"
 

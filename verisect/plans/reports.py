@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from verisect.operators import grading as D
 from verisect.operators import questions as B
 from verisect.operators import reports as R
-from verisect.plans.citations import expect
-from verisect.plans.registry import Fixture, query
+from verisect.plans.base import Fixture, expect, query
 
 TEXT = {
     "a1": "Summary judgment fails. Smith v. Jones, 12 So. 2d 345 (Fla. 1950) held \"the moving party must show that no fact is in dispute\". Pinpoint: 12 So. 2d 347.",

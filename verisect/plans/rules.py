@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verisect.operators import rules as R
-from verisect.plans.citations import expect
-from verisect.plans.registry import Fixture, query
+from verisect.plans.base import Fixture, expect, query
 
 
 def gold(**rules):

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from verisect.functions import text as T
 from verisect.functions import udfs as U
 from verisect.operators import spans as S
-from verisect.plans.citations import expect
-from verisect.plans.registry import query
+from verisect.plans.base import expect, query
 
 # Documents as examples: gold spans are a document's first words, predictions the first words of its normalised copy.
 GOLD = "list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}')[1:4])"

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from verisect.functions import text as T
 from verisect.functions import udfs as U
 from verisect.operators import containment as K
-from verisect.plans.citations import expect
-from verisect.plans.registry import query
+from verisect.plans.base import expect, query
 
 WORDS = "list_filter(string_split(regexp_replace(lower(replace(replace(text, '’', ''''), '‘', '''')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
 MATCH_WORDS = f"list_filter({WORDS}, lambda x: NOT regexp_full_match(x, '[0-9]+'))"
