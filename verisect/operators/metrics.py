@@ -93,7 +93,7 @@ def wilson(k: Column, n: Column, z: float = 1.96, clip: bool = False) -> tuple[C
     empty = F.lit(0.0 if clip else float("nan"))
     low, high = (centre - half) / scale, (centre + half) / scale
     if clip:
-        low, high = F.greatest(low, F.lit(0.0)), F.least(high, F.lit(1.0))
+        low, high = (F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))) for x in (low, high))
     return F.coalesce(low, empty), F.coalesce(high, empty)
 
 
