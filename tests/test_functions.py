@@ -200,3 +200,18 @@ def test_settings_and_models(tmp_path):
     assert load_settings(str(tmp_path / "keys.env"), {"B": "env", "C": "no"}) == {"A": "1", "B": "env"}
     assert load_settings(str(tmp_path / "none.env"), {}) == {}
     assert load_models(str(tmp_path / "models.json"))["m"]["provider"] == "x"
+
+
+def test_guards_of_the_runner():
+    assert services.within_context(["x" * 40], 10) and not services.within_context(["x" * 44], 10)
+    states = iter([True, False])
+    assert services.wait_for_quiet(lambda: next(states), pause=0)
+    assert not services.wait_for_quiet(lambda: True, pause=0, most=0)
+
+
+def test_tables_as_markdown_and_html(spark):
+    from verisect.operators import reports
+
+    df = spark.createDataFrame([("a|b", None), ("<i>", 2)], "k string, n int")
+    assert reports.markdown_table(df, ["k", "n"]) == "| k | n |\n|---|---|\n| a/b | n/a |\n| <i> | 2 |\n"
+    assert "<td>&lt;i&gt;</td><td>2</td>" in reports.html_table(df, ["k", "n"])

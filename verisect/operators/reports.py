@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -93,3 +94,11 @@ def markdown_table(df: DataFrame, columns: Sequence[str]) -> str:
     rows = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("n/a")).alias(c) for c in columns)).collect()
     lines = [f"| {' | '.join(columns)} |", "|" + "---|" * len(columns)]
     return "\n".join([*lines, *(f"| {' | '.join(r[c].replace('|', '/') for c in columns)} |" for r in rows)]) + "\n"
+
+
+def html_table(df: DataFrame, columns: Sequence[str]) -> str:
+    """The same as an HTML table, with everything escaped."""
+    rows = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("n/a")).alias(c) for c in columns)).collect()
+    cells = lambda tag, values: "".join(f"<{tag}>{html.escape(v)}</{tag}>" for v in values)
+    body = "".join(f"<tr>{cells('td', (r[c] for c in columns))}</tr>" for r in rows)
+    return f"<table><thead><tr>{cells('th', columns)}</tr></thead><tbody>{body}</tbody></table>"

@@ -12,6 +12,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verisect.operators.joins import small
+from verisect.sources.tables import scratch
+
 # Multiplier and modulus of the draw.
 MULTIPLIER, MODULUS = 2654435761, 4294967296
 
@@ -46,7 +49,7 @@ def spread_top(df: DataFrame, stratum: Sequence[str], spread: Sequence[str], k:
 def quota(df: DataFrame, stratum: str, quotas: DataFrame, size: str, *order: Column) -> DataFrame:
     """All rows of strata with a quota, and `chosen`: whether the row is among the first `size` of its stratum."""
     w = Window.partitionBy(stratum).orderBy(*order)
-    return df.join(F.broadcast(quotas), stratum).withColumn("_rank", F.row_number().over(w)).withColumn("chosen", F.col("_rank") <= F.col(size)).drop("_rank")
+    return df.join(small(quotas), stratum).withColumn("_rank", F.row_number().over(w)).withColumn("chosen", F.col("_rank") <= F.col(size)).drop("_rank")
 
 
 def round_robin(df: DataFrame, groups: Sequence[str], *order: Column) -> DataFrame:
@@ -63,12 +66,16 @@ def alternate(df: DataFrame, labels: Sequence[str], name: str, stratum: Sequence
 def numbered(df: DataFrame, *order: Column, parts: int = 64) -> DataFrame:
     """With `place`: the row's 0-based place in the whole order, without bringing all rows to one task.
 
-    Rows are dealt into ranges and numbered within them; only the ranges' counts are summed in one place.
+    Rows are dealt into ranges and numbered within them; only the ranges' counts are summed in one place.  The numbered
+    rows are written once, since the ranges of another run could differ.
     """
     dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    path = scratch(df.sparkSession, "numbered")
+    dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).write.parquet(path)
+    local = df.sparkSession.read.parquet(path)
     counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    # At most `parts` rows are broadcast.
     return local.join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_nth") - 1).drop("_part", "_nth", "_before")
 
 

@@ -76,7 +76,7 @@ def w8_longest_common_run(spark, t):
     items = t("benchmark").select("item_id", norm_words(F.col("text")).alias("quote"))
     used = docs.select("doc_id", F.explode(F.array_distinct("words")).alias("word"))
     wanted = items.select("item_id", F.explode(F.array_distinct("quote")).alias("word"))
-    met = used.join(F.broadcast(wanted), "word")
+    met = used.join(J.small(wanted), "word")
     rare = met.groupBy("word").agg(F.count_distinct("doc_id").alias("df"))
     least = wanted.join(rare, "word").groupBy("item_id").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
     pairs = used.join(least, "word").select("doc_id", "item_id").join(docs, "doc_id").join(items, "item_id").withColumn("pair", F.concat_ws(":", "doc_id", "item_id"))

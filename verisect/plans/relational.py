@@ -114,7 +114,7 @@ BANDS = Fixture("bands", "seg string, lo long, hi long", [("AUTOMOBILE", 1993, 1
     FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN bands ON seg = c_mktsegment"""
 )
 def f14_year_in_band(spark, t):
-    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(BANDS.df(spark)), F.col("seg") == F.col("c_mktsegment"), "left")
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(J.small(BANDS.df(spark)), F.col("seg") == F.col("c_mktsegment"), "left")
     return rows.select("o_orderkey", J.year_fits(F.year("o_orderdate"), F.col("lo"), F.col("hi"), 1).alias("fits"))
 
 
@@ -255,7 +255,7 @@ PATCH = Fixture("patches", "k long, drop_it boolean, name string, clear_size boo
 )
 def j21_patch_join(spark, t):
     patches = PATCH.df(spark)
-    rows = t("part").join(F.broadcast(patches), F.col("k") == F.col("p_partkey"), "left").where(~F.coalesce("drop_it", F.lit(False)))
+    rows = t("part").join(J.small(patches), F.col("k") == F.col("p_partkey"), "left").where(~F.coalesce("drop_it", F.lit(False)))
     return rows.select("p_partkey", F.coalesce("name", "p_name").alias("p_name"), F.when(~F.coalesce("clear_size", F.lit(False)), F.col("p_size")).alias("p_size"))
 
 

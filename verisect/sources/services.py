@@ -129,3 +129,18 @@ def run_question(provider, question: dict, call: Callable[[str, dict], str], too
             results.append(text)
         provider.add_results(state, results)
     return {"qid": question["id"], "raw_answer": None, "tool_calls": log, "error": "no answer within the turns"}
+
+
+def within_context(messages: list[str], limit: int, letters_per_token: float = 4.0) -> bool:
+    """Whether a conversation still fits a model's context, by a rough count of its tokens."""
+    return sum(map(len, messages)) / letters_per_token <= limit
+
+
+def wait_for_quiet(busy: Callable[[], bool], pause: float = 5.0, most: float = 600.0) -> bool:
+    """Yields a shared machine to others: waits until it isn't busy; false if it stays busy."""
+    until = time.monotonic() + most
+    while busy():
+        if time.monotonic() >= until:
+            return False
+        time.sleep(pause)
+    return True
