@@ -129,11 +129,11 @@ def secret_report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The same rows and columns; each run of overlapping spans in `text` becomes `mark`, and n_chars follows. Null texts stay null."""
     names = docs.columns
-    found = scan_secrets(docs).select(F.col("row_key").alias("_key"), F.array_sort(F.concat("base", "linked")).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_key"])
+    found = scan_secrets(docs).select(F.col("row_key").alias("__secret_key"), F.array_sort(F.concat("base", "linked")).alias("__secret_spans")).where(F.size("__secret_spans") > 0).dropDuplicates(["__secret_key"])
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), text), 256)
     cut = F.aggregate(
-        "_spans",
+        "__secret_spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(
             s["end"] > acc["at"],
@@ -141,8 +141,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         ).otherwise(acc),
     )
     cleaned = F.concat(cut["out"], F.substring(F.col("text"), cut["at"] + 1, F.length("text")))
-    out = docs.withColumn("_key", key).join(found, "_key", "left").withColumn("text", F.when(F.col("_spans").isNotNull(), cleaned).otherwise(F.col("text")))
+    out = docs.withColumn("__secret_key", key).join(found, "__secret_key", "left").withColumn("text", F.when(F.col("__secret_spans").isNotNull(), cleaned).otherwise(F.col("text")))
     if "n_chars" in names:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__secret_spans").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*names)
