@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Characters that count as one.
 APOSTROPHES = "’‘`ʼ"
 CURLY = "‘’"
-DASHES = "‐‑‒–—―−"
+DASHES = "\u2010\u2011‒–—―−"
 
 
 def words_of(text: Column) -> Column:
@@ -44,9 +44,9 @@ def padded(words: Column) -> Column:
 
 def fold_print(text: Column) -> Column:
     """Folds what printing varies: zero-width marks, hyphens, spaces, quotation marks, words broken at a line's end."""
-    t = F.regexp_replace(text, "[​-‍﻿­]", "")
-    t = F.regexp_replace(t, "[‐‑]", "-")
-    t = F.regexp_replace(t, "[  -  　]", " ")
+    t = F.regexp_replace(text, "[\u200b-\u200d\ufeff\u00ad]", "")
+    t = F.regexp_replace(t, "[\u2010\u2011]", "-")
+    t = F.regexp_replace(t, "[\u00a0\u2000-\u200a\u202f\u3000]", " ")
     t = F.regexp_replace(t, "[‘’‚‛]", "'")
     t = F.regexp_replace(t, "[“”„‟]", '"')
     return F.regexp_replace(t, r"([a-z])-[ \t]*\n[ \t]*([a-z])", "$1$2")
@@ -58,7 +58,7 @@ def fold_answer(text: Column) -> Column:
     Compatibility forms (ligatures, full-width letters) need functions.udfs.fold_answer.
     """
     t = F.translate(text, APOSTROPHES, "'" * len(APOSTROPHES))
-    t = F.regexp_replace(F.regexp_replace(t, " ", " "), f"[{DASHES}]|--+", "-")
+    t = F.regexp_replace(F.regexp_replace(t, "\u00a0", " "), f"[{DASHES}]|--+", "-")
     t = F.regexp_replace(t, r"\s*-\s*", "-")
     return F.trim(F.lower(F.regexp_replace(t, r"\s+", " ")))
 

@@ -38,7 +38,7 @@ def s4_prepared_opinion(spark, t):
 
 @query(expect("id long, t string", (1, 'dis "cretion"'), (2, "discretion"), (3, "a-b c")))
 def s5_fold_print(spark, t):
-    rows = [(1, "dis “cret​ion”"), (2, "dis-\ncretion"), (3, "a‑b c")]
+    rows = [(1, "dis “cret\u200bion”"), (2, "dis-\ncretion"), (3, "a\u2011b c")]
     return spark.createDataFrame(rows, "id long, t string").select("id", T.fold_print(F.col("t")).alias("t"))
 
 
