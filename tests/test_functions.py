@@ -135,6 +135,14 @@ def test_containment_of_short_long_and_missing_needles(spark):
     assert J.containment(docs, "d", "t", needles.limit(0), "n", "s").count() == 0
 
 
+def test_containment_matches_all_pairs(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab \n") for _ in range(rng.randrange(60))) for _ in range(60)]
+    needles = ["".join(rng.choice("ab \n") for _ in range(rng.randrange(1, 12))) for _ in range(80)] + [texts[3][5:40], texts[7][2:30]]
+    got = J.containment(spark.createDataFrame(list(enumerate(texts)), "d int, t string"), "d", "t", spark.createDataFrame(list(enumerate(needles)), "n int, s string"), "n", "s")
+    assert {(r.d, r.n) for r in got.collect()} == {(d, n) for d, t in enumerate(texts) for n, s in enumerate(needles) if s and s in t}
+
+
 def test_bootstrap_interval_holds_the_estimate(spark):
     rows = [(f"e{k}", k % 3 > 0, 1, k % 4 > 0, 1) for k in range(120)]
     scored = spark.createDataFrame([("r", int(a), b, int(c), d) for _, a, b, c, d in rows], "run string, found int, gold_n int, tp int, pred int")

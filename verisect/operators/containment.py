@@ -23,9 +23,11 @@ def shared_runs(docs: DataFrame, doc_key: str, doc_text: str, needles: DataFrame
     """
     probe = needles.select(F.col(needle_key).alias("_needle"), T.match_words(F.col(needle_text)).alias("_w"))
     runs = probe.select("_needle", F.explode(run_hashes(F.col("_w"), k)).alias("_run"))
-    own = docs.select(F.col(doc_key).alias("_doc"), F.explode(run_hashes(T.match_words(F.col(doc_text)), k)).alias("_run"))
+    # The words are a column of their own: inside a lambda an expression runs again for every element.
+    split = docs.select(F.col(doc_key).alias("_doc"), T.match_words(F.col(doc_text)).alias("_words"))
+    own = split.select("_doc", F.explode(run_hashes(F.col("_words"), k)).alias("_run"))
     met = own.join(small(runs), "_run").select("_doc", "_needle").distinct()
-    texts = docs.select(F.col(doc_key).alias("_doc"), T.padded(T.match_words(F.col(doc_text))).alias("_hay"))
+    texts = split.select("_doc", T.padded(F.col("_words")).alias("_hay"))
     confirmed = met.join(texts, "_doc").join(probe, "_needle").where(F.exists(T.grams(F.col("_w"), k), lambda g: F.contains("_hay", F.concat(F.lit(" "), g, F.lit(" ")))))
     return confirmed.select(F.col("_doc").alias(doc_key), F.col("_needle").alias(needle_key))
 

@@ -114,30 +114,35 @@ def nearest_before(rows: DataFrame, anchors: DataFrame, keys: Sequence[str], at:
     return out.where(F.col("delta") <= reach)
 
 
-def pieces(text: Column, n: int) -> Column:
-    """Hashes of all runs of n characters; of the whole if it is shorter."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
-    return F.transform(starts, lambda p: F.xxhash64(F.substring(text, p, F.lit(n))))
+def word_runs(words: Column, k: int) -> Column:
+    """Distinct hashes of all runs of k words; none if there are fewer."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda p: F.xxhash64(F.array_join(F.slice(words, p, F.lit(k)), " ")))
+    return F.when(F.size(words) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
 
-def containment(docs: DataFrame, doc_key: str, doc_text: str, needles: DataFrame, needle_key: str, needle_text: str, k: int = 24) -> DataFrame:
-    """(doc, needle) of needles that occur verbatim in a text.
+def containment(docs: DataFrame, doc_key: str, doc_text: str, needles: DataFrame, needle_key: str, needle_text: str, k: int = 4) -> DataFrame:
+    """(doc, needle) of needles that occur verbatim in a text, at any place.
 
-    A needle's first k characters, or all if it has fewer, are joined with the text's pieces of that length; `contains` confirms the few
-    pairs that meet, which need no nested loop.  Needles are a reference list: their lengths decide how often a text is cut.
+    A needle's inner words (all but the first and last, which a text may continue) stand in the text as whole words, one after another.
+    The first k of them are joined with the text's runs of as many words by hash; `contains` confirms the few pairs that
+    meet.  Needles without inner words are few and short; they alone are compared with every text.
     """
-    probe = needles.where(F.length(needle_text) > 0).select(F.col(needle_key).alias("_needle"), F.col(needle_text).alias("_whole"), F.least(F.length(needle_text), F.lit(k)).alias("_n"))
-    probe = probe.withColumn("_gram", F.xxhash64(F.substring("_whole", F.lit(1), F.col("_n"))))
-    lengths = [r[0] for r in probe.select("_n").distinct().collect()]  # at most k numbers
-    meet = None
-    for n in sorted(lengths):
-        cut = docs.select(doc_key, F.explode(F.array_distinct(pieces(F.col(doc_text), n))).alias("_gram"))
-        part = cut.join(small(probe.where(F.col("_n") == n).select("_gram", "_needle", "_whole")), "_gram").select(doc_key, "_needle", "_whole")
-        meet = part if meet is None else meet.unionByName(part)
-    if meet is None:
-        return docs.join(needles, F.lit(False)).select(doc_key, needle_key)
-    confirmed = meet.join(docs.select(doc_key, F.col(doc_text).alias("_text")), doc_key).where(F.contains("_text", "_whole"))
-    return confirmed.select(doc_key, F.col("_needle").alias(needle_key)).distinct()
+    tokens = F.split(needle_text, r"\s+")
+    probe = needles.where(F.length(needle_text) > 0).select(F.col(needle_key).alias("_needle"), F.col(needle_text).alias("_whole"), tokens.alias("_tokens"))
+    probe = probe.withColumn("_inner", F.slice("_tokens", F.lit(2), F.greatest(F.size("_tokens") - 2, F.lit(0)))).withColumn("_n", F.least(F.size("_inner"), F.lit(k)))
+    anchors = probe.where("_n > 0").select("_needle", "_whole", "_n", F.xxhash64(F.array_join(F.slice("_inner", F.lit(1), F.col("_n")), " ")).alias("_run"))
+    split = docs.select(F.col(doc_key).alias("_doc"), F.split(doc_text, r"\s+").alias("_words"))
+    found = split.select("_doc").where(F.lit(False)).select("_doc", F.lit(None).cast(dict(probe.dtypes)["_needle"]).alias("_needle"), F.lit(None).cast("string").alias("_whole"))
+    for n in sorted(r[0] for r in anchors.select("_n").distinct().collect()):  # at most k numbers
+        runs = split.select("_doc", F.explode(word_runs(F.col("_words"), n)).alias("_run"))
+        part = runs.join(small(anchors.where(F.col("_n") == n).select("_run", "_needle", "_whole")), "_run").select("_doc", "_needle", "_whole")
+        found = found.unionByName(part)
+    texts = docs.select(F.col(doc_key).alias("_doc"), F.col(doc_text).alias("_text"))
+    confirmed = found.join(texts, "_doc").where(F.contains("_text", "_whole")).select("_doc", "_needle")
+    bare = probe.where("_n = 0").select("_needle", "_whole")
+    if bare.head(1):
+        confirmed = confirmed.union(texts.join(small(bare), F.contains("_text", "_whole")).select("_doc", "_needle"))
+    return confirmed.distinct().select(F.col("_doc").alias(doc_key), F.col("_needle").alias(needle_key))
 
 
 def holders(rows: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
