@@ -139,11 +139,15 @@ class Trees:
         return out
 
 
-def fit(docs: DataFrame, text_col="text", lang_col="lang", id_col="doc_id", sample_rows: int = 1_500, max_bytes: int = 1_000_000, nodes: int = 20_000) -> Trees:
+def fit(docs: DataFrame, text_col="text", lang_col="lang", id_col="doc_id", sample_rows: int = 1_000, max_bytes: int = 1_000_000, nodes: int = 20_000) -> Trees:
     """Trees from the given training rows: at most `sample_rows` texts of at most `max_bytes` bytes for each language."""
     rows = narrow(docs, id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = rows.select("id", "lang", F.xxhash64(F.col("id"), F.lit(9)).alias("h")).withColumn("r", rank).where(F.col("r") <= sample_rows).select("id").distinct()
+    hashed = rows.select("id", "lang", F.pmod(F.xxhash64(F.col("id"), F.lit(9)), F.lit(1 << 40)).alias("h"))
+    # A hash bound leaves some four times the rows wanted, so the ranking of a language never sees all its rows.
+    bound = materialize(hashed.groupBy("lang").agg((F.lit(float(4 * sample_rows << 40)) / F.count(F.lit(1))).alias("bound")), "language-bounds")
+    bound = F.broadcast(bound) if bound.count() <= BROADCAST_IDS else bound
+    chosen = hashed.join(bound, "lang").where(F.col("h") <= F.col("bound")).withColumn("r", rank).where(F.col("r") <= sample_rows).select("id").distinct()
     chosen = materialize(chosen, "language-sample")
     # At most sample_rows ids a language: broadcast if that is little, as it is for hundreds of languages.
     few = chosen.count() <= BROADCAST_IDS
