@@ -120,3 +120,19 @@ def test_merging_in_turns_gives_the_components(spark):
         labels = dedup.merge(labels, spark.createDataFrame(part, "a long, b long"))
     want = {r.row: r.label for r in dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {r.row: r.label for r in labels.collect()} == want
+
+
+def test_pairs_that_meet_only_in_large_buckets(spark):
+    """Texts on one template, similar to each other by less than 0.8 but for one pair, which shares nothing but the template."""
+    rng = random.Random(5)
+    texts = []
+    for group in range(6):
+        write = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        template = write(200)
+        sizes = [rng.randrange(32, 40) for _ in range(150)]
+        sizes[70 + group], sizes[120 + group] = 20, 21
+        texts += [" ".join(template + write(n)) for n in sizes]
+    want = classes(texts)
+    assert len(set(want)) == len(texts) - 6
+    got = {r.doc_id: r.class_id for r in dedup.duplicate_report(docs(spark, enumerate(texts))).collect()}
+    assert got == dict(enumerate(want))

@@ -11,8 +11,10 @@ Candidates are linked to leaders of their bucket, never to each other, so a buck
 proportion to its members.  First the smallest row leads each bucket; links are screened by the signatures and
 confirmed on the shingles, and give components.  Buckets that still hold several components are compared with
 members drawn at random for each bucket and round, many in a small bucket and few in a large one, until a round after
-the second links nothing new.  Copies of a text are collapsed before
-and expand to their class at the end.
+the second links nothing new.  The rounds only save work: the rows of buckets that hold several components even then
+meet in a prefix join, which misses no pair.  Shingles are ordered by how many of these rows have them; two sets of a
+similarity of at least the threshold share one of the rarest n - ceil(threshold n) + 1 of each, at places that leave
+room for the overlap they need.  Copies of a text are collapsed before and expand to their class at the end.
 
 Null and wordless texts have no shingles: equal wordless texts are one class, every null text a class of its own.
 Texts of fewer than five words are one shingle.  Rows are told apart by place, so repeated ids do no harm; a class is named
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,10 @@ from .common import Memo, broadcast_value, materialize, narrow, slices, utf8, wo
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 SIZE, ROWS, BANDS = 5, 6, 40
-#: Leaders of a bucket in later rounds, those from its main component if it has over LARGE members, and rounds at most.
-LEADERS, LEADERS_LARGE, LARGE, ROUNDS = 16, 2, 64, 12
+#: Leaders of a bucket in later rounds, those from its main component if it has over LARGE members.
+LEADERS, LEADERS_LARGE, LARGE = 16, 2, 64
+#: Places of the counts that order shingles for the prefix join; shared places make it slower, never less exact.
+PLACES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -259,6 +264,62 @@ def _leaders(buckets: DataFrame, turn: int) -> DataFrame:
     return pairs.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _unresolved(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(key, row, label, main) of the buckets that hold several components; main is the smallest label."""
+    labelled = buckets.withColumn("label", F.col("row")) if labels is None else buckets.join(labels, "row", "left").select("key", "row", F.coalesce("label", "row").alias("label"))
+    several = labelled.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("last")).where(F.col("main") != F.col("last")).drop("last")
+    return labelled.join(several, "key")
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets have a shingle in each place."""
+    n = np.zeros(PLACES, np.int64)
+    for batch in batches:
+        for x in batch.column("shingles").to_pylist():
+            np.add.at(n, np.frombuffer(x, "<u4") % PLACES, 1)
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["place", "n"])
+
+
+def _prefixes(shared, threshold: float):
+    """The rarest shingles of each set, of which a set that is similar enough has one among its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in slices(batches, 1_000):
+            found = []
+            for x in batch.column("shingles").to_pylist():
+                x = np.frombuffer(x, "<u4")
+                keep = len(x) - math.ceil(threshold * len(x) - 1e-9) + 1
+                found.append((x[np.lexsort((x, often[x % PLACES]))][:keep], len(x)))
+            times = [len(x) for x, _ in found]
+            row, label = (np.repeat(batch.column(c).to_numpy(), times) for c in ("row", "label"))
+            sizes = np.repeat([n for _, n in found], times)
+            at = np.concatenate([np.arange(n) for n in times])
+            token = np.concatenate([x for x, _ in found]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row, label, sizes.astype(np.int64), at, token)], ["row", "label", "size", "at", "token"])
+
+    return run
+
+
+def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different labels among which is every pair that reaches the threshold. sets: (row, label, shingles)."""
+    table = sets.select("shingles").mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(PLACES, np.int64)
+    often[table.column("place").to_numpy()] = table.column("n").to_numpy()
+    tokens = materialize(sets.mapInArrow(_prefixes(broadcast_value(sets.sparkSession, often), threshold), "row long, label long, size long, at long, token long"), "prefixes")
+    # Members of the label that most rows of a shingle have never meet each other.
+    main = tokens.groupBy("token").agg(F.mode("label").alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("token", "main")
+    tokens = materialize(tokens.join(main, "token"), "shared-prefixes")
+    x, y = tokens.where(F.col("label") != F.col("main")).alias("x"), tokens.alias("y")
+    both = F.col("x.size") + F.col("y.size")
+    room = F.least("x.at", "y.at") + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    fits = (room * (1 + threshold) >= both * threshold - 1e-6) & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * threshold - 1e-6)
+    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.row") < F.col("y.row"))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & once & fits)
+    return pairs.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
+
+
 HASHES = {"h1": F.xxhash64, "h2": lambda c: F.xxhash64(F.lit("second"), c)}
 
 
@@ -283,12 +344,31 @@ def find_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold
     rep = member.where(F.col("row") == F.col("copy_of")).select("row")
     unique = materialize(signed.join(rep, "row"), "unique")
     buckets = unique.select("row", F.explode("keys").alias("key"))
+    sketch = unique.select("row", "sketch")
     labels, tried = None, None
-    for turn in range(ROUNDS):
+
+    def screened(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b")
+        return materialize(pairs.mapInArrow(_screen(threshold - 0.18), "a long, b long"), "pairs")
+
+    def shingled(rows: DataFrame) -> DataFrame | None:
+        """(row, shingles) of distinct rows; None for no rows."""
+        wanted = materialize(rows.join(unique.select("row", "h1", "h2"), "row"), "wanted")
+        places = wanted.select("h1").mapInArrow(_bits, "place long").distinct().toArrow().column("place").to_numpy()
+        if not len(places):
+            return None
+        bits = np.zeros(FILTER, bool)
+        bits[places] = True
+        sets = hashed.select("h1", "h2", "text").mapInArrow(_sets(broadcast_value(spark, bits)), "h1 long, h2 long, shingles binary")
+        return materialize(sets.join(wanted, ["h1", "h2"]).select("row", "shingles").dropDuplicates(["row"]), "shingles")
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        checked = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
+        return materialize(checked.mapInArrow(_confirm(threshold), "a long, b long"), "links")
+
+    for turn in count():
         if labels is not None:
-            labelled = buckets.join(labels, "row", "left").select("key", "row", F.coalesce("label", "row").alias("label"))
-            several = labelled.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("last")).where(F.col("main") != F.col("last")).drop("last")
-            live = materialize(labelled.join(several, "key"), "buckets")
+            live = materialize(_unresolved(buckets, labels), "buckets")
             buckets = live.select("key", "row")
             pairs = _leaders(live, turn)
         else:
@@ -297,28 +377,21 @@ def find_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "candidates")
         tried = pairs if tried is None else tried.union(pairs)
-        sketch = unique.select("row", "sketch")
-        pairs = pairs.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b")
-        pairs = materialize(pairs.mapInArrow(_screen(threshold - 0.18), "a long, b long"), "pairs")
-        wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct().join(unique.select("row", "h1", "h2"), "row")
-        wanted = materialize(wanted, "wanted")
-        places = wanted.select("h1").mapInArrow(_bits, "place long").distinct().toArrow().column("place").to_numpy()
-        if not len(places):
-            if labels is None or turn >= 2:
-                break
-            continue
-        bits = np.zeros(FILTER, bool)
-        bits[places] = True
-        sets = hashed.select("h1", "h2", "text").mapInArrow(_sets(broadcast_value(spark, bits)), "h1 long, h2 long, shingles binary")
-        sets = sets.join(wanted, ["h1", "h2"]).select("row", "shingles").dropDuplicates(["row"])
-        sets = materialize(sets, "shingles")
-        checked = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
-        new = materialize(checked.mapInArrow(_confirm(threshold), "a long, b long"), "links")
-        if not new.head(1):
-            if labels is None or turn >= 2:
-                break
-            continue
-        labels = merge(labels, new)
+        pairs = screened(pairs)
+        sets = shingled(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
+        new = None if sets is None else confirmed(pairs, sets)
+        if new is not None and new.head(1):
+            labels = merge(labels, new)
+        elif labels is None or turn >= 2:
+            break
+    # What the leaders have left apart meets whole.
+    left = materialize(_unresolved(buckets, labels).select("row", "label").distinct(), "unresolved")
+    sets = shingled(left.select("row"))
+    if sets is not None:
+        pairs = _prefix_pairs(sets.join(left, "row").select("row", "label", "shingles"), threshold).join(tried, ["a", "b"], "left_anti")
+        new = confirmed(screened(materialize(pairs, "candidates")), sets)
+        if new.head(1):
+            labels = merge(labels, new)
     if labels is None:
         out = member.withColumn("label", F.col("copy_of"))
     else:
