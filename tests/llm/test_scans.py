@@ -58,6 +58,20 @@ def test_weak_parts_need_a_complement_in_scope(spark):
     assert "id:" in spans[6] or "endpoint" in spans[6]
 
 
+def test_mixed_strings_of_any_length_are_parts(spark):
+    """Long keys next to an id are linked and hidden; a run that lacks an alphabet is no part."""
+    keys = {n: ("aB3+" * n)[:n] for n in (19, 20, 80, 81, 86, 5_000)}
+    texts = {n: f"client_id=alpha {key} end" for n, key in keys.items()} | {1: "client_id=alpha " + "aB+/" * 30, 2: "client_id=alpha " + "a3+/" * 30, 3: "client_id=alpha " + "A" * 85 + "b7"}
+    source = docs(spark, texts.values(), texts)
+    spans = {r.doc_id: r.spans for r in secrets.secret_report(source).collect()}
+    for n in (20, 80, 81, 86, 5_000):
+        assert spans[n] == f"id:0:15,mixed:16:{16 + n}"
+    assert spans[3] == "id:0:15,mixed:16:103"
+    assert spans[19] == spans[1] == spans[2] == ""
+    kept = {r.doc_id: r.text for r in secrets.redact(source).collect()}
+    assert all(kept[n] == "[secret] [secret] end" for n in (81, 86, 5_000))
+
+
 def test_secrets_on_whole_table(spark, sf_dir):
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in source.collect()}

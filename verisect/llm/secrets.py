@@ -22,7 +22,7 @@ HEX = r"[0-9a-f]{24,}"
 # Weak parts.
 WEAK_ID = r"""(?i:access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]{3,})"""
 WEAK_HEX = r"(?<![0-9A-Za-z])[0-9a-f]{16,23}(?![0-9A-Za-z])"
-WEAK_MIXED = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{20})(?=[A-Za-z0-9+/]{0,80}[0-9])(?=[A-Za-z0-9+/]{0,80}[A-Z])(?=[A-Za-z0-9+/]{0,80}[a-z])[A-Za-z0-9+/]{20,80}(?![A-Za-z0-9+/])"
+WEAK_MIXED = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{20,}+"
 ENDPOINT = r"(?i:https|http|ftp|jdbc:[a-z]+|postgresql|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&+,;=%-]+"
 #: Kinds in the order in which ties on a start are listed.
 KINDS = ("assign", "access", "hex", "id", "shorthex", "mixed", "endpoint")
