@@ -118,6 +118,20 @@ def test_contamination_matches_brute_force(spark, block_words):
     assert max(r.longest for r in rows if r.id == 4) == 16
 
 
+@pytest.mark.parametrize("block_words", [2_000_000, 3])
+def test_benchmark_rows_without_an_id_count(spark, block_words):
+    """One unnamed item: it marks words and counts, but has no part in the names."""
+    passage, other = ITEMS[0][1], "a second passage of the benchmark that has no id of its own either"
+    bench = spark.createDataFrame([(None, passage), (None, other), (7, "solo")], "item_id long, text string")
+    source = docs(spark, [passage, f"{passage} {other} solo", "clean text"])
+    found = {r.id: r for r in decontam.find_contamination(source, bench, block_words=block_words).collect()}
+    assert [(len(found[k].hits), found[k]["items"]) for k in range(3)] == [(16, [None]), (31, ["7", None]), (0, [])]
+    report = {r.doc_id: r for r in decontam.contamination_report(source, bench).collect()}
+    names = [hashlib.sha256(x).hexdigest() for x in (b"", b"7", b"")]
+    assert [(report[k].n_hit, report[k].n_items, report[k].items_sha256, report[k].contaminated) for k in range(3)] == [(16, 1, names[0], True), (31, 2, names[1], True), (0, 0, names[2], False)]
+    assert [r.doc_id for r in decontam.remove_contaminated(source, bench).collect()] == [2]
+
+
 def test_contamination_on_whole_table(spark, sf_dir):
     source, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     texts, items = {r.doc_id: r.text for r in source.collect()}, [(r.item_id, r.text) for r in bench.collect()]

@@ -8,6 +8,9 @@ and its place are kept as evidence.  Only the benchmark leaves its table: it is
 
 Null and empty texts have no words and are never contaminated.  Items with fewer words than a window form one window
 of all their words; items without words form none.  Repeated rows each give their own row.
+
+Benchmark rows without an id mark words like any other.  Together they count as one item, which has no name: it is a
+null in `items`, counts in n_items and is left out of items_sha256.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ SCHEMA = "id long, n_words long, hits array<int>, items array<string>, longest i
 class Probe:
     """A block of the benchmark: its vocabulary, its suffixes and its windows."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.items = [name for name, _ in items]
         self.vocab: dict[bytes, int] = {}
         for _, ws in items:
@@ -141,7 +144,7 @@ def _searcher(shared, rows: int):
                 np.add.at(mark, where[mine] - first[d], 1)
                 np.add.at(mark, where[mine] - first[d] + lengths[mine], -1)
                 hits[d] = np.flatnonzero(np.cumsum(mark)[:-1] > 0).tolist()
-                items[d] = sorted({probe.items[k] for k in whose[mine]})
+                items[d] = sorted({probe.items[k] for k in whose[mine]}, key=lambda x: (x is None, x))
                 top = mine[np.lexsort((where[mine], -longest[mine]))[0]]
                 best[d] = (int(longest[top]), int(where[top] - first[d]), probe.items[whose[top]])
             yield pa.RecordBatch.from_arrays(
@@ -163,18 +166,18 @@ def _searcher(shared, rows: int):
 def _probes(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[Probe]:
     """The benchmark in blocks of at most `block_words` words (one item at least); the rows come one partition at a time."""
     block, total = [], 0
-    for row in narrow(benchmark, item=item_col, text=text_col).where(F.col("item").isNotNull()).toLocalIterator():
+    for row in narrow(benchmark, item=item_col, text=text_col).toLocalIterator():
         ws = words(row["text"].encode() if row["text"] is not None else None)
         if block and total + len(ws) > block_words:
             yield Probe(block, window)
             block, total = [], 0
-        block.append((str(row["item"]), ws))
+        block.append((None if row["item"] is None else str(row["item"]), ws))
         total += len(ws)
     yield Probe(block, window)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = 13, block_words: int = 2_000_000, rows: int = 2_000) -> DataFrame:
-    """One row per document: id, n_words, hits (word positions, sorted), items (sorted strings) and the longest match of a matching suffix (words, its place, its item)."""
+    """One row per document: id, n_words, hits (word positions, sorted), items (sorted strings, then a null for rows without an id) and the longest match of a matching suffix (words, its place, its item)."""
     source = narrow(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     parts = [source.mapInArrow(_searcher(broadcast_value(docs.sparkSession, probe), rows), SCHEMA) for probe in _probes(benchmark, item_col, item_text_col, window, block_words)]
     if len(parts) == 1:
