@@ -99,6 +99,14 @@ def test_signatures_estimate_the_similarity(weighted):
     assert len(np.unique(x)) > 0.9 * min(k, k)
 
 
+def test_large_weights_count_whole():
+    e, k = np.arange(1, 3, dtype=np.uint64), 1_500
+    for x, y in ((128.0, 512.0), (70.0, 90.5), (1.0, 300.0)):
+        a, b = dedup.signature(e, np.array([x, 1.0]), k), dedup.signature(e, np.array([y, 1.0]), k)
+        true = (x + 1) / (y + 1)
+        assert abs((a == b).mean() - true) < 4 * (true * (1 - true) / k) ** 0.5 + 1e-9
+
+
 def test_signature_ignores_the_order_and_short_sets_fill_up():
     e = np.arange(1, 4, dtype=np.uint64)
     assert (dedup.signature(e) == dedup.signature(e[::-1].copy())).all()
@@ -136,3 +144,34 @@ def test_pairs_that_meet_only_in_large_buckets(spark):
     assert len(set(want)) == len(texts) - 6
     got = {r.doc_id: r.class_id for r in dedup.duplicate_report(docs(spark, enumerate(texts))).collect()}
     assert got == dict(enumerate(want))
+
+
+def test_large_group_of_near_copies_whose_edges_lie_at_the_threshold(spark):
+    """One text edited up to eight times: some copies reach others, some none; classes are those of all pairs."""
+    rng = random.Random(8)
+    base = [f"b{rng.randrange(10**9)}" for _ in range(150)]
+    texts = []
+    for _ in range(500):
+        copy = list(base)
+        for _ in range(rng.randrange(9)):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    want = classes(texts)
+    assert len(set(want)) > 100 and max(want.count(c) for c in set(want)) > 150
+    got = {r.doc_id: r.class_id for r in dedup.duplicate_report(docs(spark, enumerate(texts))).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_prefix_pairs_miss_no_pair(spark):
+    """Random sets over few shingles, so that many pairs lie around the threshold."""
+    rng = random.Random(4)
+    sets = {}
+    for k in range(300):
+        base = [rng.randrange(2**31) for _ in range(rng.choice((1, 4, 9, 10, 40)))] if k % 6 == 0 else list(sets[k - k % 6])
+        for _ in range(rng.randrange(4)):
+            base = base[1:] if rng.random() < 0.5 and len(base) > 1 else [*base, rng.randrange(2**31)]
+        sets[k] = sorted(set(base))
+    rows = [(k, k, np.array(v, "<u4").tobytes()) for k, v in sets.items()]
+    got = {(r.a, r.b) for r in dedup._prefix_pairs(spark.createDataFrame(rows, "row long, label long, shingles binary"), 0.8).collect()}
+    true = {(a, b) for a, b in combinations(sets, 2) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    assert true and true <= got

@@ -7,40 +7,39 @@ element's weight miss.  Throwing proceeds by rank up to theta = k (ln k + 2) / t
 is empty; the earliest dart of each coordinate is the signature, and two signatures agree in a coordinate with the
 probability of the weighted Jaccard similarity.  `bands` groups of `rows` coordinates give bucket keys.
 
-Candidates are linked to leaders of their bucket, never to each other, so a bucket of any size costs rows in
-proportion to its members.  First the smallest row leads each bucket; links are screened by the signatures and
-confirmed on the shingles, and give components.  Buckets that still hold several components are compared with
-members drawn at random for each bucket and round, many in a small bucket and few in a large one, until a round after
-the second links nothing new.  The rounds only save work: the rows of buckets that hold several components even then
-meet in a prefix join, which misses no pair.  Shingles are ordered by how many of these rows have them; two sets of a
-similarity of at least the threshold share one of the rarest n - ceil(threshold n) + 1 of each, at places that leave
-room for the overlap they need.  Copies of a text are collapsed before and expand to their class at the end.
-
-Null and wordless texts have no shingles: equal wordless texts are one class, every null text a class of its own.
-Texts of fewer than five words are one shingle.  Rows are told apart by place, so repeated ids do no harm; a class is named
-by its smallest id (null if it has none).  An empty table gives an empty result.
+Rows of a bucket are compared with its leader first: the member whose buckets hold the most rows, which is the one that
+copies of a text scatter around.  That costs a row for each membership, whatever the size of a bucket.  Links are screened by
+the signatures, confirmed on the shingles, and give components.  The rows of buckets that hold several components even then
+meet in a prefix join, which misses no pair: shingles are ordered by how many of these rows have them, rarest first, and the
+first shingle that two sets share stands at places that leave room for all they must share to reach the threshold.  So the
+longer set is looked up by its rarest n - ceil(t n) + 1 shingles, the shorter one by its rarest (1 - t) / (1 + t) n + 1, and
+common shingles, such as those of a template, are seldom among either.  Copies of a text are collapsed before and expand to
+their class at the end.
+
+Defined cases.  Null and wordless texts have no shingles: equal wordless texts are one class, every null text a class of
+its own.  Texts of fewer than five words are one shingle; very long texts count whole.  Rows are told apart by place, so
+repeated rows and ids do no harm; a class is named by its smallest id (null if it has none).  Ties between leaders go to the
+smaller row, ties between shingles to the smaller hash, so results don't depend on chance.  An empty table gives an empty result.
+Extra columns of any name take no part: only the two named ones are read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, broadcast_value, materialize, narrow, slices, utf8, words
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 SIZE, ROWS, BANDS = 5, 6, 40
-#: Leaders of a bucket in later rounds, those from its main component if it has over LARGE members.
-LEADERS, LEADERS_LARGE, LARGE = 16, 2, 64
 #: Places of the counts that order shingles for the prefix join; shared places make it slower, never less exact.
 PLACES = 1 << 20
 
@@ -62,20 +61,27 @@ def _poisson(mean: float) -> np.ndarray:
     return np.array(out)
 
 
-CDF = {0: _poisson(1.0)} | {s: _poisson(2.0 ** (s - 1)) for s in range(1, 8)}
+#: Strips of weight: [0, 1), [1, 2), [2, 4), ... up to WIDE, and from there on strips of WIDE each, as far as the weights go.
+WIDE = 64.0
+CDF = {width: _poisson(width) for width in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, WIDE)}
+
+
+def _strips(most: float) -> Iterator[tuple[float, float]]:
+    """Lower end and width of every strip that holds weights of at most `most`."""
+    low, width = 0.0, 1.0
+    while low < most:
+        yield low, width
+        low += width
+        width = min(low, WIDE)
 
 
 def _darts(elements: np.ndarray, weights: np.ndarray | None, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rank and identity of every dart that hits an element in the given unit blocks of ranks."""
     ranks, names = [], []
-    # Strips of weight: [0, 1), [1, 2), [2, 4), ...; beyond the last, weights are cut.
-    for strip in range(len(CDF)):
-        low, width = (0.0, 1.0) if strip == 0 else (2.0 ** (strip - 1), 2.0 ** (strip - 1))
+    for strip, (low, width) in enumerate(_strips(1.0 if weights is None else float(weights.max()))):
         mine = elements if weights is None else elements[weights > low]
-        if not len(mine) or (weights is None and strip):
-            break
-        region = mix((mine[:, None] + ODD[0] * (blocks[None, :] * np.uint64(16) + np.uint64(strip + 1))).reshape(-1))
-        counts = np.searchsorted(CDF[strip], (region >> np.uint64(11)) * 2.0**-53, "right")
+        region = mix((mine[:, None] + (ODD[0] * blocks + ODD[4:5] * np.uint64(strip + 1))[None, :]).reshape(-1))
+        counts = np.searchsorted(CDF[width], (region >> np.uint64(11)) * 2.0**-53, "right")
         dart = np.repeat(region, counts)
         nth = np.arange(len(dart)) - np.repeat(np.cumsum(counts) - counts, counts)
         dart = mix(dart + ODD[1] * (nth + 1).astype(np.uint64))
@@ -139,10 +145,11 @@ def _signer(weighted: bool):
         memo, base, seen = _hashes(), TaskContext.get().partitionId() << 36, 0
         salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in slices(batches, 1_000):
-            keys, sketches = [], []
+            keys, sketches, sizes = [], [], []
             for text in utf8(batch, "text"):
                 values, counts = shingles(words(text), memo, weighted)
                 memo.trim()
+                sizes.append(len(values))
                 if not len(values):
                     keys.append([])
                     sketches.append(b"")
@@ -154,7 +161,7 @@ def _signer(weighted: bool):
             seen += batch.num_rows
             # A null text is no copy of another: its place stands in for its second hash.
             h2 = pc.if_else(pc.is_null(batch.column("text")), row, batch.column("h2"))
-            yield pa.RecordBatch.from_arrays([row, batch.column("id"), batch.column("h1"), h2, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["row", "id", "h1", "h2", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([row, batch.column("id"), batch.column("h1"), h2, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64())], ["row", "id", "h1", "h2", "keys", "sketch", "size"])
 
     return run
 
@@ -246,29 +253,19 @@ def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(joined.join(labels.select("row"), "row", "left_anti")), "labels")
 
 
-def _leaders(buckets: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's leaders and each member of another component. buckets: (key, row), after round 0 with label and main, the bucket's smallest label."""
-    if not turn:
-        first = buckets.groupBy("key").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-        pairs = buckets.join(first, "key").select("a", F.col("row").alias("b"))
-    else:
-        # By chance of the bucket and the turn, so that rows meet other leaders in other buckets.  In a large bucket the
-        # turns go to the main component's members, which the few rows outside are compared with, and to any member.
-        member = lambda j: F.struct(F.xxhash64("row", "key", F.lit(turn * LEADERS + j)).alias("h"), F.col("row"), F.col("label"))
-        anyone = F.array(*(F.min(member(j)) for j in range(LEADERS)))
-        inside = F.array(*(F.min(F.when(F.col("label") == F.col("main"), member(j))) for j in range(LEADERS_LARGE)))
-        drawn = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), anyone.alias("anyone"), inside.alias("inside"))
-        large = F.col("inside") if turn % 2 else F.slice("anyone", 1, 1)
-        lead = drawn.select("key", F.explode(F.array_distinct(F.when(F.col("n") <= LARGE, F.col("anyone")).otherwise(large))).alias("lead"))
-        pairs = buckets.join(lead, "key").where(F.col("lead.label") != F.col("label")).select(F.col("lead.row").alias("a"), F.col("row").alias("b"))
-    return pairs.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _leaders(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's leader and its other members. shared: (key, row, n), n the members of the bucket."""
+    reach = shared.groupBy("row").agg(F.sum("n").alias("reach"))
+    lead = shared.join(reach, "row").groupBy("key").agg(F.max_by("row", F.struct("reach", -F.col("row"))).alias("lead"))
+    pairs = shared.join(lead, "key").where(F.col("row") != F.col("lead"))
+    return pairs.select(F.least("row", "lead").alias("a"), F.greatest("row", "lead").alias("b")).distinct()
 
 
-def _unresolved(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(key, row, label, main) of the buckets that hold several components; main is the smallest label."""
-    labelled = buckets.withColumn("label", F.col("row")) if labels is None else buckets.join(labels, "row", "left").select("key", "row", F.coalesce("label", "row").alias("label"))
-    several = labelled.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("last")).where(F.col("main") != F.col("last")).drop("last")
-    return labelled.join(several, "key")
+def _unresolved(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(row, label) of the rows of buckets that hold several components."""
+    labelled = shared.withColumn("label", F.col("row")) if labels is None else shared.join(labels, "row", "left").select("key", "row", F.coalesce("label", "row").alias("label"))
+    several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    return labelled.join(several, "key").select("row", "label").distinct()
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,17 +304,24 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     table = sets.select("shingles").mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(PLACES, np.int64)
     often[table.column("place").to_numpy()] = table.column("n").to_numpy()
-    tokens = materialize(sets.mapInArrow(_prefixes(broadcast_value(sets.sparkSession, often), threshold), "row long, label long, size long, at long, token long"), "prefixes")
+    shared = broadcast_value(sets.sparkSession, often)
+    tokens = materialize(sets.mapInArrow(_prefixes(shared, threshold), "row long, label long, size long, at long, token long"), "prefixes")
+    shared.destroy()
     # Members of the label that most rows of a shingle have never meet each other.
-    main = tokens.groupBy("token").agg(F.mode("label").alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("token", "main")
-    tokens = materialize(tokens.join(main, "token"), "shared-prefixes")
-    x, y = tokens.where(F.col("label") != F.col("main")).alias("x"), tokens.alias("y")
-    both = F.col("x.size") + F.col("y.size")
-    room = F.least("x.at", "y.at") + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
-    fits = (room * (1 + threshold) >= both * threshold - 1e-6) & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * threshold - 1e-6)
-    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.row") < F.col("y.row"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & once & fits)
-    return pairs.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
+    held = tokens.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = held.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where(F.col("labels") > 1).select("token", "main")
+    short = F.col("at") * (1 + threshold) <= F.col("size") * (1 - threshold) + 1e-6
+    tokens = materialize(tokens.join(main, "token").withColumn("short", short).withColumn("outside", F.col("label") != F.col("main")), "shared-prefixes")
+
+    def meet(longer: Column, shorter: Column) -> DataFrame:
+        x, y = tokens.where(longer).alias("x"), tokens.where(F.col("short") & shorter).alias("y")
+        ordered = (F.col("y.size") < F.col("x.size")) | ((F.col("y.size") == F.col("x.size")) & (F.col("y.row") < F.col("x.row")))
+        room = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+        fits = (room * (1 + threshold) >= (F.col("x.size") + F.col("y.size")) * threshold - 1e-6) & (F.col("y.size") >= F.col("x.size") * threshold - 1e-6)
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & ordered & fits)
+        return pairs.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b"))
+
+    return meet(F.col("outside"), F.lit(True)).union(meet(~F.col("outside"), F.col("outside"))).distinct()
 
 
 HASHES = {"h1": F.xxhash64, "h2": lambda c: F.xxhash64(F.lit("second"), c)}
@@ -338,60 +342,43 @@ def find_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold
     source = narrow(docs, id=id_col, text=text_col)
     kind = dict(source.dtypes)["id"]
     hashed = _hashed(source)
-    signed = materialize(hashed.mapInArrow(_signer(weighted), f"row long, id {kind}, h1 long, h2 long, keys array<long>, sketch binary"), "signatures")
+    signed = materialize(hashed.mapInArrow(_signer(weighted), f"row long, id {kind}, h1 long, h2 long, keys array<long>, sketch binary, size long"), "signatures")
     first = signed.groupBy("h1", "h2").agg(F.min("row").alias("copy_of"))
     member = materialize(signed.select("row", "id", "h1", "h2").join(first, ["h1", "h2"]), "members")
     rep = member.where(F.col("row") == F.col("copy_of")).select("row")
-    unique = materialize(signed.join(rep, "row"), "unique")
+    unique = materialize(signed.join(rep, "row").drop("id"), "unique")
     buckets = unique.select("row", F.explode("keys").alias("key"))
-    sketch = unique.select("row", "sketch")
-    labels, tried = None, None
-
-    def screened(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b")
-        return materialize(pairs.mapInArrow(_screen(threshold - 0.18), "a long, b long"), "pairs")
-
-    def shingled(rows: DataFrame) -> DataFrame | None:
-        """(row, shingles) of distinct rows; None for no rows."""
-        wanted = materialize(rows.join(unique.select("row", "h1", "h2"), "row"), "wanted")
-        places = wanted.select("h1").mapInArrow(_bits, "place long").distinct().toArrow().column("place").to_numpy()
-        if not len(places):
-            return None
+    full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    shared = materialize(buckets.join(full, "key").select("key", "row", "n"), "buckets")
+    # Only rows that share a bucket need their shingles: these texts are read again.
+    wanted = materialize(unique.select("row", "h1", "h2").join(shared.select("row").distinct(), "row"), "wanted")
+    places = wanted.select("h1").mapInArrow(_bits, "place long").distinct().toArrow().column("place").to_numpy()
+    labels = None
+    if len(places):
         bits = np.zeros(FILTER, bool)
         bits[places] = True
-        sets = hashed.select("h1", "h2", "text").mapInArrow(_sets(broadcast_value(spark, bits)), "h1 long, h2 long, shingles binary")
-        return materialize(sets.join(wanted, ["h1", "h2"]).select("row", "shingles").dropDuplicates(["row"]), "shingles")
-
-    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        checked = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
-        return materialize(checked.mapInArrow(_confirm(threshold), "a long, b long"), "links")
-
-    for turn in count():
-        if labels is not None:
-            live = materialize(_unresolved(buckets, labels), "buckets")
-            buckets = live.select("key", "row")
-            pairs = _leaders(live, turn)
-        else:
-            pairs = _leaders(buckets, turn)
-        if tried is not None:  # small buckets are compared whole, again and again
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "candidates")
-        tried = pairs if tried is None else tried.union(pairs)
-        pairs = screened(pairs)
-        sets = shingled(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
-        new = None if sets is None else confirmed(pairs, sets)
-        if new is not None and new.head(1):
-            labels = merge(labels, new)
-        elif labels is None or turn >= 2:
-            break
-    # What the leaders have left apart meets whole.
-    left = materialize(_unresolved(buckets, labels).select("row", "label").distinct(), "unresolved")
-    sets = shingled(left.select("row"))
-    if sets is not None:
-        pairs = _prefix_pairs(sets.join(left, "row").select("row", "label", "shingles"), threshold).join(tried, ["a", "b"], "left_anti")
-        new = confirmed(screened(materialize(pairs, "candidates")), sets)
-        if new.head(1):
-            labels = merge(labels, new)
+        bits = broadcast_value(spark, bits)
+        sets = hashed.select("h1", "h2", "text").mapInArrow(_sets(bits), "h1 long, h2 long, shingles binary")
+        sets = materialize(sets.join(wanted, ["h1", "h2"]).select("row", "shingles").dropDuplicates(["row"]), "shingles")
+        bits.destroy()
+        sketch = unique.select("row", "size", "sketch")
+
+        def links(pairs: DataFrame) -> DataFrame:
+            """The pairs that reach the threshold: screened by size and signature, confirmed on the shingles."""
+            pairs = pairs.join(sketch.toDF("a", "size_a", "sketch_a"), "a").join(sketch.toDF("b", "size_b", "sketch_b"), "b")
+            pairs = pairs.where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-6)
+            pairs = materialize(pairs.mapInArrow(_screen(threshold - 0.18), "a long, b long"), "pairs")
+            checked = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
+            return materialize(checked.mapInArrow(_confirm(threshold), "a long, b long"), "links")
+
+        found = links(_leaders(shared))
+        if found.head(1):
+            labels = merge(labels, found)
+        left = materialize(_unresolved(shared, labels), "unresolved")
+        if left.head(1):
+            found = links(_prefix_pairs(sets.join(left, "row").select("row", "label", "shingles"), threshold))
+            if found.head(1):
+                labels = merge(labels, found)
     if labels is None:
         out = member.withColumn("label", F.col("copy_of"))
     else:
