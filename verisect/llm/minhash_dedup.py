@@ -187,7 +187,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct places of the wanted hashes in the filter."""
     for batch in batches:
         h = batch.column("h1").to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(FILTER)
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).astype(np.int64))], ["place"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).astype(np.int32))], ["place"])
 
 
 #: Places of the filter that spares texts without candidates the verification; a fixed size, more misses when it fills.
@@ -275,7 +275,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batch.column("shingles").to_pylist():
             np.add.at(n, np.frombuffer(x, "<u4") % PLACES, 1)
     some = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["place", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["place", "n"])
 
 
 def _prefixes(shared, threshold: float):
@@ -301,8 +301,8 @@ def _prefixes(shared, threshold: float):
 
 def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of different labels among which is every pair that reaches the threshold. sets: (row, label, shingles)."""
-    table = sets.select("shingles").mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(PLACES, np.int64)
+    table = sets.select("shingles").mapInArrow(_frequencies, "place int, n long").groupBy("place").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    often = np.zeros(PLACES, np.int32)
     often[table.column("place").to_numpy()] = table.column("n").to_numpy()
     shared = broadcast_value(sets.sparkSession, often)
     tokens = materialize(sets.mapInArrow(_prefixes(shared, threshold), "row long, label long, size long, at long, token long"), "prefixes")
@@ -343,7 +343,8 @@ def find_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold
     kind = dict(source.dtypes)["id"]
     hashed = _hashed(source)
     signed = materialize(hashed.mapInArrow(_signer(weighted), f"row long, id {kind}, h1 long, h2 long, keys array<long>, sketch binary, size long"), "signatures")
-    first = signed.groupBy("h1", "h2").agg(F.min("row").alias("copy_of"))
+    # Written first, here and below: beside a plain table, the rows of a large group can be dealt to several tasks.
+    first = materialize(signed.groupBy("h1", "h2").agg(F.min("row").alias("copy_of")), "firsts")
     member = materialize(signed.select("row", "id", "h1", "h2").join(first, ["h1", "h2"]), "members")
     rep = member.where(F.col("row") == F.col("copy_of")).select("row")
     unique = materialize(signed.join(rep, "row").drop("id"), "unique")
@@ -352,7 +353,7 @@ def find_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold
     shared = materialize(buckets.join(full, "key").select("key", "row", "n"), "buckets")
     # Only rows that share a bucket need their shingles: these texts are read again.
     wanted = materialize(unique.select("row", "h1", "h2").join(shared.select("row").distinct(), "row"), "wanted")
-    places = wanted.select("h1").mapInArrow(_bits, "place long").distinct().toArrow().column("place").to_numpy()
+    places = wanted.select("h1").mapInArrow(_bits, "place int").distinct().toArrow().column("place").to_numpy()
     labels = None
     if len(places):
         bits = np.zeros(FILTER, bool)
@@ -383,7 +384,8 @@ def find_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold
         out = member.withColumn("label", F.col("copy_of"))
     else:
         out = member.join(labels.toDF("copy_of", "label"), "copy_of", "left").withColumn("label", F.coalesce("label", "copy_of"))
-    names = out.groupBy("label").agg(F.min("id").alias("class_id"))
+    out = materialize(out, "labelled")
+    names = materialize(out.groupBy("label").agg(F.min("id").alias("class_id")), "names")
     return out.join(names, "label").select("row", "id", "h1", "h2", "class_id", "copy_of", "label")
 
 
