@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,8 +17,10 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a folder under /tmp only where none is configured (tests)."""
+    """The folder that the driver and all executors see. Where none is configured, local mode gets one under /tmp; a cluster gets an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path or f"file:///tmp/verisect-{os.getuid()}"
 
 
@@ -57,23 +60,31 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], max_bytes: int, folds: int = 5, left_out: int = 0) -> list[tuple[bytes, int]]:
-    """Whole texts and labels of at most `per_class` rows of labels 0 and 1, the smallest by hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], max_bytes: int, total_bytes: int = 64 << 20, folds: int = 5, left_out: int = 0) -> list[tuple[bytes, int]]:
+    """Whole texts and labels of at most `per_class` ids of labels 0 and 1, the smallest by hash of the id.
 
     Ids whose crc32 falls in the left-out fold, null labels, null texts and texts over `max_bytes` bytes never take
-    part.  Only the chosen ids (at most sum(per_class)) are broadcast, and only their rows come to the driver.
+    part.  Of rows that repeat an id one counts, the one with the smallest text, so the sample is bounded whatever
+    repeats.  Only the chosen ids (at most sum(per_class)) are broadcast; their rows are written, and as many of them, in
+    the order of the hash, as hold `total_bytes` bytes come to the driver.
     """
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & (fold("doc_id", folds) != left_out))
-    known = known.select("id", "y", F.xxhash64(F.col("id"), F.lit(label)).alias("h"))
+    known = known.groupBy("id").agg(F.max("y").cast("int").alias("y")).select("id", "y", F.xxhash64(F.col("id"), F.lit(label)).alias("h"))
     chosen = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy("h", "id").limit(per_class[y]).select("id", "y")
+        part = known.where(F.col("y") == y).orderBy("h", "id").limit(per_class[y])
         chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = chosen.groupBy("id").agg(F.max("y").alias("y"))
     rows = narrow(docs, id="doc_id", text="text").where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    table = rows.join(F.broadcast(chosen), "id").select("id", "text", "y").toArrow()
-    found = zip(table.column("id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), table.column("y").to_pylist(), strict=True)
-    return [(t, int(y)) for _, t, y in sorted(found)]
+    sample = materialize(rows.join(F.broadcast(chosen), "id").groupBy("h", "id", "y").agg(F.min("text").alias("text")), "labelled")
+    sizes = sample.select("h", "y", F.octet_length("text").alias("n")).toPandas().sort_values("h")
+    fits = sizes[sizes.groupby("y").n.cumsum() <= total_bytes // 2]
+    if not len(fits):
+        return []
+    last = fits.groupby("y").h.max()
+    table = sample.where(F.coalesce(*(F.when(F.col("y") == int(y), F.col("h") <= int(h)) for y, h in last.items()), F.lit(False))).toArrow()
+    order = np.lexsort((table.column("id").to_numpy(), table.column("h").to_numpy()))
+    texts, ys = table.column("text").cast(pa.binary()), table.column("y")
+    return [(texts[int(k)].as_py(), ys[int(k)].as_py()) for k in order]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1e-2) -> np.ndarray:

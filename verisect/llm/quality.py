@@ -6,9 +6,11 @@ hashed to 2**BITS places, scaled by the class log-count ratio of naive Bayes and
 hinge-loss model is fitted on them by dual coordinate descent.  Margins of folds that a model hasn't seen give the
 sigmoid that turns a margin into a score.
 
-The classifier is fitted on a bounded sample (`per_class` whole texts of each label); every text is scored whole.
-Null and empty texts have no features and get the score of margin = bias.  Without labels of both classes the score is
-1 for everything, so that nothing is rejected.
+The classifier is fitted on a bounded sample (`per_class` whole texts of each label, `max_bytes` a text); every text is
+scored whole, however long.  Null, empty and blank texts have no features: their margin is 0, and their score the
+sigmoid of that.  Without labels of both classes the score is 1 for everything, so that nothing is rejected.  Rows that
+repeat an id each get a row; of the training rows that do, one counts.  Ties in the sample's order go by id.  Empty tables
+of documents give empty results.  Only doc_id and text of the documents are read, so extra columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -36,14 +38,14 @@ def _ids(chunk: bytes) -> tuple[int, int]:
     shape = word
     for pattern, by in SHAPES:
         shape = pattern.sub(by, shape)
-    return xxhash.xxh64_intdigest(word.lower().strip(".,;:!?\"'()")), xxhash.xxh64_intdigest("shape " + shape[:40])
+    return xxhash.xxh64_intdigest(word.lower().strip(".,;:!?\"'()")), xxhash.xxh64_intdigest("shape " + shape)
 
 
 class Featurizer:
     """Text -> sorted distinct feature places."""
 
-    def __init__(self):
-        self.word, self.shape = Memo(lambda c: self._both(c)[0]), Memo(lambda c: self._both(c)[1])
+    def __init__(self, limit: int = 400_000):
+        self.word, self.shape = Memo(lambda c: self._both(c)[0], limit), Memo(lambda c: self._both(c)[1], limit)
 
     def _both(self, chunk: bytes) -> tuple[int, int]:
         w, s = _ids(chunk)
@@ -53,7 +55,7 @@ class Featurizer:
     def __call__(self, text: bytes | None) -> np.ndarray:
         chunks = (text or b"").split()
         if not chunks:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int32)
         w = np.fromiter(map(self.word.__getitem__, chunks), np.uint64, len(chunks))
         s = np.fromiter(map(self.shape.__getitem__, chunks), np.uint64, len(chunks))
         s[1:][w[1:] == w[:-1]] ^= SAME
@@ -65,24 +67,32 @@ class Featurizer:
         if len(self.word) > self.word.limit:
             self.word.clear()
             self.shape.clear()
-        return np.unique(np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int64)
+        return np.unique((np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int32))
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, size: int, epochs: int = 12, seed: int = 1) -> np.ndarray:
-    """The L1-loss linear support vector machine's weights; a row is (places, values), y is -1 or 1."""
-    w, alpha = np.zeros(size), np.zeros(len(rows))
-    square = np.array([float(v @ v) for _, v in rows])
+def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, norms: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 1) -> np.ndarray:
+    """The L1-loss linear support vector machine's weights, the last of which is the bias.
+
+    Row i has the value scale[k] / norms[i] at each of its places k, and 1 / norms[i] for the bias; rows without a norm take no
+    part.  y is -1 or 1.  Values are formed at each visit, so the rows cost no more memory than their places.
+    """
+    w, alpha = np.zeros(len(scale) + 1), np.zeros(len(rows))
+    bias = len(scale)
+    square = np.array([1 + 1 / n**2 if n else 0.0 for n in norms])
     random = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in random.permutation(len(rows)):
-            if not square[i]:
+            if not norms[i]:
                 continue
-            at, v = rows[i]
-            gradient = y[i] * float(w[at] @ v) - 1
+            at = rows[i]
+            v = scale[at] / norms[i]
+            gradient = y[i] * (float(w[at] @ v) + w[bias] / norms[i]) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
             if new != alpha[i]:
-                w[at] += (new - alpha[i]) * y[i] * v
+                step = (new - alpha[i]) * y[i]
+                w[at] += step * v
+                w[bias] += step / norms[i]
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
@@ -112,14 +122,10 @@ def _train(features: list[np.ndarray], y: np.ndarray, smooth: float, cost: float
         counts[int(label)][at] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     ratio[counts[0] + counts[1] < 2 * smooth + 2] = 0  # seen in one text only
-    rows = []
-    for at in features:
-        v = ratio[at]
-        norm = np.sqrt(v @ v)
-        rows.append((np.append(at, size), np.append(v, 1.0) / norm) if norm else (np.zeros(0, np.int64), np.zeros(0)))
+    norms = np.array([np.sqrt(float(ratio[at] @ ratio[at])) for at in features])
     share = y.mean()
     costs = np.where(y == 1, cost * 0.5 / share, cost * 0.5 / (1 - share))
-    return dual_coordinate_descent(rows, 2.0 * y - 1, costs, size + 1), np.append(ratio, 0.0)
+    return dual_coordinate_descent(features, ratio, norms, 2.0 * y - 1, costs), np.append(ratio, 0.0)
 
 
 def fit_texts(sample: list[tuple[bytes, int]], smooth: float = 1.0, cost: float = 4.0, folds: int = 3, prior: float | None = None) -> Model | None:
@@ -127,8 +133,9 @@ def fit_texts(sample: list[tuple[bytes, int]], smooth: float = 1.0, cost: float
     y = np.array([label for _, label in sample], float)
     if len(y) == 0 or y.min() == y.max():
         return None
-    make = Featurizer()
+    make = Featurizer(50_000)
     features = [make(t) for t, _ in sample]
+    del make, sample  # the driver has little room
     part = np.random.default_rng(7).permutation(len(y)) % folds
     margins = np.zeros(len(y))
     for k in range(folds):
