@@ -1,13 +1,18 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
-Labelled tokens come from labelled documents: a word or word prefix that occurs in toxic training texts only, and
-explains texts that no earlier one does, marks its tokens as toxic (greedy cover).  The field has two states; its
-features are the word, its prefixes, and the prefixes of its neighbours.  Forward-backward over windows of `WINDOW` words gives each word's
-marginal; a document's score is a sigmoid of its largest marginal and its expected number of toxic words, and runs of
-words with a marginal of one half or more are its offending spans (code points).
-
-The field is fitted on a bounded sample (`per_class` whole texts of labels 0 and 1); every text is scored whole.  Null
-and empty texts have no words and score as one without toxic words.  Without labels of both classes every score is 0.
+Labelled tokens come from labelled documents: a word or word prefix whose texts are toxic but for one in fifty, more of them
+than chance explains among so many names, and that explains texts which no earlier one does, marks its tokens as toxic
+(greedy cover).  The field has two states; its features are the word, its prefixes, and the prefixes of its neighbours.
+Forward-backward over the whole text gives each word's marginal: texts are worked in windows of WINDOW words side by side,
+and each window passes its message on to the next, so results don't depend on WINDOW.  A document's score is a sigmoid of
+its largest marginal and its expected number of toxic words, and runs of words with a marginal of one half or more are its
+offending spans (code points).
+
+The field is fitted on a bounded sample (`per_class` whole texts of labels 0 and 1, `max_bytes` a text); every text is
+scored whole, however long.  Null and empty texts have no words and score as one without toxic words.  Without labels of
+both classes every score is 0.  Rows that repeat an id each get a row; of the training rows that do, one counts.  Ties
+between names go to the shorter, then the smaller one.  Empty tables of documents give empty results.  Only doc_id and
+text of the documents are read, so extra columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -46,10 +51,11 @@ def lower(word: bytes) -> str:
     return word.decode("utf-8", "replace").lower()
 
 
-def markers(vocab: list[str], texts: list[np.ndarray], toxic: np.ndarray, least: int = 4, purity: float = 0.98, support: float = 0.025, depth: int = 5) -> set[str]:
+def markers(vocab: list[str], texts: list[np.ndarray], toxic: np.ndarray, least: int = 4, purity: float = 0.98, chance: float = 1e-3, depth: int = 5) -> set[str]:
     """Greedy cover of the toxic texts by names that hardly occur in others, until each text has `depth` of its names.
 
-    texts: the places in `vocab` of each text's words.
+    texts: the places in `vocab` of each text's words.  A name's texts must be toxic more often than the sample's by a
+    margin that one of all names tested reaches by chance with a probability of at most `chance` (Chernoff's bound).
     """
     places: dict[str, int] = {}
     of_word = np.array([([places.setdefault(n, len(places)) for n in _names(w)] * 3)[:3] for w in vocab], np.int32).reshape(-1, 3)
@@ -58,7 +64,11 @@ def markers(vocab: list[str], texts: list[np.ndarray], toxic: np.ndarray, least:
     for ids, y in zip(texts, toxic, strict=True):
         counts[int(y)][np.unique(of_word[ids])] += 1
     own, other = counts[1], counts[0]
-    pure = (own >= max(least, support * toxic.sum())) & (own >= purity * (own + other))
+    share = float(np.clip(np.mean(toxic), 1e-9, 1 - 1e-9))
+    seen = np.maximum(own + other, 1)
+    rate = np.clip(own / seen, 1e-12, 1 - 1e-12)
+    evidence = seen * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
+    pure = (own >= least) & (own >= purity * seen) & (evidence >= np.log(max(1, len(names)) / chance))
     left = [(depth, {names[k] for k in np.unique(of_word[ids]) if pure[k]}) for ids, y in zip(texts, toxic, strict=True) if y]
     chosen: set[str] = set()
     while True:
@@ -76,29 +86,55 @@ def markers(vocab: list[str], texts: list[np.ndarray], toxic: np.ndarray, least:
         left = [(k, found) for k, found in left if k > 0 and found]
 
 
-def chain(odds: np.ndarray, real: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward odds of the toxic state; rows are steps, columns windows. a[i, j] = exp(transition score)."""
-    forward, backward = np.empty_like(odds), np.ones_like(odds)
-    forward[0] = odds[0]
-    for t in range(1, len(odds)):
-        f = forward[t - 1]
-        forward[t] = np.clip(odds[t] * (f * a[1, 1] + a[0, 1]) / (f * a[1, 0] + a[0, 0]), 1e-9, 1e9)
-    for t in range(len(odds) - 2, -1, -1):
-        x = odds[t + 1] * backward[t + 1]
-        backward[t] = np.where(real[t + 1], (a[1, 1] * x + a[1, 0]) / (a[0, 1] * x + a[0, 0]), 1.0)
-    return forward, backward
+def forward(odds: np.ndarray, counts: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Forward odds of the toxic state at every word of texts that stand one after another. a[i, j] = exp(transition score).
 
-
-def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts with so many words: positions of their words by (step, window), and which of them are real."""
+    A step maps the odds f to odds * (f a11 + a01) / (f a10 + a00), so a window of steps is a 2 x 2 matrix.  Windows are
+    columns that step together: the matrices of inner windows give what enters each window, then all are run.
+    """
     n = -(-counts // WINDOW)
-    text = np.repeat(np.arange(len(counts)), n)
     part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = (np.cumsum(counts) - counts)[text] + part * WINDOW
-    end = np.cumsum(counts)[text]
+    start = np.repeat(np.cumsum(counts) - counts, n) + part * WINDOW
+    end = np.repeat(np.cumsum(counts), n)
     at = start[None, :] + np.arange(WINDOW)[:, None]
     real = at < end[None, :]
-    return np.where(real, at, 0).astype(np.int32), real
+    o = odds[np.where(real, at, 0)]
+    f = np.empty_like(o)
+
+    def run(columns: np.ndarray, x: np.ndarray) -> None:
+        f[0, columns] = x
+        for t in range(1, WINDOW):
+            x = o[t, columns] * (x * a[1, 1] + a[0, 1]) / (x * a[1, 0] + a[0, 0])
+            f[t, columns] = x
+
+    first = np.flatnonzero(part == 0)
+    run(first, o[0, first])
+    inner = np.flatnonzero((part > 0) & (start + WINDOW < end))
+    p, q, r, s = (np.full(len(inner), x, o.dtype) for x in (1, 0, 0, 1))
+    for t in range(WINDOW if len(inner) else 0):
+        p, q, r, s = o[t, inner] * (a[1, 1] * p + a[0, 1] * r), o[t, inner] * (a[1, 1] * q + a[0, 1] * s), a[1, 0] * p + a[0, 0] * r, a[1, 0] * q + a[0, 0] * s
+        size = p + q + r + s
+        p, q, r, s = p / size, q / size, r / size, s / size
+    matrix = np.full(len(part), -1)
+    matrix[inner] = np.arange(len(inner))
+    enters, leaves = np.ones(len(part), o.dtype), f[WINDOW - 1].copy()
+    order = np.argsort(part, kind="stable")
+    for columns in np.split(order, np.flatnonzero(np.diff(part[order])) + 1)[1:]:
+        x = enters[columns] = leaves[columns - 1]
+        m, on = matrix[columns], matrix[columns] >= 0
+        m, x = m[on], x[on]
+        leaves[columns[on]] = (p[m] * x + q[m]) / (r[m] * x + s[m])
+    rest = np.flatnonzero(part > 0)
+    x = enters[rest]
+    run(rest, o[0, rest] * (x * a[1, 1] + a[0, 1]) / (x * a[1, 0] + a[0, 0]))
+    out = np.empty_like(odds)
+    out[at[real]] = f[real]
+    return out
+
+
+def messages(odds: np.ndarray, counts: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward odds, and backward odds times the word's own: the forward odds of the texts read backwards."""
+    return forward(odds, counts, a), forward(odds[::-1], counts[::-1], a.T)[::-1]
 
 
 class Field:
@@ -147,12 +183,10 @@ def marginals(own: np.ndarray, before: np.ndarray, after: np.ndarray, counts: np
     score = own.copy()
     score[1:] += before[:-1] * _inside(counts)
     score[:-1] += after[1:] * _inside(counts)
-    at, real = windows(counts)
-    forward, backward = chain(np.exp(np.clip(score, -25, 25))[at], real, a)
-    odds = forward * backward
-    out = np.empty(len(own))
-    out[at[real]] = (odds / (1 + odds))[real]
-    return out
+    odds = np.exp(np.clip(score, -25, 25))
+    ahead, back = messages(odds, counts, a)
+    odds = ahead * back / odds
+    return odds / (1 + odds)
 
 
 def _inside(counts: np.ndarray) -> np.ndarray:
@@ -188,24 +222,25 @@ def fit_texts(sample: list[tuple[bytes, int]], steps: int = 20, rate: float = 0.
     del places
     ids = np.concatenate(texts)
     counts = np.array([len(t) for t in texts], np.int64)
+    del texts, sample  # the driver has little room
     truth = is_toxic[ids] & np.repeat(y == 1, counts)
-    at, real = windows(counts)
     inside = _inside(counts)
     weight, seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-3)
     moves, seen_moves = np.zeros((2, 2)), np.full((2, 2), 1e-3)
     mask = np.arange(4)[None, :] < own_n[:, None]
     total = len(ids)
+    t = truth.astype(int)
+    seen_pairs = np.bincount((t[:-1] * 2 + t[1:])[inside], minlength=4).reshape(2, 2)
     for _ in range(steps):
         e = np.where(mask, weight[own], 0).sum(1)[ids]
         e[1:] += weight[before][ids[:-1]] * inside
         e[:-1] += weight[after][ids[1:]] * inside
-        odds = np.exp(np.clip(e, -25, 25)).astype(np.float32)[at]
+        odds = np.exp(np.clip(e, -25, 25)).astype(np.float32)
         a = np.exp(moves).astype(np.float32)
-        f, b = chain(odds, real, a)
-        marginal = f * b / (1 + f * b)
-        error = np.zeros(total)
-        error[at[real]] = marginal[real]
-        error -= truth
+        f, x = messages(odds, counts, a)
+        marginal = f * x / odds
+        marginal = marginal / (1 + marginal)
+        error = marginal - truth
         by_word = np.bincount(ids, error, len(names))
         gradient = np.zeros(1 << BITS)
         np.add.at(gradient, own[mask], np.repeat(by_word, own_n))
@@ -215,18 +250,14 @@ def fit_texts(sample: list[tuple[bytes, int]], steps: int = 20, rate: float = 0.
         seen += gradient**2
         weight -= rate * gradient / np.sqrt(seen)
         # Pairs of neighbours: expected minus observed.
-        x = odds[1:] * b[1:]
-        joint = np.stack([np.broadcast_to(a[0, 0], x.shape), a[0, 1] * x, f[:-1] * a[1, 0], f[:-1] * a[1, 1] * x])
-        joint = (joint / joint.sum(0))[:, real[1:]].sum(1).reshape(2, 2)
-        t = truth[at].astype(int)
-        seen_pairs = np.bincount((t[:-1] * 2 + t[1:])[real[1:]], minlength=4).reshape(2, 2)
+        ahead, back = f[:-1][inside], x[1:][inside]
+        joint = np.stack([np.full(len(ahead), a[0, 0]), a[0, 1] * back, ahead * a[1, 0], ahead * a[1, 1] * back])
+        joint = (joint / joint.sum(0)).sum(1, dtype=np.float64).reshape(2, 2)
         g = joint - seen_pairs + ridge * total * moves
         seen_moves += g**2
         moves = moves - rate * g / np.sqrt(seen_moves)
     field = Field(weight, moves, np.zeros(3))
-    m = np.empty(total)
-    m[at[real]] = marginal[real]
-    x = _summary(_pooled(m, counts, np.maximum), _pooled(m, counts, np.add))
+    x = _summary(_pooled(marginal, counts, np.maximum), _pooled(marginal, counts, np.add))
     field.final = logistic(x, y.astype(float), ridge=0.5)
     if prior is not None and 0 < prior < 1:  # the sample holds the classes in another proportion than the table
         field.final[-1] += np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
