@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -115,6 +116,36 @@ def test_archives_round_trip(spark, sf_dir):
     assert warc.capture_report(table.limit(0)).count() == 0
 
 
+def test_ids_of_other_types_nulls_repeats_and_clashing_columns(spark):
+    rows = [("b/1 é", "http://a.org", "x"), ("a", "http://a.org", "x"), (None, "http://a.org", "x"), ("a", "http://a.org", "x"), ("c", None, None), (None, None, "y")]
+    source = spark.createDataFrame(rows, "page_id string, url string, html string").selectExpr("*", "1 as sha", "2 as first", "3 as archive", "4 as at", "5 as n", "6 as part")
+    got = warc.capture_report(source).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(len(rows)))
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=str) == sorted([("b/1 é", "revisit", "a"), ("a", "response", None), ("a", "response", None), (None, "revisit", "a"), ("c", "response", None), (None, "response", None)], key=str)
+
+
+def test_reading_takes_time_in_proportion():
+    one = warc.member(warc.record("1", "http://a.org", random.Random(1).randbytes(3_000), "A" * 32, None))
+    took = []
+    for n in (1_000, 8_000):
+        began = time.process_time()
+        assert sum(1 for _ in warc.records(one * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * took[0] + 0.2
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.records(one[:-20]))
+
+
+def test_many_ranges_give_one_history(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE", 50)
+    rows = [(k * 7 % 501, f"http://s{k % 7}.org/{k % 3}?q={k % 2}#f", f"page {k % 11}") for k in range(501)]
+    got = warc.capture_report(pages(spark, rows)).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(501))
+    keys = [(r.url_key, r.captured, r.page_id) for r in got]
+    assert keys == sorted(keys) and {r.page_id for r in got} == set(range(501))
+    check_captures(got, rows)
+
+
 def test_small_payloads_stay_responses(spark):
     index = warc.read_archives(warc.write_archives(pages(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")]), min_bytes=3, max_archive=1))
     assert {r.page_id: r.record_type for r in index.collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}

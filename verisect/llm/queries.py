@@ -30,7 +30,7 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.capture_report(table(spark, sf_dir, "pages")).drop("url_key", "archive", "at")
+    return warc.capture_report(table(spark, sf_dir, "pages")).drop("archive", "at")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,12 +74,15 @@ WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLES: dict[str, str] = {
     "op5_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
-        d AS (SELECT page_id, octet_length(body) AS payload_bytes, CAST(CAST(unhex(sha1(body)) AS BIT) AS VARCHAR) AS bits, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+        d AS (SELECT page_id, octet_length(body) AS payload_bytes, CAST(CAST(unhex(sha1(body)) AS BIT) AS VARCHAR) AS bits, min(page_id) OVER (PARTITION BY body) AS first FROM p),
+        k AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\\.', '') AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path,
+            regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS query, strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM pages),
+        o AS (SELECT page_id, captured, concat(array_to_string(list_reverse(string_split(host, '.')), ','), ')', CASE WHEN path = '' THEN '/' ELSE path END, CASE WHEN query <> '' THEN '?' || query ELSE '' END) AS url_key FROM k)
         SELECT page_id, payload_bytes,
             array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                 1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT) + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT), 1)), '') AS payload_digest,
             CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to,
-            strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM d""",
+            url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS position FROM d JOIN o USING (page_id)""",
     "op7_decontamination": f"""
         WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), b AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
         bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b)),

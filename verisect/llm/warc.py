@@ -4,11 +4,16 @@ Writing: every page becomes a record, gzipped as a member of its own; a payload
 already holds becomes a revisit record.  Each writer task sorts the captures it buffers by URL key and time, so an
 archive is a locally sorted run.  Archives are rows of a table in the shared folder, which any executor can read back.
 
-Reading: records are parsed and their payloads hashed again.  Merging: the index lines are dealt by ranges of (URL key,
-time, page), and in each range the runs of all archives go through a loser tree, which yields one ordered capture history.
-
-Null html counts as an empty payload, a null URL as an empty one.  Rows that repeat a page with the same payload give
-records of their own of the same type; an empty table gives an empty history.
+Reading: records are inflated piece by piece, parsed, and their payloads hashed again.  Merging: the index lines are dealt
+by ranges of (URL key, time, page) that hold some RANGE lines each, however many captures there are, and in each range the
+runs of all archives go through a loser tree, which yields one ordered capture history; a capture's position in the whole
+history is its place in its range after the captures of the ranges before.
+
+Defined cases.  Null html counts as an empty payload, a null URL as an empty one.  Ids of any type that a cast from text
+restores are kept; null ids sort first.  Rows that repeat a page with the same payload give records of their own of the same
+type, and stand next to each other in the history.  Of equal payloads the smallest page is the response.  Very long pages
+are one record and one archive.  An empty table gives an empty history.  Only the three named columns are read, so extra
+columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -16,20 +21,26 @@ from __future__ import annotations
 import base64
 import datetime
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, narrow, utf8
 
 EPOCH = datetime.datetime(2020, 1, 1, tzinfo=datetime.UTC)
 ARCHIVE = "archive string, body binary"
-INDEX = "page_id long, url string, url_key string, captured string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, at long"
+INDEX_ARROW = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("url_key", pa.string()), ("captured", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("archive", pa.string()), ("at", pa.int64())])
+INDEX = "page_id string, url string, url_key string, captured string, record_type string, refers_to string, payload_bytes long, payload_digest string, archive string, at long"
+#: Lines of a range of the merge, about; bytes that are inflated at once.
+RANGE, PIECE = 100_000, 1 << 14
 
 
 def url_key(url: str) -> str:
@@ -43,27 +54,28 @@ def url_key(url: str) -> str:
     return f"{','.join(reversed(host.split('.')))}){path}" + (f"?{parts.query}" if parts.query else "")
 
 
-def capture_time(page_id: int | None) -> str:
-    """The pages have no capture time; the id in seconds stands in for it."""
-    return (EPOCH + datetime.timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
+def capture_time(page_id: str | None) -> str:
+    """The pages have no capture time; a whole-number id, or another id's checksum, in seconds stands in for it."""
+    seconds = int(page_id) if page_id and re.fullmatch(r"-?\d+", page_id) else zlib.crc32((page_id or "").encode())
+    return (EPOCH + datetime.timedelta(seconds=seconds % 10**9 if page_id else 0)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, sha1: str, refers_to: int | None) -> bytes:
+def record(page_id: str | None, url: str, payload: bytes, sha1: str, refers_to: str | None) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>",
+        "WARC-Record-ID": f"<urn:page:{'-' if page_id is None else '=' + quote(page_id)}>",
         "WARC-Target-URI": url.replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-Date": capture_time(page_id),
         "WARC-Payload-Digest": f"sha1:{sha1}",
     }
     if refers_to is not None:
-        head |= {"WARC-Refers-To": f"<urn:page:{refers_to}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+        head |= {"WARC-Refers-To": f"<urn:page:={quote(refers_to)}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
     head |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in head.items()), "\r\n"]).encode() + block + b"\r\n\r\n"
 
@@ -75,20 +87,25 @@ def member(data: bytes) -> bytes:
 
 
 def records(archive: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, header and block of each record of an archive of gzip members."""
-    at = 0
-    while at < len(archive):
-        unpack = zlib.decompressobj(31)
-        data = unpack.decompress(archive[at:] if at else archive)
-        head, _, rest = data.partition(b"\r\n\r\n")
+    """Offset, header and block of each record of an archive of gzip members; each byte is looked at once or twice."""
+    view, at = memoryview(archive), 0
+    while at < len(view):
+        unpack, data, end = zlib.decompressobj(31), [], at
+        while not unpack.eof:
+            if end >= len(view):
+                raise ValueError(f"the record at {at} is cut off")
+            data.append(unpack.decompress(view[end : end + PIECE]))
+            end += PIECE
+        end = min(end, len(view)) - len(unpack.unused_data)
+        head, _, rest = b"".join(data).partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield at, fields, rest[: int(fields["Content-Length"])]
-        at = len(archive) - len(unpack.unused_data)
+        at = end
 
 
-def _page(field: str | None) -> int | None:
-    text = (field or "")[len("<urn:page:") : -1]
-    return int(text) if text else None
+def _page(field: str | None) -> str | None:
+    text = (field or "<urn:page:->")[len("<urn:page:") : -1]
+    return None if text == "-" else unquote(text[1:])
 
 
 def _writer(max_bytes: int):
@@ -104,12 +121,11 @@ def _writer(max_bytes: int):
             return pa.RecordBatch.from_arrays([pa.array(row[0], pa.string()), pa.array(row[1], pa.binary())], ["archive", "body"])
 
         for batch in batches:
-            ids, urls, firsts = (batch.column(c).to_pylist() for c in ("page_id", "url", "first"))
-            for page_id, url, first, payload in zip(ids, urls, firsts, utf8(batch, "html"), strict=True):
+            ids, names, urls, firsts = (batch.column(c).to_pylist() for c in ("page_id", "name", "url", "first"))
+            for page_id, name, url, first, payload in zip(ids, names, urls, firsts, utf8(batch, "html"), strict=True):
                 payload = payload or b""
-                refers_to = first if first is not None and first != page_id else None
-                data = member(record(page_id, url or "", payload, digest(payload), refers_to))
-                held.append((url_key(url or ""), capture_time(page_id), -1 if page_id is None else page_id, data))
+                data = member(record(name, url or "", payload, digest(payload), first))
+                held.append((url_key(url or ""), capture_time(name), () if page_id is None else (page_id,), data))
                 size += len(data)
                 if size >= max_bytes:
                     yield archive()
@@ -120,16 +136,22 @@ def _writer(max_bytes: int):
 
 
 def write_archives(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", min_bytes: int = 0, max_archive: int = 16 << 20) -> DataFrame:
-    """A table of archives (archive, body) in the shared folder. Payloads under `min_bytes` bytes are always responses."""
+    """A table of archives (archive, body) in the shared folder. Payloads under `min_bytes` bytes are always responses.
+
+    Who revisits whom is found on ids and digests alone; pages meet that by (digest, id), so a payload that is very
+    common brings its pages to no single task.
+    """
     source = narrow(pages, page_id=id_col, url=url_col, html=html_col)
-    source = source.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    firsts = source.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"))
-    dealt = source.join(firsts, "sha", "left").select("page_id", "url", "html", "first")
-    return materialize(dealt.mapInArrow(_writer(max_archive), ARCHIVE), "warc")
+    source = source.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    known = source.where(F.octet_length("html") >= min_bytes).select("page_id", "sha")
+    firsts = known.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull())
+    revisits = known.join(firsts, "sha").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("sha").alias("sha_of"), F.col("page_id").alias("page_of"), F.col("first").cast("string").alias("first")).distinct()
+    dealt = source.join(revisits, (F.col("sha") == F.col("sha_of")) & F.col("page_id").eqNullSafe(F.col("page_of")), "left")
+    return materialize(dealt.select("page_id", F.col("page_id").cast("string").alias("name"), "url", "html", "first").mapInArrow(_writer(max_archive), ARCHIVE), "warc")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """One index line per record, in each archive's own order; digests and sizes come from the payloads read back."""
+def read_archives(archives: DataFrame, id_type: str = "long") -> DataFrame:
+    """One index line per record, in each archive's own order; digests and sizes come from the payloads read back. id_type: the SQL type of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,10 +167,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     lines.append((_page(head["WARC-Record-ID"]), url, url_key(url), head["WARC-Date"], head["WARC-Type"], refers_to, size, sha1, name, at))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines, strict=True), INDEX_ARROW.types, strict=True)], INDEX_ARROW.names)
 
-    return archives.mapInArrow(run, INDEX)
-
-
-INDEX_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("url_key", pa.string()), ("captured", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("archive", pa.string()), ("at", pa.int64())])
+    return archives.mapInArrow(run, INDEX).withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 class LoserTree:
@@ -191,24 +210,36 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by archive and place, that is run after run; they leave by URL key, time and page."""
-    table = pa.Table.from_batches(batches, schema=INDEX_ARROW)
-    if not table.num_rows:
+    """Rows come by archive and place, that is run after run; they leave by URL key, time and page, numbered."""
+    batches = list(batches)
+    if not batches:
         return
-    keys = list(zip(table["url_key"].to_pylist(), table["captured"].to_pylist(), (-1 if p is None else p for p in table["page_id"].to_pylist()), strict=True))
-    names, starts = table["archive"].to_pylist(), [0]
-    starts += [k for k in range(1, len(names)) if names[k] != names[k - 1]]
+    table = pa.Table.from_batches(batches)
+    keys = list(zip(table["url_key"].to_pylist(), table["captured"].to_pylist(), (() if p is None else (p,) for p in table["page_id"].to_pylist()), strict=True))
+    archive = table["archive"].combine_chunks()
+    edges = np.flatnonzero(pc.not_equal(archive[1:], archive[:-1]).to_numpy(zero_copy_only=False)) + 1 if len(archive) > 1 else []
+    starts = [0, *(int(k) for k in edges)] if len(keys) else []
     runs = [keys[a:b] for a, b in zip(starts, [*starts[1:], len(keys)], strict=True)]
-    order = pa.array([starts[run] + place for run, place in LoserTree(runs)], pa.int64())
-    yield from table.take(order).combine_chunks().to_batches(max_chunksize=10_000)
+    order = np.fromiter((starts[run] + place for run, place in LoserTree(runs)), np.int64, len(keys))
+    merged = table.take(pa.array(order)).append_column("part", pa.array(np.full(len(keys), TaskContext.get().partitionId(), np.int64))).append_column("nth", pa.array(np.arange(len(keys))))
+    yield from merged.combine_chunks().to_batches(max_chunksize=10_000)
 
 
 def merge_indexes(index: DataFrame) -> DataFrame:
-    """The index lines of all archives in the order of URL key, time and page, over ranges of these."""
+    """The index lines of all archives in the order of URL key, time and page, over ranges of these; part and nth tell a line's range and its place there."""
+    kind = dict(index.dtypes)["page_id"]
     index = materialize(index, "captures")
-    dealt = index.repartitionByRange("url_key", "captured", "page_id").sortWithinPartitions("archive", "at")
-    return dealt.mapInArrow(_merge, INDEX)
+    ranges = max(1, index.count() // RANGE)
+    dealt = index.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("archive", "at")
+    schema = ", ".join(f"{name} {kind if name in ('page_id', 'refers_to') else t}" for name, t in (c.split() for c in INDEX.split(", ")))
+    return dealt.mapInArrow(_merge, f"{schema}, part long, nth long")
 
 
 def capture_report(pages: DataFrame) -> DataFrame:
-    return merge_indexes(read_archives(write_archives(pages))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "at")
+    """The capture history: one row per page, with its position in the whole order from 0."""
+    kind = dict(narrow(pages, page_id="page_id").dtypes)["page_id"]
+    merged = materialize(merge_indexes(read_archives(write_archives(pages), kind)), "history")
+    sizes = merged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row a range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = merged.join(F.broadcast(sizes.select("part", before.alias("before"))), "part")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", (F.col("before") + F.col("nth")).alias("position"), "archive", "at")
