@@ -4,10 +4,15 @@ Each block of documents is a shard.  Its words become ids of the benchmark's voc
 document's end), the positions that can start a match are sorted by the words that follow them, and every benchmark
 suffix is binary-searched in that array.  A match of a whole window marks its words; the longest match of any suffix
 and its place are kept as evidence.  Only the benchmark leaves its table: it is handed out in blocks of at most
-`block_words` words, so its size is no limit.  Documents are never shuffled by content.
+`block_words` words.  Documents pass by the blocks one after another and carry what was found, so neither the driver nor
+a task holds more than one block, and documents are never shuffled.
 
-Null and empty texts have no words and are never contaminated.  Items with fewer words than a window form one window
-of all their words; items without words form none.  Repeated rows each give their own row.
+Defined cases.  Null and empty texts have no words and are never contaminated; very long texts count whole.  Items with fewer
+words than a window form one window of all their words; items without words form none; an item of over `block_words` words
+is searched in pieces that overlap by a window, and a match is told within a piece.  Repeated rows each give their own row.
+Of equally long matches the first in the text counts, then that of the smallest item as a string (unnamed ones last).
+Empty documents give an empty result, an empty benchmark no hits.  Extra columns of any name are kept by
+remove_contaminated and ignored by the others.
 
 Benchmark rows without an id mark words like any other.  Together they count as one item, which has no name: it is a
 null in `items`, counts in n_items and is left out of items_sha256.
@@ -15,18 +20,21 @@ null in `items`, counts in n_items and is left out of items_sha256.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import broadcast_value, narrow, slices, utf8, words
+from .common import broadcast_value, materialize, narrow, slices, utf8, words
 
 #: Words that a suffix is sorted by; longer matches are extended word by word.
 DEPTH = 16
-SCHEMA = "id long, n_words long, hits array<int>, items array<string>, longest int, longest_at int, longest_item string"
+FOUND = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("longest", pa.int32()), ("longest_at", pa.int32()), ("longest_item", pa.string())])
+FOUND_SQL = "struct<n_words:bigint,hits:array<int>,items:array<string>,longest:int,longest_at:int,longest_item:string>"
 
 
 class Probe:
@@ -127,72 +135,102 @@ def _shard(probe: Probe, texts: list[bytes | None]):
     return counts, first, where, lengths, whose, longest
 
 
-def _searcher(shared, rows: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe: Probe = shared.value
-        for batch in slices(batches, rows):
-            counts, first, where, lengths, whose, longest = _shard(probe, utf8(batch, "text"))
-            doc = np.searchsorted(first, where, "right") - 1
-            hits: list = [[] for _ in counts]
-            items: list = [[] for _ in counts]
-            best: list = [(0, None, None) for _ in counts]
-            order = np.argsort(doc, kind="stable")
-            edges = np.flatnonzero(np.diff(doc[order])) + 1
-            for mine in np.split(order, edges) if len(order) else ():
-                d = int(doc[mine[0]])
-                mark = np.zeros(counts[d] + 1, np.int64)
-                np.add.at(mark, where[mine] - first[d], 1)
-                np.add.at(mark, where[mine] - first[d] + lengths[mine], -1)
-                hits[d] = np.flatnonzero(np.cumsum(mark)[:-1] > 0).tolist()
-                items[d] = sorted({probe.items[k] for k in whose[mine]}, key=lambda x: (x is None, x))
-                top = mine[np.lexsort((where[mine], -longest[mine]))[0]]
-                best[d] = (int(longest[top]), int(where[top] - first[d]), probe.items[whose[top]])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").cast(pa.int64()),
-                    pa.array(counts, pa.int64()),
-                    pa.array(hits, pa.list_(pa.int32())),
-                    pa.array(items, pa.list_(pa.string())),
-                    pa.array([b[0] for b in best], pa.int32()),
-                    pa.array([b[1] for b in best], pa.int32()),
-                    pa.array([b[2] for b in best], pa.string()),
-                ],
-                ["id", "n_words", "hits", "items", "longest", "longest_at", "longest_item"],
-            )
-
-    return run
+def _named(item: str | None) -> tuple[bool, str]:
+    """Items in order: by name, unnamed ones last."""
+    return item is None, item or ""
+
+
+def _found(probe: Probe, texts: list[bytes | None], before: list[dict] | None) -> list[dict]:
+    """What is known of each text: its words, hits, items and longest match, of this block and of those before."""
+    counts, first, where, lengths, whose, longest = _shard(probe, texts)
+    out = before or [{"n_words": int(n), "hits": [], "items": [], "longest": 0, "longest_at": None, "longest_item": None} for n in counts]
+    doc = np.searchsorted(first, where, "right") - 1
+    order = np.argsort(doc, kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1) if len(order) else ():
+        d = int(doc[mine[0]])
+        at, known = where[mine] - first[d], out[d]
+        mark = np.zeros(counts[d] + 1, np.int64)
+        np.add.at(mark, at, 1)
+        np.add.at(mark, at + lengths[mine], -1)
+        hits = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+        top = mine[longest[mine] == longest[mine].max()]
+        top = top[where[top] == where[top].min()]
+        item = min((probe.items[k] for k in whose[top]), key=_named)
+        best = [(int(longest[top[0]]), int(where[top[0]] - first[d]), item)]
+        if known["longest"]:
+            best.append((known["longest"], known["longest_at"], known["longest_item"]))
+        best = min(best, key=lambda b: (-b[0], b[1], _named(b[2])))
+        out[d] = {
+            "n_words": known["n_words"],
+            "hits": np.union1d(np.array(known["hits"], np.int64), hits).tolist(),
+            "items": sorted({*known["items"], *(probe.items[k] for k in whose[mine])}, key=_named),
+            "longest": best[0],
+            "longest_at": best[1],
+            "longest_item": best[2],
+        }
+    return out
+
+
+def _pieces(ws: list[bytes], window: int, block_words: int) -> Iterator[list[bytes]]:
+    """The words of an item, cut so that every window lies in a piece."""
+    size = max(block_words, 4 * window)
+    yield ws[:size]
+    for at in range(size - window + 1, len(ws) - window + 1, size - window + 1):
+        yield ws[at : at + size]
 
 
 def _probes(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[Probe]:
-    """The benchmark in blocks of at most `block_words` words (one item at least); the rows come one partition at a time."""
+    """The benchmark in blocks of at most `block_words` words or one piece of an item; the rows come one partition at a time."""
     block, total = [], 0
     for row in narrow(benchmark, item=item_col, text=text_col).toLocalIterator():
-        ws = words(row["text"].encode() if row["text"] is not None else None)
-        if block and total + len(ws) > block_words:
-            yield Probe(block, window)
-            block, total = [], 0
-        block.append((None if row["item"] is None else str(row["item"]), ws))
-        total += len(ws)
+        for ws in _pieces(words(row["text"].encode() if row["text"] is not None else None), window, block_words):
+            if block and total + len(ws) > block_words:
+                yield Probe(block, window)
+                block, total = [], 0
+            block.append((None if row["item"] is None else str(row["item"]), ws))
+            total += len(ws)
     yield Probe(block, window)
 
 
+def _search(docs: DataFrame, text: str, probes: Iterator[Probe], rows: int, finish: Callable[[pa.RecordBatch, list[dict]], pa.RecordBatch], schema: StructType) -> DataFrame:
+    """Passes the documents by every block; `finish` makes the result of a batch and what all blocks have found in it."""
+    spark, width = docs.sparkSession, len(docs.columns)
+    state = next(f"found{k}" for k in count() if f"found{k}" not in {c.lower() for c in docs.columns})
+    carried = StructType([*docs.schema.fields, StructField(state, spark.createDataFrame([], f"x {FOUND_SQL}").schema["x"].dataType)])
+
+    def step(shared, begun: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, rows):
+                known = _found(shared.value, utf8(batch, text), batch.column(width).to_pylist() if begun else None)
+                own = batch.select(list(range(width)))
+                yield finish(own, known) if last else pa.RecordBatch.from_arrays([*own.columns, pa.array(known, FOUND)], [*own.schema.names, state])
+
+        return run
+
+    begun, probe = False, next(probes)
+    for following in probes:
+        shared = broadcast_value(spark, probe)
+        docs = materialize(docs.mapInArrow(step(shared, begun, False), carried), "searched")
+        shared.destroy()
+        begun, probe = True, following
+    return docs.mapInArrow(step(broadcast_value(spark, probe), begun, True), schema)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = 13, block_words: int = 2_000_000, rows: int = 2_000) -> DataFrame:
-    """One row per document: id, n_words, hits (word positions, sorted), items (sorted strings, then a null for rows without an id) and the longest match of a matching suffix (words, its place, its item)."""
-    source = narrow(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    parts = [source.mapInArrow(_searcher(broadcast_value(docs.sparkSession, probe), rows), SCHEMA) for probe in _probes(benchmark, item_col, item_text_col, window, block_words)]
-    if len(parts) == 1:
-        return parts[0]
-    # Every block has searched every document in the same order: a row number within the partition identifies a row.
-    out = None
-    for k, part in enumerate(parts):
-        part = part.withColumn("row", F.monotonically_increasing_id())
-        out = part if out is None else out.unionByName(part)
-    best = F.max(F.struct("longest", "longest_at", "longest_item"))
-    return out.groupBy("row", "id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("b")).select("id", "n_words", "hits", "items", "b.*")
+    """One row per document: id, n_words, hits (word positions, sorted), items (sorted strings, then a null for rows without an id) and the longest verbatim match (words, its place in words from 0, its item).
+
+    The longest match is the longest that holds a window of its item; shorter ones are no evidence, and give 0 and nulls.
+    """
+    if window > DEPTH:
+        raise ValueError(f"windows have at most {DEPTH} words")
+    source = narrow(docs, id=id_col, text=text_col)
+    names = [FOUND.field(k).name for k in range(FOUND.num_fields)]
 
+    def finish(batch: pa.RecordBatch, known: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), *pa.array(known, FOUND).flatten()], ["id", *names])
 
-def _contaminated() -> Column:
-    return (F.size("hits") > 0) & (F.lit(20) * F.size("hits") >= F.col("n_words"))
+    schema = docs.sparkSession.createDataFrame([], f"id {dict(source.dtypes)['id']}, {FOUND_SQL.removeprefix('struct<').removesuffix('>').replace(':', ' ')}").schema
+    return _search(source, "text", _probes(benchmark, item_col, item_text_col, window, block_words), rows, finish, schema)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -203,29 +241,17 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size("hits").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        _contaminated().alias("contaminated"),
+        ((F.size("hits") > 0) & (F.lit(20) * F.size("hits") >= F.col("n_words"))).alias("contaminated"),
         "longest",
         "longest_at",
         "longest_item",
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows whose text isn't contaminated, with all their columns; judged by text, so repeated ids don't matter."""
-    probes = list(_probes(benchmark, "item_id", "text", 13, 2_000_000))
-    if len(probes) > 1:
-        bad = find_contamination(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).where(_contaminated()).select(F.col("id").alias("_bad")).distinct()
-        return docs.join(bad, F.xxhash64("text") == F.col("_bad"), "left_anti")
-    shared = broadcast_value(docs.sparkSession, probes[0])
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2_000):
-            counts, first, where, lengths, _, _ = _shard(shared.value, utf8(batch, "text"))
-            mark = np.zeros(int(counts.sum()) + len(counts) + 1, np.int64)
-            np.add.at(mark, where, 1)
-            np.add.at(mark, where + lengths, -1)
-            covered = np.flatnonzero(np.cumsum(mark) > 0)
-            n_hit = np.bincount(np.searchsorted(first, covered, "right") - 1, minlength=len(counts))
-            yield batch.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= counts))))
-
-    return docs.mapInArrow(keep, docs.schema)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = 2_000_000, rows: int = 2_000) -> DataFrame:
+    """The rows whose `text` isn't contaminated, with all their columns."""
+
+    def finish(batch: pa.RecordBatch, known: list[dict]) -> pa.RecordBatch:
+        return batch.filter(pa.array([not k["hits"] or 20 * len(k["hits"]) < k["n_words"] for k in known], pa.bool_()))
+
+    return _search(docs, "text", _probes(benchmark, "item_id", "text", 13, block_words), rows, finish, docs.schema)

@@ -38,8 +38,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("longest", "longest_at", "longest_item")
+    return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,12 +83,16 @@ ORACLES: dict[str, str] = {
             CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to,
             url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS position FROM d JOIN o USING (page_id)""",
     "op7_decontamination": f"""
-        WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), b AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
-        bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+        WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), b AS (SELECT row_number() OVER () AS item, item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+        bw AS (SELECT item, item_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT item, item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
         dw AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM b) WHERE len(w) >= n)),
-        h AS (SELECT doc_id, item_id, p, dw.n FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
+        h AS (SELECT doc_id, item, item_id, i, p, dw.n FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
         c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS pos FROM h) GROUP BY 1),
-        i AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+        i AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1),
+        s AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item, p - i ORDER BY p) AS island FROM h),
+        r AS (SELECT doc_id, CAST(item_id AS VARCHAR) AS longest_item, min(p) - 1 AS longest_at, count(*) + n - 1 AS longest FROM s GROUP BY doc_id, item, item_id, p - i, island, n),
+        l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY longest DESC, longest_at, longest_item NULLS LAST) AS nth FROM r)
         SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)""",
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest, 0) AS longest, longest_at, longest_item
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN l ON l.doc_id = d.doc_id AND nth = 1""",
 }
