@@ -2,6 +2,7 @@
 
 import hashlib
 import heapq
+import os
 import random
 import time
 import zlib
@@ -11,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from verisect.llm import media, packing, warc
+from verisect.llm import common, media, packing, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TEXTS = [None, "", "Hello  world\n\nagain", "a\x1cb \x85c İstanbul ΟΔΟΣ", "word " * 30_000, "<|endoftext|> x", "same", "same"]
@@ -188,6 +189,22 @@ def test_media_round_trip(spark, sf_dir):
     assert media.media_report(docs(spark, TEXTS).limit(0)).count() == 0
 
 
+def test_captions_are_whole_lines_and_hot_media_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(media, "HOT_SHARE", 0.1)
+    line = "a <long> & \"quoted\" line " * 40
+    texts = [line + "\nsecond", "one", *["copy"] * 60, None, "", " two  spaces "]
+    source = docs(spark, texts).selectExpr("*", "1 as html", "2 as digest", "3 as media", "4 as id", "5 as payload_bytes").repartition(3)
+    rows = media.media_report(source).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        want = " ".join((texts[r.doc_id] or "").split("\n")[0].split())
+        assert (r.caption or "") == want and r.pos == 1
+        assert r.media_sha256 == hashlib.sha256(media.png(media.pad((texts[r.doc_id] or "").encode()))).hexdigest()
+    store = spark.createDataFrame([("d", "x")], "digest string, text string")
+    with pytest.raises(ValueError, match="named like"):
+        media.resolve(media.parse_pages(pages(spark, [(1, "u", "x")])), store, "id")
+
+
 def test_interleaved_sequences_keep_positions_and_captions(spark):
     first, second = (hashlib.sha256(x).hexdigest() for x in (b"1", b"2"))
     page = f"""<title>T</title><script>no</script><p>One <b>bold</b></p><figure><img src="media:{first}" alt="alt"><figcaption>Cap &amp; more</figcaption></figure>
@@ -205,6 +222,16 @@ def test_interleaved_sequences_keep_positions_and_captions(spark):
     assert [bytes(i.payload) if i.payload else None for i in items] == [None, None, b"1", None, None, None, None]
 
 
+def test_cleanup_deletes_what_was_written(spark, monkeypatch):
+    monkeypatch.setattr(common, "WRITTEN", [])
+    kept = common.materialize(spark.range(3), "kept")
+    assert kept.count() == 3 and len(common.WRITTEN) == 1
+    path = common.WRITTEN[0].removeprefix("file://")
+    assert os.path.isdir(path)
+    common.cleanup(spark)
+    assert not os.path.exists(path) and not common.WRITTEN
+
+
 def test_encoder_agrees_with_the_tokenizer_on_noise():
     from tokenizers import Tokenizer
 

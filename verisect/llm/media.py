@@ -4,10 +4,13 @@ parse_pages() turns HTML into one row per item, in document order: text blocks,
 captions.  resolve() joins references with a media table by digest, so a payload is stored once however many documents
 refer to it, and positions and captions stay where they were.  assemble() gives the array of structs back.
 
-Media payloads are stored as 8-bit greyscale PNG images, 192 samples a row, which is lossless.
+Media payloads are stored as 8-bit greyscale PNG images, 192 samples a row, which is lossless.  Digests that a large
+share of all references have are dealt to several tasks.
 
-Null and empty texts are a payload of one row of spaces; null and empty pages have no items.  References whose digest
-no payload has keep a null payload.  Repeated rows give rows of their own.
+Defined cases.  Null and empty texts are a payload of one row of spaces; very long texts are one image.  Null and empty pages
+have no items.  References whose digest no payload has keep a null payload.  Repeated rows give rows of their own; media
+that repeat a digest count once, so equal digests are no tie.  Empty tables give empty results.  Extra columns of any name
+are ignored; columns of `media` that are named like an item's (pos, kind, text, ref, caption, n_bytes) or kept column are an error.
 """
 
 from __future__ import annotations
@@ -158,13 +161,37 @@ def media_digest(ref: Column) -> Column:
     return F.nullif(F.regexp_extract(ref, r"^media:([0-9a-f]{64})$", 1), F.lit(""))
 
 
-def resolve(sequences: DataFrame, media: DataFrame, *keep: str) -> DataFrame:
+#: A digest is hot from this share of all references on, so at most 1 / HOT_SHARE are; its references go to SPREAD tasks.
+HOT_SHARE, SPREAD = 0.001, 32
+
+
+def hot_digests(references: DataFrame) -> DataFrame:
+    """(digest) of those that many of the references (digest) have: at most 1 / HOT_SHARE rows."""
+    counts = references.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    total = references.count()
+    return counts.where((F.col("digest").isNotNull()) & (F.col("n") > max(1.0, HOT_SHARE * total))).select("digest")
+
+
+def resolve(sequences: DataFrame, media: DataFrame, *keep: str, hot: DataFrame | None = None) -> DataFrame:
     """One row per item with the columns `keep` and what `media` (digest, ...; one row a digest) holds for its reference.
 
-    Text items and references without a digest stay out of the join.
+    Text items and references without a digest stay out of the join.  hot: the digests of hot_digests(); what the media hold
+    for them is repeated, and their references are spread over the repetitions.
     """
+    clash = (set(media.columns) - {"digest"}) & {"pos", "kind", "text", "ref", "caption", "n_bytes", *keep}
+    if clash:
+        raise ValueError(f"media columns are named like columns of items: {sorted(clash)}")
     flat = sequences.select(*keep, F.explode("sequence").alias("item")).select(*keep, "item.*").withColumn("digest", media_digest(F.col("ref")))
-    linked = flat.where(F.col("digest").isNotNull()).join(media, "digest", "left")
+    linked = flat.where(F.col("digest").isNotNull())
+    if hot is None:
+        linked = linked.join(media, "digest", "left")
+    else:
+        few = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+        turn = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))).otherwise(F.lit(0)).cast("long")
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("__hot"), F.lit(SPREAD - 1)).otherwise(F.lit(0)).cast("long")))
+        left = linked.join(few, "digest", "left").withColumn("__turn", turn).drop("__hot")
+        right = media.join(few, "digest", "left").withColumn("__turn", copies).drop("__hot")
+        linked = left.join(right, ["digest", "__turn"], "left").drop("__turn")
     return linked.unionByName(flat.where(F.col("digest").isNull()), allowMissingColumns=True)
 
 
@@ -182,8 +209,8 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             image = png(pad(data))
             digests.append(hashlib.sha256(image).hexdigest())
             images.append(image)
-            title = html.escape(data.split(b"\n", 1)[0][:80].decode("utf-8", "ignore"))
-            pages.append(f'<article><h1>{title}</h1><figure><img src="media:{digests[-1]}" data-bytes="{len(data)}"><figcaption>{title}</figcaption></figure></article>')
+            first, _, rest = data.partition(b"\n")
+            pages.append(f'<article><h1>{rest.count(10) + 1 if rest else 1} lines</h1><figure><img src="media:{digests[-1]}" data-bytes="{len(data)}"><figcaption>{html.escape(first.decode("utf-8", "ignore"))}</figcaption></figure></article>')
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(images, pa.binary())], ["doc_id", "html", "digest", "media"])
 
 
@@ -194,11 +221,15 @@ def store_texts(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
 
 def media_features(store: DataFrame) -> DataFrame:
-    """What the stored images hold, decoded: one row per digest."""
+    """What the stored images hold, decoded: one row per digest. A task decodes a digest once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[str] = set()
         for batch in slices(batches, 500):
-            rows = []
+            if len(known) > 200_000:
+                known.clear()
+            fresh = [d is not None and d not in known and not known.add(d) for d in batch.column("digest").to_pylist()]
+            batch, rows = batch.filter(pa.array(fresh, pa.bool_())), []
             for image in batch.column("media").to_pylist():
                 payload = samples(image)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)))
@@ -210,8 +241,9 @@ def media_features(store: DataFrame) -> DataFrame:
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """Each document as a page that refers to its text's image; the references are resolved from the images read back."""
+    """Each document as a page that refers to its text's image, captioned with its first line; the references are resolved from the images read back."""
     store = store_texts(docs)
     sequences = parse_pages(store, "doc_id", "html")
-    resolved = resolve(sequences, media_features(store), "id").where(F.col("kind") == "media")
+    hot = materialize(hot_digests(store.select("digest")), "hot-digests")
+    resolved = resolve(sequences, media_features(store), "id", hot=hot).where(F.col("kind") == "media")
     return resolved.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
