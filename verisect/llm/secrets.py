@@ -3,9 +3,12 @@
 Strong parts (assigned secrets, access keys, long hex) are always reported.  Weak parts (client ids, short hex,
 mixed-alphabet strings, endpoints) are reported only if a complementary part lies within `scope` code points in the
 same text: an identifier next to a secret, a secret next to an identifier, an endpoint next to either.  The linking is
-an interval join on (row, position bin), so a very long text costs no more than its bins.
+an interval join on (row, position bin), so a very long text costs no more than its bins, and places are summed up in
+chunks of matches, so a text with very many matches costs little more than its matches.
 
-Null text counts as empty.  Repeated rows each give their own result row.  An empty table gives an empty table.
+Defined cases.  Null text counts as empty; very long texts count whole.  Rows that repeat id and text each give their own
+result row, of equal value.  Of spans that start at one place the kinds come as listed in KINDS.  An empty table gives an
+empty table.  Extra columns of any name are ignored, and kept by redact, which needs doc_id and text.
 """
 
 from __future__ import annotations
@@ -29,36 +32,51 @@ KINDS = ("assign", "access", "hex", "id", "shorthex", "mixed", "endpoint")
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
+#: Matches of a text that are summed up one after another.
+CHUNK = 64
+
+
 def _spans(text: Column, pattern: str, rank: int, least: int = 0, group: int = 0, gate: str | None = None) -> Column:
-    """Spans of the leftmost non-overlapping matches, in code points: what split() leaves between matches gives the starts."""
-    found = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
-        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length).alias("n"),
-        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("gap"),
-    )
-    state = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
-            F.when(
-                x["n"] >= least,
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["gap"])).alias("start"),
-                            F.lit(rank).alias("rank"),
-                            (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-    )["out"]
-    return F.when(text.rlike(gate or pattern), state).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    """Spans of the leftmost non-overlapping matches, in code points: what split() leaves between matches gives the starts.
+
+    Appending to an array copies it, so places are found in two steps: where each chunk of matches begins, then those inside.
+    """
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    counted = matches if not group else F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    found = F.slice(F.arrays_zip(matches.alias("m"), counted.alias("n"), gaps.alias("gap")), F.lit(1), F.size(matches))
+    none = F.expr(f"cast(array() as {SPAN})")
+
+    def inside(chunk: Column, begin: Column) -> Column:
+        state = F.aggregate(
+            chunk,
+            F.struct(begin.alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["gap"] + x["m"]).alias("at"),
+                F.when(
+                    x["n"] >= least,
+                    F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + x["gap"] + x["m"]).alias("end")))),
+                )
+                .otherwise(acc["out"])
+                .alias("out"),
+            ),
+        )
+        return state["out"]
+
+    def placed(all_found: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_found) - 1) / CHUNK).cast("int")), lambda k: F.slice(all_found, k * CHUNK + 1, F.lit(CHUNK)))
+        begins = F.aggregate(
+            chunks,
+            F.array(F.lit(0)),
+            lambda acc, chunk: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(chunk, F.lit(0), lambda at, x: at + x["gap"] + x["m"]))),
+        )
+        return F.flatten(F.transform(F.arrays_zip(chunks.alias("chunk"), begins.alias("begin")), lambda c: F.coalesce(inside(c["chunk"], c["begin"]), none)))
+
+    # The matches are one element of an array, so that they are found once and not wherever they are used.
+    spans = F.flatten(F.transform(F.array(found), placed))
+    if gate:
+        spans = F.when(text.rlike(pattern), spans).otherwise(none)
+    return F.when(text.rlike(gate or pattern), spans).otherwise(none)
 
 
 def _listed(spans: Column) -> Column:
