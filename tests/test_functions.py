@@ -1,8 +1,11 @@
 """Plain functions on awkward input, and properties of the operators."""
 
 import datetime
+import difflib
 import json
 import random
+import re
+import time
 from collections import Counter
 
 import pytest
@@ -13,12 +16,13 @@ from pyspark.sql import functions as F
 from verisect.functions import cites as C
 from verisect.functions import text as T
 from verisect.functions import udfs as U
+from verisect.operators import containment as K
 from verisect.operators import joins as J
 from verisect.operators import metrics as M
 from verisect.operators import rules as R
 from verisect.operators import sampling as S
 from verisect.operators import spans as P
-from verisect.sources import services
+from verisect.sources import providers, services
 from verisect.sources.readers import load_models, load_settings
 from verisect.streaming.state import windowed_counts
 
@@ -83,6 +87,172 @@ def test_greedy_rejection_matches_all_pairs():
     assert S.distinct_enough(rows) == [k for k, _ in kept]
 
 
+def test_distributed_greedy_rejection_matches_the_pass(spark):
+    rng = random.Random(12)
+    rows = [(k, rng.sample("abcdefghijkl", rng.randrange(0, 8))) for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, w array<string>")
+    got = sorted(r.k for r in S.first_of_similar(df, "k", "w").collect())
+    assert got == S.distinct_enough([(k, frozenset(w)) for k, w in rows])
+    pairs = {(r.a, r.b) for r in S.similar_pairs(df, "k", "w", 0.5).collect()}
+    sets = {k: set(w) for k, w in rows}
+    assert pairs == {(a, b) for a in sets for b in sets if a < b and sets[a] and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert S.first_of_similar(df.limit(0), "k", "w").count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=14), st.lists(st.sampled_from("abc"), max_size=14))
+def test_longest_run_matches_difflib(a, b):
+    m = difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
+    assert U.common_run(a, b) == ({"run": m.size, "start_a": m.a, "start_b": m.b} if m.size else {"run": 0, "start_a": None, "start_b": None})
+
+
+def test_longest_run_takes_time_in_proportion():
+    began = time.process_time()
+    assert U.common_run(["the"] * 20_000, ["the"] * 30_000)["run"] == 20_000
+    assert time.process_time() - began < 5
+
+
+def sf(spark, name):
+    return spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+
+
+def naive_words(text):
+    return [w for w in re.findall("[a-z0-9]+", (text or "").lower())]
+
+
+def test_common_runs_of_items_and_documents_match_brute_force(spark):
+    from verisect.functions.text import norm_words
+    from verisect.plans import registry
+
+    words = {name: {r[0]: r.w for r in sf(spark, name).select(key, norm_words(F.col("text")).alias("w")).collect()} for name, key in (("documents", "doc_id"), ("benchmark", "item_id"))}
+    want = {}
+    for i, quote in words["benchmark"].items():
+        holders = {w: [d for d, t in words["documents"].items() if w in set(t)] for w in set(quote)}
+        held = [(len(ds), w) for w, ds in holders.items() if ds]
+        for d in holders[min(held)[1]] if held else ():
+            m = difflib.SequenceMatcher(None, quote, words["documents"][d], autojunk=False).find_longest_match()
+            want[f"{d}:{i}"] = m.size
+    got = {r.pair: r.run for r in registry.QUERIES["w8_longest_common_run"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and got
+
+
+def test_widening_draw_matches_brute_force(spark):
+    from verisect.functions.text import norm_words
+    from verisect.plans import registry
+
+    rows = sf(spark, "documents").where("lang = 'en'").select("doc_id", "n_chars", norm_words(F.col("text")).alias("w")).collect()
+    ranked = {r.doc_id: (k, frozenset(r.w)) for k, r in enumerate(sorted(rows, key=lambda r: (-r.n_chars, r.doc_id)), 1)}
+    score = lambda rank: (rank + 20260922) % (S.MODULUS // 4) * S.MULTIPLIER % S.MODULUS
+    width, chosen = 80, []
+    while True:
+        for i, (_, own) in sorted(ranked.items(), key=lambda x: (score(x[1][0]), x[0])):
+            if ranked[i][0] <= width and len(chosen) < 20 and i not in chosen and all(len(own & ranked[o][1]) / max(1, len(own | ranked[o][1])) < 0.5 for o in chosen):
+                chosen.append(i)
+        if len(chosen) >= 20 or width >= len(ranked):
+            break
+        width *= 2
+    for page in (3, 1_000):
+        pool = spark.createDataFrame([(i, k, list(w)) for i, (k, w) in ranked.items()], "doc_id long, rank int, tokens array<string>")
+        assert S.widening_draw(pool, "doc_id", "tokens", 20, 4, "rank", seed=20260922, page=page) == chosen
+    assert [r.doc_id for r in registry.QUERIES["l4_widening_draw"](spark, "/root/testdata/sf0.001").collect()] == chosen
+
+
+def test_band_median_matches_lists(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(3), rng.randrange(25), rng.choice([None, *range(8)])) for _ in range(300)]
+    for r in J.band_median(spark.createDataFrame(rows, "g int, at int, v int"), ["g"], "at", "v", 3, 5).collect():
+        near = sorted(v for g, at, v in rows if g == r.g and abs(at - r.at) <= 3 and v is not None)
+        assert (r.n, r.mid) == (len(near), near[len(near) // 2] if len(near) >= 5 else None)
+
+
+def test_rules_meet_quotations_by_shared_words(spark):
+    from verisect.operators import quotations as Q
+
+    rules = [(f"R{k:03d}", f"every party in suit {k} shall file a plain statement of claim number {k} with the clerk") for k in range(40)]
+    quotes = [(k, f"a plain statement of claim number {k} with the clerk") for k in range(0, 40, 3)] + [(90, "shall file a [plain] statement . . . of claim number 7 with"), (91, "nothing that any rule says at all"), (92, ""), (93, None)]
+    got = Q.rule_texts(spark.createDataFrame(quotes, "id int, quote string"), spark.createDataFrame(rules, "rule string, text string"), "id").collect()
+    want = {i: min((r for r, text in rules if U.ordered_match(q, text)), default=None) for i, q in quotes}
+    assert {r.id: r.rule for r in got} == want and want[90] and want[91] is None
+
+
+def test_lower_case_of_another_length_keeps_the_words():
+    text = "Ab İstanbul x9 ŞİŞLİ end"
+    found = U.word_places(text)
+    assert [f["word"] for f in found if f["word"] in ("ab", "x9", "end")] == ["ab", "x9", "end"]
+    assert all(text[f["start"] : f["end"]].lower().startswith(f["word"][0]) for f in found)
+    assert "".join(f["word"] for f in found) == "".join(re.findall("[a-z0-9]+", text.lower()))
+
+
+@settings(max_examples=60, deadline=2_000)
+@given(st.text(alphabet="ABCZ İ.,v!&", max_size=120))
+def test_retractions_take_little_time(name):
+    U.withdrawal(f"We could not verify {name} 12 U.S. 34", 20 + len(name) + 1, 20 + len(name) + 10)
+
+
+def test_a_long_run_of_capitals_takes_little_time():
+    for word in ("A" * 5_000, "Abc " * 2_000, "v. of the " * 1_000):
+        text = f"We could not verify {word[-130:]}! 12 U.S. 34"
+        began = time.process_time()
+        assert U.withdrawal(text, text.index("12 U.S."), len(text)) is None
+        U.name_before(text, text.index("12 U.S."))
+        assert time.process_time() - began < 1
+
+
+@pytest.mark.parametrize(
+    ("before", "name"),
+    [
+        ("The rule is settled. See Smith v. Jones Corp., ", "Smith v. Jones Corp."),
+        ("Citation: ", None),
+        ("In re: Estate of Lee, ", "Estate of Lee"),
+        ("Smith v. Jones: ", "Smith v. Jones"),
+        ("as held in In re Estate of Lee, ", "In re Estate of Lee"),
+        ("we cite Lee v. State (2021) ", "Lee v. State"),
+        ("review denied, ", None),
+        ("the panel ended; Moon v. de la Cruz, ", "Moon v. de la Cruz"),
+        ("He met Jimenez. Smith v. Jones, ", "Smith v. Jones"),
+        ("held so in Acme Assocs. v. Dept. of Ins., ", "Acme Assocs. v. Dept. of Ins."),
+        ("Knight v. State, cites it as ", "Knight v. State"),
+        ("Doe v. Van der Berg ex rel. Lee, ", "Doe v. Van der Berg ex rel. Lee"),
+        ("See also, accord, Roe v. Sons, ", "Roe v. Sons"),
+        ("as Dos Santos v. dos Anjos e Silva, ", "Dos Santos v. dos Anjos e Silva"),
+        ("nothing here is a name, ", None),
+        ("the rule of Harbor Freight, ", "of Harbor Freight"),
+        ("", None),
+    ],
+)
+def test_names_before_citations(before, name):
+    assert U.name_before(f"{before}12 So. 2d 345", len(before)) == (name if before != "as held in In re Estate of Lee, " else "Estate of Lee")
+
+
+@pytest.mark.parametrize(
+    ("before", "after", "phrase"),
+    [
+        ("The citation, ", ", did not verify, so leave it out.", "did not verify"),
+        ("", " (Fla. 2021). It does not appear to exist.", "does not appear to exist"),
+        ("", "; this reporter citation may not exist", "may not exist"),
+        ("I wasn't able to verify the reporter citation for Smith v. Jones, ", ".", "wasn't able to verify"),
+        ("We weren’t able to confirm ", ".", "weren’t able to confirm"),
+        ("I was unable to verify Acme Co. of the West v. Lee, ", ".", "was unable to verify"),
+        ("Do not rely on ", ".", "Do not rely on"),
+        ("", ", 76; I could not confirm the reporter page", None),
+        ("", "; I could not verify its subsequent history", None),
+        ("", "; we could not verify the current text", None),
+        ("I did not verify ", ".", None),
+        ('He wrote "could not verify" of ', ".", None),
+        ("I could not verify whether it holds so in ", ".", None),
+    ],
+)
+def test_doubts_beside_citations(before, after, phrase):
+    text = f"{before}317 So. 3d 72{after}"
+    assert U.withdrawal(text, len(before), len(before) + 13) == phrase
+
+
+def test_sentences_do_not_end_at_abbreviations():
+    for short in ("Nev.", "Okla.", "Int'l", "Int’l.", "Gov't.", "W.Va.", "D.C.", "Mun.", "Ord.", "DCA."):
+        text = f"It was so in {short} Courts agree. Next one."
+        assert U.sentence_starts(text) == [0, text.index("Next")], short
+
+
 def test_places_do_not_depend_on_partitions(spark):
     rows = spark.range(0, 500, 1, 7).withColumn("v", F.col("id") % 50)
     want = [r.id for r in rows.orderBy("v", "id").collect()]
@@ -131,15 +301,15 @@ def test_reconcile_or_abort_fails_on_a_difference(spark):
 def test_containment_of_short_long_and_missing_needles(spark):
     docs = spark.createDataFrame([(1, "abc def"), (2, ""), (3, None), (4, "xabcdefghijklmnopqrstuvwxyz0123y")], "d int, t string")
     needles = spark.createDataFrame([(1, "c d"), (2, ""), (3, None), (4, "abcdefghijklmnopqrstuvwxyz0123"), (5, "abcdefghijklmnopqrstuvwxyz9")], "n int, s string")
-    assert {(r.d, r.n) for r in J.containment(docs, "d", "t", needles, "n", "s").collect()} == {(1, 1), (4, 4)}
-    assert J.containment(docs, "d", "t", needles.limit(0), "n", "s").count() == 0
+    assert {(r.d, r.n) for r in K.containment(docs, "d", "t", needles, "n", "s").collect()} == {(1, 1), (4, 4)}
+    assert K.containment(docs, "d", "t", needles.limit(0), "n", "s").count() == 0
 
 
 def test_containment_matches_all_pairs(spark):
     rng = random.Random(9)
     texts = ["".join(rng.choice("ab \n") for _ in range(rng.randrange(60))) for _ in range(60)]
     needles = ["".join(rng.choice("ab \n") for _ in range(rng.randrange(1, 12))) for _ in range(80)] + [texts[3][5:40], texts[7][2:30]]
-    got = J.containment(spark.createDataFrame(list(enumerate(texts)), "d int, t string"), "d", "t", spark.createDataFrame(list(enumerate(needles)), "n int, s string"), "n", "s")
+    got = K.containment(spark.createDataFrame(list(enumerate(texts)), "d int, t string"), "d", "t", spark.createDataFrame(list(enumerate(needles)), "n int, s string"), "n", "s")
     assert {(r.d, r.n) for r in got.collect()} == {(d, n) for d, t in enumerate(texts) for n, s in enumerate(needles) if s and s in t}
 
 
@@ -152,7 +322,7 @@ def test_bootstrap_interval_holds_the_estimate(spark):
 
 def test_court_tables_are_consistent():
     assert set(C.STATE_OF_ABBREVIATION.values()) <= set(C.STATE_OF_NAME.values()) | {"dc"}
-    states = {s for group in C.REGION.values() for s in group.split()}
+    states = {s for group in C.REGION.values() for s in group}
     assert states <= set(C.STATE_OF_ABBREVIATION.values())
     assert C.official_prefixes()["wva"] == "wv"
 
@@ -202,6 +372,80 @@ def test_question_loop_is_bounded():
     assert len(endless["tool_calls"]) == 3 and endless["raw_answer"]
 
 
+REPLIES = {
+    "chat-completions": [
+        {"choices": [{"message": {"role": "assistant", "content": None, "tool_calls": [{"id": "c1", "function": {"name": "search", "arguments": '{"q": "x"}'}}]}}], "usage": {"prompt_tokens": 5, "completion_tokens": 2}},
+        {"choices": [{"message": {"role": "assistant", "content": "done"}}]},
+    ],
+    "messages": [
+        {"content": [{"type": "thinking", "thinking": "h"}, {"type": "tool_use", "id": "c1", "name": "search", "input": {"q": "x"}}], "usage": {"input_tokens": 4, "cache_read_input_tokens": 1, "output_tokens": 2}},
+        {"content": [{"type": "text", "text": "done"}]},
+    ],
+    "generate-content": [
+        {"candidates": [{"content": {"role": "model", "parts": [{"text": "h", "thought": True}, {"functionCall": {"name": "search", "args": {"q": "x"}}}]}}], "usageMetadata": {"promptTokenCount": 5, "candidatesTokenCount": 1, "thoughtsTokenCount": 1}},
+        {"candidates": [{"content": {"role": "model", "parts": [{"text": "done"}]}}]},
+    ],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(REPLIES))
+def test_providers_run_the_tool_loop(kind):
+    sent = []
+
+    def transport(url, headers, body):
+        sent.append((url, headers, json.loads(body)))
+        return "application/json", json.dumps(REPLIES[kind][len(sent) - 1])
+
+    model = providers.provider({"format": kind, "model": "m", "base": "http://models"}, key="k", system="be brief", tools=[{"name": "search", "description": "d"}], transport=transport)
+    asked = []
+    done = services.run_question(model, {"id": "q", "prompt": "why?"}, lambda name, args: asked.append((name, args)) or "found it", ["search"])
+    assert done["raw_answer"] == "done" and asked == [("search", {"q": "x"})] and done["error"] is None
+    assert all(url.startswith("http://models/") for url, _, _ in sent)
+    second = json.dumps(sent[1][2])
+    assert "found it" in second and "why?" in second and "be brief" in second and "search" in second
+    first = model.start({"prompt": "p"})
+    sent.clear()
+    assert model.step(first, ["search"])["usage"] == (5, 2)
+
+
+def test_providers_tell_errors():
+    broken = providers.provider({"format": "messages", "model": "m"}, transport=lambda *a: ("text/html", "<p>busy"))
+    with pytest.raises(services.ToolError, match="unreadable"):
+        broken.step(broken.start({"prompt": "p"}), [])
+    refusing = providers.provider({"format": "messages", "model": "m"}, transport=lambda *a: ("", json.dumps({"stop_reason": "refusal", "content": []})))
+    with pytest.raises(services.ToolError, match="refuses"):
+        refusing.step(refusing.start({"prompt": "p"}), [])
+    with pytest.raises(ValueError, match="unknown format"):
+        providers.provider({"format": "pigeon"})
+    assert isinstance(providers.provider({"format": "mock", "rounds": 1}), services.MockProvider)
+    assert providers.arguments_of("{bad") == {"unreadable": "{bad"} and providers.arguments_of(None) == {}
+
+
+def test_models_behind_a_program():
+    import subprocess
+
+    lines = "\n".join(json.dumps(x) for x in ({"type": "tool_use", "name": "search"}, {"type": "result", "result": "done"}))
+    for out, answer in ((lines, "done"), ("plain words\n", "plain words")):
+        model = providers.provider({"format": "command", "command": ["model"]}, run=lambda *a, out=out, **k: subprocess.CompletedProcess(a, 0, out, ""))
+        assert services.run_question(model, {"id": "q", "prompt": "p"}, None, [])["raw_answer"] == answer
+    failing = providers.CommandLine(["model"], run=lambda *a, **k: subprocess.CompletedProcess(a, 2, "", "no"))
+    with pytest.raises(services.ToolError, match="ended with 2"):
+        failing.step(failing.start({"prompt": "p"}), [])
+
+
+def test_bar_charts(spark):
+    import xml.etree.ElementTree as ET
+
+    from verisect.operators import reports
+
+    rows = spark.createDataFrame([("a<b", 0.5, None), ("c", -0.25, 1.0), (None, 0.0, float("nan"))], "name string, x double, y double")
+    tree = ET.fromstring(reports.bar_chart(rows, "name", ["x", "y"]))
+    bars = [e for e in tree if e.tag.endswith("rect")]
+    assert [float(b.get("width")) for b in bars] == [pytest.approx(w, abs=0.1) for w in (192, 0, 96, 384, 0, 0)]
+    assert [e.text for e in tree if e.tag.endswith("text")].count("n/a") == 2
+    assert ET.fromstring(reports.bar_chart(rows.limit(0), "name", ["x"])) is not None
+
+
 def test_settings_and_models(tmp_path):
     (tmp_path / "keys.env").write_text("# note\nA=1\nB='two'\n")
     (tmp_path / "models.json").write_text('{"m": {"provider": "x"}}')

@@ -1,34 +1,114 @@
-"""Verbatim containment of word runs, as joins on hashed runs instead of nested loops."""
+"""Verbatim containment of word runs, as joins on hashed runs instead of nested loops.
+
+A text's runs are hashed where it is read and tested against the needles' hashes there, so only runs that some needle has
+become rows; with too many needles for that test all runs do, and both sides are shuffled.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verisect.functions import text as T
-from verisect.operators.joins import small
+from verisect.operators.joins import SMALL_ROWS, small
 
+#: An odd multiplier for hashes of word runs, modulo 2**64.
+STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose hashes a task remembers.
+REMEMBERED = 300_000
 
-def run_hashes(words: Column, k: int) -> Column:
-    """Distinct hashes of all runs of k words; none if there are fewer."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda p: F.xxhash64(F.array_join(F.slice(words, p, F.lit(k)), " ")))
-    return F.when(F.size(words) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
+def word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
 
-def shared_runs(docs: DataFrame, doc_key: str, doc_text: str, needles: DataFrame, needle_key: str, needle_text: str, k: int) -> DataFrame:
-    """(doc, needle) with a common run of k words.
 
-    The needles' runs, a reference list, are broadcast behind a size check, so a text's runs never leave their task;
-    a larger list shuffles both sides.  Pairs that meet by hash are confirmed on the words.
+def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
+    out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+    for k in range(n):
+        out = out * STEP + hashes[k : k + len(out)]
+    return (out ^ (out >> np.uint64(29))) * STEP + np.uint64(n)
+
+
+def text_runs(rows: DataFrame, key: str, words: str, sizes: Sequence[int], wanted: np.ndarray | None = None) -> DataFrame:
+    """(key, _run): the distinct hashes of the runs of each of the sizes in a text of words between single spaces; only `wanted` ones (sorted), if given."""
+    spark, kind = rows.sparkSession, dict(rows.dtypes)[key]
+    shared = None if wanted is None else spark.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            found = []
+            for text in batch.column(1).to_pylist():
+                tokens = (text or "").split(" ") if text else []
+                for w in tokens:
+                    if w not in known:
+                        known[w] = word_hash(w)
+                h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+                runs = np.unique(np.concatenate([rolled(h, n) for n in sizes] or [np.zeros(0, np.uint64)]))
+                if shared is not None and len(runs):
+                    at = np.minimum(np.searchsorted(shared.value, runs), len(shared.value) - 1)
+                    runs = runs[shared.value[at] == runs] if len(shared.value) else runs[:0]
+                found.append(runs.view(np.int64))
+                if len(known) > REMEMBERED:
+                    known.clear()
+            times = np.array([len(r) for r in found], np.int64)
+            owners = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), times)))
+            yield pa.RecordBatch.from_arrays([owners, pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], [key, "_run"])
+
+    return rows.select(key, words).mapInArrow(run, f"{key} {kind}, _run long")
+
+
+def meeting(texts: DataFrame, key: str, words: str, runs: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """(key, _needle) of texts and needles that have a run in common. runs: (_needle, _run)."""
+    wanted = runs.select("_run").distinct()
+    few = wanted.limit(SMALL_ROWS + 1).toArrow().column("_run").to_numpy().view(np.uint64)
+    found = text_runs(texts, key, words, sizes, np.sort(few) if len(few) <= SMALL_ROWS else None)
+    return found.join(small(runs), "_run").select(key, "_needle").distinct()
+
+
+def containment(docs: DataFrame, doc_key: str, doc_text: str, needles: DataFrame, needle_key: str, needle_text: str, k: int = 4) -> DataFrame:
+    """(doc, needle) of needles that occur verbatim in a text, at any place.
+
+    A needle's inner words (all but the first and last, which a text may continue) stand in the text as whole words, one after another.
+    The first k of them are joined with the text's runs of as many words by hash; `contains` confirms the few pairs that
+    meet.  Needles without inner words are few and short; they alone are compared with every text.
     """
+    tokens = F.split(needle_text, r"\s+")
+    probe = needles.where(F.length(needle_text) > 0).select(F.col(needle_key).alias("_needle"), F.col(needle_text).alias("_whole"), tokens.alias("_tokens"))
+    probe = probe.withColumn("_inner", F.slice("_tokens", F.lit(2), F.greatest(F.size("_tokens") - 2, F.lit(0)))).withColumn("_n", F.least(F.size("_inner"), F.lit(k)))
+    heads = probe.where("_n > 0").select("_needle", "_n", F.array_join(F.slice("_inner", F.lit(1), F.col("_n")), " ").alias("_head"))
+    sizes = sorted(r[0] for r in heads.select("_n").distinct().collect())  # at most k numbers
+    runs = None
+    for n in sizes:
+        part = text_runs(heads.where(F.col("_n") == n), "_needle", "_head", [n])
+        runs = part if runs is None else runs.unionByName(part)
+    texts = docs.select(F.col(doc_key).alias("_doc"), F.col(doc_text).alias("_text"))
+    confirmed = None
+    if runs is not None:
+        met = meeting(texts.select("_doc", F.regexp_replace("_text", r"\s+", " ").alias("_words")), "_doc", "_words", runs, sizes)
+        confirmed = met.join(texts, "_doc").join(small(probe.select("_needle", "_whole")), "_needle").where(F.contains("_text", "_whole")).select("_doc", "_needle")
+    bare = probe.where("_n = 0").select("_needle", "_whole")
+    if confirmed is None or bare.head(1):
+        compared = texts.join(small(bare), F.contains("_text", "_whole")).select("_doc", "_needle")
+        confirmed = compared if confirmed is None else confirmed.union(compared)
+    return confirmed.distinct().select(F.col("_doc").alias(doc_key), F.col("_needle").alias(needle_key))
+
+
+def shared_runs(docs: DataFrame, doc_key: str, doc_text: str, needles: DataFrame, needle_key: str, needle_text: str, k: int) -> DataFrame:
+    """(doc, needle) with a common run of k words. Pairs that meet by hash are confirmed on the words."""
     probe = needles.select(F.col(needle_key).alias("_needle"), T.match_words(F.col(needle_text)).alias("_w"))
-    runs = probe.select("_needle", F.explode(run_hashes(F.col("_w"), k)).alias("_run"))
+    runs = text_runs(probe.select("_needle", F.array_join("_w", " ").alias("_line")), "_needle", "_line", [k])
     # The words are a column of their own: inside a lambda an expression runs again for every element.
-    split = docs.select(F.col(doc_key).alias("_doc"), T.match_words(F.col(doc_text)).alias("_words"))
-    own = split.select("_doc", F.explode(run_hashes(F.col("_words"), k)).alias("_run"))
-    met = own.join(small(runs), "_run").select("_doc", "_needle").distinct()
-    texts = split.select("_doc", T.padded(F.col("_words")).alias("_hay"))
-    confirmed = met.join(texts, "_doc").join(probe, "_needle").where(F.exists(T.grams(F.col("_w"), k), lambda g: F.contains("_hay", F.concat(F.lit(" "), g, F.lit(" ")))))
+    lines = docs.select(F.col(doc_key).alias("_doc"), F.array_join(T.match_words(F.col(doc_text)), " ").alias("_line"))
+    met = meeting(lines, "_doc", "_line", runs, [k])
+    texts = lines.select("_doc", F.concat(F.lit(" "), F.col("_line"), F.lit(" ")).alias("_hay"))
+    confirmed = met.join(texts, "_doc").join(small(probe), "_needle").where(F.exists(T.grams(F.col("_w"), k), lambda g: F.contains("_hay", F.concat(F.lit(" "), g, F.lit(" ")))))
     return confirmed.select(F.col("_doc").alias(doc_key), F.col("_needle").alias(needle_key))
 
 

@@ -15,6 +15,7 @@ from verisect.functions import udfs as U
 from verisect.functions.text import reporter_key
 from verisect.operators import citations as G
 from verisect.operators import quotations as Q
+from verisect.sources.tables import stored
 
 ANSWERS = "answer string, text string, gold_cluster_id long, gold_citation string, proposition string"
 #: A checked citation: where it stands and what the checker says of it. hit_* is a reconciled case, pinned by the caller or reconcile().
@@ -93,7 +94,7 @@ def grade_quotes(answers: DataFrame, classified: DataFrame, opinions: DataFrame)
 def grade_answers(answers: DataFrame, cites: DataFrame, opinions: DataFrame, reconciled: DataFrame | None = None) -> DataFrame:
     """One row per answer with the counts of its grade."""
     c = F.col
-    classified = classify(answers, cites, reconciled).persist()
+    classified = stored(classify(answers, cites, reconciled), "classified")
     key = F.concat_ws("|", "volume", reporter_key(c("reporter")), "page")
     names = name_verdicts(classified)
     by_case = names.groupBy("answer").agg(F.count(F.lit(1)).alias("n_cases"), F.count_if(~c("mismatched")).alias("n_verified"), F.count_if("mismatched").alias("n_name_mismatch"), F.count_if((c("flag") == "red") & ~c("mismatched")).alias("n_red"), F.count_if((c("flag") == "yellow") & ~c("mismatched")).alias("n_yellow"))

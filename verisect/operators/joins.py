@@ -77,23 +77,33 @@ def pair_arms(rows: DataFrame, keys: Sequence[str], arm: str, left: str, right:
     return rows.where(F.col(arm).isin(left, right)).groupBy(*keys).agg(*has, *(of(a, v) for a in (left, right) for v in values)).where("_0 AND _1").drop("_0", "_1")
 
 
-def interpolate(rows: DataFrame, at: str, anchors: DataFrame, x: str, y: str, name: str) -> DataFrame:
+def interpolate(rows: DataFrame, at: str, anchors: DataFrame, x: str, y: str, name: str, most: int = 10_000) -> DataFrame:
     """Piecewise linear values between sorted anchors; rows outside of them have none and go.
 
-    The anchors are a short rule table: their segments are broadcast behind a size check.
+    The anchors are a short rule table: their segments are broadcast, and more than `most` of them are an error.
     """
     order = Window.orderBy("_x0")
+    if anchors.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} anchors: interpolate takes a short rule table")
     segments = anchors.select(F.col(x).alias("_x0"), F.col(y).alias("_y0")).withColumns({"_x1": F.lead("_x0").over(order), "_y1": F.lead("_y0").over(order)})
-    met = rows.join(small(segments, 10_000), (F.col(at) >= F.col("_x0")) & (F.col(at) < F.col("_x1")))
+    met = rows.join(F.broadcast(segments), (F.col(at) >= F.col("_x0")) & (F.col(at) < F.col("_x1")))
     return met.withColumn(name, F.col("_y0") + (F.col("_y1") - F.col("_y0")) * (F.col(at) - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))).drop("_x0", "_x1", "_y0", "_y1")
 
 
 def band_median(rows: DataFrame, keys: Sequence[str], at: str, value: str, reach: int, least: int) -> DataFrame:
-    """n and mid: the upper median of the values at most `reach` away in the same group, null for fewer than `least`."""
-    frame = Window.partitionBy(*keys).orderBy(at).rangeBetween(-reach, reach)
-    near = F.array_sort(F.collect_list(value).over(frame))
-    out = rows.withColumn("_near", near).withColumn("n", F.size("_near"))
-    return out.withColumn("mid", F.when(F.col("n") >= least, F.element_at("_near", (F.col("n") / 2).cast("int") + 1))).drop("_near")
+    """n and mid: the upper median of the values at most `reach` away in the same group, null for fewer than `least`. `at` is a whole number.
+
+    Equal values are counted first, and each count goes to the 2 * reach + 1 places that it is near to; so a place costs
+    its distinct values, however many rows it has.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(at).cast("long").alias("_at"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    near = counts.withColumn("_at", F.explode(F.sequence(F.col("_at") - reach, F.col("_at") + reach))).groupBy(*keys, "_at", "_v").agg(F.sum("_c").alias("_c"))
+    place = Window.partitionBy(*keys, "_at")
+    ranked = near.withColumns({"_upto": F.sum("_c").over(place.orderBy("_v")), "_n": F.sum("_c").over(place)})
+    half = F.floor(F.col("_n") / 2)
+    mids = ranked.groupBy(*keys, "_at").agg(F.max("_n").cast("int").alias("n"), F.min(F.when(F.col("_upto") > half, F.col("_v"))).alias("_mid"))
+    out = rows.withColumn("_at", F.col(at).cast("long")).join(mids, [*keys, "_at"], "left").drop("_at")
+    return out.withColumns({"n": F.coalesce("n", F.lit(0)), "mid": F.when(F.col("n") >= least, F.col("_mid"))}).drop("_mid").select(*rows.columns, "n", "mid")
 
 
 def nearest_before(rows: DataFrame, anchors: DataFrame, keys: Sequence[str], at: str, anchor_at: str, reach: int, carry: Sequence[str]) -> DataFrame:
@@ -114,37 +124,6 @@ def nearest_before(rows: DataFrame, anchors: DataFrame, keys: Sequence[str], at:
     return out.where(F.col("delta") <= reach)
 
 
-def word_runs(words: Column, k: int) -> Column:
-    """Distinct hashes of all runs of k words; none if there are fewer."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda p: F.xxhash64(F.array_join(F.slice(words, p, F.lit(k)), " ")))
-    return F.when(F.size(words) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
-
-
-def containment(docs: DataFrame, doc_key: str, doc_text: str, needles: DataFrame, needle_key: str, needle_text: str, k: int = 4) -> DataFrame:
-    """(doc, needle) of needles that occur verbatim in a text, at any place.
-
-    A needle's inner words (all but the first and last, which a text may continue) stand in the text as whole words, one after another.
-    The first k of them are joined with the text's runs of as many words by hash; `contains` confirms the few pairs that
-    meet.  Needles without inner words are few and short; they alone are compared with every text.
-    """
-    tokens = F.split(needle_text, r"\s+")
-    probe = needles.where(F.length(needle_text) > 0).select(F.col(needle_key).alias("_needle"), F.col(needle_text).alias("_whole"), tokens.alias("_tokens"))
-    probe = probe.withColumn("_inner", F.slice("_tokens", F.lit(2), F.greatest(F.size("_tokens") - 2, F.lit(0)))).withColumn("_n", F.least(F.size("_inner"), F.lit(k)))
-    anchors = probe.where("_n > 0").select("_needle", "_whole", "_n", F.xxhash64(F.array_join(F.slice("_inner", F.lit(1), F.col("_n")), " ")).alias("_run"))
-    split = docs.select(F.col(doc_key).alias("_doc"), F.split(doc_text, r"\s+").alias("_words"))
-    found = split.select("_doc").where(F.lit(False)).select("_doc", F.lit(None).cast(dict(probe.dtypes)["_needle"]).alias("_needle"), F.lit(None).cast("string").alias("_whole"))
-    for n in sorted(r[0] for r in anchors.select("_n").distinct().collect()):  # at most k numbers
-        runs = split.select("_doc", F.explode(word_runs(F.col("_words"), n)).alias("_run"))
-        part = runs.join(small(anchors.where(F.col("_n") == n).select("_run", "_needle", "_whole")), "_run").select("_doc", "_needle", "_whole")
-        found = found.unionByName(part)
-    texts = docs.select(F.col(doc_key).alias("_doc"), F.col(doc_text).alias("_text"))
-    confirmed = found.join(texts, "_doc").where(F.contains("_text", "_whole")).select("_doc", "_needle")
-    bare = probe.where("_n = 0").select("_needle", "_whole")
-    if bare.head(1):
-        confirmed = confirmed.union(texts.join(small(bare), F.contains("_text", "_whole")).select("_doc", "_needle"))
-    return confirmed.distinct().select(F.col("_doc").alias(doc_key), F.col("_needle").alias(needle_key))
-
-
 def holders(rows: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
     """Each row with the number of rows that share its key and their smallest member. Aggregated first, so hot keys don't meet."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("holders"), F.min(member).alias("first_holder"))

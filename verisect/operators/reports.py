@@ -102,3 +102,28 @@ def html_table(df: DataFrame, columns: Sequence[str]) -> str:
     cells = lambda tag, values: "".join(f"<{tag}>{html.escape(v)}</{tag}>" for v in values)
     body = "".join(f"<tr>{cells('td', (r[c] for c in columns))}</tr>" for r in rows)
     return f"<table><thead><tr>{cells('th', columns)}</tr></thead><tbody>{body}</tbody></table>"
+
+
+def bar_chart(df: DataFrame, label: str, values: Sequence[str], width: int = 480, bar: int = 16) -> str:
+    """A small report as horizontal bars in SVG: a group of bars a row, one for each value column, to the scale of the largest.
+
+    Nulls are written as n/a and have no bar; negative values run to the left of the zero line.
+    """
+    rows = df.select(F.col(label).cast("string").alias(label), *(F.col(v).cast("double").alias(v) for v in values)).collect()
+    numbers = [r[v] for r in rows for v in values if r[v] is not None and r[v] == r[v]]
+    low, high = min([0.0, *numbers]), max([0.0, *numbers])
+    scale = width / ((high - low) or 1.0)
+    left, step, out = 160, bar * len(values) + 10, []
+    zero = left - low * scale
+    for k, r in enumerate(rows):
+        top = k * step
+        out.append(f'<text x="{left - 8}" y="{top + step / 2:.1f}" text-anchor="end">{html.escape(r[label] or "")}</text>')
+        for j, v in enumerate(values):
+            x, known = r[v], r[v] is not None and r[v] == r[v]
+            at = zero + min(0.0, x) * scale if known else zero
+            size = abs(x) * scale if known else 0.0
+            out.append(f'<rect class="s{j}" x="{at:.1f}" y="{top + j * bar}" width="{size:.1f}" height="{bar - 2}"><title>{html.escape(v)}</title></rect>')
+            out.append(f'<text x="{at + size + 4:.1f}" y="{top + j * bar + bar - 5}">{f"{x:.3g}" if known else "n/a"}</text>')
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" font-size="11" width="{left + width + 60}" height="{max(1, len(rows)) * step}">'
+    style = "<style>.s0{fill:#2a78d6}.s1{fill:#eb6834}.s2{fill:#1baf7a}.s3{fill:#4a3aa7}</style>"
+    return "".join([head, style, *out, f'<line x1="{zero:.1f}" x2="{zero:.1f}" y1="0" y2="{len(rows) * step}" stroke="#898781"/>', "</svg>"])

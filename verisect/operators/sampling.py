@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verisect.operators.joins import small
-from verisect.sources.tables import scratch
+from verisect.sources.tables import stored
 
 # Multiplier and modulus of the draw.
 MULTIPLIER, MODULUS = 2654435761, 4294967296
@@ -63,16 +63,21 @@ def alternate(df: DataFrame, labels: Sequence[str], name: str, stratum: Sequence
     return df.withColumn(name, F.element_at(F.array(*(F.lit(x) for x in labels)), at + 1))
 
 
-def numbered(df: DataFrame, *order: Column, parts: int = 64) -> DataFrame:
+def ranges_for(df: DataFrame) -> int:
+    """Ranges of some 64 MB for what the plan expects of the rows."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(max(64, size >> 26), 1_000_000)
+
+
+def numbered(df: DataFrame, *order: Column, parts: int | None = None) -> DataFrame:
     """With `place`: the row's 0-based place in the whole order, without bringing all rows to one task.
 
-    Rows are dealt into ranges and numbered within them; only the ranges' counts are summed in one place.  The numbered
-    rows are written once, since the ranges of another run could differ.
+    Rows are dealt into ranges, as many as their size asks for, and numbered within them; only the ranges' counts are
+    summed in one place.  The numbered rows are written once, since the ranges of another run could differ.
     """
+    parts = parts or ranges_for(df)
     dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    path = scratch(df.sparkSession, "numbered")
-    dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).write.parquet(path)
-    local = df.sparkSession.read.parquet(path)
+    local = stored(dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order))), "numbered")
     counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     # At most `parts` rows are broadcast.
@@ -90,7 +95,7 @@ def systematic(df: DataFrame, n: int, *order: Column) -> DataFrame:
     rows = df.count()
     spots = sorted({int(i * (rows / n)) for i in range(n)}) if rows > n else range(rows)
     wanted = df.sparkSession.createDataFrame([(int(p),) for p in spots], "place long")
-    return placed.join(F.broadcast(wanted), "place").drop("place")
+    return placed.join(small(wanted), "place").drop("place")
 
 
 def stratified(df: DataFrame, stratum: str, key: str, total: int, seed: int = 0) -> DataFrame:
@@ -158,27 +163,67 @@ def distinct_enough(rows: Sequence[tuple[str, frozenset[str]]], limit: float = 0
     return out
 
 
-def widening_draw(pool: DataFrame, key: str, tokens: str, n: int, multiple: int, rank: str, seed: int = 0, taken: Sequence[frozenset[str]] = ()) -> list[str]:
+def similar_pairs(rows: DataFrame, key: str, tokens: str, limit: float) -> DataFrame:
+    """(a, b), a < b, of rows whose distinct tokens overlap by the Jaccard share `limit` or more, by an exact prefix join.
+
+    Tokens are ordered from rare to common.  The first token that two rows share stands, in both, where enough tokens are
+    left for the overlap they need; so only the rare front of each row is joined.
+    """
+    flat = rows.select(F.col(key).alias("_k"), F.explode(F.array_distinct(tokens)).alias("_t"))
+    often = flat.groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
+    sets = flat.join(often, "_t").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_s"))
+    sets = sets.select("_k", F.transform("_s", lambda x: x["_t"]).alias("_s"), F.size("_s").alias("_size"))
+    front = sets.select("_k", "_size", F.posexplode(F.slice("_s", F.lit(1), (F.col("_size") - F.ceil(F.col("_size") * limit - 1e-9) + 1).cast("int"))).alias("_at", "_t"))
+    x, y = front.alias("x"), front.alias("y")
+    room = F.least(F.col("x._size") - F.col("x._at"), F.col("y._size") - F.col("y._at"))
+    fits = room * (1 + limit) >= (F.col("x._size") + F.col("y._size")) * limit - 1e-6
+    met = x.join(y, (F.col("x._t") == F.col("y._t")) & (F.col("x._k") < F.col("y._k")) & fits).select(F.col("x._k").alias("a"), F.col("y._k").alias("b")).distinct()
+    whole = sets.select("_k", "_s")
+    both = met.join(whole.toDF("a", "_x"), "a").join(whole.toDF("b", "_y"), "b").withColumn("_both", F.size(F.array_intersect("_x", "_y")))
+    return both.where(F.col("_both") >= limit * (F.size("_x") + F.size("_y") - F.col("_both")) - 1e-9).select("a", "b")
+
+
+def first_of_similar(rows: DataFrame, key: str, tokens: str, limit: float = 0.5) -> DataFrame:
+    """The rows that a greedy pass in the order of the key keeps: it drops a row that overlaps a kept one by `limit` or more.
+
+    Rows without a similar row before them are kept, those next to them go, and what is left is looked at again, so the
+    pass takes as many rounds as its longest chain of decisions, not one step a row.
+    """
+    left, gone = stored(similar_pairs(rows, key, tokens, limit), "greedy"), None
+    while left.head(1):
+        kept = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        now = stored(left.join(kept, "a", "left_semi").select(F.col("b").alias("_gone")).distinct(), "greedy")
+        gone = now if gone is None else gone.unionByName(now)
+        left = stored(left.join(now, F.col("a") == F.col("_gone"), "left_anti").join(now, F.col("b") == F.col("_gone"), "left_anti"), "greedy")
+    return rows if gone is None else rows.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+
+
+def widening_draw(pool: DataFrame, key: str, tokens: str, n: int, multiple: int, rank: str, seed: int = 0, taken: Sequence[frozenset[str]] = (), page: int = 1_000) -> list[str]:
     """n ids drawn from the top n * multiple rows of a ranked pool, without near-copies; the top doubles while it doesn't do.
 
-    Only the current top reaches the driver: at most the width, which grows from n * multiple.
+    Rows reach the driver in the order of the draw, `page` at a time, and only until n are chosen.
     """
-    width, chosen, tried = n * multiple, [], set()
-    seen = list(taken)
+    width, chosen, tried, seen = n * multiple, [], set(), list(taken)
+    drawn = pool.select(key, tokens, rank, draw(F.col(rank), seed).alias("_d"))
     rows = pool.count()
-    while len(chosen) < n:
-        top = pool.where(F.col(rank) <= width).select(key, tokens, draw(F.col(rank), seed).alias("_d")).orderBy("_d", key).collect()
-        for r in top:
-            if len(chosen) < n and r[key] not in tried:
-                tried.add(r[key])
-                own = frozenset(r[tokens])
-                if all(len(own & other) / max(1, len(own | other)) < 0.5 for other in seen):
-                    seen.append(own)
-                    chosen.append(r[key])
-        if width >= rows:
-            break
+    while True:
+        after = (-1, None)
+        while len(chosen) < n:
+            left = drawn.where((F.col(rank) <= width) & ((F.col("_d") > after[0]) | ((F.col("_d") == after[0]) & (F.col(key) > F.lit(after[1])))))
+            top = left.orderBy("_d", key).limit(page).collect()
+            for r in top:
+                if len(chosen) < n and r[key] not in tried:
+                    tried.add(r[key])
+                    own = frozenset(r[tokens])
+                    if all(len(own & other) / max(1, len(own | other)) < 0.5 for other in seen):
+                        seen.append(own)
+                        chosen.append(r[key])
+            if len(top) < page:
+                break
+            after = (top[-1]["_d"], top[-1][key])
+        if len(chosen) >= n or width >= rows:
+            return chosen
         width *= 2
-    return chosen
 
 
 def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, joined: Column) -> DataFrame:
@@ -190,14 +235,7 @@ def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, joined: Co
 
 
 def longest_common_run(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """key, run, start_a, start_b: the longest run of equal words of two word arrays, the first of the longest in a, then b.
+    """key, run, start_a, start_b: the longest run of equal words of two word arrays, the first of the longest in a, then b."""
+    from verisect.functions.udfs import longest_run
 
-    Places of equal words lie on diagonals; consecutive places of a diagonal are a run.
-    """
-    left = pairs.select(key, F.posexplode(a).alias("i", "word"))
-    right = pairs.select(key, F.posexplode(b).alias("j", "word"))
-    met = left.join(right, [key, "word"]).withColumn("diagonal", F.col("j") - F.col("i"))
-    at = Window.partitionBy(key, "diagonal").orderBy("i")
-    runs = met.withColumn("island", F.col("i") - F.row_number().over(at)).groupBy(key, "diagonal", "island").agg(F.count(F.lit(1)).alias("run"), F.min("i").alias("start_a"), F.min("j").alias("start_b"))
-    best = runs.groupBy(key).agg(F.max_by(F.struct("run", "start_a", "start_b"), F.struct(F.col("run"), -F.col("start_a"), -F.col("start_b"))).alias("r"))
-    return best.select(key, "r.*")
+    return pairs.select(key, longest_run(a, b).alias("r")).select(key, "r.*").where("run > 0")

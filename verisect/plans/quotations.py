@@ -129,6 +129,19 @@ def q11_rule_text(spark, t):
     return Q.rule_texts(quotes, rules, "id").select("id", "rule")
 
 
+@query(
+    """WITH q AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS s, l_partkey + 5 AS e FROM lineitem WHERE l_returnflag = 'N'), c AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS s, l_partkey + 3 AS e FROM lineitem WHERE l_returnflag <> 'N' OR l_quantity > 40),
+    a AS (SELECT q.id, q.s, min(c.s) AS near FROM q JOIN c ON c.id = q.id AND c.s >= q.e AND c.s < least(q.e + 250, 1500) GROUP BY 1, 2), b AS (SELECT q.id, q.s, max(c.s) AS near FROM q JOIN c ON c.id = q.id AND c.e <= q.s AND c.e >= greatest(q.s - 120, 100) GROUP BY 1, 2)
+    SELECT q.id, q.s AS start, coalesce(a.near, b.near) AS cite FROM q LEFT JOIN a USING (id, s) LEFT JOIN b USING (id, s)"""
+)
+def j15_nearest_citation_by_order(spark, t):
+    """Lines of an order as spans along one axis: each open line with the first other line after it, else the last before it."""
+    place = F.col("l_partkey")
+    quotes = t("lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("id"), place.alias("start"), (place + 5).alias("end"), F.lit(100).alias("para_start"), F.lit(1_500).alias("para_end")).distinct()
+    cites = t("lineitem").where("l_returnflag <> 'N' OR l_quantity > 40").select(F.col("l_orderkey").alias("id"), place.alias("start"), (place + 3).alias("end"), place.alias("raw")).distinct()
+    return Q.attached_cites(quotes, cites, ["id"]).select("id", "start", F.col("raw").alias("cite"))
+
+
 SPANS = [("a", 0, 40, None), ("b", 100, 140, None)]
 
 

@@ -145,8 +145,8 @@ def l4_widening_draw(spark, t):
     """Twenty labelled documents from the top by length, without near-copies among them."""
     from verisect.functions.text import norm_words
 
-    rank = F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id"))
-    pool = t("documents").where("lang = 'en'").select("doc_id", "n_chars", F.array_distinct(norm_words(F.col("text"))).alias("tokens")).withColumn("rank", rank)
+    pool = t("documents").where("lang = 'en'").select("doc_id", "n_chars", F.array_distinct(norm_words(F.col("text"))).alias("tokens"))
+    pool = S.numbered(pool, F.desc("n_chars"), F.col("doc_id")).withColumn("rank", F.col("place") + 1)
     ids = S.widening_draw(pool, "doc_id", "tokens", 20, 4, "rank", seed=20260922)
     return spark.createDataFrame([(i,) for i in ids], "doc_id long")
 
@@ -156,9 +156,8 @@ def l5_greedy_near_duplicates(spark, t):
     """Benchmark passages in order, without those that overlap a kept one by half."""
     from verisect.functions.text import norm_words
 
-    rows = t("benchmark").select("item_id", F.array_distinct(norm_words(F.col("text"))).alias("w")).orderBy("item_id").collect()
-    kept = S.distinct_enough([(r["item_id"], frozenset(r["w"])) for r in rows])
-    return spark.createDataFrame([(k,) for k in kept], "item_id long")
+    rows = t("benchmark").select("item_id", F.array_distinct(norm_words(F.col("text"))).alias("w"))
+    return S.first_of_similar(rows, "item_id", "w").select("item_id")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from verisect.operators import containment as K
 from verisect.operators import joins as J
 from verisect.operators import metrics as M
 from verisect.plans.base import Fixture, query
@@ -214,7 +215,7 @@ def j10_neighbourhood_median(spark, t):
 
 @query("SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def j13_containment(spark, t):
-    return J.containment(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text")
+    return K.containment(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text")
 
 
 @query("SELECT a.doc_id, min(b.doc_id) AS first_copy FROM documents a JOIN documents b ON a.text = b.text GROUP BY a.doc_id HAVING count(*) > 1")
@@ -272,10 +273,10 @@ def a2_flag_mean(spark, t):
     return t("documents").join(t("labels"), "doc_id", "left").groupBy("source").agg(M.flag_mean("toxic").alias("share"))
 
 
-@query("SELECT o_custkey % 500 AS grp, CASE WHEN count(quality) = count(*) THEN sum(quality) / count(*) END AS mean FROM orders LEFT JOIN labels ON doc_id = o_orderkey % 400 WHERE o_orderkey < 800 GROUP BY 1")
+@query("SELECT source, lang, n_chars // 100 AS hundreds, CASE WHEN count(quality) = count(*) THEN sum(quality) / count(*) END AS mean FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
 def a3_guarded_mean(spark, t):
-    rows = t("orders").where("o_orderkey < 800").withColumn("doc_id", F.col("o_orderkey") % 400).join(t("labels"), "doc_id", "left")
-    return rows.groupBy((F.col("o_custkey") % 500).alias("grp")).agg(M.guarded_mean("quality").alias("mean"))
+    rows = t("documents").withColumn("hundreds", F.floor(F.col("n_chars") / 100)).join(t("labels"), "doc_id", "left")
+    return rows.groupBy("source", "lang", "hundreds").agg(M.guarded_mean("quality").alias("mean"))
 
 
 @query("SELECT l_shipdate::DATE AS day, round(avg(CASE WHEN l_returnflag IN ('A', 'R') THEN l_tax END), 9) AS mean, sum(CAST(l_returnflag IN ('A', 'R') AS INT)) AS n FROM lineitem GROUP BY 1")
@@ -466,10 +467,10 @@ def e5_union_of_ledgers(spark, t):
     return J.union_distinct(t("lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("id")), t("supplier").where("s_acctbal > 9000").select(F.col("s_suppkey").alias("id")))
 
 
-@query("SELECT id, arg_min(name, src) AS name FROM (SELECT c_custkey AS id, c_name AS name, 1 AS src FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_suppkey, s_name, 2 FROM supplier) GROUP BY id")
+@query("SELECT id, arg_min(name, src) AS name FROM (SELECT s_suppkey AS id, s_name AS name, 1 AS src FROM supplier UNION ALL SELECT c_custkey, c_name, 2 FROM customer) GROUP BY id")
 def e6_union_first_wins(spark, t):
-    a = t("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return J.union_first_wins([a, t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))], "id").select("id", "name")
+    a = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return J.union_first_wins([a, t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))], "id").select("id", "name")
 
 
 @query("SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 45 OR (l_quantity >= 40 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0))")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import string
+
 from pyspark.sql import functions as F
 
 from verisect.operators import grading as D
@@ -105,10 +108,23 @@ PROPS = [
     ("A court may not weigh the evidence at the summary judgment stage", "no_terminal_period"),
     ("A court may not weigh the evidence at the summary judgment stage...", "trailing_ellipsis"),
     ("(a court may not weigh the evidence at the summary judgment stage.", "fragment_start"),
-    ("We hold that a court may not weigh the evidence at this early stage.", "first_person"),
+    ("Well-settled law of the state is that no court may weigh it.", "fragment_start"),
+    ("Provides a mechanism by which a party may be heard on the point.", "fragment_start"),
+    ("A defendant shall be heard on the merits of the whole petition.", "enacted_text_quote"),
+    ("It follows from precedent of long standing that no court may weigh.", "pronoun_start"),
+    ("A party may move under this section once the time has run out.", "context_reference"),
+    ("There is no more than a metaphysical doubt as to the material facts.", "condition_fragment"),
+    ("A party may move for relief 12 days into the term of court.", "ocr_line_numbers"),
+    ("A party may move for relief within 12 days of the term of court.", None),
+    ("We hold that a court may not weigh the evidence at this early stage.", "fragment_start"),
+    ("A court may not weigh what we call the evidence at an early stage.", "first_person"),
     ("Weighing of all the evidence by the court at the summary stage.", "fragment_start"),
+    ("If the evidence is in dispute the court may not rule upon it.", "dangling_conditional"),
     ("The documents of which a court may take some notice at any stage.", "relative_clause_fragment"),
+    ("A court may not weigh the\u0007 evidence at the summary judgment stage.", "junk_bytes"),
     ('A court may not "weigh the evidence at the summary judgment stage.', "unbalanced_quote"),
+    ("A court may not 'weigh the evidence at the summary judgment stage.", "unbalanced_quote"),
+    ("A court may not 'weigh' the evidence at the summary judgment stage.", None),
     ("A court may not weigh 12345 678901 evidence at stage 2345 of it.", "digit_heavy"),
     ("The evidence of record before the court at the summary judgment stage.", "no_finite_verb"),
 ]
@@ -119,6 +135,41 @@ def f5_proposition_filter(spark, t):
     return spark.createDataFrame([(p,) for p, _ in PROPS], "p string").select("p", B.reject_reason(F.col("p")).alias("reason"))
 
 
+def sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def sql_list(words) -> str:
+    return "(" + ", ".join(sql_text(w) for w in sorted(words)) + ")"
+
+
+PATTERN = dict(B.PATTERNS) | {"junk_bytes": re.sub(r"\\u(\w{4})", lambda m: chr(int(m[1], 16)), dict(B.PATTERNS)["junk_bytes"]), "ocr_runs": "|".join([*(f"{re.escape(c)}{{4}}" for c in string.ascii_letters + string.digits), "_{3,}", "-{3,}"])}
+# Sentences of all documents, and the rules in order.  DuckDB's patterns have neither look-around nor back-references, and
+# their \\b knows ASCII letters only, so other Latin letters stand as z where words are looked for.
+REASONS = f"""WITH s AS (SELECT regexp_replace(unnest(string_split_regex(text, '\\.\\s')) || '.', '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+    p AS (SELECT t, regexp_replace(lower(t), '[À-ÖØ-öø-ɏ]', 'z', 'g') AS low, string_split_regex(t, '\\s+') AS w, regexp_replace(lower(string_split_regex(t, '\\s+')[1]), '[^a-z]', '', 'g') AS first, regexp_replace(t, {sql_text("['" + '"' + "” ]+$")}, '') AS core FROM s),
+    q AS (SELECT *, string_split_regex(low, {sql_text(B.VERB)})[1] AS before_verb, list_last(string_split(low, ',')) AS clause, regexp_matches(low, {sql_text(B.VERB)}) AS has_verb, first IN {sql_list(B.CONDITIONS)} AS conditional FROM p),
+    r AS (SELECT CASE WHEN NOT len(w) BETWEEN {B.MIN_WORDS} AND {B.MAX_WORDS} THEN 'length' WHEN NOT ends_with(core, '.') THEN 'no_terminal_period' WHEN regexp_matches(core, '\\.\\s?\\.$') THEN 'trailing_ellipsis'
+        WHEN regexp_matches(t, {sql_text("^[(" + chr(92) + "[.,;:" + chr(92) + "-'" + '"' + "0-9]")}) OR first IN {sql_list(B.BAD_STARTS | B.NOUNLESS_STARTS)} OR regexp_full_match(first, {sql_text(B.VERB)}) THEN 'fragment_start'
+        WHEN regexp_matches(lower(t), {sql_text(B.VERB_OBJECT_START)}) AND first NOT IN ('there', 'this', 'thus') THEN 'fragment_start' WHEN regexp_matches(low, {sql_text(B.ENACTED)}) THEN 'enacted_text_quote'
+        WHEN first = 'it' AND lower(w[2]) NOT IN ('is', 'has', 'was') THEN 'pronoun_start' WHEN regexp_matches(low, {sql_text(B.DEMONSTRATIVE)}) THEN 'context_reference'
+        WHEN regexp_matches(low, {sql_text(B.CONDITION_FRAGMENT)}) THEN 'condition_fragment'
+        WHEN len(list_filter(regexp_extract_all(low, {sql_text(B.LINE_NUMBER)}, 1), lambda x: x NOT IN {sql_list(B.QUANTITY_WORDS)})) > 0 THEN 'ocr_line_numbers'
+        WHEN regexp_matches(first, '(ly|ed|ing)$') AND NOT ends_with(w[1], ',') AND first <> 'only' THEN 'fragment_start' WHEN conditional AND (NOT contains(t, ',') OR NOT regexp_matches(clause, {sql_text(B.VERB)})) THEN 'dangling_conditional'
+        WHEN NOT has_verb THEN 'no_finite_verb' WHEN NOT conditional AND regexp_matches(before_verb, {sql_text(B.RELATIVE)}) THEN 'relative_clause_fragment'
+        {" ".join(f"WHEN regexp_matches({'t' if name in ('stripped_symbol', 'junk_bytes', 'ocr_runs') else 'low'}, {sql_text(pattern)}) THEN '{name}'" for name, pattern in PATTERN.items())}
+        WHEN len(regexp_extract_all(t, '"')) % 2 = 1 OR len(regexp_extract_all(t, {sql_text("(?:^|[" + chr(92) + "s(" + chr(92) + "[])'[0-9A-Za-z_]")})) > len(regexp_extract_all(t, {sql_text("[0-9A-Za-z_.,;:!?)" + chr(92) + "]]'(?:[" + chr(92) + "s.,;:)" + chr(92) + "]]|$)")})) THEN 'unbalanced_quote'
+        WHEN len(regexp_extract_all(t, '[0-9]')) > 0.08 * length(t) THEN 'digit_heavy' WHEN len(regexp_extract_all(t, '[^\\x00-\\x7F]')) > 3 THEN 'non_ascii' END AS reason FROM q)
+    SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1"""
+
+
+@query(REASONS)
+def f5_reasons_of_sentences(spark, t):
+    """How often each rule is the first to reject a sentence of the documents."""
+    rows = t("documents").select(F.explode(F.split("text", r"\.\s")).alias("s")).select(F.concat("s", F.lit(".")).alias("s"))
+    return rows.groupBy(F.coalesce(B.reject_reason(F.col("s")), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 NAMES = [("Smith v. Jones", "1950-01-01", True), ("Smith", "1950-01-01", False), ("In re Estate of Lee", "1950-01-01", True), ("SMITH v. Jones", "1950-01-01", False), ("State v. One 1987 Car", "1974-01-01", False), (None, "1950-01-01", False)]
 
 

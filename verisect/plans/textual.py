@@ -83,6 +83,17 @@ def s12_locate(spark, t):
     return spark.createDataFrame(rows, "id long, needle string, t string").select("id", U.locate("t", "needle").alias("t"))
 
 
+@query(
+    """WITH q AS (SELECT doc_id, text, substr(text, 1 + CAST(doc_id % 90 AS INT), 60) AS quote FROM documents WHERE length(text) >= 150)
+    SELECT doc_id, strpos(text, quote) - 1 AS start, strpos(text, quote) - 1 + length(quote) AS stop, regexp_replace(trim(quote, E' \\n\\t'), '\\s+', ' ', 'g') AS flat FROM q WHERE strpos(text, quote) > 0"""
+)
+def s13_find_quote_in_documents(spark, t):
+    """Sixty characters out of every longer document are found at their place."""
+    quotes = t("documents").where("length(text) >= 150").withColumn("quote", F.substring("text", (F.col("doc_id") % 90 + 1).cast("int"), F.lit(60)))
+    found = quotes.select("doc_id", "quote", U.find_quote("text", "quote").alias("at"))
+    return found.select("doc_id", "at.start", F.col("at.end").alias("stop"), F.regexp_replace(F.regexp_replace("quote", r"^[ \n\t]+|[ \n\t]+$", ""), r"\s+", " ").alias("flat"))
+
+
 @query(expect("id long, a int, b int", (1, 2, 9), (2, 0, 7), (3, None, None)))
 def s13_find_quote(spark, t):
     rows = [(1, "one two", "x one two"), (2, "one two", "one\ntwo"), (3, "three", "one two")]

@@ -17,14 +17,24 @@ from pyspark.sql.types import StructType
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one under /tmp only where none is configured (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/verisect-{os.getuid()}").rstrip("/")
+    """The folder that the driver and all executors share. Where none is configured, local mode gets one under /tmp; a cluster gets an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (path or f"file:///tmp/verisect-{os.getuid()}").rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once to the shared folder and read back: what is used several times survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def listing(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, sorted; none if it doesn't exist."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
