@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from verisect.functions import cites as C
 from verisect.functions import udfs as U
 from verisect.operators import citations as G
+from verisect.operators import grading as D
 from verisect.operators import quotations as Q
+from verisect.operators import reports as R
+from verisect.operators import rules
 from verisect.plans.base import query
+from verisect.plans.reports import METRICS, RUNS
 
 VOLUME, PAGE = "(o_custkey % 900 + 1)", "(o_orderkey % 9000 + 1)"
 CITE = f"concat({VOLUME}, ' So. 2d ', {PAGE})"
@@ -142,3 +146,86 @@ def q30_predictions_of_orders(spark, t):
 def q36_tool_calls_of_orders(spark, t):
     text = """CASE status WHEN 'F' THEN concat('```json\\n{"name": "get", "arguments": {"id": ', id, '}}\\n```') WHEN 'O' THEN concat('call:get_case{id:', id, '}') ELSE concat('{"answer": ', id, '}') END"""
     return orders(t, text=text).select("id", U.tool_call_leak("text").alias("leak"))
+
+
+@query(
+    f"""WITH o AS ({COLUMNS}) SELECT CAST(id AS VARCHAR) AS answer, CASE status WHEN 'P' THEN 2 ELSE 1 END AS n_cites, CASE status WHEN 'O' THEN 0 ELSE 1 END AS n_verified, CASE status WHEN 'F' THEN 0 ELSE 1 END AS n_fabricated,
+    0 AS n_quote_absent, CASE status WHEN 'O' THEN 1 ELSE 0 END AS n_quote_unattributed, CASE status WHEN 'P' THEN 1 ELSE 0 END AS n_red, CASE status WHEN 'F' THEN 1 ELSE 0 END AS gold_hit, CASE status WHEN 'P' THEN 1 ELSE 0 END AS warned_treatment, 0 AS n_name_mismatch, 0 AS abstained FROM o"""
+)
+def d1_grades_of_orders(spark, t):
+    """An answer an order: its case with a true quotation; a made-up citation with a quotation from elsewhere; bad law beside a made-up citation."""
+    name = "concat('Party', party, ' v. State')"
+    true, false = "the moving party must show that no fact is in dispute", "these words were never written down by any court at all"
+    text = f"""CASE status WHEN 'F' THEN concat('The rule is settled. See ', {name}, ', ', cite, ' (Fla. 1950). The court held "{true}".')
+        WHEN 'O' THEN concat('See ', {name}, ', ', cite, ' (Fla. 1950). The court held "{false}". So in Gold v. State, 1 U.S. 2, too.')
+        ELSE concat('See ', {name}, ', ', cite, ' (Fla. 1950), which was overruled, and Moon v. Sun, 999 F.3d 1 (2020).') END"""
+    rows = orders(t, text=text, name=name).withColumn("answer", F.col("id").cast("string"))
+    answers = rows.select("answer", "text", F.when(F.col("status") == "F", F.col("party")).otherwise(-1).cast("long").alias("gold_cluster_id"), F.lit("Gold v. Silver, 7 U.S. 8").alias("gold_citation"), F.lit("x").alias("proposition"))
+    none = F.lit(None).cast("string")
+
+    def cite(part, ord_, raw, volume, reporter, page, cluster, flag):
+        known = cluster.isNotNull()
+        return part.select(
+            "answer", F.lit(ord_).alias("ord"), raw.alias("raw"), volume.alias("volume"), F.lit(reporter).alias("reporter"), page.alias("page"), (F.instr("text", raw) - 1).alias("start"), cluster.cast("long").alias("cluster_id"), none.alias("resolution"),
+            F.when(known, F.col("name")).alias("case_name"), F.when(known, F.lit(flag)).alias("flag"), F.when(known, "match").alias("party_verdict"), none.alias("lhs"), none.alias("rhs"), F.expr("cast(array() as array<struct<cluster_id:bigint,page:string>>)").alias("did_you_mean"),
+        )
+
+    own = [F.col(c) for c in ("cite", "volume")]
+    of = lambda status: rows.where(F.col("status") == status)
+    cites = cite(of("F"), 1, *own, "So. 2d", F.col("page"), F.col("party"), "green")
+    cites = cites.unionByName(cite(of("O"), 1, *own, "So. 2d", F.col("page"), F.lit(None), None))
+    cites = cites.unionByName(cite(of("P"), 1, *own, "So. 2d", F.col("page"), F.col("party"), "red"))
+    cites = cites.unionByName(cite(of("P"), 2, F.lit("999 F.3d 1"), F.lit("999"), "F.3d", F.lit("1"), F.lit(None), None))
+    opinions = rows.select(F.col("party").cast("long").alias("cluster_id")).distinct().withColumn("text", F.lit(f"We hold, as ever, that {true}."))
+    names = "answer n_cites n_verified n_fabricated n_quote_absent n_quote_unattributed n_red gold_hit warned_treatment n_name_mismatch abstained"
+    return D.grade_answers(answers, cites, opinions).select(*names.split())
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, status = 'F' OR (status = 'O' AND id % 2 = 0) AS passed, CASE WHEN status = 'F' OR (status = 'O' AND id % 2 = 0) THEN 'ok' WHEN status = 'O' THEN 'vendor cite on the answer line' ELSE concat('missing ', lower(cite)) END AS reason FROM o")
+def q23_answers_of_orders(spark, t):
+    """Answer lines against each order's own gold: the citation, the citation beside a vendor's, another page."""
+    text = """CASE WHEN status = 'F' THEN concat('It is so.\nANSWER: ', cite, ' (Fla. ', year, ')') WHEN status = 'O' THEN concat('ANSWER: ', cite, CASE WHEN id % 2 = 1 THEN ', 1999 WL 1' ELSE '' END) ELSE concat('ANSWER: ', volume, ' So. 2d 0', page) END"""
+    rows = orders(t, text=text).withColumn("gold", F.to_json(F.struct(F.array("cite").alias("right"), F.lit(True).alias("forbid_vendor"))))
+    return rows.select("id", rules.grade_answer("text", "gold", F.lit(None).cast("string")).alias("g")).select("id", "g.passed", "g.reason")
+
+
+ANSWERED = """SELECT {run} AS run_id, CAST(o_orderkey AS {text}) AS qid, CASE o_custkey % 3 WHEN 0 THEN '[1, 2]' WHEN 1 THEN '[]' END AS tool_calls_json, CASE WHEN o_custkey % 7 > 0 THEN 0.25 * (o_custkey % 5) END AS cost_usd,
+    CAST(o_custkey % 11 AS DOUBLE) AS latency_s, CASE WHEN o_custkey % 13 = 0 THEN 'timeout' END AS error FROM orders WHERE {where}"""
+GRADED = """SELECT {run} AS run_id, CAST(o_orderkey AS {text}) AS qid, CAST(o_custkey % 6 AS BIGINT) AS n_cites, CAST(o_custkey % 4 AS BIGINT) AS n_verified, CAST(o_custkey % 3 AS BIGINT) AS n_fabricated, CAST(0 AS BIGINT) AS n_unindexed, CAST(o_orderkey % 2 AS BIGINT) AS n_name_mismatch,
+    CAST(o_custkey % 2 AS BIGINT) AS n_quote_absent, CAST(o_orderkey % 3 AS BIGINT) AS n_red, CAST((o_orderkey + {turn}) % 2 AS BIGINT) AS gold_hit, CASE WHEN o_orderstatus <> 'P' OR o_custkey % 5 > 0 THEN CAST(1 AS BIGINT) END AS gold_equivalent, CAST(CASE WHEN o_custkey % 9 = 0 THEN 1 ELSE 0 END AS BIGINT) AS abstained,
+    CASE WHEN o_custkey % 4 > 0 THEN CAST(o_custkey % 2 AS BIGINT) END AS warned_treatment, CASE WHEN o_custkey % 2 = 0 THEN 'g1' ELSE 'g2' END AS grader_version FROM orders WHERE o_custkey % 13 <> 0 AND {where}"""
+ARMS = (("'m:bare:v1'", "1 = 1", 0), ("'m:mcp:v1'", "o_orderstatus <> 'F'", 1), ("'mock:bare:v1'", "o_orderstatus = 'P'", 0))
+QUESTIONS = "SELECT CAST(o_orderkey AS {text}) AS qid, CASE o_orderkey % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'yellow' ELSE 'green' END AS gold_flag FROM orders"
+
+
+def over_arms(template: str, text: str) -> str:
+    return " UNION ALL ".join(template.format(run=run, where=where, turn=turn, text=text) for run, where, turn in ARMS)
+
+
+TABLES = f"{RUNS.cte()}, answers AS ({over_arms(ANSWERED, 'VARCHAR')}), grades AS ({over_arms(GRADED, 'VARCHAR')}), gold AS ({QUESTIONS.format(text='VARCHAR')})"
+
+
+def run_tables(spark, t):
+    """Runs, answers, grades and gold: every order is a question that one arm answers, and all but finished orders another."""
+    t("orders").createOrReplaceTempView("orders_of_runs")
+    sql = lambda text: spark.sql(text.replace("FROM orders", "FROM orders_of_runs"))
+    return RUNS.df(spark), sql(over_arms(ANSWERED, "STRING")), sql(over_arms(GRADED, "STRING")), sql(QUESTIONS.format(text="STRING"))
+
+
+@query(
+    f"""WITH {TABLES}, f AS (SELECT run_id, count(*) AS answers, count(error) AS errors, sum(coalesce(cost_usd, 0)) AS cost, sum(coalesce(latency_s, 0)) / count(*) AS latency, sum(coalesce(json_array_length(tool_calls_json), 0)) / count(*) AS tools FROM answers GROUP BY 1),
+    m AS (SELECT run_id, {METRICS}, string_agg(DISTINCT grader_version, ',' ORDER BY grader_version) AS grader_versions FROM grades LEFT JOIN gold USING (qid) GROUP BY 1)
+    SELECT run_id, arm, answers, errors, cost, latency, tools, n, cites, fabricated_rate, misgrounded_rate, red_rate, gold_recall, gold_equiv, abstain_rate, warned_rate, grader_versions FROM runs JOIN f USING (run_id) JOIN m USING (run_id) WHERE run_id NOT LIKE 'mock%'"""
+)
+def d6_run_report_of_orders(spark, t):
+    return R.run_report(*run_tables(spark, t)).drop("model_key", "tag", "fabricated_strict_rate", "n_bad")
+
+
+@query(
+    f"""WITH {TABLES}, g AS (SELECT grades.*, arm, gold_flag FROM grades JOIN runs USING (run_id) LEFT JOIN gold USING (qid) WHERE qid IN (SELECT qid FROM grades WHERE run_id = 'm:mcp:v1') AND run_id IN ('m:bare:v1', 'm:mcp:v1')), m AS (SELECT arm, {METRICS} FROM g GROUP BY arm)
+    SELECT 'm' AS model_key, 'v1' AS tag, b.n AS common, x.fabricated_rate - b.fabricated_rate AS d_fabricated_rate, x.misgrounded_rate - b.misgrounded_rate AS d_misgrounded_rate, x.red_rate - b.red_rate AS d_red_rate,
+    x.gold_recall - b.gold_recall AS d_gold_recall, x.abstain_rate - b.abstain_rate AS d_abstain_rate, x.warned_rate - b.warned_rate AS d_warned_rate FROM m b JOIN m x ON b.arm = 'bare' AND x.arm = 'mcp'"""
+)
+def d6_paired_deltas_of_orders(spark, t):
+    runs, _, grades, gold = run_tables(spark, t)
+    return R.paired_deltas(runs, grades, gold)
