@@ -83,6 +83,11 @@ def test_packing_round_trip(spark):
     check_packing(packing.packing_report(docs(spark, TEXTS)).collect(), TEXTS)
 
 
+def test_packing_ignores_clashing_columns(spark):
+    source = docs(spark, TEXTS[:4] * 2).selectExpr("*", "1 as id", "2 as start", "3 as part", "4 as nth", "5 as length", "6 as rank", "7 as base", "8 as sequence_id")
+    check_packing(packing.packing_report(source).collect(), TEXTS[:4] * 2)
+
+
 def test_packing_whole_table(spark):
     source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = [r.text for r in source.orderBy("doc_id").collect()]

@@ -78,3 +78,40 @@ def test_all_that_is_left_is_packed(spark, steps):
 
 def test_run_is_the_stages_in_turn(spark, steps):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns == steps[5].columns
+
+
+LONG = "plain words of a long text that goes on " * 20_000
+AWKWARD = [
+    (1, None, "en", "s", None),
+    (1, None, "en", "s", None),
+    (None, "", "en", "s", 0),
+    (2, "", None, None, 0),
+    (3, LONG, "en", "s", len(LONG)),
+    (4, "the same text stands here twice under one id", "en", "s", 44),
+    (4, "the same text stands here twice under one id", "en", "s", 44),
+    (5, "the same text stands here twice under one id", "xx", None, None),
+    (6, "password=hunter22xyz", "en", "s", 20),
+]
+CLASHING = ["'a' as row", "1 as id", "2 as label", "3 as size", "4 as hits", "5 as found0", "6 as score", "7 as row_key", "8 as length", "9 as __turn"]
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_stages_on_awkward_rows(spark, sf_dir, clash):
+    docs = spark.createDataFrame(AWKWARD, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").schema)
+    docs = docs.selectExpr("*", *CLASHING) if clash else docs
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = materialize(stage(spark, docs, sf_dir), f"awkward-{name}")
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        kept[name] = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns
+    before = [r for r in docs.collect()]
+    assert all(r in before for r in kept["quality"])
+    # Null texts are classes of their own, equal texts one class.
+    assert sorted(str(r.text)[:9] for r in kept["near_dedup"]) == sorted(["None", "None", "", "plain wor", "the same ", "password="])
+    assert sorted(map(str, kept["decontamination"])) == sorted(map(str, before))
+    assert sorted(str(r.doc_id) for r in kept["secrets"]) == sorted(str(r.doc_id) for r in before)
+    assert [r.text for r in kept["secrets"] if r.doc_id == 6] == ["[secret]"]
+    assert sum(r.length for r in kept["packing"] if r.doc_id == 4) == 2 * next(r.doc_tokens for r in kept["packing"] if r.doc_id == 4)
+    assert sum(r.start == 0 for r in kept["packing"]) == len(before)

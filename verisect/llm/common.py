@@ -28,8 +28,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows once to the shared folder and reads them back, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+#: Folders that this driver has written, until cleanup().
+WRITTEN: list[str] = []
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes what materialize() has written; for when no result that was made so far will be read any more."""
+    while WRITTEN:
+        _delete(spark, WRITTEN.pop())
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the folders of materialized rows that nothing will read again."""
+    for df in frames:
+        WRITTEN.remove(df.folder)
+        _delete(df.sparkSession, df.folder)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def fold(column: str | Column, buckets: int) -> Column:

@@ -7,8 +7,11 @@ backtracking.  A multiset is used as often as the counts allow, so the plan has
 documents.  Pieces find their place by their rank among pieces of the same length: ranks are per-partition
 counters plus a running total of the (partition, length) counts, so no length, however common, meets in one task.
 
-A null text counts as empty; an empty text is one piece that holds the end id alone.  Repeated rows are packed as
-documents of their own.  An empty table gives an empty result.
+Defined cases.  A null text counts as empty; an empty text is one piece that holds the end id alone; a very long text gives
+as many full windows as it fills.  Repeated rows are packed as documents of their own.  Pieces of one length are
+interchangeable: which of them goes where follows their place in the table, and a plan with equal slack takes the longer
+lengths first.  An empty table gives an empty result.  Only the two named columns are read, so extra columns of any name
+do no harm.
 """
 
 from __future__ import annotations
