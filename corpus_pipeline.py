@@ -3,6 +3,12 @@
 Each stage is written as Parquet and read again as the next one's documents.  All but the last keep the columns of
 documents: the first three drop rows, the fourth rewrites texts that hold secrets, and the last returns the pieces of
 the packed sequences.
+
+Defined cases, as the operators have them.  Null and empty texts: the classifier scores them like texts without features;
+equal empty texts are one class and every null text is one of its own; they hold no benchmark words and no secrets, and are
+packed as the end id alone.  Very long texts count whole.  Of rows that repeat a text one stays after near_dedup, the one
+with the smallest id (of rows that also share that, any one).  Empty tables pass as empty tables.  Extra columns of any name
+are kept up to packing and don't take part; packing keeps doc_id.
 """
 
 from __future__ import annotations
