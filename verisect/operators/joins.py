@@ -136,6 +136,19 @@ def shared_members(rows: DataFrame, owner: str, keys: Sequence[str]) -> DataFram
     return a.join(b, list(keys)).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def first_twin(rows: DataFrame, owner: str, keys: Sequence[str]) -> DataFrame:
+    """owner, twin, shared: of owners that share a key with another one, the smallest other and the number of shared keys.
+
+    The two smallest owners of a key tell every owner's smallest other, so a key costs its rows however many own it.
+    """
+    held = rows.select(*keys, owner).distinct()
+    first = held.groupBy(*keys).agg(F.min(owner).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    met = held.join(first, list(keys))
+    second = met.where(F.col(owner) != F.col("_first")).groupBy(*keys).agg(F.min(owner).alias("_second"))
+    other = F.when(F.col(owner) == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))
+    return met.join(second, list(keys)).groupBy(owner).agg(F.min(other).alias("twin"), F.count(F.lit(1)).alias("shared"))
+
+
 def union_distinct(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

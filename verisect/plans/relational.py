@@ -234,6 +234,15 @@ def j18_twins_by_shared_members(spark, t):
     return J.shared_members(cited, "l_orderkey", ["o_custkey", "l_partkey"])
 
 
+@query(
+    """WITH p AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS k FROM lineitem), n AS (SELECT k, count(*) AS n FROM p GROUP BY 1)
+    SELECT a.o AS l_orderkey, min(b.o) AS twin, count(DISTINCT a.k) AS shared FROM p a JOIN p b ON a.k = b.k AND a.o <> b.o GROUP BY 1"""
+)
+def j18_first_twins(spark, t):
+    """Of every order the smallest other order that shares a part, without pairing the orders of a part."""
+    return J.first_twin(t("lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", ["l_partkey"])
+
+
 @query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0 UNION SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount > 0.09)")
 def j19_exclude_used(spark, t):
     used = J.union_distinct(t("supplier").where("s_acctbal < 0").select("s_suppkey"), t("lineitem").where("l_quantity >= 50 AND l_discount > 0.09").select(F.col("l_suppkey").alias("s_suppkey")))
