@@ -308,7 +308,7 @@ def d4_rejudge(spark, t):
     return G.rejudge(spark.createDataFrame(rows, schema)).select("cite", "status", "route")
 
 
-@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_discount > 0.09 AND l_partkey % 3 <> 0")
+@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_discount > 0.09 AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10)")
 def sc5_semi_join_for_in_list(spark, t):
-    ids = t("part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("l_partkey"))
+    ids = t("part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"))
     return t("lineitem").where("l_discount > 0.09").join(J.small(ids), "l_partkey", "left_semi").select("l_partkey").distinct()
