@@ -229,3 +229,46 @@ def d6_run_report_of_orders(spark, t):
 def d6_paired_deltas_of_orders(spark, t):
     runs, _, grades, gold = run_tables(spark, t)
     return R.paired_deltas(runs, grades, gold)
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'F' THEN 'court:ca11' WHEN 'O' THEN 'state:fl' ELSE 'state:ny' END AS scope FROM o")
+def s29_scopes_of_orders(spark, t):
+    rows = orders(t, court="CASE status WHEN 'F' THEN '11th Cir.' WHEN 'O' THEN 'Fla. 2d DCA' ELSE '' END", state="CASE status WHEN 'P' THEN 'ny' ELSE 'us' END")
+    return rows.select("id", C.court_scope(F.col("court"), F.col("state")).alias("scope"))
+
+
+STATES = "element_at(array('Florida', 'Georgia', 'West Virginia', 'New Hampshire'), CAST(party % 4 + 1 AS INT))"
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, CASE WHEN status = 'P' THEN 'fed_app' ELSE 'state' END AS kind, CASE WHEN status <> 'P' THEN ['fl', 'ga', 'wv', 'nh'][party % 4 + 1] END AS state, CASE status WHEN 'F' THEN 'sup' WHEN 'O' THEN 'app' END AS level FROM o")
+def s30_courts_of_orders(spark, t):
+    rows = orders(t, state=STATES, court="CASE status WHEN 'F' THEN concat('Supreme Court of ', state) WHEN 'O' THEN concat('District Court of Appeal of ', state) ELSE 'Eleventh Circuit' END")
+    return rows.select("id", C.court_class(F.col("court")).alias("c")).select("id", "c.kind", "c.state", "c.level")
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'F' THEN 'regional' WHEN 'O' THEN 'fed_app' ELSE 'scotus' END AS kind, CASE status WHEN 'F' THEN 'al fl la ms' END AS states, status = 'F' AND party % 4 = 0 OR status = 'O' AND party % 4 = 1 OR status = 'P' AND party % 4 = 2 AS fits FROM o")
+def s31_s32_reporters_of_orders(spark, t):
+    """Each reporter against a state court of its region, a federal court of appeals, the highest court, and a state court elsewhere."""
+    rows = orders(t, reporter="CASE status WHEN 'F' THEN 'So. 2d' WHEN 'O' THEN 'F.3d' ELSE 'U.S.' END", court="element_at(array('Supreme Court of Florida', 'Ninth Circuit', 'Supreme Court', 'Supreme Court of Georgia'), CAST(party % 4 + 1 AS INT))")
+    return rows.select("id", C.reporter_class(F.col("reporter")).alias("c"), C.reporter_fits_court(F.col("reporter"), F.col("court")).alias("fits")).select("id", "c.kind", "c.states", "fits")
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, concat('party', party, ',water') AS words, status = 'F' AS same, status <> 'F' AS conflict FROM o")
+def s34_s35_s36_names_of_orders(spark, t):
+    rows = orders(t, name="concat('State v. Party', party, ' Water')", other="CASE status WHEN 'F' THEN concat('Party', party, ' Water v. State') ELSE concat('Moon', party, ' v. Sun') END", side="CASE status WHEN 'F' THEN concat('Party', party) ELSE 'Stars' END")
+    words = F.array_join(F.filter(C.search_words(F.col("name")), lambda w: w != "state"), ",")
+    return rows.select("id", words.alias("words"), C.names_equivalent(F.col("other"), F.col("name")).alias("same"), C.claim_conflicts(F.col("side"), F.lit(None).cast("string"), F.col("name")).alias("conflict"))
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, status <> 'P' AS match FROM o")
+def j14_fuzzy_names_of_orders(spark, t):
+    """A letter more in a long name, sides the other way round, another name."""
+    rows = orders(t, claimed="concat('Peterson', party, ' v. Moonlight')", hit="CASE status WHEN 'F' THEN concat('Petersen', party, ' v. Moonlights') WHEN 'O' THEN concat('Moonlight v. Peterson', party) ELSE concat('Peterson', party, ' v. Daylight') END")
+    return rows.select("id", U.name_match("claimed", "hit").alias("match"))
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'F' THEN concat('Party', party, ' v. State') ELSE '' END AS name, CASE status WHEN 'F' THEN cite ELSE '' END AS cite, CASE status WHEN 'F' THEN 'get_treatment' WHEN 'O' THEN 'find_court' ELSE 'check_brief' END AS tool FROM o")
+def s24_passages_of_orders(spark, t):
+    rows = orders(t, kind="CASE status WHEN 'F' THEN 'treatment' WHEN 'O' THEN 'court' ELSE 'any' END", text="CASE status WHEN 'F' THEN concat('Party', party, ' v. State, ', cite) ELSE 'no citation' END")
+    p = rows.select("id", "status", C.passage_parts(F.col("text")).alias("p"), C.tool_of(F.col("kind"), F.col("text")).alias("tool"))
+    return p.select("id", F.when(F.col("status") == "F", F.col("p.name")).otherwise("").alias("name"), "p.cite", "tool")
