@@ -6,12 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verisect.functions import cites as C
+from verisect.functions import text as T
 from verisect.functions import udfs as U
 from verisect.operators import citations as G
 from verisect.operators import grading as D
 from verisect.operators import quotations as Q
 from verisect.operators import reports as R
 from verisect.operators import rules
+from verisect.operators import spans as P
 from verisect.plans.base import query
 from verisect.plans.reports import METRICS, RUNS
 
@@ -272,3 +274,88 @@ def s24_passages_of_orders(spark, t):
     rows = orders(t, kind="CASE status WHEN 'F' THEN 'treatment' WHEN 'O' THEN 'court' ELSE 'any' END", text="CASE status WHEN 'F' THEN concat('Party', party, ' v. State, ', cite) ELSE 'no citation' END")
     p = rows.select("id", "status", C.passage_parts(F.col("text")).alias("p"), C.tool_of(F.col("kind"), F.col("text")).alias("tool"))
     return p.select("id", F.when(F.col("status") == "F", F.col("p.name")).otherwise("").alias("name"), "p.cite", "tool")
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'F' THEN concat('Case ', id) WHEN 'O' THEN concat('quoted case ', id, ' here') ELSE concat('item *', id, ' kept bold') END AS flat FROM o")
+def s1_markdown_of_orders(spark, t):
+    rows = orders(t, text="CASE status WHEN 'F' THEN concat('## Case ', id) WHEN 'O' THEN concat('> quoted `case ', id, '` here') ELSE concat('- item *', id, ' kept **bold**') END")
+    return rows.select("id", T.strip_markdown(F.col("text")).alias("flat"))
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, concat(' the rule of p', party, 'x see roe v wade u s is settled ') AS plain, concat(' the rule of p', party, 'x is settled ') AS stripped, concat('The rule of p', party, 'x held   so.') AS without FROM o")
+def s4_s10_opinions_of_orders(spark, t):
+    rows = orders(t, text="concat('The rule of p', party, 'x, see Roe v. Wade, ', volume, ' U.S. ', page, ', 116 (1973) is *', party, ' settled.')", other="concat('The rule of p', party, 'x held Roe v. Wade, ', cite, ' (Fla. 1950) so.')")
+    return rows.select("id", U.prepare("text").alias("p"), U.strip_cites("other").alias("without")).select("id", "p.*", "without")
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'F' THEN concat('the  “case”\n', id) WHEN 'O' THEN concat('case ', id, ' stands') ELSE 'missing' END AS located, CASE status WHEN 'F' THEN concat('“the *rule*” of ', id) ELSE concat('elsewhere ', id) END AS anchored FROM o")
+def s11_s12_places_of_orders(spark, t):
+    rows = orders(
+        t,
+        text="CASE status WHEN 'F' THEN concat('x the  “case”\\n', id, ' y') WHEN 'O' THEN concat('a case ', id, ' stands here') ELSE 'nothing' END",
+        needle="CASE status WHEN 'F' THEN concat('the \"case\" ', id) WHEN 'O' THEN concat('[The] case ', id, ' stands.') ELSE 'missing' END",
+        spans="concat('so “the *rule*” of ', id, ' is old')",
+        span="CASE status WHEN 'F' THEN concat('\"the rule\" of ', id) ELSE concat('elsewhere ', id) END",
+    )
+    return rows.select("id", U.locate("text", "needle").alias("located"), U.anchor_span("span", "spans").alias("anchored"))
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'F' THEN 'verbatim' WHEN 'O' THEN 'near' END AS kind FROM o")
+def q5_segments_of_orders(spark, t):
+    """A run of an opinion's words, one with its last words changed, and words from elsewhere."""
+    rows = orders(t, hay="concat('the party p', party, 'x must show that there is no genuine dispute as to any fact')", part="CASE status WHEN 'F' THEN concat('party p', party, 'x must show that') WHEN 'O' THEN concat('party p', party, 'x must show that there is no real thing') ELSE concat('nobody p', party, 'x shows anything') END")
+    return rows.select("id", T.segment_match(T.match_words(F.col("part")), T.padded(T.match_words(F.col("hay")))).alias("kind"))
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'F' THEN 'verbatim' END AS kind, CASE status WHEN 'O' THEN 1.0 WHEN 'P' THEN 0.0 END AS ratio FROM o")
+def q7_q10_parts_of_orders(spark, t):
+    """Parts in their order, in the wrong order (whose words all lie in one window), and words from elsewhere."""
+    rows = orders(t, hay="concat('In short the first part of p', party, 'x holds and then the other half of it must follow as well.')", quote="CASE status WHEN 'F' THEN concat('the first part of p', party, 'x holds . . . the other half of it must follow') WHEN 'O' THEN concat('the first part of p', party, 'x holds and then') ELSE concat('no such words q', party, 'y anywhere') END")
+    wrong = F.when(F.col("status") == "O", F.concat(F.lit("the other half of it . . . the first part of p"), "party", F.lit("x holds"))).otherwise(F.col("quote"))
+    return rows.select("id", U.match_ordered(wrong, F.col("hay")).alias("kind"), F.when(F.col("status") != "F", F.round(U.paraphrase_ratio("quote", "hay"), 6)).alias("ratio"))
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'F' THEN 'parenthetical' WHEN 'O' THEN 'right_after' ELSE 'closest_before' END AS rule, cite AS ref FROM o")
+def q20_attributions_of_orders(spark, t):
+    quote = "concat('the purpose of p', party, 'x is to inform')"
+    text = f"""CASE status WHEN 'F' THEN concat('Lee v. Ray, ', cite, ' (Fla. 1999) ("', {quote}, '").') WHEN 'O' THEN concat('The court said "', {quote}, '." Lee v. Ray, ', cite, '.')
+        ELSE concat('In Lee v. Ray, ', cite, ', the court wrote at length that "', {quote}, '"; nothing follows.') END"""
+    rows = orders(t, text=text, quote=quote)
+    return rows.select("id", U.attribute_quote("text", "quote").alias("a")).select("id", "a.rule", "a.ref")
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'P' THEN 0 ELSE 5 END AS run, CASE WHEN status <> 'P' THEN concat('so the old rule of p', party, 'x now') END AS passage FROM o")
+def q22_passages_of_orders(spark, t):
+    rows = orders(t, text="concat('so the old rule of p', party, 'x now')", quote="CASE status WHEN 'P' THEN 'nothing' ELSE concat('this is the old rule of p', party, 'x in short') END")
+    return rows.select("id", U.passage("quote", "text").alias("p")).select("id", "p.run", "p.passage")
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'P' THEN concat('last ', id) ELSE cite END AS line, status <> 'P' AS found FROM o")
+def q24_answer_lines_of_orders(spark, t):
+    rows = orders(t, text="CASE status WHEN 'F' THEN concat('Why.\\n**ANSWER: ', cite) WHEN 'O' THEN concat('answer: first\\nAnswer : ', cite, '\\nmore') ELSE concat('one\\nlast ', id, '\\n\\n') END")
+    return rows.select("id", T.answer_line(F.col("text")).alias("a")).select("id", "a.*")
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, status = 'F' AS hit, status = 'O' AS disowned, status <> 'P' AS same FROM o")
+def q25_q26_q29_hits_of_orders(spark, t):
+    rows = orders(
+        t,
+        text="CASE status WHEN 'F' THEN concat('not old; p', party, 'x is overruled') ELSE concat('p', party, 'x has not been overruled') END",
+        form="CASE status WHEN 'O' THEN concat('3d cir., not ', cite, '.') ELSE concat(cite, ' stands, not ', cite) END",
+        gold="concat('the rule of p', party, 'x ... stands')",
+        predicted="CASE status WHEN 'P' THEN concat('stands then the rule of p', party, 'x') ELSE concat('the rule of p', party, 'x always stands here') END",
+    )
+    return rows.select("id", U.has_positive_hit("text", F.lit("overruled")).alias("hit"), U.is_all_disowned("form", "cite").alias("disowned"), T.span_match(F.col("gold"), F.col("predicted")).alias("same"))
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS gold_n, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS tp, count(CASE WHEN o_orderstatus <> 'P' THEN 1 END) AS pred FROM orders)
+    SELECT 'r' AS run_id, tp AS found, gold_n, tp, pred, round(2 * (tp / pred) * (tp / gold_n) / (tp / pred + tp / gold_n), 9) AS f1 FROM n"""
+)
+def d9_scores_of_orders(spark, t):
+    """An example an order: its span is found, another one is predicted, or the run times out."""
+    rows = orders(t, span="concat('The rule of p', party, 'x')").withColumn("ex", F.col("id").cast("string"))
+    examples = rows.select(F.col("ex").alias("id"), F.lit("brief").alias("source"), F.concat("span", F.lit(" stands.")).alias("text"), F.create_map("span", F.lit("misquote")).alias("gold"))
+    predicted = F.when(F.col("status") == "F", F.array("span")).when(F.col("status") == "O", F.array(F.lit("something else"))).otherwise(F.expr("cast(array() as array<string>)"))
+    preds = rows.select(F.lit("r").alias("run_id"), F.col("ex").alias("ex_id"), predicted.alias("predicted"), F.when(F.col("status") == "P", "timeout").alias("error"))
+    return P.micro_scores(P.score_run(preds, examples, "repo"), "run_id").select("run_id", "found", "gold_n", "tp", "pred", F.round("f1", 9).alias("f1"))
