@@ -35,8 +35,8 @@ def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))) * STEP + np.uint64(n)
 
 
-def text_runs(rows: DataFrame, key: str, words: str, sizes: Sequence[int], wanted: np.ndarray | None = None) -> DataFrame:
-    """(key, _run): the distinct hashes of the runs of each of the sizes in a text of words between single spaces; only `wanted` ones (sorted), if given."""
+def text_runs(rows: DataFrame, key: str, words: str, sizes: Sequence[int], wanted: np.ndarray | None = None, letters: bool = False) -> DataFrame:
+    """(key, _run): the distinct hashes of the runs of each of the sizes in a text of words between single spaces, or of its letters; only `wanted` ones (sorted), if given."""
     spark, kind = rows.sparkSession, dict(rows.dtypes)[key]
     shared = None if wanted is None else spark.sparkContext.broadcast(wanted)
 
@@ -45,11 +45,14 @@ def text_runs(rows: DataFrame, key: str, words: str, sizes: Sequence[int], wante
         for batch in batches:
             found = []
             for text in batch.column(1).to_pylist():
-                tokens = (text or "").split(" ") if text else []
-                for w in tokens:
-                    if w not in known:
-                        known[w] = word_hash(w)
-                h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+                if letters:
+                    h = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+                else:
+                    tokens = text.split(" ") if text else []
+                    for w in tokens:
+                        if w not in known:
+                            known[w] = word_hash(w)
+                    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
                 runs = np.unique(np.concatenate([rolled(h, n) for n in sizes] or [np.zeros(0, np.uint64)]))
                 if shared is not None and len(runs):
                     at = np.minimum(np.searchsorted(shared.value, runs), len(shared.value) - 1)
@@ -64,11 +67,11 @@ def text_runs(rows: DataFrame, key: str, words: str, sizes: Sequence[int], wante
     return rows.select(key, words).mapInArrow(run, f"{key} {kind}, _run long")
 
 
-def meeting(texts: DataFrame, key: str, words: str, runs: DataFrame, sizes: Sequence[int]) -> DataFrame:
+def meeting(texts: DataFrame, key: str, words: str, runs: DataFrame, sizes: Sequence[int], letters: bool = False) -> DataFrame:
     """(key, _needle) of texts and needles that have a run in common. runs: (_needle, _run)."""
     wanted = runs.select("_run").distinct()
     few = wanted.limit(SMALL_ROWS + 1).toArrow().column("_run").to_numpy().view(np.uint64)
-    found = text_runs(texts, key, words, sizes, np.sort(few) if len(few) <= SMALL_ROWS else None)
+    found = text_runs(texts, key, words, sizes, np.sort(few) if len(few) <= SMALL_ROWS else None, letters)
     return found.join(small(runs), "_run").select(key, "_needle").distinct()
 
 
@@ -76,28 +79,30 @@ def containment(docs: DataFrame, doc_key: str, doc_text: str, needles: DataFrame
     """(doc, needle) of needles that occur verbatim in a text, at any place.
 
     A needle's inner words (all but the first and last, which a text may continue) stand in the text as whole words, one after another.
-    The first k of them are joined with the text's runs of as many words by hash; `contains` confirms the few pairs that
-    meet.  Needles without inner words are few and short; they alone are compared with every text.
+    The first k of them are joined with the text's runs of as many words by hash; needles without inner words are joined
+    by their first k letters.  `contains` confirms the few pairs that meet.
     """
     tokens = F.split(needle_text, r"\s+")
     probe = needles.where(F.length(needle_text) > 0).select(F.col(needle_key).alias("_needle"), F.col(needle_text).alias("_whole"), tokens.alias("_tokens"))
-    probe = probe.withColumn("_inner", F.slice("_tokens", F.lit(2), F.greatest(F.size("_tokens") - 2, F.lit(0)))).withColumn("_n", F.least(F.size("_inner"), F.lit(k)))
-    heads = probe.where("_n > 0").select("_needle", "_n", F.array_join(F.slice("_inner", F.lit(1), F.col("_n")), " ").alias("_head"))
-    sizes = sorted(r[0] for r in heads.select("_n").distinct().collect())  # at most k numbers
-    runs = None
-    for n in sizes:
-        part = text_runs(heads.where(F.col("_n") == n), "_needle", "_head", [n])
-        runs = part if runs is None else runs.unionByName(part)
+    probe = probe.withColumn("_inner", F.slice("_tokens", F.lit(2), F.greatest(F.size("_tokens") - 2, F.lit(0)))).withColumn("_wordless", F.size("_inner") == 0)
+    head = F.when(F.col("_wordless"), F.substring("_whole", 1, k)).otherwise(F.array_join(F.slice("_inner", F.lit(1), F.lit(k)), " "))
+    heads = probe.select("_needle", "_wordless", head.alias("_head"), F.least(F.lit(k), F.when(F.col("_wordless"), F.length("_whole")).otherwise(F.size("_inner"))).alias("_n"))
     texts = docs.select(F.col(doc_key).alias("_doc"), F.col(doc_text).alias("_text"))
-    confirmed = None
-    if runs is not None:
-        met = meeting(texts.select("_doc", F.regexp_replace("_text", r"\s+", " ").alias("_words")), "_doc", "_words", runs, sizes)
-        confirmed = met.join(texts, "_doc").join(small(probe.select("_needle", "_whole")), "_needle").where(F.contains("_text", "_whole")).select("_doc", "_needle")
-    bare = probe.where("_n = 0").select("_needle", "_whole")
-    if confirmed is None or bare.head(1):
-        compared = texts.join(small(bare), F.contains("_text", "_whole")).select("_doc", "_needle")
-        confirmed = compared if confirmed is None else confirmed.union(compared)
-    return confirmed.distinct().select(F.col("_doc").alias(doc_key), F.col("_needle").alias(needle_key))
+    met = None
+    for letters in (False, True):
+        mine = heads.where(F.col("_wordless") if letters else ~F.col("_wordless"))
+        sizes, runs = sorted(r[0] for r in mine.select("_n").distinct().collect()), None  # at most k numbers
+        for n in sizes:
+            part = text_runs(mine.where(F.col("_n") == n), "_needle", "_head", [n], letters=letters)
+            runs = part if runs is None else runs.unionByName(part)
+        if runs is not None:
+            source = texts if letters else texts.select("_doc", F.regexp_replace("_text", r"\s+", " ").alias("_text"))
+            found = meeting(source, "_doc", "_text", runs, sizes, letters)
+            met = found if met is None else met.unionByName(found)
+    if met is None:
+        return docs.where(F.lit(False)).select(doc_key, F.lit(None).cast(dict(needles.dtypes)[needle_key]).alias(needle_key))
+    confirmed = met.join(texts, "_doc").join(small(probe.select("_needle", "_whole")), "_needle").where(F.contains("_text", "_whole"))
+    return confirmed.select(F.col("_doc").alias(doc_key), F.col("_needle").alias(needle_key)).distinct()
 
 
 def shared_runs(docs: DataFrame, doc_key: str, doc_text: str, needles: DataFrame, needle_key: str, needle_text: str, k: int) -> DataFrame:
