@@ -359,3 +359,49 @@ def d9_scores_of_orders(spark, t):
     predicted = F.when(F.col("status") == "F", F.array("span")).when(F.col("status") == "O", F.array(F.lit("something else"))).otherwise(F.expr("cast(array() as array<string>)"))
     preds = rows.select(F.lit("r").alias("run_id"), F.col("ex").alias("ex_id"), predicted.alias("predicted"), F.when(F.col("status") == "P", "timeout").alias("error"))
     return P.micro_scores(P.score_run(preds, examples, "repo"), "run_id").select("run_id", "found", "gold_n", "tp", "pred", F.round("f1", 9).alias("f1"))
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'F' THEN 'interior_page' ELSE 'reporter_series' END AS kind, party AS cluster_id, CASE status WHEN 'F' THEN 10 ELSE 2 END AS delta FROM o WHERE status <> 'P'")
+def j12_near_misses_of_orders(spark, t):
+    """A page inside the case that was offered, the right volume in another series, and a volume that nothing is near to."""
+    rows = orders(t).select(F.col("id").cast("string").alias("answer"), "id", "status", F.col("party").cast("long").alias("party"), "volume", F.col("page").cast("int").alias("page"))
+    anchors = rows.where("status <> 'F'").select("answer", F.col("party").alias("cluster_id"), "volume", F.lit("So.2d").alias("reporter"), F.col("page").cast("string").alias("page"), F.lit("Moon v. Sun").alias("case_name"))
+    offered = F.array(F.struct(F.col("party").alias("cluster_id"), F.col("page").cast("string").alias("page")))
+    none = F.expr("cast(array() as array<struct<cluster_id:bigint,page:string>>)")
+    fabricated = rows.select(
+        "answer",
+        "id",
+        F.when(F.col("status") == "P", F.concat(F.lit("9"), "volume")).otherwise(F.col("volume")).alias("volume"),
+        F.when(F.col("status") == "F", "So. 2d").otherwise("So. 3d").alias("reporter"),
+        (F.col("page") + F.when(F.col("status") == "F", 10).otherwise(2)).cast("string").alias("page"),
+        F.lit(None).cast("string").alias("lhs"),
+        F.lit(None).cast("string").alias("rhs"),
+        F.when(F.col("status") == "F", offered).otherwise(none).alias("did_you_mean"),
+    )
+    return G.near_misses(fabricated, anchors, ["answer"], "id").select("id", "kind", "cluster_id", "delta")
+
+
+@query(
+    f"""WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'P' THEN 'fabricated' ELSE 'unindexed_real' END AS status, CASE status WHEN 'F' THEN 'check_citation' WHEN 'O' THEN 'cited_by_courts' END AS route, CASE status WHEN 'F' THEN party END AS cluster_id FROM o"""
+)
+def d2_reconciled_orders(spark, t):
+    """A candidate of the right name, year and court; no candidate, but two courts that cite it; a candidate of another year."""
+    rows = orders(t, name="concat('Party', party, ' v. Moonlight')").withColumn("cite_id", F.col("id").cast("string"))
+    wanted = rows.select(F.col("cite_id").alias("cite"), "volume", F.lit("So. 2d").alias("reporter"), "page", "name", F.lit("Fla.").alias("court"), F.col("year"), (F.col("year") - 1).cast("long").alias("lo"), (F.col("year") + 2).cast("long").alias("hi"), F.when(F.col("status") == "O", 2).otherwise(0).cast("long").alias("citers"))
+    candidates = rows.where("status <> 'O'").select(
+        F.col("cite_id").alias("cite"), F.lit("check_citation").alias("route"), F.lit(1).alias("ord"), F.col("party").cast("long").alias("cluster_id"), F.col("name").alias("case_name"),
+        (F.col("year") + F.when(F.col("status") == "P", 30).otherwise(0)).cast("int").alias("year"), F.lit("Supreme Court of Florida").alias("court"), F.lit("").alias("cites"),
+    )
+    return G.reconcile(wanted, candidates).select(F.col("cite").cast("long").alias("id"), "status", "route", "cluster_id")
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'O' THEN 'fabricated' ELSE 'unindexed_real' END AS status, CASE status WHEN 'F' THEN 'search_cases' WHEN 'P' THEN 'cited_by_courts' END AS route FROM o")
+def d4_rejudged_orders(spark, t):
+    """The same name in order, the parties the other way round, the wrong court but a citing one."""
+    rows = orders(t, name="concat('Party', party, ' v. Moonlight')", hit="CASE status WHEN 'O' THEN concat('Moonlight v. Party', party) ELSE concat('Party', party, ' v. Moonlight') END")
+    p = F.col("status") == "P"
+    stored = rows.select(
+        F.col("id").cast("string").alias("cite"), F.lit("unindexed_real").alias("status"), F.when(p, "check_citation").otherwise("search_cases").alias("route"), F.lit("So. 2d").alias("reporter"), "name", F.col("hit").alias("hit_name"),
+        F.when(p, "Supreme Court of Georgia").otherwise("Supreme Court of Florida").alias("hit_court"), F.lit("Fla.").alias("court"), F.when(p, 1).otherwise(0).cast("long").alias("citers"), F.lit(False).alias("miscited"),
+    )
+    return G.rejudge(stored).select(F.col("cite").cast("long").alias("id"), "status", "route")
