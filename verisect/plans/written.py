@@ -405,3 +405,56 @@ def d4_rejudged_orders(spark, t):
         F.when(p, "Supreme Court of Georgia").otherwise("Supreme Court of Florida").alias("hit_court"), F.lit("Fla.").alias("court"), F.when(p, 1).otherwise(0).cast("long").alias("citers"), F.lit(False).alias("miscited"),
     )
     return G.rejudge(stored).select(F.col("cite").cast("long").alias("id"), "status", "route")
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, concat('case \"', id, '\" b c') AS snippet, concat('the rule of ', id) AS plain, CASE WHEN status = 'F' THEN 'So' ELSE 'F' END AS family FROM o")
+def s16_s37_q8_pieces_of_orders(spark, t):
+    rows = orders(t, body="concat('{\"x\": ', id, ', \"snippet\": \"case \\\\\"', id, '\\\\\"\\\\n b   c\", \"y\"')", quote="concat('the [old] rule of ', id)", reporter="CASE WHEN status = 'F' THEN 'So. 2d' ELSE 'F.3d' END")
+    plain = F.regexp_replace(F.element_at(T.bracket_variants(F.col("quote")), -1), r"\s+", " ")
+    return rows.select("id", T.json_snippet(F.col("body"), "snippet").alias("snippet"), plain.alias("plain"), F.initcap(C.series_family(F.col("reporter"))).alias("family"))
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, 'full' AS kind, cite AS target FROM o UNION ALL SELECT id, CASE status WHEN 'F' THEN 'id' WHEN 'O' THEN 'supra' ELSE 'short' END, cite FROM o UNION ALL SELECT id, 'noncase', NULL FROM o")
+def q19_references_of_orders(spark, t):
+    """A full citation, one that stands for it, and a rule."""
+    rows = orders(t, text="concat('Lee v. Ray, ', cite, ' (Fla. 1950). ', CASE status WHEN 'F' THEN 'Id. at 347' WHEN 'O' THEN 'Ray, supra, at 346' ELSE concat(volume, ' So. 2d at 9') END, '. Fed. R. Civ. P. 56.')")
+    refs = rows.select("id", "text", "cite", F.explode(U.citation_refs("text")).alias("r"))
+    there = F.col("r.target") == F.instr("text", F.col("cite")) - 1
+    return refs.select("id", "r.kind", F.when(there, F.col("cite")).alias("target"))
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'F' THEN concat('The law of p', party, 'x is settled on this point.') ELSE concat('It is the law of p', party, 'x,') END AS sentence, concat('Lee', party, ' v. Ray') AS name FROM o")
+def q31_segments_of_orders(spark, t):
+    """The sentence before a citation that stands alone, and the part of a sentence before one inside it."""
+    rows = orders(t, name="concat('Lee', party, ' v. Ray')", text="CASE status WHEN 'F' THEN concat('So it began. The law of p', party, 'x is settled on this point. See ', cite, '. By Lee', party, ' v. Ray.') ELSE concat('So it began. It is the law of p', party, 'x, ', cite, '.') END", naming="concat('By Lee', party, ' v. Ray, ', cite)")
+    return rows.select("id", U.preceding_sentence("text", "cite").alias("sentence"), U.name_segment("naming", "name", "cite").alias("name"))
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, 1 AS n, cite, 'FOUND' AS status, true AS warning, concat('Smyth', party) AS input_name, party AS cluster_id FROM o UNION ALL SELECT id, 2, '1 F.3d 2', 'NOT FOUND', false, NULL, NULL FROM o WHERE status = 'F'")
+def q34_replies_of_orders(spark, t):
+    reply = """concat('Results:\\n  1. ', cite, ' — Smith\\n     Status: FOUND\\n     Cluster ID: ', party, '\\n     WARNING: Input case name "Smyth', party, '" differs from verified "Smith"\\n', CASE WHEN status = 'F' THEN '  2. 1 F.3d 2\\n     Status: NOT FOUND\\n' ELSE '' END, '  3. no status here\\n')"""
+    rows = orders(t, text=reply).select("id", F.explode(rules.reply_blocks(F.col("text"))).alias("b"))
+    return rows.select("id", "b.n", "b.cite", "b.status", "b.warning", "b.input_name", "b.cluster_id")
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'F' THEN concat('ANSWER: P', party, ' v. B — overruled by C v. D (', year, ')') WHEN 'O' THEN concat('ANSWER: P', party, ' v. B, ', cite, ', correct as written') ELSE concat('ANSWER: mismatch: ', cite) END AS answer, concat('P', party, ' v. B|Roe v. Wade') AS names FROM o")
+def q35_q38_answers_of_orders(spark, t):
+    rows = orders(
+        t,
+        tool="CASE status WHEN 'F' THEN 'get_treatment' ELSE 'check_citation' END",
+        body="""CASE status WHEN 'F' THEN concat('{"bluebook": "P', party, ' v. B", "treatment": {"flag": "red"}, "overruled_by": {"case_name": "C v. D", "year": ', year, '}}') WHEN 'O' THEN concat('{"bluebook": "P', party, ' v. B, ', cite, '", "verdict": "ok"}') ELSE concat('{"verdict": "mismatch", "citation": "', cite, '"}') END""",
+        listed="concat('  1. P', party, ' v. B, 12 So. 2d 345\\n  2. Roe v. Wade (1973)\\nno list\\n - P', party, ' v. B')",
+    )
+    return rows.select("id", rules.render_answer(F.col("tool"), F.col("body")).alias("answer"), F.array_join(rules.listed_cases(F.col("listed")), "|").alias("names"))
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT CAST(id AS VARCHAR) AS answer, cite, CASE status WHEN 'F' THEN 'unresolved' WHEN 'O' THEN 'name mismatch' ELSE 'red flag' END AS problem FROM o UNION ALL SELECT CAST(id AS VARCHAR), cite, 'misquote' FROM o WHERE status = 'O'")
+def q37_findings_of_orders(spark, t):
+    """Each citation is checked twice, with the same findings."""
+    of = lambda f, o, p: F.when(F.col("status") == "F", f).when(F.col("status") == "O", o).otherwise(p)
+    rows = orders(t).withColumn("ord", F.explode(F.array(F.lit(1), F.lit(2))))
+    cites = rows.select(
+        F.col("id").cast("string").alias("answer"), "ord", F.col("cite").alias("raw"), of(F.lit(None), F.col("party"), F.col("party")).cast("long").alias("cluster_id"), of(F.lit(None), "mismatch", "match").alias("party_verdict"),
+        of(F.lit(None), "words", "fine").alias("quote"), of(F.lit(None), "misquote", "ok").alias("quote_verdict"), of(F.lit(None), "absent", "ok").alias("quote_integrity"), of(F.lit(None), "green", "red").alias("flag"),
+    )
+    return rules.brief_findings(cites).select("answer", "cite", "problem")
