@@ -211,7 +211,7 @@ def test_toxic_spans_are_code_points(spark):
     assert [(text[x["start"] : x["end"]], x["p"]) for x in found] == [("idiot moron", 0.9), ("İdiot", 0.7)]
 
 
-def brute_lm(texts, train, depth, head_share, context_share, edge_share, gain_bits, rare_gain_bits):
+def brute_lm(texts, train, depth, head_share, context_share, edge_share, rare_share, gain_bits, rare_gain_bits):
     """The tree by dictionaries, straight from its definition."""
     split = lambda t: re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\n"]
     toks = [split(t) for t in texts]
@@ -249,7 +249,7 @@ def brute_lm(texts, train, depth, head_share, context_share, edge_share, gain_bi
         candidates = longer
     rare, total = {}, Counter(w for t in learn for w in t[:-1])
     for q in c:
-        if not (q in head and c[q] >= least) and q != "\n":
+        if (q not in head or c[q] < min(rare_share * n, least)) and q != "\n":
             edges = {w: m for w, m in Counter(b for t in learn for a, b in zip(t, t[1:], strict=False) if a == q).items() if m >= 2}
             if edges and gain(edges, total[q], root) >= rare_gain_bits:
                 rare[q] = node(edges, total[q], root)
@@ -276,15 +276,15 @@ RARE = "the cat sat on the hat " * 6
 
 
 @pytest.mark.parametrize(
-    ("head_share", "context_share", "gain_bits", "rare_gain_bits", "depth"),
-    [(0.0, 0.01, 2.0, 4.0, 2), (0.02, 0.01, 2.0, 4.0, 2), (0.0, 0.01, 1e9, 1e9, 2), (0.05, 0.1, 2.0, 2.0, 2), (0.0, 0.001, 1.0, 1.0, 4), (0.03, 0.03, 0.5, 1.0, 3), (1.0, 1.0, 1.0, 1.0, 1)],
+    ("head_share", "context_share", "rare_share", "gain_bits", "rare_gain_bits", "depth"),
+    [(0.0, 0.01, 1.0, 2.0, 4.0, 2), (0.02, 0.01, 1.0, 2.0, 4.0, 2), (0.0, 0.01, 1.0, 1e9, 1e9, 2), (0.0, 0.1, 0.03, 2.0, 2.0, 2), (0.0, 0.001, 0.001, 1.0, 1.0, 4), (0.03, 0.05, 0.04, 0.5, 1.0, 3), (1.0, 1.0, 0.0, 1.0, 1.0, 1)],
 )
-def test_suffix_tree_matches_brute_force(spark, head_share, context_share, gain_bits, rare_gain_bits, depth):
+def test_suffix_tree_matches_brute_force(spark, head_share, context_share, rare_share, gain_bits, rare_gain_bits, depth):
     rng = random.Random(1)
     more = [" ".join(rng.choice("uvwxyz") * rng.randrange(1, 3) for _ in range(60)) for _ in range(8)]
     texts = [None, "", "The cat sat on the mat\tthe END", RARE, "a dog sat on the mat ünder É", "the cat ran", "cat cat cat", *more, "rare pair here", "a rare pair there", "unseen things only", RARE + more[0] + " rare pair", "ünder É"]
     train = [True] * (len(texts) - 3) + [False] * 3
-    share = {"depth": depth, "head_share": head_share, "context_share": context_share, "edge_share": 0.002, "gain_bits": gain_bits, "rare_gain_bits": rare_gain_bits}
+    share = {"depth": depth, "head_share": head_share, "context_share": context_share, "edge_share": 0.002, "rare_share": rare_share, "gain_bits": gain_bits, "rare_gain_bits": rare_gain_bits}
     source = docs(spark, texts)
     model = lm.fit(source.where(f"doc_id < {len(texts) - 3}"), **share)
     got = {r.id: r for r in lm.score(source, model).collect()}
@@ -306,11 +306,11 @@ def test_rare_contexts_grow_with_the_corpus(spark):
     sizes = []
     for n in (60, 120):
         source = docs(spark, [t for t in texts[:n] for _ in range(2)])
-        model = lm.fit(source, context_share=0.01)
+        model = lm.fit(source, context_share=0.01, rare_share=0.01)
         sizes.append(model.rare.count())
     assert 1.8 < sizes[1] / sizes[0] < 2.2
     source = docs(spark, [*texts, *texts[:30]])
-    got = {r.id: r.score / r.n_tokens for r in lm.score(source, lm.fit(source, context_share=0.01)).collect()}
+    got = {r.id: r.score / r.n_tokens for r in lm.score(source, lm.fit(source, context_share=0.01, rare_share=0.01)).collect()}
     assert min(got[k] for k in range(30)) > max(got[k] for k in range(30, 120))
 
 
@@ -333,6 +333,18 @@ def test_language_model_beats_its_root_on_unseen_texts(spark, small):
     assert lm.lm_report(source.limit(0)).count() == 0
     alone = lm.lm_report(docs(spark, EDGE + EDGE[4:])).collect()
     assert len(alone) == len(EDGE) + 1
+    clash = docs(spark, ["b a b a"] * 9).selectExpr("*", "1 as id", "2 as word", "3 as n", "4 as row", "5 as base", "6 as key", "7 as keys", "8 as held_out", "9 as score")
+    rows = lm.lm_report(clash).collect()
+    assert len(rows) == 9 and len({r.score for r in rows}) == 1 and all(r.n_tokens == 5 for r in rows)  # ties and repeats
+
+
+def test_models_ignore_clashing_columns_and_repeats(spark):
+    marks = spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)], LABELS).selectExpr("*", "1 as id", "2 as y", "3 as text")
+    source = docs(spark, [("Good Words here " if i % 2 else "bad bad ") * 5 for i in range(30)]).selectExpr("*", "1 as y", "2 as h", "3 as held_out", "4 as spans", "5 as quality", "6 as toxic")
+    for report in (quality.quality_report, toxicity.toxicity_report):
+        rows = report(source.unionByName(source.where("doc_id < 9")), marks).collect()
+        assert len(rows) == 39 and all(len({r.score for r in rows if r.doc_id == i}) == 1 for i in range(9))
+        assert all(r.predicted == r.doc_id % 2 for r in rows)
 
 
 def test_words():
