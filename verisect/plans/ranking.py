@@ -67,7 +67,17 @@ def w7_sequential_ids(spark, t):
     return S.sequential_ids(t("customer"), "id", "q%04d", F.desc("c_acctbal"), F.col("c_custkey")).select("c_custkey", "id")
 
 
-@query()
+NORM_WORDS = "list_filter(string_split(regexp_replace(regexp_replace(lower(replace(replace(text, '’', ''''), '‘', '''')), '\\[([a-z])\\]', '\\1', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {NORM_WORDS} AS w FROM documents), b AS (SELECT item_id, {NORM_WORDS} AS w FROM benchmark),
+    u AS (SELECT doc_id, unnest(list_distinct(w)) AS word FROM d), i AS (SELECT item_id, unnest(list_distinct(w)) AS word FROM b),
+    r AS (SELECT word, count(*) AS df FROM u WHERE word IN (SELECT word FROM i) GROUP BY 1), l AS (SELECT item_id, word FROM i JOIN r USING (word) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY df, word) = 1),
+    p AS (SELECT doc_id, item_id FROM u JOIN l USING (word)), x AS (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM b), y AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS j FROM d WHERE doc_id IN (SELECT doc_id FROM p)),
+    m AS (SELECT doc_id, item_id, i, j - i AS diagonal, i - row_number() OVER (PARTITION BY doc_id, item_id, j - i ORDER BY i) AS island FROM p JOIN x USING (item_id) JOIN y USING (doc_id, word))
+    SELECT concat(doc_id, ':', item_id) AS pair, CAST(max(n) AS INT) AS run FROM (SELECT doc_id, item_id, count(*) AS n FROM m GROUP BY doc_id, item_id, diagonal, island) GROUP BY doc_id, item_id"""
+)
 def w8_longest_common_run(spark, t):
     """Longest run of words that each benchmark item has in common with the documents that hold its rarest word."""
     from verisect.functions.text import norm_words
