@@ -176,11 +176,12 @@ def j6_nested_in_order(spark, t):
     return t("lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(ordered, lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
 
 
-ARMS = """g AS (SELECT event_type AS model, CASE WHEN value < 50 THEN 'bare' ELSE 'mcp' END AS arm, user_id AS qid, sum(value) AS num, count(*) AS den FROM events GROUP BY ALL)"""
+ARMS = """g AS (SELECT event_type AS model, CASE WHEN value < 50 THEN 'bare' ELSE 'mcp' END AS arm, user_id AS qid, CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS num, count(*) AS den FROM events GROUP BY ALL)"""
 
 
 def arms(t):
-    return t("events").groupBy(F.col("event_type").alias("model"), F.when(F.col("value") < 50, "bare").otherwise("mcp").alias("arm"), F.col("user_id").alias("qid")).agg(F.sum("value").alias("num"), F.count(F.lit(1)).alias("den"))
+    """Values in whole thousandths, whose sums don't depend on their order."""
+    return t("events").groupBy(F.col("event_type").alias("model"), F.when(F.col("value") < 50, "bare").otherwise("mcp").alias("arm"), F.col("user_id").alias("qid")).agg(F.sum(F.round(F.col("value") * 1000).cast("bigint")).alias("num"), F.count(F.lit(1)).alias("den"))
 
 
 @query(
