@@ -13,7 +13,7 @@ DASHES = "\u2010\u2011‒–—―−"
 
 def words_of(text: Column) -> Column:
     """The parts between single spaces, without empty ones."""
-    return F.filter(F.split(text, " "), lambda x: x != "")
+    return F.array_remove(F.split(text, " "), "")
 
 
 def strip_markdown(text: Column) -> Column:
@@ -26,15 +26,20 @@ def strip_markdown(text: Column) -> Column:
 
 def norm_words(text: Column, brackets: bool = True) -> Column:
     """Lower-case words of ASCII letters and digits; one letter in brackets joins its word ([T]he)."""
-    t = F.translate(F.lower(text), CURLY, "''")
+    return words_of(_normal(text, brackets))
+
+
+def _normal(text: Column, brackets: bool) -> Column:
+    """The words between single spaces, with one before and after."""
+    t = F.lower(text)  # quotation marks of every kind become spaces below
     if brackets:
-        t = F.regexp_replace(t, r"\[([a-z])\]", "$1")
-    return words_of(F.regexp_replace(t, "[^a-z0-9]+", " "))
+        t = F.when(F.contains(t, F.lit("[")), F.regexp_replace(t, r"\[([a-z])\]", "$1")).otherwise(t)
+    return F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")), "[^a-z0-9]+", " ")
 
 
 def match_words(text: Column) -> Column:
     """norm_words without those of digits only: page numbers and note marks never break a run."""
-    return F.filter(norm_words(text), lambda w: ~w.rlike("^[0-9]+$"))
+    return words_of(F.regexp_replace(_normal(text, True), " [0-9]+(?= )", ""))
 
 
 def padded(words: Column) -> Column:

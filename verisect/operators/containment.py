@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,25 @@ def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))) * STEP + np.uint64(n)
 
 
+def _word_hashes(texts: pa.Array, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one after another, and each word's text. known: hashes of words seen before."""
+    lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    words = lists.flatten().dictionary_encode()
+    vocab = words.dictionary.to_numpy(zero_copy_only=False)
+    for w in vocab:
+        if w not in known:
+            known[w] = word_hash(w)
+    hashes = np.fromiter(map(known.__getitem__, vocab), np.uint64, len(vocab))
+    return hashes[words.indices.to_numpy()], np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+
+
+def _letter_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same of letters, which are their own hashes."""
+    listed = [t or "" for t in texts.to_pylist()]
+    letters = np.frombuffer("".join(listed).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    return letters, np.repeat(np.arange(len(listed)), [len(t) for t in listed])
+
+
 def text_runs(rows: DataFrame, key: str, words: str, sizes: Sequence[int], wanted: np.ndarray | None = None, letters: bool = False) -> DataFrame:
     """(key, _run): the distinct hashes of the runs of each of the sizes in a text of words between single spaces, or of its letters; only `wanted` ones (sorted), if given."""
     spark, kind = rows.sparkSession, dict(rows.dtypes)[key]
@@ -42,27 +62,25 @@ def text_runs(rows: DataFrame, key: str, words: str, sizes: Sequence[int], wante
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        for batch in batches:
-            found = []
-            for text in batch.column(1).to_pylist():
-                if letters:
-                    h = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-                else:
-                    tokens = text.split(" ") if text else []
-                    for w in tokens:
-                        if w not in known:
-                            known[w] = word_hash(w)
-                    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-                runs = np.unique(np.concatenate([rolled(h, n) for n in sizes] or [np.zeros(0, np.uint64)]))
-                if shared is not None and len(runs):
-                    at = np.minimum(np.searchsorted(shared.value, runs), len(shared.value) - 1)
-                    runs = runs[shared.value[at] == runs] if len(shared.value) else runs[:0]
-                found.append(runs.view(np.int64))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                batch = whole.slice(at, 1_000)
+                h, owner = _letter_hashes(batch.column(1)) if letters else _word_hashes(batch.column(1), known)
+                found = []
+                for n in sizes:
+                    runs = rolled(h, n)
+                    mine = owner[: len(runs)]
+                    use = mine == owner[n - 1 :][: len(runs)]  # not across texts
+                    if shared is not None:
+                        place = np.minimum(np.searchsorted(shared.value, runs), max(0, len(shared.value) - 1))
+                        use &= shared.value[place] == runs if len(shared.value) else False
+                    found.append(np.stack([mine[use].astype(np.uint64), runs[use]]))
+                pairs = np.concatenate([*found, np.zeros((2, 0), np.uint64)], 1)
+                pairs = pairs[:, np.lexsort(pairs)]
+                pairs = pairs[:, np.flatnonzero(np.append(True, (np.diff(pairs) != 0).any(0)))] if pairs.shape[1] else pairs
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0].astype(np.int64))), pa.array(pairs[1].view(np.int64))], [key, "_run"])
                 if len(known) > REMEMBERED:
                     known.clear()
-            times = np.array([len(r) for r in found], np.int64)
-            owners = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), times)))
-            yield pa.RecordBatch.from_arrays([owners, pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], [key, "_run"])
 
     return rows.select(key, words).mapInArrow(run, f"{key} {kind}, _run long")
 
@@ -109,11 +127,13 @@ def shared_runs(docs: DataFrame, doc_key: str, doc_text: str, needles: DataFrame
     """(doc, needle) with a common run of k words. Pairs that meet by hash are confirmed on the words."""
     probe = needles.select(F.col(needle_key).alias("_needle"), T.match_words(F.col(needle_text)).alias("_w"))
     runs = text_runs(probe.select("_needle", F.array_join("_w", " ").alias("_line")), "_needle", "_line", [k])
-    # The words are a column of their own: inside a lambda an expression runs again for every element.
     lines = docs.select(F.col(doc_key).alias("_doc"), F.array_join(T.match_words(F.col(doc_text)), " ").alias("_line"))
     met = meeting(lines, "_doc", "_line", runs, [k])
-    texts = lines.select("_doc", F.concat(F.lit(" "), F.col("_line"), F.lit(" ")).alias("_hay"))
-    confirmed = met.join(texts, "_doc").join(small(probe), "_needle").where(F.exists(T.grams(F.col("_w"), k), lambda g: F.contains("_hay", F.concat(F.lit(" "), g, F.lit(" ")))))
+    # Only texts that meet a needle are split again, and their words are a column of their own: inside a lambda an expression
+    # runs again for every element.
+    joined = met.join(docs.select(F.col(doc_key).alias("_doc"), F.col(doc_text).alias("_text")), "_doc").join(small(probe), "_needle")
+    joined = joined.select("_doc", "_needle", "_w", F.concat(F.lit(" "), F.array_join(T.match_words(F.col("_text")), " "), F.lit(" ")).alias("_hay"))
+    confirmed = joined.where(F.exists(T.grams(F.col("_w"), k), lambda g: F.contains("_hay", F.concat(F.lit(" "), g, F.lit(" ")))))
     return confirmed.select(F.col("_doc").alias(doc_key), F.col("_needle").alias(needle_key))
 
 
