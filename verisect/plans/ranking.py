@@ -161,7 +161,13 @@ def l4_widening_draw(spark, t):
     return spark.createDataFrame([(i,) for i in ids], "doc_id long")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE b AS (SELECT item_id, list_distinct({NORM_WORDS}) AS w, row_number() OVER (ORDER BY item_id) AS n FROM benchmark),
+    s AS (SELECT x.n AS a, y.n AS b, len(list_intersect(x.w, y.w)) AS common, len(x.w) + len(y.w) AS total FROM b x JOIN b y ON x.n < y.n),
+    near AS (SELECT b.n, coalesce(list(s.a) FILTER (WHERE common > 0 AND common >= 0.5 * (total - common)), []) AS before FROM b LEFT JOIN s ON s.b = b.n GROUP BY b.n),
+    g(n, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT near.n, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, near.n) END FROM g JOIN near ON near.n = g.n + 1)
+    SELECT item_id FROM b WHERE n IN (SELECT unnest(kept) FROM (SELECT kept FROM g ORDER BY n DESC LIMIT 1))"""
+)
 def l5_greedy_near_duplicates(spark, t):
     """Benchmark passages in order, without those that overlap a kept one by half."""
     from verisect.functions.text import norm_words
