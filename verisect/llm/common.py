@@ -145,3 +145,26 @@ class Memo(dict):
     def trim(self) -> None:
         if len(self) > self.limit:
             self.clear()
+
+
+class Rows:
+    """Word -> row of a growing table, made once a process by `make`; emptied by trim() when it holds over `limit` words.
+
+    A word costs its key and a row of numbers, and looking up many words gives an array of rows' numbers.
+    """
+
+    def __init__(self, make: Callable, width: int, dtype, limit: int = 400_000):
+        self.make, self.memo, self.table = make, Memo(self._add, limit), np.zeros((1024, width), dtype)
+
+    def _add(self, word) -> int:
+        k = len(self.memo)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[k] = self.make(word)
+        return k
+
+    def __call__(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+
+    def trim(self) -> None:
+        self.memo.trim()

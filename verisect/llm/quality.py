@@ -24,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, broadcast_value, fold, labelled_sample, logistic, narrow, sigmoid, slices, utf8
+from .common import Rows, broadcast_value, fold, labelled_sample, logistic, narrow, sigmoid, slices, utf8
 
 BITS = 20
-SHAPES = [(re.compile(p), r) for p, r in ((r"[^\W\d_]", lambda m: "U" if m[0].isupper() else "l"), (r"\d+", "0"), (r"U{2,}", "UU"), (r"l+", "l"), (r"([^\w\s])\1+", r"\1\1"))]
+LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTERS = str.maketrans({chr(c): "U" if c < 91 else "l" for c in (*range(65, 91), *range(97, 123))})
+SHAPES = [(re.compile(p), r) for p, r in ((r"\d+", "0"), (r"U{2,}", "UU"), (r"l+", "l"), (r"([^\w\s])\1+", r"\1\1"))]
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 SAME = np.uint64(0x5851F42D4C957F2D)
 
@@ -35,7 +37,7 @@ SAME = np.uint64(0x5851F42D4C957F2D)
 def _ids(chunk: bytes) -> tuple[int, int]:
     """Hashes of a word and of its shape."""
     word = chunk.decode("utf-8", "replace")
-    shape = word
+    shape = word.translate(ASCII_LETTERS) if word.isascii() else LETTER.sub(lambda m: "U" if m[0].isupper() else "l", word)
     for pattern, by in SHAPES:
         shape = pattern.sub(by, shape)
     return xxhash.xxh64_intdigest(word.lower().strip(".,;:!?\"'()")), xxhash.xxh64_intdigest("shape " + shape)
@@ -45,28 +47,21 @@ class Featurizer:
     """Text -> sorted distinct feature places."""
 
     def __init__(self, limit: int = 400_000):
-        self.word, self.shape = Memo(lambda c: self._both(c)[0], limit), Memo(lambda c: self._both(c)[1], limit)
-
-    def _both(self, chunk: bytes) -> tuple[int, int]:
-        w, s = _ids(chunk)
-        self.word[chunk], self.shape[chunk] = w, s
-        return w, s
+        self.rows = Rows(_ids, 2, np.uint64, limit)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         chunks = (text or b"").split()
         if not chunks:
             return np.zeros(0, np.int32)
-        w = np.fromiter(map(self.word.__getitem__, chunks), np.uint64, len(chunks))
-        s = np.fromiter(map(self.shape.__getitem__, chunks), np.uint64, len(chunks))
+        at = self.rows(chunks)
+        w, s = self.rows.table[at].T
         s[1:][w[1:] == w[:-1]] ^= SAME
         grams = [w * ODD[0], w[:-1] * ODD[0] + w[1:] * ODD[1], s * ODD[2]]
         g = s
         for n in (1, 2, 3):
             g = g[:-1] * ODD[3] + s[n:]
             grams.append(g * ODD[2])
-        if len(self.word) > self.word.limit:
-            self.word.clear()
-            self.shape.clear()
+        self.rows.trim()
         return np.unique((np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int32))
 
 
