@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, broadcast_value, fold, labelled_sample, logistic, narrow, sigmoid, slices, utf8, words
+from .common import Rows, broadcast_value, fold, labelled_sample, logistic, narrow, sigmoid, slices, utf8, words
 
 BITS, WINDOW = 18, 64
 RUN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -144,7 +144,8 @@ class Field:
         self.weight, self.moves, self.final = weight.astype(np.float32), moves, final
 
     def emission(self, word: str) -> tuple[float, float, float]:
-        return tuple(float(self.weight[p].sum()) for p in _places(word))
+        own, before, after = _places(word)
+        return float(sum(self.weight[own].tolist())), float(self.weight[before[0]]), float(self.weight[after[0]])
 
     def document(self, top: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return sigmoid(_summary(top, expected) @ self.final)
@@ -159,24 +160,17 @@ class Tagger:
     """Marginals of many texts at once."""
 
     def __init__(self, field: Field):
-        self.field, self.index = field, Memo(self._new)
-        self.rows: list[tuple[float, float, float]] = []
-
-    def _new(self, word: bytes) -> int:
-        self.rows.append(self.field.emission(lower(word)))
-        return len(self.rows) - 1
+        self.field, self.rows = field, Rows(lambda word: field.emission(lower(word)), 3, np.float64)
 
     def __call__(self, tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Word counts of the texts, and the marginals of all their words one after another."""
-        if len(self.index) > self.index.limit:
-            self.index.clear()
-            self.rows.clear()
+        self.rows.trim()
         counts = np.array([len(t) for t in tokens], np.int64)
         if not counts.sum():
             return counts, np.zeros(0)
-        ids = np.concatenate([np.fromiter(map(self.index.__getitem__, t), np.int64, len(t)) for t in tokens])
-        own, before, after = np.array(self.rows).T
-        return counts, marginals(own[ids], before[ids], after[ids], counts, np.exp(self.field.moves))
+        at = np.concatenate([self.rows(t) for t in tokens])
+        own, before, after = self.rows.table[at].T
+        return counts, marginals(own, before, after, counts, np.exp(self.field.moves))
 
 
 def marginals(own: np.ndarray, before: np.ndarray, after: np.ndarray, counts: np.ndarray, a: np.ndarray) -> np.ndarray:
