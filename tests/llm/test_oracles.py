@@ -16,6 +16,7 @@ COLUMNS = {
     8: "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
     9: "doc_id held_out lang_pred score",
     10: "doc_id n_assign n_access n_hex base_sha256 spans",
+    11: "item_id rank doc_id score",
     12: "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 
@@ -33,7 +34,7 @@ def test_oracle(spark, name):
 
 
 def test_one_query_per_operator_with_the_contract_columns(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == [*range(1, 11), 12]
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 13))
     for name, run in queries.QUERIES.items():
         wanted = COLUMNS.get(int(name[2:].split("_")[0]), "doc_id class_id").split()
         columns = run(spark, "/root/testdata/sf0.001").columns

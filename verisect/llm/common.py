@@ -24,12 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path or f"file:///tmp/verisect-{os.getuid()}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows once to the shared folder and reads them back, which cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Writes the rows once to the shared folder and reads them back, which cuts the lineage and survives lost executors. folders: columns that files are parted by."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     WRITTEN.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(folders) or None)
     out = spark.read.schema(df.schema).parquet(path)
     out.folder = path
     return out
