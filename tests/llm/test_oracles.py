@@ -18,6 +18,7 @@ COLUMNS = {
     10: "doc_id n_assign n_access n_hex base_sha256 spans",
     11: "item_id rank doc_id score",
     12: "doc_id n_tokens ids_sha256 decoded_sha256",
+    13: "file_no n_rows n_erased cents rewritten table_name ids_sha256 columns path",
 }
 
 
@@ -34,7 +35,7 @@ def test_oracle(spark, name):
 
 
 def test_one_query_per_operator_with_the_contract_columns(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     for name, run in queries.QUERIES.items():
         wanted = COLUMNS.get(int(name[2:].split("_")[0]), "doc_id class_id").split()
         columns = run(spark, "/root/testdata/sf0.001").columns

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, lexical, lm, media, minhash_dedup, packing, quality, secrets, toxicity, warc
+from . import bpe, decontam, erasure, langid, lexical, lm, media, minhash_dedup, packing, quality, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_report(table(spark, sf_dir, "documents"))
 
 
+def op13_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return erasure.erasure_report(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality": op2_quality,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_lexical_search": op11_lexical_search,
     "op12_bpe": op12_bpe,
+    "op13_erasure": op13_erasure,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
