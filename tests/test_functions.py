@@ -165,16 +165,6 @@ def test_band_median_matches_lists(spark):
         assert (r.n, r.mid) == (len(near), near[len(near) // 2] if len(near) >= 5 else None)
 
 
-def test_rules_meet_quotations_by_shared_words(spark):
-    from verisect.operators import quotations as Q
-
-    rules = [(f"R{k:03d}", f"every party in suit {k} shall file a plain statement of claim number {k} with the clerk") for k in range(40)]
-    quotes = [(k, f"a plain statement of claim number {k} with the clerk") for k in range(0, 40, 3)] + [(90, "shall file a [plain] statement . . . of claim number 7 with"), (91, "nothing that any rule says at all"), (92, ""), (93, None)]
-    got = Q.rule_texts(spark.createDataFrame(quotes, "id int, quote string"), spark.createDataFrame(rules, "rule string, text string"), "id").collect()
-    want = {i: min((r for r, text in rules if U.ordered_match(q, text)), default=None) for i, q in quotes}
-    assert {r.id: r.rule for r in got} == want and want[90] and want[91] is None
-
-
 def test_lower_case_of_another_length_keeps_the_words():
     text = "Ab İstanbul x9 ŞİŞLİ end"
     found = U.word_places(text)
@@ -467,3 +457,133 @@ def test_tables_as_markdown_and_html(spark):
     df = spark.createDataFrame([("a|b", None), ("<i>", 2)], "k string, n int")
     assert reports.markdown_table(df, ["k", "n"]) == "| k | n |\n|---|---|\n| a/b | n/a |\n| <i> | 2 |\n"
     assert "<td>&lt;i&gt;</td><td>2</td>" in reports.html_table(df, ["k", "n"])
+
+
+def fuzzy_names(draw, n):
+    words = ["smith", "smyth", "smithe", "johnson", "johnston", "jonson", "state", "states", "county", "bank", "banks", "williamson", "wiliamson", "wiliamsen", "12", "abc", "abd", "hendersons", "henderson", "hendrson"]
+    name = lambda: " ".join(draw.choice(words).title() for _ in range(draw.randint(1, 3)))
+    return [name() if draw.random() < 0.3 else f"{name()} v. {name()}" for _ in range(n)] + ["", None, "In re", "Smith Smith Smith Bank"]
+
+
+def test_the_fuzzy_join_finds_what_all_pairs_find(spark):
+    from verisect.operators import fuzzy
+
+    draw = random.Random(11)
+    left, right = fuzzy_names(draw, 70), fuzzy_names(draw, 70)
+    got = fuzzy.similar_names(spark.createDataFrame([(x,) for x in left], "name string"), spark.createDataFrame([(x,) for x in right], "case_name string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted({(a, b) for a in left for b in right if a is not None and b is not None and U.names_alike(a, b)})
+
+
+def test_similar_words_are_those_of_all_pairs(spark):
+    from verisect.operators import fuzzy
+
+    draw = random.Random(12)
+    base = ["".join(draw.choice("abcdeilmnorst") for _ in range(draw.randint(1, 16))) for _ in range(60)]
+
+    def bent(w):
+        w = list(w)
+        for _ in range(draw.randint(0, 3)):
+            k = draw.randrange(len(w) + 1)
+            w[k : k + draw.randint(0, 1)] = draw.choice(["", "a", "e", "st"])
+        return "".join(w) or "x"
+
+    left, right = set(base), {bent(w) for w in base * 3}
+    got = fuzzy.similar_words(*(spark.createDataFrame([(w,) for w in sorted(ws)], "word string") for ws in (left, right)))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((a, b) for a in left for b in right if U.alike(a, [b]))
+
+
+def test_words_that_are_alike_share_a_piece():
+    from verisect.operators import fuzzy
+
+    draw = random.Random(13)
+    for _ in range(3_000):
+        a = "".join(draw.choice("abc") for _ in range(draw.randint(4, 14)))
+        b = list(a)
+        for _ in range(draw.randint(1, 3)):
+            b[(k := draw.randrange(len(b) + 1)) : k + draw.randint(0, 1)] = draw.choice(["", "a", "b"])
+        b = "".join(b)
+        if b and U.alike(a, [b]) and a != b:
+            assert set(fuzzy.piece_keys(a)) & set(fuzzy.probe_keys(b)), (a, b)
+
+
+def spent(run, sizes):
+    took = []
+    for n in sizes:
+        began = time.process_time()
+        run(n)
+        took.append(time.process_time() - began + 1e-3)
+    return took
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        lambda n: U.predictions("[" * n),
+        lambda n: U.predictions('[["a" ' * n),
+        lambda n: U.quotations('He said "one two three four five six" and \'one two three four five six seven\' there. ' * n),
+        lambda n: U.best_run("a b c d e f g " * n, "a b c e f g h " * n),
+        lambda n: U.cite_places("see 12 So. 2d 34 and " * n, [{"ord": k, "volume": str(k), "reporter": "So. 2d", "page": "34"} for k in range(n)]),
+    ],
+    ids=["open brackets", "broken arrays", "quotations", "best run", "citations"],
+)
+def test_scans_take_time_in_proportion(run):
+    small, large = spent(run, (300, 2_400))
+    assert large < 30 * small
+
+
+def test_arrays_are_those_of_a_reading_from_every_bracket():
+    decoder = json.JSONDecoder()
+    draw = random.Random(14)
+    for _ in range(4_000):
+        text = "".join(draw.choice(['[', ']', '"', "1", ",", " ", "\\", '"a"', "{", "}", "x"]) for _ in range(draw.randint(0, 14)))
+        want = []
+        for m in re.finditer(r"\[", text):
+            try:
+                want.append(decoder.raw_decode(text, m.start())[0])
+            except json.JSONDecodeError:
+                continue
+        assert list(U.arrays_in(text)) == want, text
+
+
+def test_citations_are_found_as_their_pattern_finds_them():
+    draw = random.Random(15)
+    for _ in range(2_000):
+        text = "".join(draw.choice(["1", "12", "2", " ", " ", "So.", "2d", " So. 2d ", "F.3d", "\n", "x"]) for _ in range(draw.randint(0, 20)))
+        cites = [{"ord": k, "volume": draw.choice(["1", "12", "2"]), "reporter": draw.choice(["So. 2d", "F.3d", "So."]), "page": draw.choice(["1", "12", "2"])} for k in range(3)]
+        want = []
+        for c in cites:
+            pattern = re.escape(f"{c['volume']} ") + r"\s*" + r"\s*".join(map(re.escape, c["reporter"].split())) + r"\s+" + c["page"]
+            want += [(c["ord"], m.start()) for m in re.finditer(f"(?={pattern})", text)]
+        assert [(p["ord"], p["start"]) for p in U.cite_places(text, cites)] == sorted(want), (text, cites)
+
+
+def test_rules_count_only_where_they_are_named(spark):
+    from verisect.operators import quotations as Q
+
+    rules = [("mi", "MCR 2.116", "A party may move for dismissal of or judgment on all or part of a claim."), ("fedrule", "Fed. R. Civ. P. 9", "a party may move for dismissal of or judgment on all or part of a claim")]
+    quote = "a party may move for dismissal . . . on all or part of a claim"
+    texts = {1: f"MCR 2.116 says: {quote}", 2: quote, 3: f"MCR 2.116.{' x' * 400} {quote}", 4: f"{quote} So Rule 9(a).", 5: f"{quote} So Rule 9(a) and MCR 2.117.", 6: f"MRE 1, MRE 2, MRE 3, MRE 4, MCR 2.116: {quote}"}
+    answers = spark.createDataFrame(list(texts.items()), "answer int, text string")
+    quotes = spark.createDataFrame([(k, quote, t.index(quote), t.index(quote) + len(quote)) for k, t in texts.items()], "answer int, quote string, start int, end int")
+    got = Q.rule_texts(answers, quotes, spark.createDataFrame(rules, "jurisdiction string, rule string, text string"), ["answer"]).collect()
+    assert {(r.answer, r.rule) for r in got} == {(1, "MCR 2.116"), (4, "Fed. R. Civ. P. 9")}
+
+
+def test_a_dropped_bracket_does_not_join_what_its_ellipsis_parted(spark):
+    prop = "a court may not weigh the evidence here [...] when it rules upon a motion for summary judgment"
+    joined = "a court may not weigh the evidence here when it rules upon a motion for summary judgment"
+    rows = spark.createDataFrame([(1, prop, "a court may not weigh the evidence here"), (2, prop, joined), (3, "weigh the evidence here when it [...] rules upon a motion", "the evidence here when it rules upon a motion and more")], "id int, prop string, hay string")
+    got = {r.id: r.e for r in rows.select("id", K.gold_equivalent(F.col("prop"), T.padded(T.match_words(F.col("hay")))).alias("e")).collect()}
+    assert got == {1: False, 2: True, 3: False}
+
+
+def test_spans_meet_once(spark):
+    from verisect.operators.intervals import overlapping
+
+    draw = random.Random(16)
+    spans = lambda: [(draw.randrange(2), a := draw.randrange(60), a + draw.randrange(25)) for _ in range(60)]
+    left, right = spans(), spans()
+    a, b = (spark.createDataFrame([(*x, k) for k, x in enumerate(rows)], "g int, start int, end int, n int") for rows in (left, right))
+    got = sorted((r.n, r.met.n) for r in overlapping(a, b, ["g"], width=7).collect())
+    end = lambda x: max(x[2], x[1] + 1)
+    assert got == sorted((i, j) for i, x in enumerate(left) for j, y in enumerate(right) if x[0] == y[0] and x[1] < end(y) and y[1] < end(x))

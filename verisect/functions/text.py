@@ -49,12 +49,12 @@ def padded(words: Column) -> Column:
 
 def fold_print(text: Column) -> Column:
     """Folds what printing varies: zero-width marks, hyphens, spaces, quotation marks, words broken at a line's end."""
-    t = F.regexp_replace(text, "[\u200b-\u200d\ufeff\u00ad]", "")
+    t = F.regexp_replace(text, "[\u00ad\u200b-\u200d\u2060\ufeff]", "")
     t = F.regexp_replace(t, "[\u2010\u2011]", "-")
-    t = F.regexp_replace(t, "[\u00a0\u2000-\u200a\u202f\u3000]", " ")
-    t = F.regexp_replace(t, "[‘’‚‛]", "'")
-    t = F.regexp_replace(t, "[“”„‟]", '"')
-    return F.regexp_replace(t, r"([a-z])-[ \t]*\n[ \t]*([a-z])", "$1$2")
+    t = F.regexp_replace(t, "[\u00a0\u2000-\u200a\u202f\u205f\u3000]", " ")
+    t = F.regexp_replace(t, "[‘’ʼ]", "'")
+    t = F.regexp_replace(t, "[“”]", '"')
+    return F.regexp_replace(t, r"(?<=[a-z])-(?:[ \t]*\r?\n[ \t]*|[ \t]+)(?=[a-z])", "")
 
 
 def fold_answer(text: Column) -> Column:
@@ -115,9 +115,9 @@ def segment_match(words: Column, hay: Column) -> Column:
 
 
 def bracket_variants(quote: Column) -> Column:
-    """The quotation, without free-standing brackets, and without any."""
-    free = F.regexp_replace(quote, r"(^|\s)\[[^\]]*\](?=\s|$|[.,;:])", "$1")
-    return F.array_distinct(F.array(quote, free, F.regexp_replace(quote, r"\[[^\]]*\]", "")))
+    """As written, without free-standing brackets of 1 to 60 characters, without any of at most 60; a space stands for each."""
+    free = F.regexp_replace(quote, r"(?<![A-Za-z0-9])\[[^\[\]]{1,60}\](?![A-Za-z0-9])", " ")
+    return F.array_distinct(F.array(quote, free, F.regexp_replace(quote, r"\[[^\[\]]{0,60}\]", " ")))
 
 
 def grams(words: Column, k: int) -> Column:

@@ -145,12 +145,17 @@ def gold_equivalent(proposition: Column, hay: Column, part: int = 5, run: int =
         last = F.size(words) - n + 1
         return (last >= 1) & F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda p: inside(F.slice(words, p, n)))
 
+    # A bracket that is dropped with the ellipsis in it doesn't join what it parted: with an ellipsis as written, only
+    # variants that keep one count.
+    ellipsis = r"\.\s*\.\s*\.|…|\[\s*\.\.\.\s*\]"
+    written = T.fold_print(proposition)
+    elided = written.rlike(ellipsis)
+
     def one(text: Column) -> Column:
-        elided = text.rlike(r"\.\s*\.\s*\.|…")
-        parts = F.transform(F.split(text, r"\.\s*\.\s*\.|…|\[\s*\.\.\.\s*\]"), T.match_words)
+        parts = F.transform(F.split(text, ellipsis), T.match_words)
         long = F.filter(parts, lambda w: F.size(w) >= part)
-        split = (F.size(long) > 0) & (F.forall(long, inside) | F.exists(parts, lambda w: has_run(w, F.lit(run))))
+        split = (F.size(long) > 0) & F.forall(long, inside) | F.exists(parts, lambda w: has_run(w, F.lit(run)))
         whole = T.match_words(text)
-        return F.when(elided, split).otherwise((F.size(whole) >= part) & has_run(whole, F.least(F.lit(run), F.size(whole))))
+        return F.when(elided, text.rlike(ellipsis) & split).otherwise((F.size(whole) >= part) & has_run(whole, F.least(F.lit(run), F.size(whole))))
 
-    return F.exists(T.bracket_variants(T.fold_print(proposition)), one)
+    return F.exists(T.bracket_variants(written), one)

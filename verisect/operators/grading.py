@@ -1,7 +1,7 @@
 """Grading of answers as a staged relation: citations are classified, reconciled, folded and counted; quotations are matched.
 
 Every stage refines one `status` column, so the evidence of each decision stays in the rows: history, retracted,
-resolved, parallel, unindexed_real, pin_reference, fabricated.
+resolved, parallel, unindexed_real, pin_reference, fabricated.  `route` says how a parallel or unindexed one was told.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from verisect.functions import udfs as U
 from verisect.functions.text import reporter_key
 from verisect.operators import citations as G
 from verisect.operators import quotations as Q
+from verisect.operators.intervals import overlapping
 from verisect.sources.tables import stored
 
 ANSWERS = "answer string, text string, gold_cluster_id long, gold_citation string, proposition string"
@@ -22,8 +23,37 @@ ANSWERS = "answer string, text string, gold_cluster_id long, gold_citation strin
 CITES = "answer string, ord int, raw string, volume string, reporter string, page string, start int, cluster_id long, resolution string, case_name string, flag string, party_verdict string, lhs string, rhs string, did_you_mean array<struct<cluster_id:bigint,page:string>>"
 
 
+#: Year before which the index lacks official reports; characters after a chain that still belong to it.
+OLD_REPORTS, CHAIN_TAIL = 1950, 40
+
+
+def recurrences(answers: DataFrame, unresolved: DataFrame, chained: DataFrame) -> DataFrame:
+    """answer and ord of unresolved citations that are also written within a chain, or CHAIN_TAIL characters after it, that another citation leads."""
+    wanted = unresolved.groupBy("answer").agg(F.sort_array(F.collect_list(F.struct("ord", "volume", "reporter", "page"))).alias("_cites"))
+    written = answers.select("answer", "text").join(wanted, "answer").select("answer", F.explode(U.find_cites("text", "_cites")).alias("p")).select("answer", "p.ord", "p.start")
+    chains = chained.groupBy("answer", "island").agg(F.min("start").alias("start"), F.max(F.struct("start", "end")).alias("_last"), F.min_by("ord", F.struct("start", "ord")).alias("lead"))
+    spans = chains.select("answer", (F.col("start") + 1).alias("from"), (F.col("_last.end") + CHAIN_TAIL + 1).alias("to"), "lead")
+    places = written.withColumn("end", F.col("start") + 1)
+    return overlapping(places, spans, ["answer"], ("start", "end"), ("from", "to")).where("met.lead <> ord").select("answer", "ord").distinct()
+
+
+def near_miss_tags(answers: DataFrame, classified: DataFrame) -> DataFrame:
+    """answer, ord, kind, cluster_id, delta of made-up citations that are near a cited case, or near the answer's gold case."""
+    c = F.col
+    parsed = F.explode(F.transform(C.cite_keys(c("gold_citation")), lambda k: F.split(k, r"\|")))
+    gold = answers.where("gold_cluster_id IS NOT NULL").select("answer", parsed.alias("_k"), c("gold_cluster_id").alias("cluster_id"))
+    gold = gold.select("answer", c("_k")[0].alias("volume"), c("_k")[1].alias("reporter"), c("_k")[2].alias("page"), "cluster_id")
+    cited = classified.where("status IN ('resolved', 'unindexed_real') AND cluster_id IS NOT NULL").select("answer", "volume", "reporter", "page", "cluster_id")
+    made_up = classified.where("status = 'fabricated'").select("answer", "ord", "volume", "reporter", "page", "did_you_mean")
+    return G.near_misses(made_up, cited.unionByName(gold), ["answer"], "ord")
+
+
 def classify(answers: DataFrame, cites: DataFrame, reconciled: DataFrame | None = None) -> DataFrame:
-    """Citations with `status` and the cluster they stand for. reconciled: answer, ord, status, cluster_id of unresolved ones."""
+    """Citations with `status`, `route` and the cluster they stand for.
+
+    reconciled: answer, ord, status, cluster_id of unresolved ones, and if known `miscited` (a real case was found under
+    another citation) and `hi` (the last year of the volume's band).
+    """
     keys = ["answer"]
     rows = cites.join(answers.select("answer", "text"), "answer").withColumn("end", F.col("start") + F.length("raw"))
     c = F.col
@@ -31,28 +61,40 @@ def classify(answers: DataFrame, cites: DataFrame, reconciled: DataFrame | None
     rows = rows.withColumn("withdrawn", U.retracted("text", "start", "end"))
     status = F.when(later, "history").when(c("withdrawn").isNotNull(), "retracted").when(c("cluster_id").isNull(), "unresolved").when(c("resolution") == "name_year", "unindexed_real").otherwise("resolved")
     rows = rows.withColumn("status", status)
-    gone = rows.where("status IN ('history', 'retracted')")
+    gone = rows.where("status IN ('history', 'retracted')").withColumn("route", F.lit(None).cast("string"))
     live = rows.where("status NOT IN ('history', 'retracted')")
 
     # Parallels: in a chain with a resolved member all unresolved ones, else all but the first.
-    chained = G.parallel_chains(live, keys)
+    chained = stored(G.parallel_chains(live, keys), "chained")
     chain = Window.partitionBy("answer", "island")
     has = F.max((c("status") != "unresolved").cast("int")).over(chain) == 1
     lead = F.row_number().over(chain.orderBy((c("status") != "unresolved").cast("int"), "start", "ord")) == 1
-    live = chained.withColumn("status", F.when((c("status") == "unresolved") & (has | ~lead), "parallel").otherwise(c("status"))).drop("island")
+    in_chain = (c("status") == "unresolved") & (has | ~lead)
+    live = chained.withColumn("route", F.when(in_chain, "chain")).withColumn("status", F.when(in_chain, "parallel").otherwise(c("status"))).drop("island")
+
+    # A citation that is also written inside a chain that another one leads, or right after it, is that chain's parallel.
+    again = recurrences(answers, live.where("status = 'unresolved'"), chained).withColumn("_again", F.lit(True))
+    live = live.join(again, ["answer", "ord"], "left").withColumns({"status": F.when(c("_again"), "parallel").otherwise(c("status")), "route": F.when(c("_again"), "recurs_in_chain").otherwise(c("route"))}).drop("_again")
 
     # An official report's citation in the sentence of a resolved regional one is its parallel.
     regional = live.where(c("status").isin("resolved", "unindexed_real") & C.is_regional(c("reporter"))).groupBy("answer").agg(F.collect_list("start").alias("_regional"))
-    live = live.join(regional, "answer", "left").withColumn("_starts", U.sentences("text"))
+    live = live.join(regional, "answer", "left").withColumn("_starts", F.when(c("_regional").isNotNull(), U.sentences("text")))
     sentence = lambda place: F.size(F.filter("_starts", lambda s: s <= place))
-    beside = F.coalesce(F.exists("_regional", lambda r: sentence(r) == sentence(c("start"))), F.lit(False))
-    live = live.withColumn("status", F.when((c("status") == "unresolved") & C.is_official(c("reporter")) & beside, "parallel").otherwise(c("status"))).drop("_regional", "_starts")
+    beside = (c("status") == "unresolved") & C.is_official(c("reporter")) & F.coalesce(F.exists("_regional", lambda r: sentence(r) == sentence(c("start"))), F.lit(False))
+    live = live.withColumns({"status": F.when(beside, "parallel").otherwise(c("status")), "route": F.when(beside, "same_sentence").otherwise(c("route"))}).drop("_regional", "_starts")
 
     if reconciled is not None:
-        found = reconciled.select("answer", "ord", c("status").alias("_status"), c("cluster_id").alias("_cluster"))
+        known = lambda name, kind: (c(name) if name in reconciled.columns else F.lit(None)).cast(kind)
+        found = reconciled.select("answer", "ord", c("status").alias("_status"), c("cluster_id").alias("_cluster"), known("miscited", "boolean").alias("_miscited"), known("hi", "long").alias("_hi"))
         live = live.join(found, ["answer", "ord"], "left")
-        real = (c("status") == "unresolved") & (c("_status") == "unindexed_real")
-        live = live.withColumns({"cluster_id": F.when(real, c("_cluster")).otherwise(c("cluster_id")), "status": F.when(real, "unindexed_real").otherwise(c("status"))}).drop("_status", "_cluster")
+        open_ = c("status") == "unresolved"
+        real = open_ & (c("_status") == "unindexed_real")
+        # The index lacks most official reports of before 1950: their citations can't be checked, so they aren't made up.
+        year = C.parenthetical(c("text"), c("start"), c("end"))["year"]
+        dated = F.coalesce(year < OLD_REPORTS, F.lit(False)) | F.coalesce(c("_hi") < OLD_REPORTS, F.lit(False))
+        old = open_ & c("_status").isNotNull() & ~real & ~F.coalesce("_miscited", F.lit(False)) & C.is_official(c("reporter")) & dated
+        live = live.withColumns({"cluster_id": F.when(real, c("_cluster")).otherwise(c("cluster_id")), "status": F.when(real | old, "unindexed_real").otherwise(c("status")), "route": F.when(old, "old_official_unindexed").when(real, "reconciled").otherwise(c("route"))})
+        live = live.drop("_status", "_cluster", "_miscited", "_hi")
 
     # Bare pinpoints into a resolved case of the same answer.
     anchors = live.where("status IN ('resolved', 'unindexed_real') AND cluster_id IS NOT NULL").select("answer", "volume", "reporter", "page", "cluster_id", "case_name")
@@ -75,8 +117,12 @@ def name_verdicts(classified: DataFrame) -> DataFrame:
     return rows.groupBy("answer", "cluster_id").agg(F.bool_and(c("_v") == "mismatch").alias("mismatched"), F.min_by("flag", F.when(c("flag").isNotNull(), c("ord"))).alias("flag"))
 
 
-def grade_quotes(answers: DataFrame, classified: DataFrame, opinions: DataFrame) -> DataFrame:
-    """Every quotation with verdict (found, absent, unattributed) and kind; an absent one whose citation stands for no case is unattributed."""
+def grade_quotes(answers: DataFrame, classified: DataFrame, opinions: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Every quotation with verdict (found, rule_text, absent, unattributed) and kind.
+
+    An absent one that follows through a rule is rule text; one whose citation stands for no case, or names no reporter,
+    or whose answer cites no case that was found, is unattributed.  rules: jurisdiction, rule, text of rules to look up.
+    """
     c = F.col
     spans = answers.select("answer", "text", F.explode(U.extract_quotes("text")).alias("q")).where("q.skipped IS NULL").select("answer", "text", c("q.quote").alias("quote"), c("q.start").alias("start"), c("q.end").alias("end"))
     spans = spans.withColumn("ord", F.row_number().over(Window.partitionBy("answer").orderBy("start")))
@@ -85,13 +131,19 @@ def grade_quotes(answers: DataFrame, classified: DataFrame, opinions: DataFrame)
     before, after = F.substring(c("text"), F.lit(1), c("start")), F.substring(c("text"), c("end") + 1, F.length("text"))
     bounds = spans.withColumns({"para_start": F.length(before) - F.length(F.substring_index(before, "\n\n", -1)), "para_end": c("end") + F.length(F.substring_index(after, "\n\n", 1))})
     places = classified.select("answer", "start", (c("start") + F.length("raw")).alias("end"), F.struct(c("cluster_id").isNotNull() | (c("status") == "parallel")).alias("raw"))
-    attached = Q.attached_cites(bounds, places, ["answer"]).select("answer", "start", c("raw.col1").alias("has_case"))
-    rows = spans.join(matched, ["answer", "ord"]).join(attached, ["answer", "start"], "left").join(cited.groupBy("answer").agg(F.count(F.lit(1)).alias("_cases")), "answer", "left")
+    attached = Q.attached_cites(bounds, places, ["answer"]).select("answer", "start", F.when(c("no_reporter").isNotNull(), False).otherwise(c("raw.col1")).alias("has_case"))
+    if rules is None:
+        rules = answers.sparkSession.createDataFrame([], "jurisdiction string, rule string, text string")
+    absent = spans.join(matched.where("verdict = 'absent'").select("answer", "ord"), ["answer", "ord"])
+    by_rule = Q.rule_texts(answers, absent, rules, ["answer", "ord"]).select("answer", "ord", "rule")
+    rows = spans.join(matched, ["answer", "ord"]).join(attached, ["answer", "start"], "left").join(cited.groupBy("answer").agg(F.count(F.lit(1)).alias("_cases")), "answer", "left").join(by_rule, ["answer", "ord"], "left")
+    verdict = F.when(c("rule").isNotNull(), "rule_text").otherwise(c("verdict"))
+    rows = rows.withColumns({"verdict": verdict, "kind": F.when(c("rule").isNotNull(), "rule_text").otherwise(c("kind"))})
     alone = (c("verdict") == "absent") & (c("_cases").isNull() | ~F.coalesce("has_case", F.lit(True)))
     return rows.withColumns({"verdict": F.when(alone, "unattributed").otherwise(c("verdict")), "kind": F.when(alone, "unattributed").otherwise(c("kind"))}).drop("_cases", "has_case", "text")
 
 
-def grade_answers(answers: DataFrame, cites: DataFrame, opinions: DataFrame, reconciled: DataFrame | None = None) -> DataFrame:
+def grade_answers(answers: DataFrame, cites: DataFrame, opinions: DataFrame, reconciled: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """One row per answer with the counts of its grade."""
     c = F.col
     classified = stored(classify(answers, cites, reconciled), "classified")
@@ -104,17 +156,20 @@ def grade_answers(answers: DataFrame, cites: DataFrame, opinions: DataFrame, rec
     unindexed = real.groupBy("answer").agg(F.count_distinct(F.coalesce(c("cluster_id").cast("string"), key)).alias("n_unindexed"))
     made_up = classified.where("status = 'fabricated'").groupBy("answer").agg(F.count_distinct(key).alias("n_fabricated"))
     pins = classified.where("status = 'pin_reference'").groupBy("answer").agg(F.count_distinct(key).alias("n_pin_reference"))
-    quotes = grade_quotes(answers, classified, opinions).groupBy("answer").agg(F.count_if(c("verdict") == "absent").alias("n_quote_absent"), F.count_if(c("verdict") == "unattributed").alias("n_quote_unattributed"))
+    misses = near_miss_tags(answers, classified).groupBy("answer").agg(F.count(F.lit(1)).alias("n_near_miss"))
+    quotes = grade_quotes(answers, classified, opinions, rules).groupBy("answer").agg(F.count_if(c("verdict") == "rule_text").alias("n_quote_rule_text"), F.count_if(c("verdict") == "absent").alias("n_quote_absent"), F.count_if(c("verdict") == "unattributed").alias("n_quote_unattributed"))
     standing = classified.where("status IN ('resolved', 'unindexed_real')").join(names.where("mismatched").select("answer", "cluster_id"), ["answer", "cluster_id"], "left_anti")
     hits = G.gold_hits(standing.select("answer", "cluster_id", "volume", "reporter", "page"), answers.select("answer", "gold_cluster_id", "gold_citation"), "answer")
     from verisect.operators.containment import gold_equivalent
 
-    texts = standing.select("answer", "cluster_id").distinct().join(opinions.select("cluster_id", U.prepare(F.lower("text")).alias("hay")), "cluster_id").join(answers.select("answer", "proposition"), "answer")
+    used = standing.select("answer", "cluster_id").distinct()
+    wanted = opinions.join(used.select("cluster_id").distinct(), "cluster_id", "left_semi")  # each cited opinion is prepared once
+    texts = used.join(wanted.select("cluster_id", U.prepare(F.lower("text")).alias("hay")), "cluster_id").join(answers.select("answer", "proposition"), "answer")
     runs = texts.groupBy("answer").agg(F.max((gold_equivalent(c("proposition"), c("hay.plain")) | gold_equivalent(c("proposition"), c("hay.stripped"))).cast("int")).alias("_run"))
     out = answers.select("answer", U.warned("text").alias("warned_treatment"), "text")
-    for part in (by_case, unindexed, made_up, pins, quotes, hits, runs):
+    for part in (by_case, unindexed, made_up, pins, misses, quotes, hits, runs):
         out = out.join(part, "answer", "left")
-    counts = ("n_cases", "n_verified", "n_name_mismatch", "n_red", "n_yellow", "n_unindexed", "n_fabricated", "n_pin_reference", "n_quote_absent", "n_quote_unattributed", "gold_hit")
+    counts = ("n_cases", "n_verified", "n_name_mismatch", "n_red", "n_yellow", "n_unindexed", "n_fabricated", "n_pin_reference", "n_near_miss", "n_quote_absent", "n_quote_unattributed", "n_quote_rule_text", "gold_hit")
     out = out.withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in counts})
     out = out.withColumn("n_cites", c("n_cases") + c("n_fabricated") + c("n_unindexed"))
     equivalent = F.greatest(c("gold_hit"), F.coalesce("_run", F.lit(0))).cast("long")
