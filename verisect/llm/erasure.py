@@ -277,6 +277,7 @@ def erase_masters(clients: DataFrame, clicks: DataFrame, sales: DataFrame, sale_
     run = uuid.uuid4().hex
     folder, work = (f"{shared_dir(spark).rstrip('/')}/{x}-{run}" for x in ("erasure", "erasure-work"))
     owner = sales.where(F.col("sale_id").isNotNull()).groupBy(F.col("sale_id").alias("__sale")).agg(F.min("client_id").alias("__client"))
+    owner = materialize(owner, "owners")  # read plainly on both sides, so that Spark can split a sale that very many lines have
     lines = sale_lines.join(owner, F.col("sale_id") == F.col("__sale"), "left").drop("__sale")
     masters = materialize(victim_masters(clients, clicks, share), "victim-masters")
     ids = materialize(clients.join(masters, "master_id", "left_semi").where(F.col("client_id").isNotNull()).select("client_id").distinct(), "victim-clients")
