@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Memo, broadcast_value, materialize, narrow, slices, utf8, words
 
 #: Words of a shard, about; postings of a term in a shard up to which it fills the first tiers; rows of a batch out of a shard.
-SHARD_WORDS, TIERS, ROWS = 2_000_000, (64, 512), 20_000
+SHARD_WORDS, TIERS, ROWS = 1_000_000, (64, 512), 20_000
 #: Tiers of the rows that list a shard's documents, and of those that tell which items are open in it.
 LISTED, OPEN = -1, -2
 
