@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from verisect.functions import cites as C
+from verisect.functions import refs as N
 from verisect.functions import text as T
 from verisect.functions import udfs as U
 from verisect.operators import containment as K
@@ -34,7 +35,7 @@ WORDS = st.text(alphabet="abc XY.'[]“”…\"12,()\n-*_", max_size=80)
 def test_text_functions_take_anything(a, b):
     assert all(not w.isdigit() for w in U.plain_words(a))
     assert U.anchored(a, b) is not None or not a
-    U.located(a, b), U.quote_place(a, b), U.quotations(a), U.references(a), U.attribution(a, b), U.predictions(a), U.sentence_before(a, b)
+    U.located(a, b), U.quote_place(a, b), U.quotations(a), N.references(a), N.attribution(a, b), U.predictions(a), U.sentence_before(a, b)
     assert U.ordered_match(a, b) in (None, "verbatim", "near")
     assert 0 <= U.overlap(a, b) <= 1
     assert U.plain_answer(U.plain_answer(a)) == U.plain_answer(a)
@@ -46,7 +47,7 @@ def test_a_quotation_of_itself_is_verbatim(text):
         assert U.overlap(text, text) == pytest.approx(1.0) or len(U.plain_words(text)) < 3
 
 
-@pytest.mark.parametrize("f", [U.plain_words, U.without_cites, U.haystacks, U.quotations, U.references, U.warns, U.predictions, U.leaks_tool_call, U.plain_answer])
+@pytest.mark.parametrize("f", [U.plain_words, U.without_cites, U.haystacks, U.quotations, N.references, U.warns, U.predictions, U.leaks_tool_call, U.plain_answer])
 def test_null_is_empty(f):
     f(None)
     f("")
@@ -587,3 +588,29 @@ def test_spans_meet_once(spark):
     got = sorted((r.n, r.met.n) for r in overlapping(a, b, ["g"], width=7).collect())
     end = lambda x: max(x[2], x[1] + 1)
     assert got == sorted((i, j) for i, x in enumerate(left) for j, y in enumerate(right) if x[0] == y[0] and x[1] < end(y) and y[1] < end(x))
+
+
+def test_references_by_name_supra_and_between():
+    text = 'Mejia v. Ortega, 12 So. 2d 345 (Fla. 1950). Fed. R. Civ. P. 56 applies. Id. at 347. As Mejia notes, it is so; but compare Ortega, supra, at 346. Kahn v. Mejia, 20 F.3d 7. See 12 So. 2d at 349. mejia and Mejias are others. Unknown, supra.'
+    refs = N.references(text)
+    told = [(r["kind"], r["text"], text[r["target"] :][:5] if r["target"] is not None else None) for r in refs]
+    assert told == [
+        ("name", "Mejia", "12 So"), ("full", "12 So. 2d 345", "12 So"), ("noncase", "Fed. R.", None), ("id", "Id. at 347", "12 So"), ("name", "Mejia", "12 So"), ("supra", "Ortega, supra, at 346", "12 So"),
+        ("name", "Kahn", "20 F."), ("name", "Mejia", "12 So"), ("full", "20 F.3d 7", "20 F."), ("short", "12 So. 2d at 349", "12 So"), ("supra", "Unknown, supra", None),
+    ]
+    assert [r["between"] for r in refs if r["kind"] == "id"] == [True]
+
+
+def test_attribution_shows_its_sentence():
+    text = 'First. The rule in Mejia v. Ortega, 12 So. 2d 345 (Fla. 1950), is old. As Mejia says, "the purpose is to inform the court"; no more.'
+    got = N.attribution(text, "the purpose is to inform the court")
+    assert (got["rule"], got["kind"], got["ref"], text[got["target"] :][:5]) == ("closest_before", "name", "Mejia", "12 So")
+    assert got["sentence"][got["quote_start"] : got["quote_end"]] == "the purpose is to inform the court" and got["sentence"][got["ref_start"] : got["ref_end"]] == "Mejia"
+    far = N.attribution("Lee v. Ray, 12 So. 2d 345, is old.\n\nThe court said \"the purpose is to inform the court\" once, citing Roe v. Wade, 410 U.S. 113.", "the purpose is to inform the court")
+    assert (far["rule"], far["ref"], far["cite_sentence"], far["note"]) == ("earlier", "12 So. 2d 345", "Lee v. Ray, 12 So. 2d 345, is old.", "citing 410 U.S. 113")
+
+
+def test_references_take_time_in_proportion():
+    text = "Mejia v. Ortega, 12 So. 2d 345 (Fla. 1950). As Mejia notes, see Ortega, supra. Id. at 347; 12 So. 2d at 9; § 4. "
+    small, large = spent(lambda n: N.find_references(text * n), (200, 1_600))
+    assert large < 30 * small

@@ -128,20 +128,54 @@ def consider(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
     return met.withColumns({"accepted": accepted, "miscited": tests[0] & ~tests[3]}).drop("_same")
 
 
-def reconcile(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
-    """For each unresolved citation: status, route, cluster_id of the first accepted candidate, and whether a real case was miscited.
+def citation_index(opinions: DataFrame) -> DataFrame:
+    """Where opinions print citations, from one scan of their texts: key, cluster_id, place and the words before it.
 
-    Routes count in the order of ROUTES.  Without a hit, courts that cite it the same way confirm it, unless the case was
-    found at another page.
+    opinions: cluster_id, text.  A key is volume, reporter and page in their plain form.  Worth storing: it answers any
+    number of reconciliations.
+    """
+    found = opinions.select("cluster_id", F.explode(U.cites_in_context("text")).alias("p"))
+    return found.select("p.key", "cluster_id", "p.place", "p.words")
+
+
+def citing_courts(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """cite, citers and first: for each wanted citation (cite, volume, reporter, page, name) the courts that print it right after a party's name.
+
+    A court counts once however often it prints it.  Spellings that many citations share meet the index once; an entry with
+    the party's words alone, not an opinion, goes on.
+    """
+    key = F.concat_ws("|", "volume", reporter_key(F.col("reporter")), "page")
+    asked = wanted.where(F.col("name").isNotNull()).select("cite", key.alias("key"), "name")
+    met = asked.select("key", "name").distinct().join(index, "key").where(U.names_party("name", "words"))
+    once = met.groupBy("key", "name", "cluster_id").agg(F.min("place").alias("place"))
+    counted = once.groupBy("key", "name").agg(F.count(F.lit(1)).alias("citers"), F.min("cluster_id").alias("first"))
+    return asked.join(counted, ["key", "name"]).select("cite", "citers", "first")
+
+
+def reconcile(wanted: DataFrame, candidates: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """For each unresolved citation: status, route, cluster_id of the first accepted candidate, whether a real case was miscited, and all attempts.
+
+    Routes count in the order of ROUTES.  Without a hit, courts that print the citation beside a party's name confirm it,
+    unless the case was found at another page.  They are found in a citation_index(), or given as the column `citers`.
+    attempts: route, candidates or courts, and whether it was accepted, one for each route that had any, in order.
     """
     judged = consider(wanted, candidates)
     order = F.struct(F.array_position(F.array(*(F.lit(r) for r in ROUTES)), F.col("route")), F.col("ord"))
     best = judged.groupBy("cite").agg(F.min_by(F.struct("route", "cluster_id"), F.when(F.col("accepted"), order)).alias("hit"), F.bool_or("miscited").alias("miscited"))
-    out = wanted.join(best, "cite", "left").withColumn("miscited", F.coalesce("miscited", F.lit(False)))
+    tried = judged.groupBy("cite", "route").agg(F.count(F.lit(1)).alias("n"), F.bool_or("accepted").alias("accepted"))
+    nth = F.array_position(F.array(*(F.lit(r) for r in ROUTES)), F.col("route")).cast("int")
+    tried = tried.groupBy("cite").agg(F.sort_array(F.collect_list(F.struct(nth.alias("nth"), "route", "n", "accepted"))).alias("_tried"))
+    if index is not None:
+        wanted = wanted.drop("citers").join(citing_courts(wanted, index).drop("first"), "cite", "left")
+    out = wanted.join(best, "cite", "left").join(tried, "cite", "left").withColumn("miscited", F.coalesce("miscited", F.lit(False)))
     quoted = (F.coalesce("citers", F.lit(0)) >= 1) & ~F.col("miscited")
     status = F.when(F.col("hit").isNotNull() | quoted, "unindexed_real").otherwise("fabricated")
     route = F.when(F.col("hit").isNotNull(), F.col("hit.route")).when(quoted, "cited_by_courts")
-    return out.withColumns({"status": status, "route": route, "cluster_id": F.col("hit.cluster_id")}).drop("hit")
+    attempt = lambda route, n, accepted: F.struct(route.alias("route"), n.cast("long").alias("n"), accepted.alias("accepted"))
+    courts = F.when(F.coalesce("citers", F.lit(0)) > 0, F.array(attempt(F.lit("cited_by_courts"), F.col("citers"), F.col("hit").isNull() & quoted)))
+    none = F.array().cast("array<struct<route:string,n:bigint,accepted:boolean>>")
+    routes = F.transform(F.coalesce("_tried", F.array().cast("array<struct<nth:int,route:string,n:bigint,accepted:boolean>>")), lambda t: attempt(t["route"], t["n"], t["accepted"]))
+    return out.withColumns({"status": status, "route": route, "cluster_id": F.col("hit.cluster_id"), "attempts": F.concat(routes, F.coalesce(courts, none))}).drop("hit", "_tried")
 
 
 def rejudge(evidence: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verisect.functions import refs as N
+from verisect.operators import citations as G
 from verisect.operators import grading as D
 from verisect.operators import quotations as Q
 from verisect.plans.base import query
@@ -127,3 +129,58 @@ def j14_names_of_customers_and_suppliers(spark, t):
     one, two = wrong.format(spelled("s_suppkey")), wrong.format(spelled("s_suppkey * 3 + 1"))
     cases = t("supplier").select("s_suppkey", F.expr(f"CASE WHEN s_suppkey % 2 = 0 THEN concat({one}, ' v. ', {two}) ELSE concat({two}, ' v. ', {one}) END").alias("case_name"))
     return parties.join(fuzzy.similar_names(parties, cases), "name").join(cases, "case_name").select("c_custkey", "s_suppkey")
+
+
+PRINTED = "doc_id % 40 + 1, ' So. 2d ', doc_id % 25 + 1"
+
+
+@query(
+    """WITH w AS (SELECT c_custkey AS id, c_custkey % 40 + 1 AS v, c_custkey % 25 + 1 AS p, c_custkey % 4 AS kind FROM customer), d AS (SELECT doc_id % 40 + 1 AS v, doc_id % 25 + 1 AS p, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1, 2)
+    SELECT id, CASE WHEN kind <> 1 THEN n END AS citers, CASE WHEN kind IN (0, 3) AND (n > 0 OR kind = 3) THEN 'unindexed_real' ELSE 'fabricated' END AS status, CASE WHEN kind = 3 THEN 'search_cases' WHEN kind = 0 AND n > 0 THEN 'cited_by_courts' END AS route,
+        concat_ws('+', CASE WHEN kind = 2 THEN 'search_cases 1 no' WHEN kind = 3 THEN 'search_cases 1 yes' END, CASE WHEN kind <> 1 AND n > 0 THEN concat('cited_by_courts ', n, CASE WHEN kind = 0 THEN ' yes' ELSE ' no' END) END) AS attempts
+    FROM w LEFT JOIN d USING (v, p)"""
+)
+def a24_courts_that_print_the_citation(spark, t):
+    """Citations looked up in an index of those that documents print: beside the right name, another name, of a case found at another page, of an accepted case."""
+    name = lambda v, p: f"concat('Ka', {spelled(f'({v}) * 100 + {p}')}, ' v. State')"
+    printed = f"concat(coalesce(text, ''), ' It was so held in ', {name('doc_id % 40 + 1', 'doc_id % 25 + 1')}, ', ', {PRINTED}, ', and again at ', {PRINTED}, ', 9.')"
+    opinions = t("documents").select(F.col("doc_id").alias("cluster_id"), F.expr(printed).alias("text"))
+    v, p = "c_custkey % 40 + 1", "c_custkey % 25 + 1"
+    right = name(v, p)
+    wanted = t("customer").select(
+        F.col("c_custkey").alias("cite"), F.expr(f"cast({v} as string)").alias("volume"), F.lit("So. 2d").alias("reporter"), F.expr(f"cast({p} as string)").alias("page"),
+        F.expr(f"CASE WHEN c_custkey % 4 = 1 THEN 'Zwyxt v. Zwyxt' ELSE {right} END").alias("name"), F.lit("Fla.").alias("court"), F.lit(1950).alias("year"), F.lit(1949).cast("long").alias("lo"), F.lit(1952).cast("long").alias("hi"),
+    )
+    found = wanted.where("cite % 4 >= 2").select(
+        "cite", F.lit("search_cases").alias("route"), F.lit(1).alias("ord"), F.col("cite").cast("long").alias("cluster_id"), F.col("name").alias("case_name"), F.lit(1950).alias("year"), F.lit("Supreme Court of Florida").alias("court"),
+        F.when(F.col("cite") % 4 == 2, F.concat("volume", F.lit(" So. 2d 999"))).otherwise(F.concat("volume", F.lit(" So. 2d "), "page")).alias("cites"),
+    )
+    out = G.reconcile(wanted, found, G.citation_index(opinions))
+    said = F.array_join(F.transform("attempts", lambda a: F.concat_ws(" ", a["route"], a["n"], F.when(a["accepted"], "yes").otherwise("no"))), "+")
+    return out.select(F.col("cite").alias("id"), "citers", "status", "route", said.alias("attempts"))
+
+
+@query(
+    f"""WITH o AS ({COLUMNS}) SELECT id, 'full' AS kind, 'Mejiax v. Ortegax' AS stands_for FROM o UNION ALL SELECT id, 'full', 'Kahnx' FROM o UNION ALL SELECT id, 'name', 'Mejiax v. Ortegax' FROM o UNION ALL SELECT id, 'name', 'Kahnx' FROM o
+    UNION ALL SELECT id, CASE party % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'supra' ELSE 'noncase' END, CASE party % 3 WHEN 2 THEN NULL ELSE 'Mejiax v. Ortegax' END FROM o UNION ALL SELECT id, 'name', 'Mejiax v. Ortegax' FROM o WHERE party % 3 = 1"""
+)
+def q19_names_in_text_of_orders(spark, t):
+    """Two full citations with their names, and the first case named again, by name or by supra, or a treatise."""
+    text = "concat('Mejiax v. Ortegax, ', cite, ' (Fla. 1950). ', repeat('Much else was said of it. ', 8), 'Kahnx v. State, 20 F.3d 7. ', CASE party % 3 WHEN 0 THEN 'So it was in Mejiax once.' WHEN 1 THEN 'But see also Mejiax, supra, at 9.' ELSE 'So has Corbin said.' END)"
+    refs = orders(t, text=text).select("id", F.explode(N.citation_refs("text")).alias("r"))
+    return refs.select("id", "r.kind", F.when(F.col("r.target") == 19, "Mejiax v. Ortegax").when(F.col("r.target") > 19, "Kahnx").alias("stands_for"))
+
+
+@query(
+    f"""WITH o AS ({COLUMNS}) SELECT id, CASE party % 3 WHEN 0 THEN 'closest_before' WHEN 1 THEN 'earlier' ELSE 'right_after' END AS rule, CASE party % 3 WHEN 0 THEN 'Mejiax' ELSE cite END AS ref,
+    CASE party % 3 WHEN 0 THEN concat('So Mejiax held "the purpose of p', party, 'x is to inform" there.') WHEN 1 THEN concat('The court held "the purpose of p', party, 'x is to inform" there.')
+        ELSE concat('The court held "the purpose of p', party, 'x is to inform." Mejiax v. Ortegax, ', cite, '.') END AS sentence,
+    CASE party % 3 WHEN 1 THEN concat('Mejiax v. Ortegax, ', cite, ' is old.') END AS cite_sentence FROM o"""
+)
+def q20_sentences_of_orders(spark, t):
+    """A quotation beside a case that is only named, one in a paragraph without references, one before its citation; with the sentence that shows it."""
+    quote = "concat('the purpose of p', party, 'x is to inform')"
+    text = f"""CASE party % 3 WHEN 0 THEN concat('Mejiax v. Ortegax, ', cite, ' (Fla. 1950), is old. So Mejiax held "', {quote}, '" there.') WHEN 1 THEN concat('Mejiax v. Ortegax, ', cite, ' is old.\n\nThe court held "', {quote}, '" there.')
+        ELSE concat('It is old. The court held "', {quote}, '." Mejiax v. Ortegax, ', cite, '.') END"""
+    rows = orders(t, quote=quote, text=text)
+    return rows.select("id", N.attribute_quote("text", "quote").alias("a")).select("id", "a.rule", "a.ref", "a.sentence", "a.cite_sentence")

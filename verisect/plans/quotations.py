@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verisect.functions import refs as N
 from verisect.functions import text as T
 from verisect.functions import udfs as U
 from verisect.operators import quotations as Q
@@ -186,9 +187,9 @@ def q18_sentence_starts(spark, t):
 REFERENCES = "Smith v. Jones, 12 So. 2d 345 (Fla. 1950). Id. at 347. " + "The rule has many parts that need not be told here. " * 3 + "Roe v. Wade, 410 U.S. 113. Smith, supra, at 346. 410 U.S. at 116. Fed. R. Civ. P. 56."
 
 
-@query(expect("kind string, text string, target string", ("full", "12 So. 2d 345", "12 So. 2d 345"), ("id", "Id. at 347", "12 So. 2d 345"), ("full", "410 U.S. 113", "410 U.S. 113"), ("supra", "Smith, supra, at 346", "12 So. 2d 345"), ("short", "410 U.S. at 116", "410 U.S. 113"), ("noncase", "Fed. R.", None)))
+@query(expect("kind string, text string, target string", ("name", "Smith", "12 So. 2d 345"), ("name", "Wade", "410 U.S. 113"), ("name", "Smith", "12 So. 2d 345"), ("full", "12 So. 2d 345", "12 So. 2d 345"), ("id", "Id. at 347", "12 So. 2d 345"), ("full", "410 U.S. 113", "410 U.S. 113"), ("supra", "Smith, supra, at 346", "12 So. 2d 345"), ("short", "410 U.S. at 116", "410 U.S. 113"), ("noncase", "Fed. R.", None)))
 def q19_references(spark, t):
-    rows = spark.createDataFrame([(REFERENCES,)], "t string").select("t", F.explode(U.citation_refs("t")).alias("r"))
+    rows = spark.createDataFrame([(REFERENCES,)], "t string").select("t", F.explode(N.citation_refs("t")).alias("r"))
     target = F.when(F.col("r.target") < 40, "12 So. 2d 345").when(F.col("r.target") >= 40, "410 U.S. 113")
     return rows.select("r.kind", "r.text", target.alias("target"))
 
@@ -204,7 +205,7 @@ ATTRIBUTED = [
 @query(expect("id long, rule string, ref string", *((a[0], a[3], a[4]) for a in ATTRIBUTED)))
 def q20_attribution(spark, t):
     rows = spark.createDataFrame([a[:3] for a in ATTRIBUTED], "id long, t string, q string")
-    return rows.select("id", U.attribute_quote("t", "q").alias("a")).select("id", "a.rule", "a.ref")
+    return rows.select("id", N.attribute_quote("t", "q").alias("a")).select("id", "a.rule", "a.ref")
 
 
 @query(expect("id long, run int, passage string", (1, 4, "a b the old rule holds here now"), (2, 0, None)))

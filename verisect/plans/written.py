@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verisect.functions import cites as C
+from verisect.functions import refs as N
 from verisect.functions import text as T
 from verisect.functions import udfs as U
 from verisect.operators import citations as G
@@ -321,7 +322,7 @@ def q20_attributions_of_orders(spark, t):
     text = f"""CASE status WHEN 'F' THEN concat('Lee v. Ray, ', cite, ' (Fla. 1999) ("', {quote}, '").') WHEN 'O' THEN concat('The court said "', {quote}, '." Lee v. Ray, ', cite, '.')
         ELSE concat('In Lee v. Ray, ', cite, ', the court wrote at length that "', {quote}, '"; nothing follows.') END"""
     rows = orders(t, text=text, quote=quote)
-    return rows.select("id", U.attribute_quote("text", "quote").alias("a")).select("id", "a.rule", "a.ref")
+    return rows.select("id", N.attribute_quote("text", "quote").alias("a")).select("id", "a.rule", "a.ref")
 
 
 @query(f"WITH o AS ({COLUMNS}) SELECT id, CASE status WHEN 'P' THEN 0 ELSE 5 END AS run, CASE WHEN status <> 'P' THEN concat('so the old rule of p', party, 'x now') END AS passage FROM o")
@@ -418,7 +419,7 @@ def s16_s37_q8_pieces_of_orders(spark, t):
 def q19_references_of_orders(spark, t):
     """A full citation, one that stands for it, and a rule."""
     rows = orders(t, text="concat('Lee v. Ray, ', cite, ' (Fla. 1950). ', CASE status WHEN 'F' THEN 'Id. at 347' WHEN 'O' THEN 'Ray, supra, at 346' ELSE concat(volume, ' So. 2d at 9') END, '. Fed. R. Civ. P. 56.')")
-    refs = rows.select("id", "text", "cite", F.explode(U.citation_refs("text")).alias("r"))
+    refs = rows.select("id", "text", "cite", F.explode(N.citation_refs("text")).alias("r"))
     there = F.col("r.target") == F.instr("text", F.col("cite")) - 1
     return refs.select("id", "r.kind", F.when(there, F.col("cite")).alias("target"))
 
