@@ -78,14 +78,14 @@ def test_largest_remainder_shares_everything_it_can():
         assert sum(share.values()) == min(total, sum(pools.values()))
 
 
-def test_greedy_rejection_matches_all_pairs():
-    rng = random.Random(2)
-    rows = [(str(k), frozenset(rng.sample("abcdefgh", rng.randrange(0, 6)))) for k in range(80)]
-    kept = []
+def distinct_enough(rows, limit: float = 0.5):
+    """The greedy pass row by row: a row whose tokens overlap a kept row's by the share `limit` or more is dropped."""
+    kept, out = [], []
     for key, tokens in rows:
-        if all(len(tokens & other) / max(1, len(tokens | other)) < 0.5 for _, other in kept):
-            kept.append((key, tokens))
-    assert S.distinct_enough(rows) == [k for k, _ in kept]
+        if all(len(tokens & other) / max(1, len(tokens | other)) < limit for other in kept):
+            kept.append(tokens)
+            out.append(key)
+    return out
 
 
 def test_distributed_greedy_rejection_matches_the_pass(spark):
@@ -93,7 +93,7 @@ def test_distributed_greedy_rejection_matches_the_pass(spark):
     rows = [(k, rng.sample("abcdefghijkl", rng.randrange(0, 8))) for k in range(300)]
     df = spark.createDataFrame(rows, "k int, w array<string>")
     got = sorted(r.k for r in S.first_of_similar(df, "k", "w").collect())
-    assert got == S.distinct_enough([(k, frozenset(w)) for k, w in rows])
+    assert got == distinct_enough([(k, frozenset(w)) for k, w in rows])
     pairs = {(r.a, r.b) for r in S.similar_pairs(df, "k", "w", 0.5).collect()}
     sets = {k: set(w) for k, w in rows}
     assert pairs == {(a, b) for a in sets for b in sets if a < b and sets[a] and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
@@ -152,10 +152,17 @@ def test_widening_draw_matches_brute_force(spark):
         if len(chosen) >= 20 or width >= len(ranked):
             break
         width *= 2
-    for page in (3, 1_000):
-        pool = spark.createDataFrame([(i, k, list(w)) for i, (k, w) in ranked.items()], "doc_id long, rank int, tokens array<string>")
-        assert S.widening_draw(pool, "doc_id", "tokens", 20, 4, "rank", seed=20260922, page=page) == chosen
-    assert [r.doc_id for r in registry.QUERIES["l4_widening_draw"](spark, "/root/testdata/sf0.001").collect()] == chosen
+    pool = spark.createDataFrame([(i, k, list(w)) for i, (k, w) in ranked.items()], "doc_id long, rank int, tokens array<string>")
+    drawn = S.widening_draw(pool, "doc_id", "tokens", 20, 4, "rank", seed=20260922).orderBy("pick").collect()
+    assert [r.doc_id for r in drawn] == chosen
+    # Near what was taken before nothing is drawn, and a draw of more than there is ends with what there is.
+    again = S.widening_draw(pool, "doc_id", "tokens", 500, 1, "rank", seed=1, taken=pool.where(F.col("doc_id").isin(chosen))).collect()
+    sets = {i: w for i, (_, w) in ranked.items()}
+    picked = [r.doc_id for r in sorted(again, key=lambda r: r.pick)]
+    assert all(len(sets[i] & sets[o]) / max(1, len(sets[i] | sets[o])) < 0.5 for k, i in enumerate(picked) for o in [*chosen, *picked[:k]])
+    left = [i for i in ranked if i not in picked]
+    assert all(any(len(sets[i] & sets[o]) / max(1, len(sets[i] | sets[o])) >= 0.5 for o in [*chosen, *picked]) for i in left)
+    assert sorted(r.doc_id for r in registry.QUERIES["l4_widening_draw"](spark, "/root/testdata/sf0.001").collect()) == sorted(chosen)
 
 
 def test_band_median_matches_lists(spark):
@@ -614,3 +621,84 @@ def test_references_take_time_in_proportion():
     text = "Mejia v. Ortega, 12 So. 2d 345 (Fla. 1950). As Mejia notes, see Ortega, supra. Id. at 347; 12 So. 2d at 9; § 4. "
     small, large = spent(lambda n: N.find_references(text * n), (200, 1_600))
     assert large < 30 * small
+
+
+def test_draws_of_large_ids_differ(spark):
+    ids = [5, 5 + 2**30, 5 + 2**31, 5 + 2**40, -7]
+    got = [r.d for r in spark.createDataFrame([(i,) for i in ids], "id long").select(S.draw("id", 3).alias("d")).collect()]
+    assert len(set(got)) == len(ids) and all(0 <= d < 2**32 for d in got) and got[0] == 8 * S.MULTIPLIER % S.MODULUS
+
+
+@pytest.mark.parametrize("rows, n", [(100, 7), (97, 96), (50, 50), (10, 30), (1_000, 333)])
+def test_systematic_places(spark, rows, n):
+    got = sorted(r.id for r in S.systematic(spark.range(rows), n, F.col("id")).collect())
+    assert got == (sorted({int(i * (rows / n)) for i in range(n)}) if rows > n else list(range(rows)))
+
+
+def keyed(spark, path):
+    from verisect.sources.tables import Table
+
+    return Table(spark, f"file://{path}/table", "k long, v string", ["k"])
+
+
+def test_deltas_are_merged_as_writes_one_after_another(spark, tmp_path):
+    draw = random.Random(17)
+    table, state, history = keyed(spark, tmp_path), [], {}
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v string")
+    for step in range(14):
+        kind = draw.choice(["upsert", "insert_absent", "append", "upsert", "insert_absent", "compact" if step > 3 else "append", "replace" if step == 7 else "append"])
+        rows = [(k, f"{step}-{k}") for k in draw.sample(range(12), draw.randint(0, 4))]
+        had = {k for k, _ in state}
+        if kind == "upsert":
+            state = [r for r in state if r[0] not in dict(rows)] + rows
+        elif kind == "insert_absent":
+            state = state + [r for r in rows if r[0] not in had]
+        elif kind == "append":
+            state = state + rows
+        elif kind == "replace":
+            state = rows
+        getattr(table, kind)(*([frame(rows)] if kind != "compact" else []))
+        assert sorted(map(tuple, table.read().collect())) == sorted(state), (step, kind)
+        history[table.versions()[-1]] = sorted(state)
+    for version, rows in history.items():
+        assert sorted(map(tuple, table.read(version).collect())) == rows
+
+
+def size_of(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_a_write_costs_its_own_rows(spark, tmp_path):
+    table = keyed(spark, tmp_path)
+    table.replace(spark.range(200_000).select(F.col("id").alias("k"), F.sha1(F.col("id").cast("string")).alias("v")).coalesce(1))
+    whole = size_of(tmp_path)
+    rows = spark.range(199_000, 201_000).select(F.col("id").alias("k"), F.lit("new").alias("v")).coalesce(1)
+    for write in (table.upsert, table.append, table.insert_absent):
+        before = size_of(tmp_path)
+        write(rows)
+        assert size_of(tmp_path) - before < 0.02 * whole
+    assert table.read().count() == 203_000 and table.read().where("v = 'new'").count() == 4_000
+
+
+def test_writers_get_versions_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    frame = lambda k: spark.createDataFrame([(k, "x")], "k long, v string").coalesce(1)
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: keyed(spark, tmp_path).append(frame(k)), range(12)))
+    table = keyed(spark, tmp_path)
+    assert sorted(r.k for r in table.read().collect()) == list(range(12)) and table.versions() == list(range(1, 13))
+    # A version that is claimed but never written isn't compacted over, until it is given up.
+    lost = table._claim()
+    table.append(frame(99))
+    table.compact()
+    assert (lost - 1, "base") in table.entries() and sorted(r.k for r in table.read().collect()) == [*range(12), 99]
+    table.abandon(lost)
+    table.compact()
+    assert (lost + 1, "base") in table.entries() and sorted(r.k for r in table.read().collect()) == [*range(12), 99]
+
+
+def test_of_repeated_keys_in_an_upsert_one_row_stays(spark, tmp_path):
+    table = keyed(spark, tmp_path)
+    table.upsert(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, v string"))
+    assert sorted(r.k for r in table.read().collect()) == [1, 2]

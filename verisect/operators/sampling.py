@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from verisect.operators.joins import small
 from verisect.sources.tables import stored
 
-# Multiplier and modulus of the draw.
-MULTIPLIER, MODULUS = 2654435761, 4294967296
+# Multipliers of a key's low and high part, and modulus of the draw.
+MULTIPLIER, HIGH, MODULUS = 2654435761, 2246822519, 4294967296
 
 
 def draw(key: str | Column, seed: int = 0) -> Column:
-    """A number from 0 to 2**32 - 1 for an integer key of at most 2**30 or so; keys beyond wrap around."""
-    k = F.col(key) if isinstance(key, str) else key
-    return F.pmod(F.pmod(k + F.lit(seed), F.lit(MODULUS // 4)) * F.lit(MULTIPLIER), F.lit(MODULUS))
+    """A number from 0 to 2**32 - 1 for an integer key; what exceeds 2**30 in it is mixed in by itself."""
+    k = (F.col(key) if isinstance(key, str) else key) + F.lit(seed)
+    low, high = F.pmod(k, F.lit(MODULUS // 4)), F.pmod(F.floor(k / F.lit(MODULUS // 4)), F.lit(MODULUS // 4))
+    return F.pmod(F.pmod(low * F.lit(MULTIPLIER), F.lit(MODULUS)) + F.pmod(high * F.lit(HIGH), F.lit(MODULUS)), F.lit(MODULUS))
 
 
 def best_per_group(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -92,10 +93,14 @@ def sequential_ids(df: DataFrame, name: str, pattern: str, *order: Column) -> Da
 def systematic(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The rows at places int(i * rows / n) for i below n; all rows if there are no more than n."""
     placed = numbered(df, *order)
-    rows = df.count()
-    spots = sorted({int(i * (rows / n)) for i in range(n)}) if rows > n else range(rows)
-    wanted = df.sparkSession.createDataFrame([(int(p),) for p in spots], "place long")
-    return placed.join(small(wanted), "place").drop("place")
+    rows = placed.count()
+    if rows <= n:
+        return placed.drop("place")
+    # Each row tells by itself whether some i leads to it: only those around place / step can.
+    step = rows / n
+    near = F.floor(F.col("place") / F.lit(step))
+    hit = F.exists(F.array(near - 1, near, near + 1), lambda i: (i >= 0) & (i < n) & (F.floor(i * F.lit(step)) == F.col("place")))
+    return placed.where(hit).drop("place")
 
 
 def stratified(df: DataFrame, stratum: str, key: str, total: int, seed: int = 0) -> DataFrame:
@@ -143,26 +148,6 @@ def largest_remainder(weights: Mapping[str, float], pools: Mapping[str, int], to
     return share
 
 
-def distinct_enough(rows: Sequence[tuple[str, frozenset[str]]], limit: float = 0.5) -> list[str]:
-    """Ids kept by a greedy pass that drops a row whose tokens overlap a kept row's by the Jaccard share `limit` or more.
-
-    An inverted index brings up only rows that share a token. The pass is sequential by nature; its input is a drawn
-    sample of at most some thousands.
-    """
-    kept: list[frozenset[str]] = []
-    by_token: dict[str, list[int]] = {}
-    out = []
-    for key, tokens in rows:
-        near = {k for token in tokens for k in by_token.get(token, ())}
-        if any(len(tokens & kept[k]) / max(1, len(tokens | kept[k])) >= limit for k in near):
-            continue
-        for token in tokens:
-            by_token.setdefault(token, []).append(len(kept))
-        kept.append(tokens)
-        out.append(key)
-    return out
-
-
 def similar_pairs(rows: DataFrame, key: str, tokens: str, limit: float) -> DataFrame:
     """(a, b), a < b, of rows whose distinct tokens overlap by the Jaccard share `limit` or more, by an exact prefix join.
 
@@ -198,32 +183,27 @@ def first_of_similar(rows: DataFrame, key: str, tokens: str, limit: float = 0.5)
     return rows if gone is None else rows.join(gone, F.col(key) == F.col("_gone"), "left_anti")
 
 
-def widening_draw(pool: DataFrame, key: str, tokens: str, n: int, multiple: int, rank: str, seed: int = 0, taken: Sequence[frozenset[str]] = (), page: int = 1_000) -> list[str]:
-    """n ids drawn from the top n * multiple rows of a ranked pool, without near-copies; the top doubles while it doesn't do.
+def widening_draw(pool: DataFrame, key: str, tokens: str, n: int, multiple: int, rank: str, seed: int = 0, taken: DataFrame | None = None) -> DataFrame:
+    """n rows drawn from the top n * multiple of a ranked pool, without near-copies, the top doubling while it doesn't do: key and `pick` from 1.
 
-    Rows reach the driver in the order of the draw, `page` at a time, and only until n are chosen.
+    A row is tried when the top first reaches it, and within that step by its draw, so all steps are stretches of one
+    order.  A greedy choice only depends on what came before it: it is made on the first rows of the order, twice as many
+    each time, until n are chosen.  taken: tokens of rows that were chosen before and mustn't be come near to.
     """
-    width, chosen, tried, seen = n * multiple, [], set(), list(taken)
-    drawn = pool.select(key, tokens, rank, draw(F.col(rank), seed).alias("_d"))
-    rows = pool.count()
+    reached = F.greatest(F.ceil(F.log2(F.col(rank) / F.lit(n * multiple)) - 1e-12), F.lit(0))
+    drawn = pool.select(key, F.col(tokens).alias("_tokens"), reached.alias("_step"), draw(F.col(rank), seed).alias("_d"))
+    placed = numbered(drawn, F.col("_step"), F.col("_d"), F.col(key)).select(key, "_tokens", "place")
+    before = None if taken is None else taken.select((-1 - F.monotonically_increasing_id()).alias("place"), F.col(tokens).alias("_tokens"))
+    before = None if before is None else stored(before, "taken")
+    rows, first = placed.count(), 2 * n
     while True:
-        after = (-1, None)
-        while len(chosen) < n:
-            left = drawn.where((F.col(rank) <= width) & ((F.col("_d") > after[0]) | ((F.col("_d") == after[0]) & (F.col(key) > F.lit(after[1])))))
-            top = left.orderBy("_d", key).limit(page).collect()
-            for r in top:
-                if len(chosen) < n and r[key] not in tried:
-                    tried.add(r[key])
-                    own = frozenset(r[tokens])
-                    if all(len(own & other) / max(1, len(own | other)) < 0.5 for other in seen):
-                        seen.append(own)
-                        chosen.append(r[key])
-            if len(top) < page:
-                break
-            after = (top[-1]["_d"], top[-1][key])
-        if len(chosen) >= n or width >= rows:
-            return chosen
-        width *= 2
+        tried = placed.where(F.col("place") < first).select("place", "_tokens")
+        kept = first_of_similar(tried if before is None else tried.unionByName(before), "place", "_tokens").where("place >= 0").select("place")
+        chosen = stored(kept.orderBy("place").limit(n), "drawn")
+        if first >= rows or chosen.count() >= n:
+            break
+        first *= 2
+    return placed.join(chosen, "place").withColumn("pick", F.row_number().over(Window.orderBy("place"))).select(key, "pick")
 
 
 def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, joined: Column) -> DataFrame:

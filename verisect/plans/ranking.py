@@ -157,8 +157,24 @@ def l4_widening_draw(spark, t):
 
     pool = t("documents").where("lang = 'en'").select("doc_id", "n_chars", F.array_distinct(norm_words(F.col("text"))).alias("tokens"))
     pool = S.numbered(pool, F.desc("n_chars"), F.col("doc_id")).withColumn("rank", F.col("place") + 1)
-    ids = S.widening_draw(pool, "doc_id", "tokens", 20, 4, "rank", seed=20260922)
-    return spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    return S.widening_draw(pool, "doc_id", "tokens", 20, 4, "rank", seed=20260922).select("doc_id")
+
+
+@query(
+    f"""WITH RECURSIVE r AS (SELECT item_id, list_distinct({NORM_WORDS}) AS w, row_number() OVER (ORDER BY length(text) DESC, item_id) AS rank FROM benchmark),
+    b AS (SELECT item_id, w, row_number() OVER (ORDER BY greatest(ceil(log2(rank / 9.0) - 1e-12), 0), ((rank + 5) % 1073741824 * 2654435761) % 4294967296, item_id) AS n FROM r),
+    s AS (SELECT x.n AS a, y.n AS b, len(list_intersect(x.w, y.w)) AS common, len(x.w) + len(y.w) AS total FROM b x JOIN b y ON x.n < y.n),
+    near AS (SELECT b.n, coalesce(list(s.a) FILTER (WHERE common > 0 AND common >= 0.5 * (total - common)), []) AS before FROM b LEFT JOIN s ON s.b = b.n GROUP BY b.n),
+    g(n, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT near.n, CASE WHEN len(kept) = 3 OR list_has_any(kept, before) THEN kept ELSE list_append(kept, near.n) END FROM g JOIN near ON near.n = g.n + 1)
+    SELECT item_id, CAST(row_number() OVER (ORDER BY n) AS INTEGER) AS pick FROM b WHERE n IN (SELECT unnest(kept) FROM (SELECT kept FROM g ORDER BY n DESC LIMIT 1))"""
+)
+def l4_draw_of_passages(spark, t):
+    """Three passages drawn from the longest nine, and on, without near-copies."""
+    from verisect.functions.text import norm_words
+
+    pool = t("benchmark").select("item_id", F.length("text").alias("n_chars"), F.array_distinct(norm_words(F.col("text"))).alias("tokens"))
+    pool = S.numbered(pool, F.desc("n_chars"), F.col("item_id")).withColumn("rank", F.col("place") + 1)
+    return S.widening_draw(pool, "item_id", "tokens", 3, 3, "rank", seed=5)
 
 
 @query(
