@@ -702,3 +702,44 @@ def test_of_repeated_keys_in_an_upsert_one_row_stays(spark, tmp_path):
     table = keyed(spark, tmp_path)
     table.upsert(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, v string"))
     assert sorted(r.k for r in table.read().collect()) == [1, 2]
+
+
+def test_reused_quotations_equal_a_full_regrade(spark):
+    from verisect.operators import grading as D
+
+    draw = random.Random(18)
+    said = ["the moving party must show that no fact is in dispute", "never were such words in any opinion heard at all", "court should freely give leave when justice so requires"]
+    texts, old, new, gone = [], [], [], []
+    for k in range(40):
+        answer, text, n = f"a{k}", "", 0
+        for q in range(draw.randint(1, 3)):
+            text += f'The court said "{said[draw.randrange(3)] + (" again" * q)}" in Lee v. Ray'
+            if draw.random() < 0.2:
+                text += ", No. 12-345"
+            if draw.random() < 0.8:
+                n += 1
+                raw = f"{n} So. 2d {k + 1}"
+                text += f", {raw}"
+                was = draw.choice([1, 2, None])
+                row = lambda cluster, n=n, raw=raw, start=len(text) - len(raw): (answer, n, raw, start, cluster, "resolved" if cluster else "fabricated")  # noqa: B023, E731
+                old.append(row(was))
+                now = draw.choice([was, was, None, 2 if was is None else was])
+                new.append(row(now))
+                if was and now is None:
+                    gone.append((answer, was))
+            text += ". " + draw.choice(["", "\n\n", "And on and on it went for a long while, as such things do. " * 5])
+        texts.append((answer, text))
+    schema = "answer string, ord int, raw string, start int, cluster_id long, status string"
+    answers = spark.createDataFrame(texts, "answer string, text string")
+    before, after = (spark.createDataFrame(rows, schema) for rows in (old, new))
+    opinions = spark.createDataFrame([(1, f"We hold that {said[0]}."), (2, "Nothing of the kind.")], "cluster_id long, text string")
+    kept = D.stored(D.grade_quotes(answers, before, opinions), "kept")
+    got = D.regrade_quotes(answers, kept, after, spark.createDataFrame(gone, "answer string, cluster_id long")).collect()
+    want = {(r.answer, r.ord): (r.verdict, r.kind, r.reason) for r in D.grade_quotes(answers, after, opinions).collect()}
+    changes = Counter(r.change for r in got)
+    assert changes["detached"] and changes["reattached"]
+    for r in got:
+        # Only an opinion could tell whether a quotation of a lost opinion stands in another one, or in one that is cited now.
+        if r.change != "found_in_withdrawn_hit" and want[r.answer, r.ord][0] != "found" and r.verdict != "found":
+            if r.reason != D.NO_CASE and want[r.answer, r.ord][2] != D.NO_CASE:
+                assert (r.verdict, r.kind, r.reason) == want[r.answer, r.ord], (r, want[r.answer, r.ord])

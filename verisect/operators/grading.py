@@ -6,7 +6,7 @@ resolved, parallel, unindexed_real, pin_reference, fabricated.  `route` says how
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verisect.functions import cites as C
@@ -117,30 +117,90 @@ def name_verdicts(classified: DataFrame) -> DataFrame:
     return rows.groupBy("answer", "cluster_id").agg(F.bool_and(c("_v") == "mismatch").alias("mismatched"), F.min_by("flag", F.when(c("flag").isNotNull(), c("ord"))).alias("flag"))
 
 
+def _attached(answers: DataFrame, classified: DataFrame, quotes: DataFrame) -> DataFrame:
+    """answer, ord, has_case and no_reporter of quotations that stand by a citation: whether it stands for a case, and the docket citation that does instead. quotes: answer, ord, start, end."""
+    c = F.col
+    spans = quotes.join(answers.select("answer", "text"), "answer")
+    before, after = F.substring(c("text"), F.lit(1), c("start")), F.substring(c("text"), c("end") + 1, F.length("text"))
+    bounds = spans.withColumns({"para_start": F.length(before) - F.length(F.substring_index(before, "\n\n", -1)), "para_end": c("end") + F.length(F.substring_index(after, "\n\n", 1))})
+    places = classified.select("answer", "start", (c("start") + F.length("raw")).alias("end"), F.struct(c("cluster_id").isNotNull() | (c("status") == "parallel")).alias("raw"))
+    found = Q.attached_cites(bounds, places, ["answer"])
+    has_case = F.when(c("no_reporter").isNotNull(), False).otherwise(c("raw.col1"))
+    return quotes.select("answer", "ord", "start", "end").join(found.select("answer", "start", "end", has_case.alias("has_case"), "no_reporter"), ["answer", "start", "end"]).select("answer", "ord", "has_case", "no_reporter")
+
+
+def cited_cases(classified: DataFrame) -> DataFrame:
+    """answer and cluster_id of the cases that an answer cites and that were found."""
+    return classified.where("status IN ('resolved', 'unindexed_real') AND cluster_id IS NOT NULL").select("answer", "cluster_id").distinct()
+
+
+def quoted(answers: DataFrame) -> DataFrame:
+    """answer, ord, quote, start, end of every quotation."""
+    spans = answers.select("answer", F.explode(U.extract_quotes("text")).alias("q")).where("q.skipped IS NULL").select("answer", "q.quote", "q.start", "q.end")
+    return spans.withColumn("ord", F.row_number().over(Window.partitionBy("answer").orderBy("start")))
+
+
+#: Why a quotation is unattributed: no case of its answer was found, its citation names no reporter, or stands for no case.
+NO_CASE, NO_REPORTER, UNRESOLVED = "no resolved opinion", "no reporter", "unresolved citation"
+
+
+def _unattributed(cases: Column) -> Column:
+    """The reason why an absent quotation isn't held against its answer; null if it is. cases: how many cases of the answer were found."""
+    return F.when(F.coalesce(cases, F.lit(0)) == 0, NO_CASE).when(F.col("no_reporter").isNotNull(), NO_REPORTER).when(~F.coalesce("has_case", F.lit(True)), UNRESOLVED)
+
+
 def grade_quotes(answers: DataFrame, classified: DataFrame, opinions: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Every quotation with verdict (found, rule_text, absent, unattributed) and kind.
+    """Every quotation with verdict (found, rule_text, absent, unattributed), kind, and the reason of an unattributed one.
 
     An absent one that follows through a rule is rule text; one whose citation stands for no case, or names no reporter,
     or whose answer cites no case that was found, is unattributed.  rules: jurisdiction, rule, text of rules to look up.
     """
     c = F.col
-    spans = answers.select("answer", "text", F.explode(U.extract_quotes("text")).alias("q")).where("q.skipped IS NULL").select("answer", "text", c("q.quote").alias("quote"), c("q.start").alias("start"), c("q.end").alias("end"))
-    spans = spans.withColumn("ord", F.row_number().over(Window.partitionBy("answer").orderBy("start")))
-    cited = classified.where("status IN ('resolved', 'unindexed_real') AND cluster_id IS NOT NULL").select("answer", "cluster_id").distinct()
-    matched = Q.match_quotes(spans.select("answer", "ord", "quote"), cited, opinions, ["answer", "ord"])
-    before, after = F.substring(c("text"), F.lit(1), c("start")), F.substring(c("text"), c("end") + 1, F.length("text"))
-    bounds = spans.withColumns({"para_start": F.length(before) - F.length(F.substring_index(before, "\n\n", -1)), "para_end": c("end") + F.length(F.substring_index(after, "\n\n", 1))})
-    places = classified.select("answer", "start", (c("start") + F.length("raw")).alias("end"), F.struct(c("cluster_id").isNotNull() | (c("status") == "parallel")).alias("raw"))
-    attached = Q.attached_cites(bounds, places, ["answer"]).select("answer", "start", F.when(c("no_reporter").isNotNull(), False).otherwise(c("raw.col1")).alias("has_case"))
+    spans = stored(quoted(answers), "quotations")
+    cited = cited_cases(classified)
+    matched = stored(Q.match_quotes(spans.select("answer", "ord", "quote"), cited, opinions, ["answer", "ord"]), "matched")
     if rules is None:
         rules = answers.sparkSession.createDataFrame([], "jurisdiction string, rule string, text string")
-    absent = spans.join(matched.where("verdict = 'absent'").select("answer", "ord"), ["answer", "ord"])
+    absent = stored(spans.join(matched.where("verdict = 'absent'").select("answer", "ord"), ["answer", "ord"]), "absent")
     by_rule = Q.rule_texts(answers, absent, rules, ["answer", "ord"]).select("answer", "ord", "rule")
-    rows = spans.join(matched, ["answer", "ord"]).join(attached, ["answer", "start"], "left").join(cited.groupBy("answer").agg(F.count(F.lit(1)).alias("_cases")), "answer", "left").join(by_rule, ["answer", "ord"], "left")
+    attached = _attached(answers, classified, absent)  # only absent ones need to know their citation
+    rows = spans.join(matched, ["answer", "ord"]).join(attached, ["answer", "ord"], "left").join(by_rule, ["answer", "ord"], "left")
+    rows = rows.join(cited.groupBy("answer").agg(F.count(F.lit(1)).alias("_cases")), "answer", "left")
     verdict = F.when(c("rule").isNotNull(), "rule_text").otherwise(c("verdict"))
-    rows = rows.withColumns({"verdict": verdict, "kind": F.when(c("rule").isNotNull(), "rule_text").otherwise(c("kind"))})
-    alone = (c("verdict") == "absent") & (c("_cases").isNull() | ~F.coalesce("has_case", F.lit(True)))
-    return rows.withColumns({"verdict": F.when(alone, "unattributed").otherwise(c("verdict")), "kind": F.when(alone, "unattributed").otherwise(c("kind"))}).drop("_cases", "has_case", "text")
+    reason = F.when(verdict == "absent", _unattributed(c("_cases")))
+    kind = F.when(c("rule").isNotNull(), "rule_text").when(reason.isNotNull(), "unattributed").otherwise(c("kind"))
+    return rows.select("answer", "ord", "quote", "start", "end", F.when(reason.isNotNull(), "unattributed").otherwise(verdict).alias("verdict"), kind.alias("kind"), "cluster_id", "paraphrase_ratio", "rule", reason.alias("reason"))
+
+
+def regrade_quotes(answers: DataFrame, stored_quotes: DataFrame, classified: DataFrame, withdrawn: DataFrame) -> DataFrame:
+    """Stored quotations under new citations, without reading an opinion: only what depends on the changes is decided anew.
+
+    stored_quotes: what grade_quotes gave; classified: the citations as they stand now; withdrawn: answer, cluster_id of
+    hits that no longer count.  In answers that lost a hit, absent quotations whose citation lost its case are detached
+    (unattributed); unattributed ones whose citation has got a case, as a pin or a twin, are reattached (absent again, by
+    their ratio); found ones of a lost opinion keep their verdict, since only its text could tell, and are marked.
+    With `change`: detached, reattached, found_in_withdrawn_hit, or null.
+    """
+    c = F.col
+    cited = cited_cases(classified)
+    lost = withdrawn.select("answer", "cluster_id").distinct().join(cited, ["answer", "cluster_id"], "left_anti")
+    shrunk = lost.select("answer").distinct().withColumn("_shrunk", F.lit(True))
+    rows = stored_quotes.join(shrunk, "answer", "left").withColumn("_shrunk", c("_shrunk").isNotNull())
+    may_go = (c("verdict") == "absent") & c("_shrunk")
+    may_come = (c("verdict") == "unattributed") & (c("reason") == UNRESOLVED)
+    asked = rows.where(may_go | may_come).select("answer", "ord", "start", "end")
+    attached = _attached(answers, classified, asked)
+    rows = rows.join(attached, ["answer", "ord"], "left").join(cited.groupBy("answer").agg(F.count(F.lit(1)).alias("_cases")), "answer", "left")
+    rows = rows.join(lost.withColumn("_lost", F.lit(True)), ["answer", "cluster_id"], "left")
+    reason = F.when(may_go, _unattributed(c("_cases")))
+    back = F.coalesce(may_come & c("has_case"), F.lit(False))
+    change = F.when((c("verdict") == "found") & c("_lost"), "found_in_withdrawn_hit").when(reason.isNotNull(), "detached").when(back, "reattached")
+    close = F.coalesce(c("paraphrase_ratio") >= Q.PARAPHRASE, F.lit(False))
+    return rows.select(
+        "answer", "ord", "quote", "start", "end", F.when(reason.isNotNull(), "unattributed").when(back, "absent").otherwise(c("verdict")).alias("verdict"),
+        F.when(reason.isNotNull(), "unattributed").when(back, F.when(close, "paraphrase_in_quotes").otherwise("fabricated")).otherwise(c("kind")).alias("kind"), "cluster_id", "paraphrase_ratio", "rule",
+        F.when(reason.isNotNull(), reason).when(~back, c("reason")).alias("reason"), change.alias("change"),
+    )
 
 
 def grade_answers(answers: DataFrame, cites: DataFrame, opinions: DataFrame, reconciled: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:

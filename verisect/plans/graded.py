@@ -184,3 +184,69 @@ def q20_sentences_of_orders(spark, t):
         ELSE concat('It is old. The court held "', {quote}, '." Mejiax v. Ortegax, ', cite, '.') END"""
     rows = orders(t, quote=quote, text=text)
     return rows.select("id", N.attribute_quote("text", "quote").alias("a")).select("id", "a.rule", "a.ref", "a.sentence", "a.cite_sentence")
+
+
+def credited(t):
+    """Answers that quote, and their citations: of the case that holds the words, of another one, of none."""
+    words = "concat('the purpose of p', party, 'x is to inform the court')"
+    text = f"""CASE party % 3 WHEN 0 THEN concat('It is old. The court said "', {words}, '." Lee v. Ray, ', cite, '.')
+        WHEN 1 THEN concat('It is old. The court said "', {words}, '." Lee v. Ray, ', cite, '. But see Roe v. Wade, 410 U.S. 113.')
+        ELSE concat('It is old. The court said "never were such words in any opinion heard." Lee v. Ray, ', cite, '.') END"""
+    rows = orders(t, text=text).withColumn("answer", F.col("id").cast("string"))
+    cites = checked(rows, 1, F.col("cite"), (F.col("volume"), F.lit("So. 2d"), F.col("page")), False, F.col("party"))
+    cites = cites.unionByName(checked(rows.where("party % 3 = 1"), 2, F.lit("410 U.S. 113"), (F.lit("410"), F.lit("U.S."), F.lit("113")), False, -1 - F.col("party")))
+    own = rows.select(F.col("party").cast("long").alias("cluster_id"), F.expr(f"CASE WHEN party % 3 = 0 THEN concat('We say that ', {words}, ' now.') ELSE 'We say that the purpose is another one.' END").alias("text")).distinct()
+    other = rows.where("party % 3 = 1").select((-1 - F.col("party")).cast("long").alias("cluster_id"), F.expr(f"concat('They say that ', {words}, ' now.')").alias("text")).distinct()
+    return rows.select("answer", "text"), cites.withColumn("status", F.lit("resolved")), own.unionByName(other)
+
+
+@query(
+    f"""WITH o AS ({COLUMNS}) SELECT CAST(id AS VARCHAR) AS answer, 'right_after' AS credited_by, party AS credited, true AS credited_was_searched,
+    CASE party % 3 WHEN 2 THEN concat('The court said "never were such words in any opinion heard." Lee v. Ray, ', cite, '.') ELSE concat('The court said "the purpose of p', party, 'x is to inform the court." Lee v. Ray, ', cite, '.') END AS sentence,
+    CASE party % 3 WHEN 2 THEN 'never were such words in any opinion heard.' ELSE concat('the purpose of p', party, 'x is to inform the court.') END AS marked, CASE party % 3 WHEN 0 THEN 9 END AS run, CASE party % 3 WHEN 0 THEN concat('We say that the purpose of p', party, 'x is to inform the court now.') END AS passage,
+    CASE party % 3 WHEN 1 THEN -1 - party END AS elsewhere FROM o"""
+)
+def d8_quote_items_of_orders(spark, t):
+    """Audit items of quotations: words of the credited case, words of another cited case, and words of nobody."""
+    from verisect.operators import audit
+
+    answers, cites, opinions = credited(t)
+    quotes = D.quoted(answers).withColumns({"verdict": F.lit("absent"), "kind": F.lit("fabricated"), "cluster_id": F.lit(None).cast("long")})
+    items = audit.quote_items(answers, quotes, cites, opinions)
+    marked = F.substring("sentence", F.col("marks.quote_start") + 1, F.col("marks.quote_end") - F.col("marks.quote_start"))
+    return items.select("answer", "credited_by", "credited", "credited_was_searched", "sentence", marked.alias("marked"), F.col("passage.run").alias("run"), F.col("passage.passage").alias("passage"), F.col("elsewhere.cluster_id").alias("elsewhere"))
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT CAST(id AS VARCHAR) AS answer, party AS cluster_id, 'Lee v. Ray' AS case_name, concat(cite, '+', cite) AS cites, concat('See Moon v. Sun, ', cite, ' (Fla. 1950). Moon, ', cite, ' again.') AS context FROM o WHERE party % 2 = 0")
+def d8_name_items_of_orders(spark, t):
+    """Audit items of names: a case that is cited twice, each time under other parties, or once under its own."""
+    from verisect.operators import audit
+
+    rows = orders(t, text="concat('See Moon v. Sun, ', cite, ' (Fla. 1950). Moon, ', cite, ' again.')").withColumn("answer", F.col("id").cast("string"))
+    parts = (F.col("volume"), F.lit("So. 2d"), F.col("page"))
+    wrong = lambda df, lhs, rhs, verdict: df.withColumns({"lhs": lhs, "rhs": rhs, "party_verdict": verdict})
+    cites = wrong(checked(rows, 1, F.col("cite"), parts, False, F.col("party")), F.lit("Moon"), F.lit("Sun"), F.lit("mismatch"))
+    second = F.when(F.col("cluster_id") % 2 == 0, "mismatch").otherwise("match")
+    cites = cites.unionByName(wrong(checked(rows, 2, F.col("cite"), parts, True, F.col("party")), F.lit("Moon"), F.lit("Sun"), second)).withColumn("status", F.lit("resolved"))
+    answers = rows.select("answer", "text")
+    items = audit.name_items(answers, cites, D.name_verdicts(cites.join(answers, "answer")))
+    return items.select("answer", "cluster_id", "case_name", F.array_join(F.transform("cites", lambda x: x["raw"]), "+").alias("cites"), "context")
+
+
+@query(
+    f"""WITH o AS ({COLUMNS}) SELECT CAST(id AS VARCHAR) AS answer, CASE party % 6 WHEN 0 THEN 'unattributed' WHEN 1 THEN 'unattributed' WHEN 4 THEN 'found' WHEN 5 THEN 'unattributed' ELSE 'absent' END AS verdict,
+    CASE party % 6 WHEN 0 THEN 'detached' WHEN 1 THEN 'detached' WHEN 2 THEN 'reattached' WHEN 4 THEN 'found_in_withdrawn_hit' END AS change, CASE party % 6 WHEN 0 THEN 'no resolved opinion' WHEN 1 THEN 'unresolved citation' WHEN 5 THEN 'unresolved citation' END AS reason FROM o"""
+)
+def d15_reused_quotations_of_orders(spark, t):
+    """Stored quotations after their answers lost a hit (the only one, or one of two), gained a pin, or neither; no opinion is read."""
+    text = """concat('The court said "never were such words in any opinion heard" in Lee v. Ray, ', cite, '.', CASE WHEN party % 6 IN (1, 3, 5) THEN ' Elsewhere, and on quite another matter altogether, it is as in the old case of Roe v. Wade, 410 U.S. 113, too.' ELSE '' END)"""
+    rows = orders(t, text=text).withColumn("answer", F.col("id").cast("string"))
+    kind = F.col("party") % 6
+    known = F.when(kind.isin(2, 3), F.col("party"))  # the quotation's own citation, as it stands now
+    cites = checked(rows, 1, F.col("cite"), (F.col("volume"), F.lit("So. 2d"), F.col("page")), False, known).withColumn("status", F.when(F.col("cluster_id").isNotNull(), "resolved").otherwise("fabricated"))
+    cites = cites.unionByName(checked(rows.where(kind.isin(1, 3, 5)), 2, F.lit("410 U.S. 113"), (F.lit("410"), F.lit("U.S."), F.lit("113")), False, F.lit(-1)).withColumn("status", F.lit("resolved")))
+    withdrawn = rows.where(kind.isin(0, 1, 4)).select("answer", F.col("party").cast("long").alias("cluster_id"))
+    was = F.when(kind.isin(2, 5), "unattributed").when(kind == 4, "found").otherwise("absent")
+    before = D.quoted(rows.select("answer", "text")).join(rows.select("answer", was.alias("verdict"), F.when(kind == 4, F.col("party")).cast("long").alias("cluster_id"), F.when(kind.isin(2, 5), D.UNRESOLVED).alias("reason")), "answer")
+    before = before.withColumns({"kind": F.lit("fabricated"), "paraphrase_ratio": F.lit(0.1), "rule": F.lit(None).cast("string")})
+    return D.regrade_quotes(rows.select("answer", "text"), before, cites, withdrawn).select("answer", "verdict", "change", "reason")
