@@ -222,7 +222,8 @@ def erase(files: FileSet, victims: dict[str, DataFrame]) -> DataFrame:
         at = f"c{files.columns.index(column)}"
         # A stretch's clients are few, since rows are ordered by client; each counts once before the join.
         there = _read(files).where(F.col(at).isNotNull()).select("file_no", chunk, F.col(at).alias("key")).distinct()
-        found = there.join(values.select(F.col(column).alias("key")).distinct(), "key", "left_semi").select("file_no", "chunk", F.lit(nth).alias("nth"), F.col("key").cast("string").alias("key"))
+        # An inner join: a semi-join would be moved before the distinct, where a client's rows meet.
+        found = there.join(values.select(F.col(column).alias("key")).distinct(), "key").select("file_no", "chunk", F.lit(nth).alias("nth"), F.col("key").cast("string").alias("key"))
         keys = found if keys is None else keys.unionByName(found)
     keys = materialize(keys, f"victims-{files.name}")
     hit = sorted(r[0] for r in keys.select("file_no").distinct().collect())  # the files of a table are bounded
