@@ -743,3 +743,44 @@ def test_reused_quotations_equal_a_full_regrade(spark):
         if r.change != "found_in_withdrawn_hit" and want[r.answer, r.ord][0] != "found" and r.verdict != "found":
             if r.reason != D.NO_CASE and want[r.answer, r.ord][2] != D.NO_CASE:
                 assert (r.verdict, r.kind, r.reason) == want[r.answer, r.ord], (r, want[r.answer, r.ord])
+
+
+def test_questions_are_drawn_stratum_by_stratum_without_near_copies(spark):
+    from verisect.operators import questions as B
+
+    draw = random.Random(19)
+    names = ["plea", "motion", "claim", "defense", "appeal", "verdict", "evidence", "waiver", "bond", "lien", "deed", "trust", "will", "lease", "note", "fee", "writ", "tort", "debt", "sale"]
+    rows, cases = [], []
+    for k in range(90):
+        text = f"A court may weigh {' and '.join(draw.sample(names, 5))}."
+        rows.append((k, k // 2, k % 2, text, draw.randrange(50), draw.randrange(5)))
+    for k in range(45):
+        cases.append((k, ["fl", "st:tx"][k % 2], "Moon v. Sun", "1990-01-01", f"{100 + k % 3} {['So. 2d', 'S.W.2d'][k % 2]} {k + 1}", draw.choice(["green", "green", "red"])))
+    propositions = spark.createDataFrame(rows, "rowid long, cluster_id long, rank int, proposition string, citation_count long, distinct_citers long")
+    strata = [("fl", 8), ("st:tx", 12)]
+    got = B.build_questions(propositions, spark.createDataFrame(cases, "cluster_id long, stratum string, case_name string, date_filed string, gold_citation string, gold_flag string"), spark.createDataFrame(strata, "stratum string, size long"), 0.25).collect()
+    best = {}
+    for row in rows:
+        best[row[1]] = min(best.get(row[1], row), row, key=lambda r: (-r[4], -r[5], r[2], r[0]))
+    tokens = {c: frozenset(w for w in re.findall("[a-z]+", r[3].lower()) if len(w) > 2) for c, r in best.items()}
+    chosen = []
+    for stratum, size in strata:
+        picked = 0
+        for bad, n, multiple in ((True, round(size * 0.25), 3), (False, None, 4)):
+            n = size - picked if n is None else n
+            pool = sorted((c for c, s, *_, flag in cases if s == stratum and (flag != "green") == bad), key=lambda c: (-best[c][4], c))
+            rank = {c: k for k, c in enumerate(pool, 1)}
+            score = lambda c, rank=rank: (rank[c] + 20260922) % 2**30 * S.MULTIPLIER % S.MODULUS
+            width, mine = n * multiple, []
+            while n:
+                for c in sorted((c for c in pool if rank[c] <= width), key=lambda c: (score(c), c)):
+                    if len(mine) < n and c not in mine and all(len(tokens[c] & tokens[o]) / len(tokens[c] | tokens[o]) < 0.5 for o in [*chosen, *mine]):
+                        mine.append(c)
+                if len(mine) >= n or width >= len(pool):
+                    break
+                width *= 2
+            chosen += mine
+            picked += len(mine) if bad else 0
+    assert sorted(r.cluster_id for r in got) == sorted(chosen) and len(chosen) > 4
+    assert sorted(r.qid for r in got) == [f"q{k:04d}" for k in range(1, len(chosen) + 1)]
+    assert all(r.proposition == best[r.cluster_id][3] for r in got)

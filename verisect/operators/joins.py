@@ -44,13 +44,15 @@ def stems(word: Column) -> Column:
     return F.array(word, *cut, past)
 
 
-def unknown_words(docs: DataFrame, key: str, text: str, dictionary: DataFrame, least: int = 3) -> DataFrame:
-    """Distinct (key, word) of words none of whose stems is in dictionary(word)."""
+def unknown_words(docs: DataFrame, key: str, text: str, dictionary: DataFrame, least: int = 3, known: Sequence[str] = ()) -> DataFrame:
+    """Distinct (key, word) of words none of whose stems is in dictionary(word); words `known` count as they are, not by their stems."""
     found = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"[a-z]{{{least},}}"), F.lit(0))).alias("word")).distinct()
+    if known:
+        found = found.where(~F.col("word").isin(*known))
     # The dictionary is looked up once for each word of the corpus, not for each text that has it.
     vocabulary = found.select("word").distinct()
-    known = vocabulary.select("word", F.explode(stems(F.col("word"))).alias("_stem")).join(dictionary.select(F.col("word").alias("_stem")), "_stem", "left_semi").select("word")
-    return found.join(known, "word", "left_anti").select(key, "word")
+    stemmed = vocabulary.select("word", F.explode(stems(F.col("word"))).alias("_stem")).join(dictionary.select(F.col("word").alias("_stem")), "_stem", "left_semi").select("word")
+    return found.join(stemmed, "word", "left_anti").select(key, "word")
 
 
 def shares_token(a: Column, b: Column, generic: Sequence[str], least: int = 4) -> Column:

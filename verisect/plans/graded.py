@@ -250,3 +250,22 @@ def d15_reused_quotations_of_orders(spark, t):
     before = D.quoted(rows.select("answer", "text")).join(rows.select("answer", was.alias("verdict"), F.when(kind == 4, F.col("party")).cast("long").alias("cluster_id"), F.when(kind.isin(2, 5), D.UNRESOLVED).alias("reason")), "answer")
     before = before.withColumns({"kind": F.lit("fabricated"), "paraphrase_ratio": F.lit(0.1), "rule": F.lit(None).cast("string")})
     return D.regrade_quotes(rows.select("answer", "text"), before, cites, withdrawn).select("answer", "verdict", "change", "reason")
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 9 WHEN 1 THEN 'proper_nouns_or_ocr' WHEN 2 THEN 'flag' WHEN 3 THEN 'cite_sanity' WHEN 4 THEN 'vol_year_mismatch' WHEN 5 THEN 'bad_case_name' WHEN 6 THEN 'party_name_in_prop' WHEN 7 THEN 'first_person' END AS skipped FROM documents"""
+)
+def d7_reasons_of_documents(spark, t):
+    """A proposition and a case for every document, each with one fault or none: words of no dictionary, flag, reporter, volume, caption, party, person; and words of the law."""
+    from verisect.operators import questions as B
+
+    kind = "CASE doc_id % 9 WHEN 1 THEN 'zqbert and zqarth' WHEN 6 THEN 'zqberg' WHEN 7 THEN 'our state' WHEN 8 THEN 'habeas corpus mandamus' ELSE 'each party' END"
+    text = f"concat('A trial court must weigh the plea of ', {kind}, ' before it may enter the final judgment in the matter.')"
+    rows = t("documents").select(
+        "doc_id", F.expr(text).alias("proposition"), F.expr("CASE doc_id % 9 WHEN 2 THEN 'grey' ELSE 'green' END").alias("gold_flag"), F.expr("concat(100 + doc_id % 3, CASE doc_id % 9 WHEN 3 THEN ' S.W.2d ' ELSE ' So. 2d ' END, doc_id + 1)").alias("gold_citation"),
+        F.expr("CASE doc_id % 9 WHEN 4 THEN '1950-01-01' ELSE '1990-01-01' END").alias("date_filed"), F.expr("CASE doc_id % 9 WHEN 5 THEN 'Unknown' WHEN 6 THEN 'Zqberg v. State' ELSE 'Moon v. Florida' END").alias("case_name"),
+    )
+    words = spark.sql("SELECT explode(split('a trial court must weigh the plea of before it may enter final judgment in matter each party our state and', ' ')) AS word")
+    propositions = rows.select(F.col("doc_id").alias("rowid"), F.col("doc_id").alias("cluster_id"), F.lit(1).alias("rank"), "proposition", F.lit(1).alias("citation_count"), F.lit(1).alias("distinct_citers"))
+    cases = rows.select(F.col("doc_id").alias("cluster_id"), F.lit("fl").alias("stratum"), "case_name", "date_filed", "gold_citation", "gold_flag")
+    return B.question_reasons(propositions, cases, words).select(F.col("rowid").alias("doc_id"), "skipped")
