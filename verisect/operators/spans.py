@@ -33,9 +33,14 @@ def _since(version: str, first: str) -> bool:
     return VERSIONS.index(version) >= VERSIONS.index(first)
 
 
-def map_findings(cites: DataFrame, version: str = "v6") -> DataFrame:
+#: What a checked quotation that stands by no citation has.
+LOOSE = "ex_id string, ord int, text string, quote string, verdict string"
+
+
+def map_findings(cites: DataFrame, loose: DataFrame | None = None, version: str = "v6") -> DataFrame:
     """ex_id, tier, reason, segment, ord: the findings of checked citations under a version of the mapping rules.
 
+    loose: quotations that stand by no citation (LOOSE); from v2 on those that differ in words count, before all citations.
     Versions add rules: v2 quotations that differ in words, and pins; v3 misattributed quotations; v4 propositions
     elsewhere; v5 wrong names and citations at another page; v6 spans from the name to the citation, v6n the name alone.
     """
@@ -82,7 +87,13 @@ def map_findings(cites: DataFrame, version: str = "v6") -> DataFrame:
     cited_for = F.when(~missing & c("cited_for_verdict").isin(*UNSUPPORTED) & c("_for").isNotNull(), F.when(c("cited_for_confidence") == "hard", finding("cited_for", c("cited_for_verdict"), c("_for"))).otherwise(finding("cited_for_advice", c("cited_for_verdict"), c("_for"))))
 
     found = rows.select("ex_id", "ord", F.posexplode(F.array(unresolved, party, F.when(quoted, rules), elsewhere, pins, proposition, cited_for)).alias("rule", "f")).where("f.segment IS NOT NULL")
-    return best_per_group(found.select("ex_id", "f.*", "ord", "rule"), ["ex_id", "tier", "segment"], F.col("ord"), F.col("rule")).drop("rule")
+    found = found.select("ex_id", "f.*", "ord", "rule")
+    if loose is not None and _since(version, "v2"):
+        near = loose.where((c("verdict") == "near") & (c("quote") != ""))
+        near = near.select("ex_id", F.lit("strict").alias("tier"), F.lit("unattached_quote_near").alias("reason"), U.locate("text", "quote").alias("segment"), c("ord"), F.lit(-1).alias("rule"))
+        found = found.unionByName(near.where("segment IS NOT NULL"))
+    first = (c("rule") >= 0).cast("int")
+    return best_per_group(found, ["ex_id", "tier", "segment"], first, F.col("ord"), F.col("rule")).drop("rule")
 
 
 def predictions(findings: DataFrame, tier: str) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verisect.plans import citations, graded, quotations, ranking, relational, reports, rules, spans, state, textual, written
+from verisect.plans import citations, graded, quotations, ranking, relational, reports, rules, spans, state, textual, widened, written
 from verisect.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "PLANS", "QUERIES", "flagship"]
 
-PLANS = (relational, ranking, textual, citations, quotations, spans, rules, reports, state, written, graded)
+PLANS = (relational, ranking, textual, citations, quotations, spans, rules, reports, state, written, graded, widened)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,14 +106,14 @@ def checked(spark):
 def q32_finding_mappings(spark, t):
     found = None
     for version in ("v1", "v6"):
-        part = S.map_findings(checked(spark), version).select(F.lit(version).alias("version"), "tier", "reason", "segment")
+        part = S.map_findings(checked(spark), version=version).select(F.lit(version).alias("version"), "tier", "reason", "segment")
         found = part if found is None else found.unionByName(part)
     return found
 
 
 @query(expect("tier string, n int", ("strict", 2), ("broad", 4), ("cited_for", 3)))
 def q33_tiers(spark, t):
-    found = S.map_findings(checked(spark), "v1")
+    found = S.map_findings(checked(spark), version="v1")
     out = None
     for tier in S.TIERS:
         part = S.predictions(found, tier).select(F.lit(tier).alias("tier"), F.size("predicted").alias("n"))
