@@ -214,8 +214,8 @@ def q33_tiers_of_orders(spark, t):
     own AS (SELECT w.volume, ys[round_even(0.1 * (n - 1), 0)::BIGINT + 1] - 1 AS lo, ys[round_even(0.9 * (n - 1), 0)::BIGINT + 1] + 1 AS hi FROM w JOIN v ON v.volume = w.volume WHERE n >= 5),
     l AS (SELECT w.volume, max(v.volume) AS dense FROM w JOIN v ON v.volume < w.volume AND v.volume > w.volume - 600 AND v.n >= 20 WHERE w.volume NOT IN (SELECT volume FROM own) GROUP BY 1),
     s AS (SELECT l.volume, v.volume AS x, v.mid AS y FROM l, (VALUES (0), (25), (50), (75), (100)) AS k(k) JOIN v ON v.volume = l.dense - k.k AND v.n >= 5),
-    p AS (SELECT volume, count(*) AS n, avg(y) + greatest(0, coalesce(regr_slope(y, x), 0)) * (volume - avg(x)) AS at, arg_max(y, x) AS m FROM s GROUP BY volume)
-    SELECT 'So. 2d' AS reporter, w.volume, CAST(coalesce(own.lo, CASE WHEN p.n >= 2 THEN floor(at - 1.5) ELSE floor(m) END) AS BIGINT) AS lo, CAST(coalesce(own.hi, CASE WHEN p.n >= 2 THEN ceil(at + 1.5) WHEN p.n = 1 THEN 9999 END) AS BIGINT) AS hi,
+    p AS (SELECT volume, count(*) AS n, avg(y) + greatest(0, coalesce(regr_slope(y, x), 0)) * (volume - avg(x)) AS predicted, arg_max(y, x) AS m FROM s GROUP BY volume)
+    SELECT 'So. 2d' AS reporter, w.volume, CAST(coalesce(own.lo, CASE WHEN p.n >= 2 THEN floor(predicted - 1.5) ELSE floor(m) END) AS BIGINT) AS lo, CAST(coalesce(own.hi, CASE WHEN p.n >= 2 THEN ceil(predicted + 1.5) WHEN p.n = 1 THEN 9999 END) AS BIGINT) AS hi,
         CASE WHEN own.lo IS NOT NULL THEN 'indexed' WHEN p.n >= 2 THEN 'extrapolated' WHEN p.n = 1 THEN 'floor_only' END AS method FROM w LEFT JOIN own ON own.volume = w.volume LEFT JOIN p ON p.volume = w.volume"""
 )
 def d5_year_bands_of_orders(spark, t):
