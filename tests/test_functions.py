@@ -530,15 +530,22 @@ def spent(run, sizes):
         lambda n: U.predictions('[["a" ' * n),
         lambda n: U.quotations('He said "one two three four five six" and \'one two three four five six seven\' there. ' * n),
         lambda n: U.best_run("a b c d e f g " * n, "a b c e f g h " * n),
+        lambda n: [U.withdrawal(text, k, k + 13) for text in ["Lee v. Ray, 12 So. 2d 345, which I could not verify. So it is. " * n] for k in range(12, len(text), 62)],
         lambda n: U.cite_places("see 12 So. 2d 34 and " * n, [{"ord": k, "volume": str(k), "reporter": "So. 2d", "page": "34"} for k in range(n)]),
     ],
-    ids=["open brackets", "broken arrays", "quotations", "best run", "citations"],
+    ids=["open brackets", "broken arrays", "quotations", "best run", "doubts", "citations"],
 )
 def test_scans_take_time_in_proportion(run):
     small, large = spent(run, (300, 2_400))
     assert large < 30 * small
 
 
+def test_doubts_belong_to_the_citation_beside_them():
+    text = "I could not confirm Lee v. Ray, 12 So. 2d 345. Moon v. Sun, 1 F.3d 2 (9th Cir. 1993), may not exist. Roe v. Wade, 410 U.S. 113, I could not verify the pin page. So is 3 F.3d 4; it does not appear to exist, and I could not verify it."
+    got = {c: U.doubt_beside(text, text.index(c), text.index(c) + len(c)) for c in ("12 So. 2d 345", "1 F.3d 2", "410 U.S. 113", "3 F.3d 4")}
+    assert got == {"12 So. 2d 345": "could not confirm", "1 F.3d 2": "may not exist", "410 U.S. 113": None, "3 F.3d 4": "does not appear to exist"}
+
+
 def test_arrays_are_those_of_a_reading_from_every_bracket():
     decoder = json.JSONDecoder()
     draw = random.Random(14)
@@ -784,3 +791,12 @@ def test_questions_are_drawn_stratum_by_stratum_without_near_copies(spark):
     assert sorted(r.cluster_id for r in got) == sorted(chosen) and len(chosen) > 4
     assert sorted(r.qid for r in got) == [f"q{k:04d}" for k in range(1, len(chosen) + 1)]
     assert all(r.proposition == best[r.cluster_id][3] for r in got)
+
+
+def test_a_side_is_small_by_rows_and_by_bytes(spark):
+    def hinted(df, **most):
+        return "BROADCAST" in J.small(df, **most)._jdf.queryExecution().logical().toString().upper()
+
+    rows = spark.createDataFrame([(k, "x" * 1_000, [k, k]) for k in range(20)], "k int, t string, a array<int>")
+    assert hinted(rows) and not hinted(rows, rows=19) and not hinted(rows, most=20_000) and hinted(rows, most=25_000)
+    assert hinted(rows.limit(0), most=0)

@@ -6,17 +6,31 @@ Names of work columns open with an underscore; callers' columns keep theirs.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a side that a caller calls small is broadcast; above, the join is shuffled.
-SMALL_ROWS = 200_000
+#: Rows and bytes up to which a side that a caller calls small is broadcast; above, the join is shuffled.
+SMALL_ROWS, SMALL_BYTES = 200_000, 64 << 20
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """With a broadcast hint if it has at most `rows` rows; counting stops right after that many."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row has: what texts and nested values are long, and eight for each other column."""
+
+    def one(field) -> Column:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            return F.octet_length(F.col(f"`{field.name}`"))
+        return F.octet_length(F.to_json(F.struct(F.col(f"`{field.name}`")))) if kind in ("array", "map", "struct") else F.lit(8)
+
+    return reduce(lambda a, b: a + b, (F.coalesce(one(f), F.lit(0)) for f in df.schema.fields), F.lit(0).cast("long"))
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS, most: int = SMALL_BYTES) -> DataFrame:
+    """With a broadcast hint if it has at most `rows` rows of together at most `most` bytes; looking stops right after that many rows."""
+    n, size = df.limit(rows + 1).select(row_bytes(df).alias("b")).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most else df
 
 
 def first_reason(rules: Sequence[tuple[str, Column]]) -> Column:
