@@ -349,3 +349,16 @@ def test_models_ignore_clashing_columns_and_repeats(spark):
 
 def test_words():
     assert words("É-Two x3_y".encode()) == ["É".encode(), b"two", b"x3", b"y"] and words(None) == []
+
+
+def test_spans_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (2_000, 16_000):
+        text = ("für böse " * (n // 2)).encode()
+        began = time.process_time()
+        found = toxicity.spans(text, np.tile([0.9, 0.1], n // 2))
+        took.append(time.process_time() - began + 1e-3)
+        assert len(found) == n // 2 and found[-1]["start"] == 9 * (n // 2 - 1) and found[-1]["end"] == found[-1]["start"] + 3
+    assert took[1] < 30 * took[0]

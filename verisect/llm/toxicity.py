@@ -269,8 +269,10 @@ def spans(text: bytes, marginal: np.ndarray, least: float = 0.5) -> list[dict]:
     out: list[dict] = []
     last = -2
     at = [m.span() for m in RUN.finditer(text)]
+    # Every code point has one byte that isn't 10xxxxxx: counted once for the whole text.
+    points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
     for k in np.flatnonzero(hot):
-        start, end = (len(text[:p].decode("utf-8", "replace")) for p in at[k])
+        start, end = (int(points[p]) for p in at[k])
         if k == last + 1 and out:
             out[-1]["end"] = end
             out[-1]["p"] = max(out[-1]["p"], float(marginal[k]))
