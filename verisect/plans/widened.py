@@ -223,3 +223,31 @@ def d5_year_bands_of_orders(spark, t):
     rows = t("orders").select(F.col("o_orderkey").alias("cluster_id"), (F.col("o_custkey") % 60 + 1).cast("string").alias("volume"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_filed"))
     wanted = spark.range(1, 161, 3).select(F.lit("So. 2d").alias("reporter"), F.col("id").cast("int").alias("volume"))
     return G.year_bands(wanted, rows.select("cluster_id", F.lit("So. 2d").alias("reporter"), "volume"), rows.select("cluster_id", "date_filed"))
+
+
+@query(f"WITH o AS ({COLUMNS}) SELECT id, party % 6 IN (0, 2, 3, 5) AS equivalent FROM o")
+def q13_elided_propositions_of_orders(spark, t):
+    """Propositions against opinions: all parts around an ellipsis; one part of two; a long run inside one part; a bracket; a run that only a dropped ellipsis makes; words apart."""
+    from verisect.operators.containment import gold_equivalent
+
+    head, tail = "concat('the court must weigh the claim of p', party, 'x')", "'before it may rule upon the motion'"
+    prop = f"""CASE party % 6 WHEN 0 THEN concat({head}, ' . . . ', {tail}) WHEN 1 THEN concat({head}, ' . . . ', {tail}) WHEN 2 THEN concat('so it is [...] ', {head}, ' and of its heirs and assigns too') WHEN 3 THEN concat({head}, ' [as amended] ', {tail})
+        WHEN 4 THEN concat('must weigh the claim of p', party, 'x [...] before it may rule upon it') ELSE concat({head}, '…', {tail}, '… and so on') END"""
+    opinion = f"""CASE party % 6 WHEN 0 THEN concat('We say ', {head}, ' in full, and then ', {tail}, ' at all') WHEN 1 THEN concat('We say ', {head}, ' in full') WHEN 2 THEN concat('We say ', {head}, ' and of its heirs and assigns') WHEN 3 THEN concat('We say ', {head}, ' ', {tail}, ' now')
+        WHEN 4 THEN concat('the claim of p', party, 'x before it may rule upon it, they must weigh, and more of it') ELSE concat('First ', {head}, ', then ', {tail}) END"""
+    rows = orders(t, prop=prop, opinion=opinion)
+    return rows.select("id", gold_equivalent(F.col("prop"), T.padded(T.match_words(F.col("opinion")))).alias("equivalent"))
+
+
+@query(
+    """WITH w AS (SELECT o_orderpriority AS name, sum(CAST(o_custkey AS BIGINT)) AS weight FROM orders GROUP BY 1), q AS (SELECT name, 20 * weight / sum(weight) OVER () AS exact FROM w),
+    r AS (SELECT name, floor(exact) AS whole, row_number() OVER (ORDER BY floor(exact) - exact, name) AS nth, 20 - sum(floor(exact)) OVER () AS spare FROM q)
+    SELECT name, CAST(whole + CASE WHEN nth <= spare THEN 1 ELSE 0 END AS BIGINT) AS draws FROM r"""
+)
+def l7_shares_of_priorities(spark, t):
+    """Twenty draws shared among the priorities by the customers' numbers; no pool is too small."""
+    from verisect.operators import sampling
+
+    rows = t("orders").groupBy("o_orderpriority").agg(F.sum("o_custkey").alias("weight"), F.count(F.lit(1)).alias("pool")).orderBy("o_orderpriority").collect()
+    share = sampling.largest_remainder({r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}, 20)
+    return spark.createDataFrame(list(share.items()), "name string, draws long")
