@@ -190,13 +190,13 @@ def test_longest_matches_agree_with_brute_force(spark, block_words):
         assert (r.n_words, len(r.hits)) == (n, hit)
 
 
-def test_long_items_are_searched_in_pieces():
-    words = [str(k).encode() for k in range(1_000)]
-    for n in (0, 5, 13, 52, 53, 64, 65, 999, 1_000):
-        pieces = list(decontam._pieces(words[:n], 13, 3))
-        assert all(len(p) <= 52 for p in pieces)
-        windows = {tuple(p[k : k + 13]) for p in pieces for k in range(len(p) - 12)}
-        assert windows == {tuple(words[k : k + 13]) for k in range(n - 12)} and (n >= 13 or pieces == [words[:n]])
+@pytest.mark.parametrize("block_words", [5, 50, 10**6])
+def test_no_result_depends_on_the_blocks(spark, block_words):
+    item = " ".join(f"w{k}" for k in range(120))
+    source = docs(spark, ["x " + item + " y", " ".join(item.split()[30:100]), "none of it", None])
+    bench = spark.createDataFrame([(1, item), (2, "a b"), (3, " ".join(item.split()[:40]))], "item_id long, text string")
+    got = {r.id: (r.longest, r.longest_at, r.longest_item, list(r["items"])) for r in decontam.find_contamination(source, bench, block_words=block_words).collect()}
+    assert got == {0: (120, 1, "1", ["1", "3"]), 1: (70, 0, "1", ["1"]), 2: (0, None, None, []), 3: (0, None, None, [])}
 
 
 @pytest.mark.parametrize("block_words", [2_000_000, 3])

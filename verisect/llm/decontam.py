@@ -3,13 +3,13 @@
 Each block of documents is a shard.  Its words become ids of the benchmark's vocabulary (0: any other word, or a
 document's end), the positions that can start a match are sorted by the words that follow them, and every benchmark
 suffix is binary-searched in that array.  A match of a whole window marks its words; the longest match of any suffix
-and its place are kept as evidence.  Only the benchmark leaves its table: it is handed out in blocks of at most
-`block_words` words.  Documents pass by the blocks one after another and carry what was found, so neither the driver nor
-a task holds more than one block, and documents are never shuffled.
+and its place are kept as evidence.  Only the benchmark leaves its table: it is handed out in blocks of whole items, of at
+most `block_words` words or one item.  Documents pass by the blocks one after another and carry what was found, so neither
+the driver nor a task holds more than one block, documents are never shuffled, and two copies are kept at most.
 
 Defined cases.  Null and empty texts have no words and are never contaminated; very long texts count whole.  Items with fewer
 words than a window form one window of all their words; items without words form none; an item of over `block_words` words
-is searched in pieces that overlap by a window, and a match is told within a piece.  Repeated rows each give their own row.
+is a block of its own, so no result depends on the blocks.  Repeated rows each give their own row.
 Of equally long matches the first in the text counts, then that of the smallest item as a string (unnamed ones last).
 Empty documents give an empty result, an empty benchmark no hits.  Extra columns of any name are kept by
 remove_contaminated and ignored by the others.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import broadcast_value, materialize, narrow, slices, utf8, words
+from .common import broadcast_value, materialize, narrow, release, slices, utf8, words
 
 #: Words that a suffix is sorted by; longer matches are extended word by word.
 DEPTH = 16
@@ -171,24 +171,16 @@ def _found(probe: Probe, texts: list[bytes | None], before: list[dict] | None) -
     return out
 
 
-def _pieces(ws: list[bytes], window: int, block_words: int) -> Iterator[list[bytes]]:
-    """The words of an item, cut so that every window lies in a piece."""
-    size = max(block_words, 4 * window)
-    yield ws[:size]
-    for at in range(size - window + 1, len(ws) - window + 1, size - window + 1):
-        yield ws[at : at + size]
-
-
 def _probes(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[Probe]:
-    """The benchmark in blocks of at most `block_words` words or one piece of an item; the rows come one partition at a time."""
+    """The benchmark in blocks of whole items, of at most `block_words` words or one item; the rows come one partition at a time."""
     block, total = [], 0
     for row in narrow(benchmark, item=item_col, text=text_col).toLocalIterator():
-        for ws in _pieces(words(row["text"].encode() if row["text"] is not None else None), window, block_words):
-            if block and total + len(ws) > block_words:
-                yield Probe(block, window)
-                block, total = [], 0
-            block.append((None if row["item"] is None else str(row["item"]), ws))
-            total += len(ws)
+        ws = words(row["text"].encode() if row["text"] is not None else None)
+        if block and total + len(ws) > block_words:
+            yield Probe(block, window)
+            block, total = [], 0
+        block.append((None if row["item"] is None else str(row["item"]), ws))
+        total += len(ws)
     yield Probe(block, window)
 
 
@@ -207,11 +199,13 @@ def _search(docs: DataFrame, text: str, probes: Iterator[Probe], rows: int, fini
 
         return run
 
-    begun, probe = False, next(probes)
+    begun, probe, source = False, next(probes), docs
     for following in probes:
-        shared = broadcast_value(spark, probe)
+        shared, done = broadcast_value(spark, probe), docs
         docs = materialize(docs.mapInArrow(step(shared, begun, False), carried), "searched")
         shared.destroy()
+        if done is not source:  # what the block before has written isn't read again
+            release(done)
         begun, probe = True, following
     return docs.mapInArrow(step(broadcast_value(spark, probe), begun, True), schema)
 
