@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,16 @@ def last_marked_line(answer: str) -> tuple[str, bool]:
     return (lines[-1] if lines else ""), False
 
 
+LISTS = ("right", "any_right", "wrong", "any_of", "absent")
+
+
+@lru_cache(4_096)
+def read_rules(gold: str) -> tuple[dict, dict[str, list[str]]]:
+    """A gold's rules, and its lists folded; read once however many answers a task has."""
+    rules = json.loads(gold)
+    return rules, {name: [U.plain_answer(x) for x in rules.get(name) or [] if x] for name in LISTS}
+
+
 def grade(answer: str | None, gold: str | None, passage: str | None = None) -> dict:
     """Whether an answer passes, the reason, and whether it had an ANSWER line. gold: the rules as JSON.
 
@@ -41,16 +52,15 @@ def grade(answer: str | None, gold: str | None, passage: str | None = None) -> d
     citations are looked for on the ANSWER line only, and a wrong form that the line itself disowns is forgiven if the
     line has the corrected one.
     """
-    rules = json.loads(gold or "{}")
+    rules, lists = read_rules(gold or "{}")
     fold = U.plain_answer
-    listed = lambda name: [fold(x) for x in rules.get(name) or [] if x]
     raw_line, marked = last_marked_line(answer or "")
     line, whole = fold(raw_line), fold(answer)
     echoed = fold(passage).rstrip(".").strip()
     if echoed:
         above = whole.replace(line, " ", 1) if line else whole
         whole = f"{above.replace(echoed, ' ')} {line}"
-    right, any_right, wrong, any_of, absent = map(listed, ("right", "any_right", "wrong", "any_of", "absent"))
+    right, any_right, wrong, any_of, absent = (lists[name] for name in LISTS)
     matched = next((r for r in any_right if r in whole), None)
     held = right + ([matched] if matched else [])
 
