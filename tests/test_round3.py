@@ -1,5 +1,9 @@
 """Cases that a review of the third round found to differ from their definitions."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from verisect.functions import cites as C
 from verisect.operators import quotations as Q
 
 
@@ -7,3 +11,9 @@ def test_a_citation_before_a_quotation_outside_its_paragraph(spark):
     quotes = spark.createDataFrame([(1, 3815, 3820, 100, 1500), (2, 1600, 1605, 100, 1500)], "id long, start int, end int, para_start int, para_end int")
     cites = spark.createDataFrame([(1, 3711, 3714, "before"), (2, 1610, 1613, "past the paragraph"), (2, 1600, 1600, "at it")], "id long, start int, end int, raw string")
     assert {r.id: r.raw for r in Q.attached_cites(quotes, cites, ["id"]).collect()} == {1: "before", 2: "at it"}
+
+
+@pytest.mark.parametrize(("text", "offset", "at"), [("éééé the the x", 8, 4), ("éé the x", 4, 2), ("ab the x", 2, 2), ("é the x", 1, 1), ("€€ the x", 5, 2)])
+def test_byte_offsets_are_read_as_bytes(spark, text, offset, at):
+    rows = spark.createDataFrame([(text, offset)], "t string, o int")
+    assert rows.select(C.char_offset(F.col("t"), F.col("o"), F.lit(" the ")).alias("at")).first().at == at
