@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verisect.functions import cites as C
+from verisect.operators import questions as B
 from verisect.operators import quotations as Q
 from verisect.plans import registry
 
@@ -28,3 +29,9 @@ def test_first_of_key_with_part_keys_over_a_million(spark, tmp_path):
         c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
         want = c.execute(registry.ORACLES["e2_first_of_key"]).fetchall()
     assert sorted(map(tuple, registry.QUERIES["e2_first_of_key"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_an_object_before_a_letter_beyond_ascii(spark):
+    sentences = [("Des anè enier reque oié tion que de un.", "fragment_start"), ("Des anne enier reque oi tion que de un.", "no_finite_verb")]
+    rows = spark.createDataFrame(sentences, "t string, reason string")
+    assert [r.got for r in rows.select(B.reject_reason(F.col("t")).alias("got")).collect()] == [r for _, r in sentences]
