@@ -5,8 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from verisect.functions import cites as C
+from verisect.functions import refs as N
+from verisect.functions import udfs as U
 from verisect.operators import questions as B
 from verisect.operators import quotations as Q
+from verisect.operators.joins import spread
 from verisect.plans import registry
 
 
@@ -35,3 +38,14 @@ def test_an_object_before_a_letter_beyond_ascii(spark):
     sentences = [("Des anè enier reque oié tion que de un.", "fragment_start"), ("Des anne enier reque oi tion que de un.", "no_finite_verb")]
     rows = spark.createDataFrame(sentences, "t string, reason string")
     assert [r.got for r in rows.select(B.reject_reason(F.col("t")).alias("got")).collect()] == [r for _, r in sentences]
+
+
+def test_the_clause_before_a_citation(spark):
+    assert U.last_clause("It was settled. In Lee v. Ray, ") == "In Lee v. Ray, " and U.last_clause("as in (Fla. 1950), Lee v. Ray, ") == "Lee v. Ray, "
+    assert U.last_clause("In re: Lee; Ray") == "Ray" and U.last_clause("In re: Lee") == "In re: Lee" and U.last_clause("") == ""
+    assert [m[0] for m in N.NONCASE.finditer("xRule 5 Rule 5, Stat. § 3")] == ["Rule 5", "Stat. ", "§"]
+
+
+def test_texts_of_orders_are_dealt_to_all_cores(spark):
+    rows = spread(spark.range(100).coalesce(1), "id")
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
