@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from verisect.functions import cites as C
 from verisect.functions import refs as N
 from verisect.functions import udfs as U
+from verisect.operators import fuzzy
 from verisect.operators import questions as B
 from verisect.operators import quotations as Q
 from verisect.operators.joins import spread
@@ -49,3 +50,10 @@ def test_the_clause_before_a_citation(spark):
 def test_texts_of_orders_are_dealt_to_all_cores(spark):
     rows = spread(spark.range(100).coalesce(1), "id")
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
+def test_words_with_a_common_beginning_meet_only_if_alike():
+    words = [f"uvababab{x}{y}{z}" for x in ("ab", "cd", "ef", "gh") for y in ("ab", "cd", "ef", "gh") for z in ("ab", "cd", "ef", "gh")]
+    met = [(a, b) for a in words for b in (w[:1] + w[2:] for w in words) if set(fuzzy.piece_keys(a, {13})) & set(fuzzy.probe_keys(b, {14}))]
+    alike = [(a, b) for a in words for b in (w[:1] + w[2:] for w in words) if U.alike(a, [b])]
+    assert set(alike) <= set(met) and len(met) < 2 * len(words)

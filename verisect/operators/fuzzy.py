@@ -1,9 +1,11 @@
 """Similarity joins of words and case names, without pairing everything with everything.
 
-Two words of T letters in all are alike if difflib's ratio 2M / T is at least 0.85, so at most D = floor(0.15 T) letters stand
-outside of its matching blocks, and D single-letter insertions and deletions turn one word into the other.  Cut one word
-into D + 1 pieces: at least one of them stands untouched in the other, at most D places away.  Words therefore meet by
-equality of (lengths, piece, text); the edit distance and then the ratio itself confirm the few that do.
+Two words of n and m letters are alike if difflib's ratio 2M / (n + m) is at least 0.85: M letters stand in its matching
+blocks, in order, and n - M and m - M outside.  Words therefore meet by equality of what is left when each drops so many of
+its letters, whatever they are, which only words with M letters in common do, however many share a beginning.  Where those
+are over DROPPED forms, a word is cut into one piece more than letters stand outside in both: at least one piece stands
+untouched in the other, so few places away, and words meet by equality of (lengths, piece, text).  The edit distance and
+then the ratio itself confirm those that meet.
 
 Names meet through their rarest words: a one-sided name matches by seven tenths of its words, so of its rarest words, one
 more than three tenths of them, at least one is matched; of two two-sided names, the shorter one of two matched sides is
@@ -12,20 +14,40 @@ matched whole, so its rarest word is.  Words and names are compared once however
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verisect.functions import udfs as U
+from verisect.operators.joins import spread
+from verisect.sources.tables import stored
 
 #: Letters that a word needs for being like another one (shorter ones must be equal).
 LEAST_LETTERS = 4
 
 
-def reach(a: int, b: int) -> int:
-    """Letters outside of the matching blocks of two words that are alike, at most: 0.15 of all."""
-    return 3 * (a + b) // 20
+#: Forms of a word with letters dropped, at most, for a length of a partner.
+DROPPED = 400
+
+
+def reach(n: int, m: int) -> tuple[int, int]:
+    """Letters of two words that stand outside of their matching blocks, at most, if the words are alike."""
+    common = -(-17 * (n + m) // 40)
+    return n - common, m - common
+
+
+def dropping(n: int, m: int) -> bool:
+    """Whether words of these lengths meet by what is left of them, else by pieces."""
+    a, b = reach(n, m)
+    return max(comb(n, a), comb(m, b)) <= DROPPED
+
+
+def left_over(word: str, out: int) -> set[str]:
+    """What can be left of a word without `out` of its letters."""
+    return set(map("".join, combinations(word, len(word) - out)))
 
 
 def partners(n: int, probing: bool) -> Iterator[int]:
@@ -41,25 +63,37 @@ def pieces(n: int, count: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:k]), size) for k, size in enumerate(sizes)]
 
 
-def piece_keys(word: str | None) -> list[str]:
-    """Keys of a word's pieces, for every length of a partner."""
-    n = len(word or "")
+def piece_keys(word: str | None, lengths: Collection[int] | None = None) -> list[str]:
+    """Keys of a word's pieces or of what is left of it, for every length of a partner, or those given."""
+    n, out = len(word or ""), []
     if n < LEAST_LETTERS:
         return []
-    return [f"{n},{m},{k},{word[s : s + size]}" for m in partners(n, False) for k, (s, size) in enumerate(pieces(n, reach(n, m) + 1))]
+    for m in (m for m in partners(n, False) if lengths is None or m in lengths):
+        a, b = reach(n, m)
+        if dropping(n, m):
+            out += [f"{n},{m},{rest}" for rest in sorted(left_over(word, a))]
+        else:
+            out += [f"{n},{m},{k},{word[s : s + size]}" for k, (s, size) in enumerate(pieces(n, a + b + 1))]
+    return out
 
 
-def probe_keys(word: str | None) -> list[str]:
-    """Keys of what stands in a word where a partner's pieces may stand."""
+def probe_keys(word: str | None, lengths: Collection[int] | None = None) -> list[str]:
+    """Keys of what stands in a word where a partner's pieces may stand, or of what is left of it."""
     m, out = len(word or ""), set()
-    for n in partners(m, True):
-        d = reach(n, m)
-        for k, (s, size) in enumerate(pieces(n, d + 1)):
-            out |= {f"{n},{m},{k},{word[p : p + size]}" for p in range(max(0, s - d), min(m - size, s + d) + 1)}
+    for n in (n for n in partners(m, True) if lengths is None or n in lengths):
+        a, b = reach(n, m)
+        if dropping(n, m):
+            out |= {f"{n},{m},{rest}" for rest in left_over(word, b)}
+            continue
+        for k, (s, size) in enumerate(pieces(n, a + b + 1)):
+            out |= {f"{n},{m},{k},{word[p : p + size]}" for p in range(max(0, s - a), min(m - size, s + b) + 1)}
     return sorted(out)
 
 
-cut, probe = U.arrow("array<string>")(piece_keys), U.arrow("array<string>")(probe_keys)
+def met_by(keys: Callable, lengths: Collection[int]) -> U.ArrowFunction:
+    return U.arrow("array<string>")(lambda word: keys(word, lengths))
+
+
 close = U.arrow("boolean")(lambda a, b: U.alike(a, [b]))
 
 
@@ -67,7 +101,10 @@ def similar_words(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b) of the words left.word and right.word that are equal or alike, in this order, each once."""
     a, b = left.select(F.col("word").alias("a")).distinct(), right.select(F.col("word").alias("b")).distinct()
     same = a.join(b, F.col("a") == F.col("b"))
-    met = a.withColumn("_key", F.explode(cut("a"))).join(b.withColumn("_key", F.explode(probe("b"))), "_key").where("a <> b").select("a", "b").distinct()
+    # Lengths are few, and a word needs no keys for those that the other side doesn't have.
+    of_a, of_b = ({r[0] for r in words.select(F.length(c)).distinct().collect()} - {None} for words, c in ((a, "a"), (b, "b")))
+    keyed = lambda words, c, keys, lengths: spread(words, c).withColumn("_key", F.explode(met_by(keys, lengths)(c))).withColumn("_key", F.xxhash64("_key"))
+    met = keyed(a, "a", piece_keys, of_b).join(keyed(b, "b", probe_keys, of_a), "_key").where("a <> b").select("a", "b").distinct()
     letters = F.length("a") + F.length("b")
     near = met.where(F.levenshtein("a", "b") <= F.floor(letters * 3 / 20)).where(close("a", "b"))
     return same.unionByName(near)
@@ -75,7 +112,7 @@ def similar_words(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def _words(names: DataFrame, name: str, whole: str) -> DataFrame:
     """name, side (0 and 1 of a two-sided name, null for the words of a whole name), word, each once, and how many the side has with repeats."""
-    parts = names.select(F.col(name).alias("name"), U.name_parts(name).alias("p"))
+    parts = spread(names, name).select(F.col(name).alias("name"), U.name_parts(name).alias("p"))
     listed = [F.struct(F.lit(k).cast("int").alias("side"), F.col(f"p.{f}").alias("words")) for k, f in ((0, "left"), (1, "right"), (None, whole))]
     sides = parts.select("name", F.explode(F.array(*listed)).alias("s")).where("s.words IS NOT NULL")
     return sides.select("name", "s.side", F.size("s.words").alias("listed"), F.explode("s.words").alias("word")).distinct()
@@ -90,8 +127,8 @@ def _rarest(words: DataFrame, counts: DataFrame, most: Column) -> DataFrame:
 
 def similar_names(claimed: DataFrame, hits: DataFrame, name: str = "name", other: str = "case_name") -> DataFrame:
     """Pairs of claimed.name and hits.case_name that name the same case (functions.udfs.names_alike), each pair of spellings once."""
-    a, b = (_words(df.select(c).where(F.col(c).isNotNull()).distinct(), c, whole) for df, c, whole in ((claimed, name, "wanted"), (hits, other, "whole")))
-    alike = similar_words(a, b)
+    a, b = (stored(_words(df.select(c).where(F.col(c).isNotNull()).distinct(), c, whole), "name-words") for df, c, whole in ((claimed, name, "wanted"), (hits, other, "whole")))
+    alike = stored(similar_words(a, b), "alike-words")
     in_a, in_b = (w.groupBy("word").agg(F.count_distinct("name").alias("_n")) for w in (a, b))
     # How many names a word leads to on the other side.
     leads_b = alike.join(in_b, alike["b"] == in_b["word"]).groupBy("a").agg(F.sum("_n").alias("_c")).withColumnRenamed("a", "word")
@@ -103,4 +140,4 @@ def similar_names(claimed: DataFrame, hits: DataFrame, name: str = "name", other
     first = everywhere(from_a, "x").join(alike, F.col("_x") == F.col("a")).join(everywhere(b, "y"), F.col("_y") == F.col("b")).select("x", "y")
     second = everywhere(from_b, "y").join(alike, F.col("_y") == F.col("b")).join(everywhere(a, "x"), F.col("_x") == F.col("a")).select("x", "y")
     pairs = first.unionByName(second).distinct()
-    return pairs.where(U.name_match("x", "y")).select(F.col("x").alias(name), F.col("y").alias(other))
+    return spread(pairs, "x").where(U.name_match("x", "y")).select(F.col("x").alias(name), F.col("y").alias(other))
