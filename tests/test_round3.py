@@ -12,6 +12,7 @@ from verisect.operators import questions as B
 from verisect.operators import quotations as Q
 from verisect.operators.joins import spread
 from verisect.plans import registry
+from verisect.sources import tables
 
 
 def test_a_citation_before_a_quotation_outside_its_paragraph(spark):
@@ -57,3 +58,12 @@ def test_words_with_a_common_beginning_meet_only_if_alike():
     met = [(a, b) for a in words for b in (w[:1] + w[2:] for w in words) if set(fuzzy.piece_keys(a, {13})) & set(fuzzy.probe_keys(b, {14}))]
     alike = [(a, b) for a in words for b in (w[:1] + w[2:] for w in words) if U.alike(a, [b])]
     assert set(alike) <= set(met) and len(met) < 2 * len(words)
+
+
+def test_quotations_are_held_to_the_fixed_rules_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(Q, "stored", lambda df, name: kept.append(name) or tables.stored(df, name))
+    rows = spark.createDataFrame([(1, "relevant evidence if its probative value is substantially outweighed by a danger", 0, 80), (2, "never were such words in any rule heard or read", 0, 47)], "answer long, quote string, start int, end int")
+    rules = spark.createDataFrame([], "jurisdiction string, rule string, text string")
+    got = Q.rule_texts(rows.select("answer", F.col("quote").alias("text")), rows, rules, ["answer"])
+    assert [(r.answer, r.via) for r in got.collect()] == [(1, "fixed_list")] and kept == ["fixed-rules"]
