@@ -13,7 +13,7 @@ from verisect.operators import spans as P
 from verisect.plans.base import query
 from verisect.plans.written import COLUMNS, orders
 from verisect.sources import readers
-from verisect.sources.tables import Table, scratch
+from verisect.sources.tables import Table, scratch, stored
 
 
 @query("SELECT 'there' AS file, n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'none', count(*) FILTER (WHERE n_nationkey < 0), 'rows' FROM nation")
@@ -199,7 +199,7 @@ def checked(t):
 )
 def q33_tiers_of_orders(spark, t):
     """Which examples each tier predicts a span for."""
-    found = P.map_findings(*checked(t), "v6")
+    found = stored(P.map_findings(*checked(t), "v6"), "findings")  # each tier reads it
     out = None
     for tier in P.TIERS:
         part = P.predictions(found, tier).where(F.size("predicted") > 0).select("ex_id", F.lit(tier).alias("tier"))
