@@ -314,6 +314,18 @@ def test_rare_contexts_grow_with_the_corpus(spark):
     assert min(got[k] for k in range(30)) > max(got[k] for k in range(30, 120))
 
 
+def test_every_word_is_a_context(spark):
+    """Words with a share between 2e-6 and 1e-4, which used to be no contexts, are nodes by default."""
+    common = " ".join(f"c{k % 7}" for k in range(500))
+    source = docs(spark, [common + f" m{k % 40} n{k % 40}" for k in range(160)])
+    model = lm.fit(source)
+    assert 2e-6 < 4 / model.tree.total < 1e-4
+    assert model.rare.count() == 2 * 2 * 40  # each m and n: the node and its one next word, n's being the end
+    got = {r.id: r for r in lm.score(source, model).collect()}
+    bare = {r.id: r for r in lm.score(source, lm.fit(source, rare_share=2e-6)).collect()}
+    assert all(got[k].score > bare[k].score + 2 for k in range(160))
+
+
 def test_bitmaps_and_hashes(spark):
     keys = [5, -7, 2**62 + 3, -(2**63), 1 << 26]
     bits = lm._bitmap(spark.createDataFrame([(k,) for k in keys], "key long"))

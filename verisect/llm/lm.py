@@ -7,11 +7,11 @@ token is scored in the longest suffix of its history that is a node.
 
 Frequent contexts, of up to `depth` words that make up at least `context_share` of the training tokens each, go to every
 executor with their next words of a share of at least `edge_share`: 1 / context_share contexts and 1 / edge_share next words
-for each length at most, however large the corpus is.  Words with a share under `rare_share` are rare contexts: each is a
+for each length at most, however large the corpus is.  All words that are no frequent contexts are rare ones: each is a
 node of its own if it passes the test on the next words that it has at least twice, so these nodes grow with the corpus.
 They are a table, which the texts' rare contexts and their next words meet in a join; a bitmap of fixed size spares it most
-of those that have no node, and lets more through as it fills, never fewer.  Words between both shares are no contexts;
-with rare_share = context_share there are none such, at more cost.
+of those that have no node, and lets more through as it fills, never fewer.  A `rare_share` under `context_share` leaves
+out the words between both.
 
 Words with a share of at least `head_share` (at most 1 / head_share words) go to every executor too.  All other words of a
 text, its tail, meet the full table of counts in a join, so every count is exact however many words there are, and frequent
@@ -243,26 +243,51 @@ def _pair_counter(shared):
     return run
 
 
-def _event_counter(shared):
-    """Partial counts of rare contexts and next words."""
+def planes(values: np.ndarray) -> bytes:
+    """The values' first bytes, then their second bytes and so on, which a shuffle's compression makes less of."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def unplaned(data: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+
+
+#: Partial counts of the contexts of one part: the contexts, how many next words each has, and those with their counts.
+EVENTS = "part int, ctx binary, words binary, word binary, n binary"
+
+
+def _event_counter(shared, parts: int):
+    """Partial counts of rare contexts and next words, a row for each part that a task meets at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, held = shared.value, []
 
         def flush() -> pa.RecordBatch:
-            ctx, word, n = (np.concatenate([h[k] for h in held] or [np.zeros(0, np.uint64)]) for k in range(3))
-            _, first, inverse = np.unique(pair_key(ctx, word), return_index=True, return_inverse=True)
-            n = np.bincount(inverse, n, len(first)).astype(np.int64)
+            ctx, word = (np.concatenate([h[k] for h in held] or [np.zeros(0, np.uint64)]) for k in range(2))
             held.clear()
-            order = np.lexsort((word[first], ctx[first]))
-            return pa.RecordBatch.from_arrays([*(pa.array(x[first][order].view(np.int64)) for x in (ctx, word)), pa.array(n[order])], ["ctx", "word", "n"])
+            # By hashes of contexts, then of words; where two of these are the same, a pair may stand twice, which does no harm.
+            place = (node_key(ctx) >> np.uint64(32) << np.uint64(32)) | (pair_key(ctx, word) >> np.uint64(32))
+            order = np.argsort(place)
+            place, ctx, word = place[order], ctx[order], word[order]
+            start = np.flatnonzero(np.append(len(ctx) > 0, (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])))
+            n = np.diff(np.append(start, len(ctx))).astype(np.uint32)
+            place, ctx, word = place[start], ctx[start], word[start]
+            part = ((place >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            met = np.flatnonzero(np.append(len(ctx) > 0, part[1:] != part[:-1]))
+            columns = [[], [], [], []]
+            for i, j in zip(met, np.append(met, len(ctx))[1:], strict=True):
+                first = np.flatnonzero(np.append(True, ctx[i + 1 : j] != ctx[i : j - 1]))
+                some = ctx[i:j][first], np.diff(np.append(first, j - i)).astype(np.uint32), word[i:j], n[i:j]
+                for column, values in zip(columns, some, strict=True):
+                    column.append(planes(values))
+            return pa.RecordBatch.from_arrays([pa.array(part[met]), *(pa.array(c, pa.binary()) for c in columns)], ["part", "ctx", "words", "word", "n"])
 
         for batch in slices(batches, 1_000):
             words = Words(batch.column("text"))
             _, ctx, word = tree.rare_events(words, tree.known(words))
-            _, first, n = np.unique(pair_key(ctx, word), return_index=True, return_counts=True)
-            held.append((ctx[first], word[first], n))
-            if sum(len(h[0]) for h in held) > 1_000_000:
+            held.append((ctx, word))
+            if sum(len(h[0]) for h in held) > 2_000_000:
                 yield flush()
         yield flush()
 
@@ -273,56 +298,95 @@ EDGE = "ctx long, word long, n long, total long, key long, node long, known long
 
 
 def _rare_edges(shared):
-    """Rows come by context and word; next words that a context has at least twice leave, with the context's occurrences and, for head words, the word's count."""
-
-    def edges(rows: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
-        tree, table = shared.value, pa.Table.from_batches(rows).combine_chunks()
-        ctx, word, n = (table.column(c).to_numpy() for c in ("ctx", "word", "n"))
-        # The last context may go on in the rows to come.
-        changes = np.flatnonzero(ctx[1:] != ctx[:-1]) + 1
-        stop = len(ctx) if last else int(changes[-1]) if len(changes) else 0
-        ctx, word, n = ctx[:stop], word[:stop], n[:stop]
-        new_ctx = np.concatenate([np.ones(min(stop, 1), bool), ctx[1:] != ctx[:-1]])
-        fresh = np.flatnonzero(new_ctx | np.concatenate([np.ones(min(stop, 1), bool), word[1:] != word[:-1]]))
-        n = np.add.reduceat(n, fresh) if stop else n
+    """Rows come by part; next words that a context has at least twice leave, with the context's occurrences and, for head words, the word's count."""
+
+    def edges(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        tree = shared.value
+        lists = {c: np.concatenate([unplaned(x, kind) for b in rows for x in b.column(c).to_pylist()]) for c, kind in (("ctx", "u8"), ("words", "u4"), ("word", "u8"), ("n", "u4"))}
+        ctx, word, n = np.repeat(lists["ctx"], lists["words"]), lists["word"], lists["n"].astype(np.int64)
+        order = np.lexsort((word, ctx))
+        ctx, word, n = ctx[order], word[order], n[order]
+        new_ctx = np.append(True, ctx[1:] != ctx[:-1])
+        fresh = np.flatnonzero(new_ctx | np.append(True, word[1:] != word[:-1]))
+        n = np.add.reduceat(n, fresh)
         ctx, word, new_ctx = ctx[fresh], word[fresh], new_ctx[fresh]
-        total = np.add.reduceat(n, np.flatnonzero(new_ctx))[np.cumsum(new_ctx) - 1] if stop else n
+        total = np.add.reduceat(n, np.flatnonzero(new_ctx))[np.cumsum(new_ctx) - 1]
         use = n >= 2
         ctx, word, n, total = ctx[use], word[use], n[use], total[use]
-        known = np.where(word >= 0, tree.counts[np.maximum(word, 0)] if tree.size else 0, 0)
-        key, node = (k.view(np.int64) for k in (pair_key(ctx.view(np.uint64), word.view(np.uint64)), node_key(ctx.view(np.uint64))))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ctx, word, n, total, key, node, known)], ["ctx", "word", "n", "total", "key", "node", "known"]), table.slice(stop).to_batches()
+        known = np.zeros(len(word), np.int64)
+        head = word < OFF
+        known[head] = tree.counts[word[head].astype(np.int64)]
+        columns = [*(x.view(np.int64) for x in (ctx, word)), n, total, pair_key(ctx, word).view(np.int64), node_key(ctx).view(np.int64), known]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["ctx", "word", "n", "total", "key", "node", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        part = None
         for batch in batches:
-            held += [batch] if batch.num_rows else []
-            if sum(b.num_rows for b in held) > 500_000:
-                out, held = edges(held, False)
-                yield out
+            parts = batch.column("part").to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(len(parts) > 0, parts[1:] != parts[:-1])), len(parts))
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if held and parts[i] != part:
+                    yield edges(held)
+                    held = []
+                part = parts[i]
+                held.append(batch.slice(i, j - i))
         if held:
-            yield edges(held, True)[0]
+            yield edges(held)
 
     return run
 
 
-def rare_nodes(source: DataFrame, tree: Tree, counts: DataFrame, gain_bits: float) -> DataFrame:
-    """(key, adds): what a token's log10 probability gains after a rare context that is a node, and, besides, for a next word that the node keeps."""
+def _edge_adds(shared):
+    """What the next words of head words that are nodes add."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ctx, kept, root = (batch.column(c).to_numpy() for c in ("ctx", "kept", "root"))
+            adds = shared.value[ctx] if len(ctx) else np.zeros(0)
+            use = np.flatnonzero(adds < 0)
+            adds = adds[use]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(use)), pa.array(np.log10(kept[use] / root[use] + 10.0**adds) - adds)], ["key", "adds"])
+
+    return run
+
+
+#: Tokens of a part of the rare contexts' events, about.
+PART_TOKENS = 1_000_000
+
+
+def rare_nodes(source: DataFrame, tree: Tree, counts: DataFrame, gain_bits: float) -> tuple[DataFrame, np.ndarray]:
+    """(key, adds): what a token's log10 probability gains after a rare context that is a node, and, besides, for a next word that the node keeps.
+
+    Also the former for each head word, 0 for what is no such node.
+    """
     shared = broadcast_value(source.sparkSession, tree)
-    events = source.mapInArrow(_event_counter(shared), "ctx long, word long, n long").repartition("ctx").sortWithinPartitions("ctx", "word")
+    parts = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), tree.total // PART_TOKENS)
+    events = source.mapInArrow(_event_counter(shared, parts), EVENTS).repartition(parts, "part").sortWithinPartitions("part")
     edges = materialize(events.mapInArrow(_rare_edges(shared), EDGE), "rare-edges")
     shared.destroy()
     off = counts.select(F.xxhash64("word").bitwiseOR(F.lit(-(1 << 63))).alias("word"), F.col("n").alias("met"))
-    met = edges.where("word >= 0").unionByName(edges.where("word < 0").join(off, "word").withColumn("known", F.col("met")).drop("met"))
+    # Written once: next words off the head, with their counts.
+    rest = materialize(edges.where("word < 0").join(off, "word").withColumn("known", F.col("met")).drop("met"), "rare-edges-off")
+    met = edges.where("word >= 0").unionByName(rest)
     root = (F.col("known") + 1) / F.lit(float(tree.denominator))
     kept = (F.col("n") - DISCOUNT) / F.col("total")
     gain = F.sum(F.col("n") * F.log2(F.col("n") / F.col("total") / root))
     nodes = met.groupBy("ctx").agg(gain.alias("gain"), (1 - F.sum(kept)).alias("mass"), F.max("node").alias("node")).where(F.col("gain") >= gain_bits).drop("gain")
     nodes = materialize(nodes, "rare-nodes")
-    found = met.join(nodes.select("ctx", "mass"), "ctx").select("key", (F.log10(kept / root + F.col("mass")) - F.log10("mass")).alias("adds"))
+    own = nodes.where("ctx >= 0").select("ctx", F.log10("mass").alias("adds")).toArrow()
+    adds = np.zeros(tree.size)
+    adds[own.column("ctx").to_numpy()] = own.column("adds").to_numpy()
+    # Edges of head words find their node in that array, only those of other words in a join.
+    shared = broadcast_value(source.sparkSession, adds)
+    columns = met.select("ctx", "key", kept.alias("kept"), root.alias("root"))
+    found = columns.where("ctx >= 0").mapInArrow(_edge_adds(shared), "key long, adds double")
+    joined = columns.where("ctx < 0").join(nodes.where("ctx < 0").select("ctx", "mass"), "ctx")
+    found = found.unionByName(joined.select("key", (F.log10(F.col("kept") / F.col("root") + F.col("mass")) - F.log10("mass")).alias("adds")))
     out = materialize(found.unionByName(nodes.select(F.col("node").alias("key"), F.log10("mass").alias("adds"))), "rare-contexts")
-    release(edges, nodes)
-    return out
+    shared.destroy()
+    release(edges, rest, nodes)
+    return out, adds
 
 
 #: Places of the bitmap of keys, and of a part of it.
@@ -355,13 +419,13 @@ def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """The tree of frequent contexts, the table (word, n) of all training tokens, and the table (key, adds) of rare contexts."""
+    """The tree of frequent contexts, the table (word, n) of all training tokens, the table (key, adds) of rare contexts, and what those of them that are head words add."""
 
-    def __init__(self, tree: Tree, counts: DataFrame, rare: DataFrame, bits: np.ndarray):
-        self.tree, self.counts, self.rare, self.bits = tree, counts, rare, bits
+    def __init__(self, tree: Tree, counts: DataFrame, rare: DataFrame, adds: np.ndarray, bits: np.ndarray):
+        self.tree, self.counts, self.rare, self.adds, self.bits = tree, counts, rare, adds, bits
 
 
-def fit(docs: DataFrame, text_col="text", depth: int = 2, head_share: float = 5e-7, context_share: float = 1e-4, edge_share: float = 5e-7, rare_share: float = 2e-6, gain_bits: float = 64.0, rare_gain_bits: float = 8.0) -> Model:
+def fit(docs: DataFrame, text_col="text", depth: int = 2, head_share: float = 5e-7, context_share: float = 1e-4, edge_share: float = 5e-7, rare_share: float = 1.0, gain_bits: float = 64.0, rare_gain_bits: float = 8.0) -> Model:
     """The model of all rows; depth: the longest frequent context."""
     spark = docs.sparkSession
     source = narrow(docs, text=text_col)
@@ -389,14 +453,14 @@ def fit(docs: DataFrame, text_col="text", depth: int = 2, head_share: float = 5e
         keys = (np.cumsum(passed) - 1)[ctx[often]] * tree.size + word[often]
         order = np.argsort(keys)
         contexts, times = keys[order], n[often][order]
-    rare = rare_nodes(source, tree, counts, rare_gain_bits)
+    rare, adds = rare_nodes(source, tree, counts, rare_gain_bits)
     tree.index = None
-    return Model(tree, counts, rare, _bitmap(rare))
+    return Model(tree, counts, rare, adds, _bitmap(rare))
 
 
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (tree, bits), row = shared.value, TaskContext.get().partitionId() << 36
+        (tree, adds, bits), row = shared.value, TaskContext.get().partitionId() << 36
         for batch in slices(batches, 500):
             words = Words(batch.column("text"))
             known, lengths = tree.known(words), words.lengths
@@ -409,13 +473,13 @@ def _scorer(shared):
             tails = np.searchsorted(tail, np.arange(size + 1) * len(words.vocab)).astype(np.int32)
             tail = pa.array(words.vocab, pa.binary()).take(pa.array(tail % len(words.vocab)))
             at, ctx, word = tree.rare_events(words, known)
-            node = node_key(ctx)
-            use = _has(bits, node)
-            at, ctx, word, node = at[use], ctx[use], word[use], node[use]
-            doc = np.searchsorted(first, at, "right") - 1
-            keys, doc = np.concatenate([node, pair_key(ctx, word)]), np.concatenate([doc, doc])
-            use = _has(bits, keys)
-            keys, doc = keys[use], doc[use]
+            doc, node, off_head = words.texts()[at], node_key(ctx), ctx >= OFF
+            own = np.where(off_head, 0.0, adds[np.where(off_head, 0, ctx).astype(np.int64)] if len(adds) else 0.0)
+            sums[1] += np.bincount(doc, own, size)
+            use = np.where(off_head, _has(bits, node), own < 0)
+            doc, node, off_head, pair = doc[use], node[use], off_head[use], pair_key(ctx[use], word[use])
+            use = _has(bits, pair)
+            keys, doc = np.concatenate([node[off_head], pair[use]]), np.concatenate([doc[off_head], doc[use]])
             order = np.lexsort((keys, doc))
             keys, doc = keys[order], doc[order]
             start = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])) if len(keys) else np.zeros(0, np.int64)
@@ -448,7 +512,7 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", held_
     source = source.select("id", "text", (F.lit(False) if held_out is None else held_out).alias("held_out"))
     schema = f"row long, id {kind}, held_out boolean, n_tokens long, base double, score double, known long, tail array<binary>, times array<long>, keys array<long>, met array<long>"
     # Written once: rows are named by their place, and the tails are read apart from the rest.
-    shared = broadcast_value(docs.sparkSession, (tree, model.bits))
+    shared = broadcast_value(docs.sparkSession, (tree, model.adds, model.bits))
     scored = materialize(source.mapInArrow(_scorer(shared), schema), "scored")
     shared.destroy()
     tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
