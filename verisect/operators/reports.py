@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verisect.operators import metrics as M
+from verisect.operators.joins import small
 
 
 def percent(x: Column) -> Column:
@@ -80,12 +81,13 @@ def run_report(runs: DataFrame, answers: DataFrame, grades: DataFrame, gold: Dat
 
 def paired_deltas(runs: DataFrame, grades: DataFrame, gold: DataFrame, left: str = "bare", right: str = "mcp") -> DataFrame:
     """Per model and tag, on the questions that both arms have graded: their number and each rate's difference."""
-    named = grades.join(visible_runs(runs).select("run_id", "model_key", "tag", "arm"), "run_id")
-    both = named.groupBy("model_key", "tag", "qid").agg(F.count_distinct("arm").alias("_arms")).where("_arms >= 2").drop("_arms")
+    # Runs are few, and each has very many grades: joined by a shuffle, a run's grades would meet in one task.
+    named = grades.join(small(visible_runs(runs).select("run_id", "model_key", "tag", "arm")), "run_id")
+    both = named.groupBy("model_key", "tag", "qid").agg(F.min("arm").alias("_first"), F.max("arm").alias("_last")).where("_first < _last").drop("_first", "_last")
     common = named.where(F.col("arm").isin(left, right)).join(both, ["model_key", "tag", "qid"], "left_semi")
     by_arm = graded_metrics(common, gold, "model_key", "tag", "arm")
-    of = lambda arm: by_arm.where(F.col("arm") == arm).select("model_key", "tag", F.col("n").alias(f"n_{arm}"), *(F.col(r).alias(f"{r}_{arm}") for r in RATES))
-    met = of(left).join(of(right), ["model_key", "tag"])
+    of = lambda arm: [F.max(F.when(F.col("arm") == arm, F.col(c))).alias(f"{c}_{arm}") for c in ("n", *RATES)]
+    met = by_arm.groupBy("model_key", "tag").agg(*of(left), *of(right)).where(F.col(f"n_{left}").isNotNull() & F.col(f"n_{right}").isNotNull())
     return met.select("model_key", "tag", F.col(f"n_{left}").alias("common"), *((F.col(f"{r}_{right}") - F.col(f"{r}_{left}")).alias(f"d_{r}") for r in RATES))
 
 
