@@ -7,7 +7,7 @@ become rows; with too many needles for that test all runs do, and both sides are
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -137,25 +137,34 @@ def shared_runs(docs: DataFrame, doc_key: str, doc_text: str, needles: DataFrame
     return confirmed.select(F.col("_doc").alias(doc_key), F.col("_needle").alias(needle_key))
 
 
-def gold_equivalent(proposition: Column, hay: Column, part: int = 5, run: int = 12) -> Column:
-    """Whether a padded text holds a proposition: with ellipses all its parts of at least `part` words, or a run inside one part; without, any run of `run` words, or the whole if it is shorter."""
-    inside = lambda words: F.contains(hay, T.padded(words))
+def once(body: Callable[..., Column], *values: Column) -> Column:
+    """The body over values that a row computes once: an expression that lambdas or several places name runs again at each."""
+    row = F.array(F.struct(*(v.alias(f"_{k}") for k, v in enumerate(values))))
+    return F.element_at(F.transform(row, lambda r: body(*(r[f"_{k}"] for k in range(len(values))))), 1)
 
-    def has_run(words: Column, n: Column) -> Column:
-        last = F.size(words) - n + 1
-        return (last >= 1) & F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda p: inside(F.slice(words, p, n)))
 
+def gold_equivalent(proposition: Column, hay: Column, part: int = 5, run: int = 12) -> Column:
+    """Whether a padded text holds a proposition: with ellipses all its parts of at least `part` words, or a run inside one part; without, any run of `run` words, or the whole if it is shorter."""
     # A bracket that is dropped with the ellipsis in it doesn't join what it parted: with an ellipsis as written, only
     # variants that keep one count.
     ellipsis = r"\.\s*\.\s*\.|…|\[\s*\.\.\.\s*\]"
-    written = T.fold_print(proposition)
-    elided = written.rlike(ellipsis)
 
-    def one(text: Column) -> Column:
-        parts = F.transform(F.split(text, ellipsis), T.match_words)
-        long = F.filter(parts, lambda w: F.size(w) >= part)
-        split = (F.size(long) > 0) & F.forall(long, inside) | F.exists(parts, lambda w: has_run(w, F.lit(run)))
-        whole = T.match_words(text)
-        return F.when(elided, text.rlike(ellipsis) & split).otherwise((F.size(whole) >= part) & has_run(whole, F.least(F.lit(run), F.size(whole))))
+    def told(written: Column, hay: Column, elided: Column) -> Column:
+        inside = lambda words: F.contains(hay, T.padded(words))
+
+        def has_run(words: Column, n: Column) -> Column:
+            last = F.size(words) - n + 1
+            return (last >= 1) & F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda p: inside(F.slice(words, p, n)))
+
+        def by_parts(parts: Column) -> Column:
+            long = F.filter(parts, lambda w: F.size(w) >= part)
+            return (F.size(long) > 0) & F.forall(long, inside) | F.exists(parts, lambda w: has_run(w, F.lit(run)))
+
+        def one(text: Column) -> Column:
+            split = once(by_parts, F.transform(F.split(text, ellipsis), T.match_words))
+            whole = once(lambda w: (F.size(w) >= part) & has_run(w, F.least(F.lit(run), F.size(w))), T.match_words(text))
+            return F.when(elided, text.rlike(ellipsis) & split).otherwise(whole)
+
+        return F.exists(T.bracket_variants(written), one)
 
-    return F.exists(T.bracket_variants(written), one)
+    return once(lambda written, hay: once(told, written, hay, written.rlike(ellipsis)), T.fold_print(proposition), hay)
