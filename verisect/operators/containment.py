@@ -20,8 +20,8 @@ from verisect.operators.joins import SMALL_ROWS, small
 
 #: An odd multiplier for hashes of word runs, modulo 2**64.
 STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Words whose hashes a task remembers.
-REMEMBERED = 300_000
+#: Words whose hashes a task remembers, and texts that it hashes at a time.
+REMEMBERED, TEXTS = 60_000, 250
 
 
 def word_hash(word: str) -> int:
@@ -63,8 +63,8 @@ def text_runs(rows: DataFrame, key: str, words: str, sizes: Sequence[int], wante
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 1_000):
-                batch = whole.slice(at, 1_000)
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
                 h, owner = _letter_hashes(batch.column(1)) if letters else _word_hashes(batch.column(1), known)
                 found = []
                 for n in sizes:
