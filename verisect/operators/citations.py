@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verisect.functions import cites as C
@@ -17,11 +17,25 @@ from verisect.operators.sampling import islands
 PIN_PAGES, PIN_PAGES_NAMED = 60, 150
 
 
+#: Characters that may stand between parallel citations, and how many of them.
+SEPARATORS, SEPARATED = " \t\n\x0b\f\r,;0123456789-–—n.&", 60
+
+
+def glue(text: Column, start: Column) -> Column:
+    """How many separators and pages stand, unbroken, right before a place: SEPARATED at most. A mark of a line's end may come last."""
+    n = F.greatest(F.least(start, F.lit(SEPARATED)), F.lit(0))
+    before = F.regexp_replace(F.substring(text, F.greatest(start - SEPARATED, F.lit(0)) + 1, n), "[\u0085\u2028\u2029]\\z", " ")
+    return n - F.length(F.rtrim(before, F.lit(SEPARATORS)))
+
+
 def parallel_chains(cites: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """With `island`: citations of a text that are parallels, since nothing but separators and pages, at most 60 characters, stands between them."""
-    between = F.substring(F.col("text"), F.col("_prev_end") + 1, F.col("start") - F.col("_prev_end"))
-    joined = (F.col("start") < F.col("_prev_end")) | ((F.col("start") - F.col("_prev_end") <= 60) & between.rlike(r"^[\s,;\d\-–—n.&]*$"))
-    return islands(cites, keys, "start", "end", joined)
+    """With `island`: citations of a text that are parallels, since nothing but separators and pages, at most 60 characters, stands between them.
+
+    The rows have the `text`, or what glue() tells of it.
+    """
+    glued = F.col("glue") if "glue" in cites.columns else glue(F.col("text"), F.col("start"))
+    between = F.col("start") - F.col("_prev_end")
+    return islands(cites, keys, "start", "end", (between < 0) | (between <= glued))
 
 
 def _keyed(df: DataFrame) -> DataFrame:
